@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, read_table
+from tidemark.llm.embedding_dedup import near_vectors
 from tidemark.llm.language_id import identify_languages
+from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_model import quality_scores
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.sharding import byte_shards
+from tidemark.llm.suffix_dedup import repeat_digest
 from tidemark.llm.url_filter import url_verdicts
 from tidemark.llm.word_bpe import encode_decode
 
@@ -24,10 +27,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), Scratch(spark, "op2")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(read_table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read_table(spark, sf_dir, "pages"))
 
@@ -45,6 +56,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(read_table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"), Scratch(spark, "op8"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), Scratch(spark, "op9"))
 
@@ -60,7 +75,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_classifier, op4_url_filters, op5_quality_rules, op6_language_id, op7_sharding, op9_best_fit_packing, op10_bpe)
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_quality_classifier, op3_suffix_array_dedup, op4_url_filters, op5_quality_rules,
+        op6_language_id, op7_sharding, op8_embedding_near_dedup, op9_best_fit_packing, op10_bpe, pipeline,
+    )
 }
 
 OP4_SQL = """

@@ -24,7 +24,7 @@ from tidemark.llm.kernels import Prefix, words
 from tidemark.llm.tokens import byte_letters
 
 #: White_Space characters beyond ASCII; splitting by ASCII white space comes first.
-_WIDE = regex.compile(r"[\u0085   -     　]+")
+_WIDE = regex.compile(r"[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class ForcedBpe:
