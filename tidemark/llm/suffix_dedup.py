@@ -80,7 +80,9 @@ def describe(rows: DataFrame) -> DataFrame:
 
 
 def anchor_places(rows: DataFrame, length: int) -> DataFrame:
-    """(a, h, p): anchor hash, text name, place in the text; equal texts of a task count once."""
+    """(a, m, h, p): anchor hash, kind, text name, place in the text; equal texts of a task count once. Of an anchor's places in
+    a task one is its witness (m 0, or 1 if there are more); the others are known to be shared: they travel under a
+    key of their own (m 2), so that a frequent anchor has no more rows in one place than there are tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -94,124 +96,133 @@ def anchor_places(rows: DataFrame, length: int) -> DataFrame:
                         seen.add(name)
                 text, _, _, place, h = anchors(buf, offs, length)
                 own = fresh[text]
-                yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(names[text[own]]), pa.array(place[own] - offs[text[own]])], names=["a", "h", "p"])
-
-    return rows.mapInArrow(run, "a long, h long, p long")
-
-
-def shared_places(places: DataFrame, hot: int) -> DataFrame:
-    """(h, p, hot) of the anchors that stand in two places or more; hot: in more than `hot`. A stream over sorted
-    partitions that holds one anchor's rows until it ends or turns out to be hot."""
+                h, who, place = h[own], names[text[own]], place[own] - offs[text[own]]
+                order = np.argsort(h, kind="stable")
+                h, who, place = h[order], who[order], place[order]
+                new = np.ones(len(h), bool)
+                new[1:] = h[1:] != h[:-1]
+                more = np.zeros(len(h), bool)
+                more[:-1] = ~new[1:]
+                kind = np.where(new, more.astype(np.int32), np.int32(2)).astype(np.int32)
+                key = np.where(new, h, mix(who.view(_U) ^ (place.astype(_U) << _U(32))))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind), pa.array(who), pa.array(place)], names=["a", "m", "h", "p"])
+
+    return rows.mapInArrow(run, "a long, m int, h long, p long")
+
+
+def shared_places(places: DataFrame) -> DataFrame:
+    """(h, p) of the anchors that stand in two places or more: a stream over sorted partitions that holds one anchor's
+    witnesses until they end."""
+
+    def solve(rows: np.ndarray) -> pa.RecordBatch:
+        a, m, h, p = rows
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        group = np.cumsum(new) - 1
+        place = np.ones(len(a), bool)
+        place[1:] = new[1:] | (h[1:] != h[:-1]) | (p[1:] != p[:-1])
+        n = int(group[-1]) + 1
+        shared = (np.bincount(group[(m < 2)], place[m < 2], n) > 1) | (np.bincount(group, m == 1, n) > 0)
+        take = (m == 2) | shared[group]
+        return pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(p[take])], names=["h", "p"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros((3, 0), np.int64)
-        held, flowing = none, None  # rows of the last anchor; the anchor known to be hot, if it is the last
-        last_row = None
-
-        def out(rows: np.ndarray, hot_now: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.array(rows[2]), pa.array(hot_now)], names=["h", "p", "hot"])
-
+        held = np.zeros((4, 0), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            got = np.stack([c.to_numpy() for c in batch.columns])
-            keep = np.ones(got.shape[1], bool)
-            keep[1:] = (got[:, 1:] != got[:, :-1]).any(axis=0)
-            if last_row is not None:
-                keep[0] = (got[:, 0] != last_row).any()
-            last_row = got[:, -1].copy()
-            got = got[:, keep]
-            if flowing is not None:
-                n = int(np.searchsorted(got[0] != flowing, True)) if (got[0] != flowing).any() else got.shape[1]
-                if n:
-                    yield out(got[:, :n], np.ones(n, bool))
-                got = got[:, n:]
-                if not got.shape[1]:
-                    continue
-                flowing = None
-            rows = np.concatenate([held, got], axis=1)
-            if not rows.shape[1]:
-                continue
-            new = np.ones(rows.shape[1], bool)
-            new[1:] = rows[0, 1:] != rows[0, :-1]
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, rows.shape[1]))
-            if size[-1] <= hot:
-                held, rows, size = rows[:, first[-1] :], rows[:, : first[-1]], size[:-1]
-            else:
-                held, flowing = none, rows[0, -1]
-            each = np.repeat(size, size)
-            some = each > 1
-            if some.any():
-                yield out(rows[:, some], each[some] > hot)
-        if held.shape[1] > 1:
-            yield out(held, np.zeros(held.shape[1], bool))
+            rows = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])], axis=1)
+            cut = int(np.searchsorted(rows[0], rows[0, -1], "left"))
+            held = rows[:, cut:]
+            if cut:
+                yield solve(rows[:, :cut])
+        if held.shape[1]:
+            yield solve(held)
 
-    return places.repartition("a").sortWithinPartitions("a", "h", "p").mapInArrow(run, "h long, p long, hot boolean")
+    return places.repartition("a").sortWithinPartitions("a", "h", "p").mapInArrow(run, "h long, p long")
 
 
 CONTEXT = "a long, id long, start long, span int, rel int, ctx binary"
 
 
+def _packed(buf: np.ndarray, start: np.ndarray, end: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """A binary array of buf[start:end], null where not kept."""
+    flat = np.concatenate([[0], np.cumsum(np.where(keep, end - start, 0))])
+    data = buf[np.repeat(start - flat[:-1], np.diff(flat)) + np.arange(flat[-1])]
+    bits = np.packbits(keep, bitorder="little").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(keep), [pa.py_buffer(bits), pa.py_buffer(flat.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _earliest(seen: dict[int, tuple[int, int]], name: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which strings have no earlier equal one so far in the task; `seen` keeps the earliest place of each name."""
+    order = np.lexsort([start, ids, name])
+    new = np.ones(len(order), bool)
+    new[1:] = name[order][1:] != name[order][:-1]
+    first = np.zeros(len(name), bool)
+    for j in order[new].tolist():
+        n, at = int(name[j]), (int(ids[j]), int(start[j]))
+        if n not in seen or at < seen[n]:
+            seen[n] = at
+            first[j] = True
+    return first
+
+
 def contexts(rows: DataFrame, length: int) -> DataFrame:
-    """rows (id, t, h, places, hots) -> one row per run of windows around a shared anchor; ctx is null where an equal one came
-    earlier in the task: that run repeats. Rows must come in the order of id within a partition."""
+    """rows (id, t, h, places) -> one row per run of windows around a shared anchor; ctx is null where the task has met an
+    equal one that starts earlier: that run repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
             ids, names = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             for a, b, buf, offs in chunks(batch.column(1)):
                 text, lo, hi, place, h = anchors(buf, offs, length)
-                take, hot = np.zeros(len(text), bool), np.zeros(len(text), bool)
+                take = np.zeros(len(text), bool)
                 at = np.searchsorted(text, np.arange(b - a + 1))
                 for i in range(b - a):
                     if _name(buf[offs[i] : offs[i + 1]].tobytes()) != names[a + i]:
                         continue
                     own = slice(at[i], at[i + 1])
-                    spots = np.array(batch.column(3)[a + i].values.to_numpy(zero_copy_only=False))
-                    hots = batch.column(4)[a + i].values.to_numpy(zero_copy_only=False)
-                    order = np.argsort(spots)
-                    k = np.minimum(np.searchsorted(spots[order], place[own] - offs[i]), len(spots) - 1)
-                    take[own] = spots[order][k] == place[own] - offs[i]
-                    hot[own] = hots[order][k].astype(bool)
-                text, lo, hi, place, h, hot = (x[take] for x in (text, lo, hi, place, h, hot))
+                    spots = np.sort(batch.column(3)[a + i].values.to_numpy(zero_copy_only=False))
+                    k = np.minimum(np.searchsorted(spots, place[own] - offs[i]), len(spots) - 1)
+                    take[own] = spots[k] == place[own] - offs[i]
+                text, lo, hi, place, h = (x[take] for x in (text, lo, hi, place, h))
                 if not len(text):
                     continue
-                sums = Prefix(buf)
-                # windows of hot anchors one by one, each in a bucket of its own string
-                n = np.where(hot, hi - lo + 1, 1)
-                rep = np.repeat(np.arange(len(text)), n)
-                step = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-                start = lo[rep] + np.where(hot[rep], step, 0)
-                end = np.where(hot[rep], start, hi[rep]) + length
-                whole = sums.spans(start, end)
-                rel = np.where(hot[rep], 0, place[rep] - start)
-                bucket = np.where(hot[rep], whole, h[rep])
-                name = mix(whole ^ (rel.astype(_U) << _U(40)))
-                first = np.zeros(len(name), bool)
-                first[np.unique(name, return_index=True)[1]] = True
-                for j in np.flatnonzero(first):
-                    if int(name[j]) in seen:
-                        first[j] = False
-                    else:
-                        seen.add(int(name[j]))
-                flat = np.concatenate([[0], np.cumsum(np.where(first, end - start, 0))])
-                size = np.diff(flat)
-                data = buf[np.repeat(start - flat[:-1], size) + np.arange(flat[-1])]
-                ctx = pa.Array.from_buffers(pa.binary(), len(first), [pa.py_buffer(np.packbits(first, bitorder="little").tobytes()), pa.py_buffer(flat.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-                doc = text[rep]
+                rel = place - lo
+                name = mix(Prefix(buf).spans(lo, hi + length) ^ (rel.astype(_U) << _U(40)))
+                first = _earliest(seen, name, ids[a + text], lo - offs[text])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket.view(np.int64)), pa.array(ids[a + doc]), pa.array(start - offs[doc]), pa.array((end - start - length + 1).astype(np.int32)),
-                        pa.array(rel.astype(np.int32)), ctx,
-                    ],
+                    [pa.array(h.view(np.int64)), pa.array(ids[a + text]), pa.array(lo - offs[text]), pa.array((hi - lo + 1).astype(np.int32)), pa.array(rel.astype(np.int32)), _packed(buf, lo, hi + length, first)],
                     names=["a", "id", "start", "span", "rel", "ctx"],
                 )
 
     return rows.mapInArrow(run, CONTEXT)
 
 
+def single_windows(ctx: DataFrame, length: int) -> DataFrame:
+    """The windows of contexts one by one, each in a bucket named by its own string; ctx is null where the task has met an
+    equal window that starts earlier. For anchors with so many contexts that one bucket would be too large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            ids, begin, span = (batch.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
+            for a, b, buf, offs in chunks(batch.column(5), CHUNK_BYTES // 8):
+                n = span[a:b]
+                who = np.repeat(np.arange(b - a), n)
+                step = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+                at = offs[who] + step
+                name = Prefix(buf).spans(at, at + length)
+                first = _earliest(seen, name, ids[a + who], begin[a + who] + step)
+                one = np.ones(len(who), np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name.view(np.int64)), pa.array(ids[a + who]), pa.array(begin[a + who] + step), pa.array(one), pa.array(one - 1), _packed(buf, at, at + length, first)], names=["a", "id", "start", "span", "rel", "ctx"]
+                )
+
+    return ctx.mapInArrow(run, CONTEXT)
+
+
 def _words(text: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position as a big-endian number; zeros follow the end."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(_U)
@@ -329,7 +340,7 @@ def repeated_starts(ctx: DataFrame, length: int, block_bytes: int = 1 << 20) ->
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return ctx.where("ctx is not null").repartition("a").sortWithinPartitions("a").mapInArrow(run, "id long, lo long, hi long")
+    return ctx.repartition("a").sortWithinPartitions("a").mapInArrow(run, "id long, lo long, hi long")
 
 
 def repeat_spans(docs: DataFrame, scratch: Scratch, key: str, text: str, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
@@ -339,16 +350,22 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, key: str, text: str, length:
     about = scratch.table(describe(rows), "about")
     classes = about.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("id").alias("rep"))
     classes = scratch.table(classes.withColumn("h", F.expr("cast(conv(substr(sha, 1, 16), 16, -10) as long)")), "classes")
-    shared = scratch.table(shared_places(anchor_places(rows, length), hot), "shared")
-    listed = shared.groupBy("h").agg(F.collect_list("p").alias("places"), F.collect_list("hot").alias("hots"))
-    listed = scratch.table(listed.join(classes, "h").select(F.col("rep").alias("id"), "h", "places", "hots"), "listed")
-    texts = id_filter(rows, "id", listed.select("id")).join(listed, "id").select("id", "t", "h", "places", "hots").sortWithinPartitions("id")
+    shared = scratch.table(shared_places(anchor_places(rows, length)), "shared")
+    listed = shared.groupBy("h").agg(F.collect_list("p").alias("places"))
+    listed = scratch.table(listed.join(classes, "h").select(F.col("rep").alias("id"), "h", "places"), "listed")
+    texts = id_filter(rows, "id", listed.select("id")).join(listed, "id").select("id", "t", "h", "places")
     ctx = scratch.table(contexts(texts, length), "contexts")
-    local = ctx.where("ctx is null").select("id", F.col("start").alias("lo"), (F.col("start") + F.col("span") - 1).alias("hi"))
-    runs = local.unionByName(repeated_starts(ctx, length)).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    sent = ctx.where("ctx is not null")
+    # anchors with too many contexts for one bucket: at most 2**20 of them, whatever the input
+    most = max(hot, sent.count() >> 20)
+    often = scratch.table(sent.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > most).select("a"), "often")
+    split = scratch.table(single_windows(sent.join(F.broadcast(often), "a"), length), "split")
+    cold = sent.join(F.broadcast(often), "a", "left_anti").unionByName(split.where("ctx is not null"))
+    local = ctx.unionByName(split).where("ctx is null").select("id", F.col("start").alias("lo"), (F.col("start") + F.col("span") - 1).alias("hi"))
+    runs = local.unionByName(repeated_starts(cold, length)).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
     names = listed.select("id", "h")
     spans = scratch.table(runs.join(names, "id"), "spans")
-    scratch.drop("shared", "contexts")
+    scratch.drop("shared", "contexts", "split")
     return about.join(classes, "sha", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("rep"), F.lit(False))).select("id", "n_bytes", "sha", "copy"), spans
 
 
