@@ -43,8 +43,7 @@ def base(buf: np.ndarray, offs: np.ndarray, window: int = 5) -> dict[str, np.nda
     feed_doc = np.searchsorted(offs, feeds, "right") - 1
     begin = np.concatenate([offs[:-1], feeds + 1])
     doc = np.concatenate([np.arange(n), feed_doc])
-    order = np.argsort(begin, kind="stable")
-    # an empty text shares its start with the next one: stable order keeps texts before feeds, and it has no words anyway
+    order = np.lexsort((begin, doc))  # a line after a text's last line feed begins where the next text does
     begin, doc = begin[order], doc[order]
     end = np.empty_like(begin)
     if len(begin):
