@@ -73,37 +73,39 @@ def chunks(text: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
 
 
 def with_maybe(df: DataFrame, col: str, ids: DataFrame, max_bits: int = 1 << 24) -> DataFrame:
-    """df with a boolean __maybe: whether `col` may be in ids (ids has `col`). A one-hash bitmap of at most max_bits bits is
-    joined as a broadcast of at most max_bits/64 rows. It marks every true id, and some others; beyond about max_bits ids
-    nearly all. An exact join follows: the mark only spares shuffled bytes. A null is never marked."""
+    """(row, key, maybe): df's rows as a struct, so that no name of theirs clashes, and whether `col` may be in ids (ids has
+    `col`). A one-hash bitmap of at most max_bits bits is joined as a broadcast of at most max_bits/64 rows. It marks
+    every true id, and some others; beyond about max_bits ids nearly all. An exact join follows: the mark only spares
+    shuffled bytes. A null is never marked."""
     n = ids.count()
     bits = 1 << 12
     while bits < min(max_bits, 16 * n):
         bits <<= 1
-    spot = F.pmod(F.xxhash64(F.col(col)), F.lit(bits)).cast("long")
+    spot = F.when(F.col("key").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(bits)).cast("long"))
     words = (
-        ids.where(F.col(col).isNotNull())
-        .select(spot.alias("__s"))
-        .select(F.shiftright("__s", 6).alias("__w"), F.expr("shiftleft(1L, cast(__s % 64 as int))").alias("__v"))
-        .groupBy("__w")
-        .agg(F.bit_or("__v").alias("__v"))
+        ids.select(F.col(col).alias("key")).where("key is not null").select(spot.alias("s"))
+        .select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s % 64 as int))").alias("v"))
+        .groupBy("w")
+        .agg(F.bit_or("v").alias("v"))
     )
-    out = df.withColumn("__s", F.when(F.col(col).isNotNull(), spot)).withColumn("__w", F.shiftright("__s", 6)).join(F.broadcast(words), "__w", "left")
-    hit = F.expr("(shiftright(__v, cast(__s % 64 as int)) & 1L) = 1L")
-    return out.select(*df.columns, F.coalesce(hit, F.lit(False)).alias("__maybe"))
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(col).alias("key"))
+    out = packed.withColumn("s", spot).withColumn("w", F.shiftright("s", 6)).join(F.broadcast(words), "w", "left")
+    return out.select("row", "key", F.coalesce(F.expr("(shiftright(v, cast(s % 64 as int)) & 1L) = 1L"), F.lit(False)).alias("maybe"))
 
 
 def id_filter(df: DataFrame, col: str, ids: DataFrame, max_bits: int = 1 << 24) -> DataFrame:
     """The rows of df whose `col` may be in ids."""
-    return with_maybe(df, col, ids, max_bits).where("__maybe").drop("__maybe")
+    return with_maybe(df, col, ids, max_bits).where("maybe").select("row.*")
 
 
 def without(docs: DataFrame, key: str, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """docs without the rows whose key is in gone (has `key`); of the rows of each key in `once` one stays. Rows that the
     bitmap clears are passed on without a shuffle; only the others are joined."""
     marked = with_maybe(docs, key, gone if once is None else gone.unionByName(once))
-    doubtful = marked.where("__maybe").drop("__maybe").join(gone.distinct(), key, "left_anti").select(*docs.columns)
-    return marked.where("not __maybe").drop("__maybe").unionByName(doubtful if once is None else doubtful.dropDuplicates([key]))
+    doubtful = marked.where("maybe").join(gone.select(F.col(key).alias("key")).distinct(), "key", "left_anti")
+    if once is not None:
+        doubtful = doubtful.dropDuplicates(["key"])
+    return marked.where("not maybe").select("row.*").unionByName(doubtful.select("row.*"))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:

@@ -430,10 +430,10 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     A copy of an earlier text becomes empty. Null texts stay null."""
     about, spans = repeat_spans(docs, scratch, key, text, length, hot)
     # a text's name is needed only where a key has several texts: then the spans of the other text are left aside
-    marks = about.where("copy").select("id", F.col("sha")).distinct().groupBy("id").agg(F.collect_set("sha").alias("__gone"))
-    plan = spans.select("id", F.col("h").alias("__h"), F.col("starts").alias("__starts")).join(marks, "id", "full").select(F.col("id").alias("__id"), "__h", "__starts", "__gone")
+    marks = about.where("copy").select("id", F.col("sha")).distinct().groupBy("id").agg(F.collect_set("sha").alias("gone"))
+    plan = spans.select("id", "h", "starts").join(marks, "id", "full").select(F.col("id").alias("key"), "h", "starts", "gone")
     plan = scratch.table(plan, "plan")
-    marked = with_maybe(docs.withColumn("__id", F.col(key).cast("long")), "__id", plan.select("__id"))
+    marked = with_maybe(docs.withColumn(key, F.col(key).cast("long")), key, plan.select(F.col("key").alias(key)))
 
     @F.pandas_udf("string")
     def cut(t, h, starts, gone):  # noqa: ANN001, ANN202
@@ -450,6 +450,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
                 out.append(x)
         return pd.Series(out, dtype=object)
 
-    doubtful = marked.where("__maybe").join(plan, "__id", "left")
-    new = doubtful.withColumn(text, F.when(F.col(text).isNotNull() & F.coalesce("__h", F.size("__gone")).isNotNull(), cut(F.coalesce(F.col(text), F.lit("")), F.col("__h").cast("string"), "__starts", "__gone")).otherwise(F.col(text)))
-    return marked.where("not __maybe").select(*docs.columns).unionByName(new.select(*docs.columns))
+    doubtful = marked.where("maybe").join(plan, "key", "left")
+    old = F.col(f"row.{text}").cast("string")
+    new = F.when(old.isNotNull() & (F.col("h").isNotNull() | F.col("gone").isNotNull()), cut(F.coalesce(old, F.lit("")), F.col("h").cast("string"), "starts", "gone")).otherwise(old)
+    changed = doubtful.select(*(new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
+    return marked.where("not maybe").select("row.*").unionByName(changed).withColumn(key, F.col(key).cast(docs.schema[key].dataType))
