@@ -4,10 +4,11 @@
 2. Similar representatives are put into groups: those that share one of their smallest shingles are compared with the first
    of them, and verified links make the groups.
 3. The matrix holds, per shingle, the blocks of groups whose token union has it. It needs only prefix shingles: in one total
-   order of shingles (common ones last), sets that link share one of the first n - ceil(t n) + 1 of each. Shingles of
+   order of shingles (frequent ones last), sets that link share one of the first n - ceil(t n) + 1 of each. Shingles of
    one class alone are dropped as soon as they are sorted.
-4. A document that shares such a shingle with a block of another group is a candidate for it. Its overlap with the block's token
-   union bounds its overlap with every member; only blocks that qualify are opened, and their members verified exactly.
+4. A document that shares such shingles with a block of another group is a candidate for it if their number and the sizes of
+   the block's members allow a link at all. Its overlap with the block's token union then bounds its overlap with every
+   member; only blocks that qualify are opened, and their members verified exactly.
 Links inside a group need no further check, as only connectivity is asked for; so a group of n near copies costs
 about n comparisons, not n squared.
 """
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, chunks, components, id_filter
@@ -100,9 +101,10 @@ def _is_in(s: np.ndarray, pool: np.ndarray) -> np.ndarray:
     return pool[spot] == s
 
 
-def prefix_tokens(rows: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(t, h): prefix shingles of every document, h its set's name; equal sets of a task count once."""
-    sent = rows.sparkSession.sparkContext.broadcast(common)
+def prefix_tokens(rows: DataFrame, size: int, percent: int, common: np.ndarray, level: np.ndarray) -> DataFrame:
+    """(t, h): prefix shingles of every document, h its set's name; equal sets of a task count once. The order of shingles: those
+    not in `common` first, then by level, then by hash."""
+    sent = rows.sparkSession.sparkContext.broadcast((common, level))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -114,9 +116,14 @@ def prefix_tokens(rows: DataFrame, size: int, percent: int, common: np.ndarray)
                         continue
                     seen.add(h)
                     p = prefix_length(len(s), percent)
-                    often = _is_in(s, sent.value)
+                    pool, ranks = sent.value
+                    often = _is_in(s, pool)
                     rare = s[~often]
-                    tokens.append(rare[:p] if len(rare) >= p else np.concatenate([rare, s[often][: p - len(rare)]]))
+                    if len(rare) < p:
+                        late = s[often]
+                        late = late[np.argsort(ranks[np.searchsorted(pool, late)], kind="stable")]
+                        rare = np.concatenate([rare, late[: p - len(rare)]])
+                    tokens.append(rare[:p])
                     names.append(h)
                     lengths.append(p)
                 if tokens:
@@ -125,6 +132,20 @@ def prefix_tokens(rows: DataFrame, size: int, percent: int, common: np.ndarray)
     return rows.mapInArrow(run, "t long, h long")
 
 
+def frequent_tokens(shared: DataFrame, most: int = 1 << 20, least_level: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, levels): the tokens with the most sets, level = log2 of their number: all from 2**least_level sets on, or from the
+    lowest level that leaves no more than `most` of them."""
+    counted = shared.groupBy("t").agg(F.count("*").alias("c")).withColumn("l", F.floor(F.log2("c")).cast("int"))
+    by_level = {r["l"]: r["count"] for r in counted.groupBy("l").count().collect()}
+    level = least_level
+    while sum(n for k, n in by_level.items() if k >= level) > most:
+        level += 1
+    got = counted.where(F.col("l") >= level).select("t", "l").toArrow()
+    t, ranks = np.asarray(got.column("t").to_numpy()).view(_U), np.asarray(got.column("l").to_numpy())
+    order = np.argsort(t)
+    return t[order], ranks[order]
+
+
 def shared_tokens(tokens: DataFrame) -> DataFrame:
     """(t, h) for the tokens that stand in two or more sets: each partition is sorted by token and read as a stream."""
 
@@ -185,7 +206,20 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _alike(m: str, n: str, percent: int) -> F.Column:
+def _can_link(percent: int) -> Column:
+    """Whether a set of n shingles that shares c prefix shingles with a block whose members have lo..hi shingles can link
+    with one of them. In the common order, after the earlier end of two prefixes at most ceil(t max(n, m)) - 1 shingles
+    are left to share, and a link needs t (n + m) / (1 + t). So c >= t (n + m) / (1 + t) - ceil(t max(n, m)) + 1: for m above n this
+    falls with m, below n it rises with it, and its least value is at an end of the sizes that can link. One less
+    is asked for, so that rounding loses nothing."""
+    t = percent / 100
+    n, c = F.col("n"), F.col("c")
+    low, high = F.greatest(F.col("lo").cast("double"), n * t), F.least(F.col("hi").cast("double"), n / t)
+    need = lambda m: (t / (1 + t)) * (n + m) - F.ceil(t * F.greatest(n.cast("double"), m)) + 1
+    return (low <= high + 1e-9) & (c >= F.least(need(low), need(high)) - 1)
+
+
+def _alike(m: str, n: str, percent: int) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
@@ -206,9 +240,15 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     full = about.where("n > 0 and id is not null")
     classes = scratch.table(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("mins").alias("mins")), "classes")
 
-    # postings of shared prefix tokens, by class
-    tokens = prefix_tokens(rows.where("id is not null"), size, percent, common_shingles(rows, size, n_docs))
-    shared = scratch.table(shared_tokens(tokens), "shared")
+    # postings of shared prefix tokens, by class: a first round finds the frequent ones, which the second puts last
+    keyed_rows = rows.where("id is not null")
+    early = common_shingles(rows, size, n_docs)
+    first = scratch.table(shared_tokens(prefix_tokens(keyed_rows, size, percent, early, np.zeros(len(early), np.int32))), "first")
+    often, level = frequent_tokens(first)
+    pool = np.union1d(often, early)
+    ranks = np.full(len(pool), 64, np.int32)
+    ranks[np.searchsorted(pool, often)] = level
+    shared = scratch.table(shared_tokens(prefix_tokens(keyed_rows, size, percent, pool, ranks)), "shared") if len(often) else first
 
     # groups: representatives that share a smallest shingle, against the first of them
     keyed = classes.select("id", "n", F.explode("mins").alias("m"))
@@ -216,7 +256,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     stars = scratch.table(keyed.join(lead, "m").where("id <> b").where(_alike("n", "bn", percent)).select(F.col("id").alias("a"), "b").distinct(), "stars")
     posted = classes.select(F.col("h1").alias("h"), "id", "n").join(shared, "h").select("t", "id", "n")
     posted = scratch.table(posted, "posted")
-    wanted = posted.select("id").unionAll(stars.select(F.col("a").alias("id"))).unionAll(stars.select(F.col("b").alias("id"))).distinct()
+    wanted = stars.select(F.col("a").alias("id")).unionAll(stars.select(F.col("b").alias("id"))).distinct()
     sets = scratch.table(load_sets(docs, wanted, key, text, size), "sets")
     links = scratch.table(verify(stars, sets, percent), "links")
     group_of = scratch.table(components(links, scratch, "groups"), "group_of")
@@ -229,14 +269,20 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     cells = cells.join(crossing, "t").join(counted, "g", "left").withColumn("members", F.coalesce("members", F.lit(1)))
     cells = scratch.table(cells.withColumn("k", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / block))), "matrix")
     # a document asks the blocks of larger groups (of equal ones, those with the larger name)
-    asked = cells.select("t", F.col("g").alias("g2"), F.col("k").alias("k2"), F.col("members").alias("m2")).distinct()
-    asks = cells.join(asked, "t").where("members < m2 or (members = m2 and g < g2)").select("id", "n", F.col("g2").alias("g"), F.col("k2").alias("k")).distinct()
+    asked = cells.groupBy("t", F.col("g").alias("g2"), F.col("k").alias("k2"), F.col("members").alias("m2")).agg(F.min("n").alias("tlo"), F.max("n").alias("thi"))
+    fits = (F.col("thi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("tlo") * percent)
+    sizes = cells.groupBy(F.col("g").alias("g2"), F.col("k").alias("k2")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = cells.join(asked, "t").where(fits & F.expr("members < m2 or (members = m2 and g < g2)")).groupBy("id", "n", "g2", "k2").agg(F.count("*").alias("c"))
+    asks = met.join(sizes, ["g2", "k2"]).where(_can_link(percent)).select("id", "n", F.col("g2").alias("g"), F.col("k2").alias("k"))
     asks = scratch.table(asks, "asks")
 
     # token unions of the blocks that are asked
     member = group_of.select("id", F.col("component").alias("g")).unionAll(cells.where("members = 1").select("id", "g").distinct()).join(counted, "g", "left")
     member = member.select("id", "g", F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("members", F.lit(1)) / block)).alias("k"))
     member = member.join(asks.select("g", "k").distinct(), ["g", "k"], "left_semi")
+    member = scratch.table(member, "members")
+    late = asks.select("id").unionAll(member.select("id")).distinct().join(wanted, "id", "left_anti")
+    sets = sets.join(wanted, "id", "left_semi").unionByName(scratch.table(load_sets(docs, late, key, text, size), "sets2").join(late, "id", "left_semi"))
     member = scratch.table(member.join(sets, "id").select("g", "k", "id", (F.octet_length("s") / 8).cast("long").alias("n"), "s"), "member")
 
     def union(table: pa.Table) -> pa.Table:
