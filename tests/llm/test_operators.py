@@ -227,11 +227,15 @@ def test_url_rules(spark):
     assert uf.url_verdicts(df.limit(0)).count() == 0
 
 
-def test_url_query_matches_sql(spark, duck):
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op4_url_filters", "op7_sharding"])
+def test_query_matches_sql(spark, duck, name):
     from tidemark.llm.queries import ORACLE_SQL, QUERIES
 
-    got = sorted(map(repr, (tuple(r) for r in QUERIES["op4_url_filters"](spark, DATA).select("page_id", "host", "path", "rule", "verdict").collect())))
-    assert got == sorted(map(repr, duck.execute(ORACLE_SQL["op4_url_filters"]).fetchall()))
+    df = QUERIES[name](spark, DATA)
+    cur = duck.execute(ORACLE_SQL[name])
+    names = [x[0] for x in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(repr(tuple(r)) for r in df.select(*names).collect()) == sorted(map(repr, cur.fetchall()))
 
 
 # --- 5 ---

@@ -206,17 +206,17 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _can_link(percent: int) -> Column:
-    """Whether a set of n shingles that shares c prefix shingles with a block whose members have lo..hi shingles can link
-    with one of them. In the common order, after the earlier end of two prefixes at most ceil(t max(n, m)) - 1 shingles
+def _least_shared(percent: int, lo: str, hi: str) -> tuple[Column, Column]:
+    """(some size fits, least c): how many prefix shingles a set of n shingles must share with a block whose members have lo..hi
+    shingles to link with one of them. In the common order, after the earlier end of two prefixes at most ceil(t max(n, m)) - 1 shingles
     are left to share, and a link needs t (n + m) / (1 + t). So c >= t (n + m) / (1 + t) - ceil(t max(n, m)) + 1: for m above n this
     falls with m, below n it rises with it, and its least value is at an end of the sizes that can link. One less
     is asked for, so that rounding loses nothing."""
     t = percent / 100
-    n, c = F.col("n"), F.col("c")
-    low, high = F.greatest(F.col("lo").cast("double"), n * t), F.least(F.col("hi").cast("double"), n / t)
+    n = F.col("n")
+    low, high = F.greatest(F.col(lo).cast("double"), n * t), F.least(F.col(hi).cast("double"), n / t)
     need = lambda m: (t / (1 + t)) * (n + m) - F.ceil(t * F.greatest(n.cast("double"), m)) + 1
-    return (low <= high + 1e-9) & (c >= F.least(need(low), need(high)) - 1)
+    return low <= high + 1e-9, F.least(need(low), need(high)) - 1
 
 
 def _alike(m: str, n: str, percent: int) -> Column:
@@ -267,13 +267,17 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     crossing = cells.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("t")
     counted = group_of.groupBy(F.col("component").alias("g")).agg(F.count("*").alias("members"))
     cells = cells.join(crossing, "t").join(counted, "g", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    cells = scratch.table(cells.withColumn("k", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / block))), "matrix")
+    # `own`: how many shingles a set has in the matrix, which bounds how many it can share
+    own = cells.groupBy("id").agg(F.count("*").alias("own"))
+    cells = scratch.table(cells.join(own, "id").withColumn("k", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / block))), "matrix")
     # a document asks the blocks of larger groups (of equal ones, those with the larger name)
-    asked = cells.groupBy("t", F.col("g").alias("g2"), F.col("k").alias("k2"), F.col("members").alias("m2")).agg(F.min("n").alias("tlo"), F.max("n").alias("thi"))
-    fits = (F.col("thi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("tlo") * percent)
+    asked = cells.groupBy("t", F.col("g").alias("g2"), F.col("k").alias("k2"), F.col("members").alias("m2")).agg(F.min("n").alias("tlo"), F.max("n").alias("thi"), F.max("own").alias("own2"))
+    fits, least = _least_shared(percent, "tlo", "thi")
+    fits = fits & (F.least("own", "own2") >= least) & F.expr("members < m2 or (members = m2 and g < g2)")
     sizes = cells.groupBy(F.col("g").alias("g2"), F.col("k").alias("k2")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    met = cells.join(asked, "t").where(fits & F.expr("members < m2 or (members = m2 and g < g2)")).groupBy("id", "n", "g2", "k2").agg(F.count("*").alias("c"))
-    asks = met.join(sizes, ["g2", "k2"]).where(_can_link(percent)).select("id", "n", F.col("g2").alias("g"), F.col("k2").alias("k"))
+    met = cells.join(asked, "t").where(fits).groupBy("id", "n", "g2", "k2").agg(F.count("*").alias("c"))
+    some, least = _least_shared(percent, "lo", "hi")
+    asks = met.join(sizes, ["g2", "k2"]).where(some & (F.col("c") >= least)).select("id", "n", F.col("g2").alias("g"), F.col("k2").alias("k"))
     asks = scratch.table(asks, "asks")
 
     # token unions of the blocks that are asked

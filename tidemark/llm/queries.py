@@ -101,4 +101,28 @@ select c.page_id, c.host, c.path, b.rule, coalesce(b.verdict, 'allow') as verdic
 from canon c left join best b on b.page_id = c.page_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL}
+OP1_SQL = r"""
+with recursive toks as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sh as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from toks
+), sizes as (select doc_id, count(*) as n from sh group by 1),
+bo as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select b.a, b.b from bo b join sizes x on x.doc_id = b.a join sizes y on y.doc_id = b.b where 100 * b.c >= 75 * (x.n + y.n - b.c)),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m.c, d.doc_id)) as component_id
+from documents d left join sizes s using (doc_id) left join (select a as doc_id, min(b) as c from reach group by 1) m using (doc_id)
+"""
+
+#: crc32 by its table, which the recursion builds from the polynomial.
+OP7_SQL = r"""
+with recursive bit(i, k, c) as (select i, 0, i::bigint from range(256) t(i) union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bit where k < 8),
+tab as (select list(c order by i) as t from bit where k = 8),
+h as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+crc as (select doc_id, (len(h) // 2 + 1)::bigint as size, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as text_crc32 from h, tab),
+pos as (select *, sum(size) over (order by doc_id, size, text_crc32 rows unbounded preceding) as upto, sum(size) over () as total from crc),
+cut as (select *, least(7, ((2 * upto - size) * 8) // (2 * total))::int as shard from pos)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id, size, text_crc32) - 1 as slot, null::int as grown_shard from cut
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op4_url_filters": OP4_SQL, "op7_sharding": OP7_SQL}
