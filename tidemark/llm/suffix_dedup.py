@@ -38,7 +38,7 @@ STEP = np.array([min((c - r) % V for c in COVER) for r in range(V)])
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of window starts with one anchor: text number, first and last start, anchor place (all in buf), anchor hash."""
     out = []
-    most = max(2 * CHUNK_BYTES, 4 * length)
+    most = max(CHUNK_BYTES, 4 * length)
     for s in range(0, max(1, len(buf)), most):  # only a single long text is longer than one block
         part = buf[s : s + most + length - 1]
         if len(part) < length:
@@ -87,7 +87,7 @@ def anchor_places(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for a, b, buf, offs in chunks(batch.column(1)):
+            for a, b, buf, offs in chunks(batch.column(1), CHUNK_BYTES // 2):
                 names, fresh = np.zeros(b - a, np.int64), np.zeros(b - a, bool)
                 for i in range(b - a):
                     if offs[i + 1] - offs[i] >= length:
@@ -175,7 +175,7 @@ def contexts(rows: DataFrame, length: int) -> DataFrame:
         seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
             ids, names = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for a, b, buf, offs in chunks(batch.column(1)):
+            for a, b, buf, offs in chunks(batch.column(1), CHUNK_BYTES // 2):
                 text, lo, hi, place, h = anchors(buf, offs, length)
                 take = np.zeros(len(text), bool)
                 at = np.searchsorted(text, np.arange(b - a + 1))
