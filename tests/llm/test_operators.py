@@ -262,6 +262,19 @@ def test_quality_rules_reject_odd_text_and_keep_clean(spark):
     assert sum(clean) / len(clean) > 0.98 and sum(junk) / len(junk) < 0.7
 
 
+def test_quality_rules_count_copies_once(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    prose = [" ".join(rng.choice(vocabulary) for _ in range(80)) for _ in range(120)]
+    odd = [" ".join("".join(rng.choice("qxzjkvwQXZJK") for _ in range(6)) for _ in range(80)) for _ in range(3)]
+    copied = " ".join(vocabulary[i % 40] for i in range(80))
+    rows = [(t, "xx") for t in prose + odd] + [(" ".join(rng.choice(vocabulary[::-1]) for _ in range(60)), "en") for _ in range(300)]
+    rows += [(copied, "xx")] * (len(rows) // 2)  # a third of all rows
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id: r.kept for r in quality_rules(docs, scratch(spark)).collect()}
+    assert len(kept) == len(rows) and sum(kept[i] for i in range(120)) >= 117 and not any(kept[i] for i in range(120, 123))
+
+
 # --- 6 ---
 
 

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, chunks
+from tidemark.llm.common import Scratch, chunks, with_maybe
 from tidemark.llm.kernels import mix
 from tidemark.llm.measures import base
 
@@ -52,8 +52,24 @@ def gram_codes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return code
 
 
-def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, code, n) over all texts; each task adds up its own texts first."""
+def _hashed(docs: DataFrame, text: str, lang: str, *more: Column) -> DataFrame:
+    """`more`, l, t and h: the language, the text and its hash, never null."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(*more, F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("l"), t.alias("t"), F.xxhash64(t, F.length(t)).alias("h"))
+
+
+def distinct_texts(docs: DataFrame, text: str, lang: str, scratch: Scratch) -> DataFrame:
+    """(l, t) once for each different text of a language. Only texts whose hash stands in several rows (or shares a bit
+    with one that does) are shuffled, copies of a task as one row."""
+    rows = _hashed(docs, text, lang)
+    repeated = scratch.table(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated")
+    marked = with_maybe(rows, "h", repeated).select("row.*", "maybe")
+    once = marked.where("maybe").groupBy("l", "h").agg(F.first("t").alias("t"))
+    return marked.where("not maybe").select("l", "t").unionByName(once.select("l", "t"))
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(lang, code, n) over all rows (l, t); each task adds up its own texts first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -71,8 +87,7 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
             code = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(c[code])], names=["lang", "code", "n"])
 
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("l"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 class KneserNey:
@@ -154,7 +169,7 @@ def fit_models(grams: DataFrame, most_languages: int = 256) -> dict[str, KneserN
 
 
 def score(docs: DataFrame, models: dict[str, KneserNey], key: str, text: str, lang: str) -> DataFrame:
-    """key, lang_key, n_bytes, the base counts, and log_ppl (null where the text is empty)."""
+    """key, lang_key, text hash, n_bytes, the base counts, and log_ppl (null where the text is empty)."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
     kind = docs.schema[key].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -180,12 +195,12 @@ def score(docs: DataFrame, models: dict[str, KneserNey], key: str, text: str, la
                 cols["log_ppl"].append(ppl)
             flat = {k: np.concatenate(v) if v else np.zeros(0) for k, v in cols.items()}
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(flat[x].astype(np.int64)) for x in ["n_bytes", *names]), pa.array(flat["log_ppl"], pa.float64(), from_pandas=True)],
-                names=["k", "lang", "n_bytes", *names, "log_ppl"],
+                [batch.column(0), batch.column(1), batch.column(3), *(pa.array(flat[x].astype(np.int64)) for x in ["n_bytes", *names]), pa.array(flat["log_ppl"], pa.float64(), from_pandas=True)],
+                names=["k", "lang", "h", "n_bytes", *names, "log_ppl"],
             )
 
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("l"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(judge, f"k {kind}, lang string, n_bytes long, {', '.join(f'{x} long' for x in names)}, log_ppl double")
+    rows = _hashed(docs, text, lang, F.col(key).alias("k"))
+    return rows.mapInArrow(judge, f"k {kind}, lang string, h long, n_bytes long, {', '.join(f'{x} long' for x in names)}, log_ppl double")
 
 
 def quality_rules(
@@ -197,15 +212,16 @@ def quality_rules(
 
     base_failed: fewer words than min_words, or more than max_repeat_percent of the words stand in repeated
     five-word windows. kept is false if base_failed, or if the log perplexity a byte lies outside the band of its language:
-    [median - below * s, median + above * s], s = median - first decile of that language's documents, widened
-    by sqrt(1 + length_bytes / n_bytes) for short texts. A null text counts as empty (no words, base_failed); a null
+    [median - below * s, median + above * s], s = median - first decile of that language's different texts (copies count
+    once, in the model too), widened by sqrt(1 + length_bytes / n_bytes) for short texts. A null text counts as empty (no words, base_failed); a null
     lang is a language of its own. Ties, repeated rows and long texts are judged like any other row; a language
     with one document keeps it, as its band is centred on it. An empty table gives no rows. Extra columns are ignored.
     """
-    models = fit_models(count_grams(docs, text, lang))
+    models = fit_models(count_grams(distinct_texts(docs, text, lang, scratch)))
     scored = scratch.table(score(docs, models, key, text, lang), "scored")
-    # three quantiles a language, from mergeable sketches of all documents
-    bands = scored.where("n_words >= 10").groupBy("lang").agg(F.percentile_approx("log_ppl", [0.1, 0.5], 10000).alias("q"))
+    # two quantiles a language, from mergeable sketches of all different texts
+    texts = scored.where("n_words >= 10").groupBy("lang", "h").agg(F.first("log_ppl").alias("log_ppl"))
+    bands = texts.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.1, 0.5], 10000).alias("q"))
     s = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.005)) * F.sqrt(1 + F.lit(float(length_bytes)) / F.greatest("n_bytes", F.lit(1)))
     out = scored.join(F.broadcast(bands), "lang", "left").withColumns({"ppl_low": F.col("q")[1] - below * s, "ppl_high": F.col("q")[1] + above * s})
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
