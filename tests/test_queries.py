@@ -30,3 +30,14 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and catalog.FLAGSHIP in e.queries()
+
+
+@pytest.mark.parametrize("name", ["glft_constants", "glft_matrix", "poisson_intensity", "glft_quotes"])
+def test_parameter_queries_run_over_all_of_part(spark, name):
+    whole, some = (catalog.QUERIES[x](spark, DATA).cache() for x in (f"{name}_all", name))
+    assert whole.select("id").distinct().count() == spark.read.parquet(f"{DATA}/part.parquet").count() > 40
+    assert some.exceptAll(whole).count() == 0 and whole.where("id <= 40").count() == some.count()
+
+
+def test_simulation_runs_over_all_of_part(spark):
+    assert catalog.QUERIES["poisson_simulation"](spark, DATA).select("seed").distinct().count() == spark.read.parquet(f"{DATA}/part.parquet").count()

@@ -463,9 +463,9 @@ def grid_inventory(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", px.grid_inventory(F.col("value") - 50, 10.0, 3).alias("q"))
 
 
-def _params(spark: SparkSession, d: str) -> DataFrame:
+def _params(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     p = F.col("p_partkey")
-    return spark.read.parquet(f"{d}/part.parquet").where(p <= 40).select(p.cast("long").alias("id"), (0.5 + (p % 5) * 0.1).alias("A"), (1 + (p % 4) * 0.25).alias("k"), (0.05 + (p % 3) * 0.05).alias("gamma"), (0.1 + (p % 2) * 0.2).alias("sigma"), ((p % 3 - 1) * 0.01).alias("mu"), F.lit(2).alias("max_inventory"))
+    return spark.read.parquet(f"{d}/part.parquet").where(F.lit(whole) | (p <= 40)).select(p.cast("long").alias("id"), (0.5 + (p % 5) * 0.1).alias("A"), (1 + (p % 4) * 0.25).alias("k"), (0.05 + (p % 3) * 0.05).alias("gamma"), (0.1 + (p % 2) * 0.2).alias("sigma"), ((p % 3 - 1) * 0.01).alias("mu"), F.lit(2).alias("max_inventory"))
 
 
 PAR = "pa as (select p_partkey::bigint as id, 0.5::double + (p_partkey % 5) * 0.1::double as A, 1 + (p_partkey % 4) * 0.25::double as k, 0.05::double + (p_partkey % 3) * 0.05::double as g, 0.1::double + (p_partkey % 2) * 0.2::double as s, (p_partkey % 3 - 1) * 0.01::double as mu from part where p_partkey <= 40), co as (select *, ln(1 + g / k) / g as c, A * exp(-(1 + k / g) * ln(1 + g / k)) as eta, 0.5 * k * g * s * s as alpha, k * mu as beta from pa)"
@@ -509,9 +509,33 @@ def glft_quotes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(gq.quote_distances(_params(spark, d), [1.0]))
 
 
+# The SQL of the four above keeps the first 40 parameter sets; these run over all of part.
+
+
+@query()
+def glft_constants_all(spark: SparkSession, d: str) -> DataFrame:
+    return gq.constants_frame(_params(spark, d, True)).select("id", *(_r(c) for c in ("c", "eta", "alpha", "beta")))
+
+
+@query()
+def glft_matrix_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(gq.matrix_frame(_params(spark, d, True)))
+
+
+@query()
+def poisson_intensity_all(spark: SparkSession, d: str) -> DataFrame:
+    p = _params(spark, d, True).withColumn("delta", F.explode(F.array(*map(F.lit, (0.0, 0.5, 1.0, 2.0)))))
+    return p.select("id", "delta", gq.intensity(F.col("A"), F.col("k"), F.col("delta")).alias("x")).select("id", "delta", _r(F.col("x")).alias("intensity"))
+
+
+@query()
+def glft_quotes_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(gq.quote_distances(_params(spark, d, True), [1.0]))
+
+
 @query()
 def poisson_simulation(spark: SparkSession, d: str) -> DataFrame:
-    seeds = spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 16").select(F.col("p_partkey").cast("long").alias("seed"))
+    seeds = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("seed"))
     return rounded(gq.simulate_paths(seeds, gq.QuoteModel(1.0, 1.5, 0.1, 0.3, 0.0, 5), 60.0, 0.5, 100.0))
 
 
