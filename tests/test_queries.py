@@ -41,3 +41,13 @@ def test_parameter_queries_run_over_all_of_part(spark, name):
 
 def test_simulation_runs_over_all_of_part(spark):
     assert catalog.QUERIES["poisson_simulation"](spark, DATA).select("seed").distinct().count() == spark.read.parquet(f"{DATA}/part.parquet").count()
+
+
+def test_replay_stream_has_both_feeds(spark):
+    rows = catalog.QUERIES["replay_stream"](spark, DATA).collect()
+    n = {k: sum(r.kind == k for r in rows) for k in ("book", "trade")}
+    assert n == {"book": catalog.feeds.books(spark, DATA).count(), "trade": catalog.feeds.trades(spark, DATA).count()} and min(n.values()) > 0
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.symbol, r.ts_ms, r.ms_seq)):
+        by.setdefault((r.symbol, r.ts_ms), []).append(r)
+    assert all([r.ms_seq for r in x] == list(range(len(x))) and [r.kind for r in x] == sorted((r.kind for r in x), reverse=True) for x in by.values())

@@ -579,3 +579,10 @@ def replay_events(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("ts_ms").orderBy("sequence")
     own = t.select("ts_ms", F.col("sequence").alias("id"), (F.row_number().over(w) - 1).cast("long").alias("sequence"))
     return e.join(own, ["ts_ms", "sequence"]).select(F.col("id").alias("sequence"), "side", F.col("quantity").alias("contracts"), F.col("sequence").alias("ms_seq"))
+
+
+@query()
+def replay_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Both feeds as one stream of replay events; the SQL of replay_events numbers the trades alone."""
+    e = rp.event_rows(feeds.books(spark, d), feeds.trades(spark, d), 100.0)
+    return e.select("symbol", "ts_ms", F.col("sequence").alias("ms_seq"), "kind", "side", "price", F.col("quantity").alias("contracts"), "bid_price", "bid_qty", "ask_price", "ask_qty")
