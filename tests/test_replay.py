@@ -112,3 +112,11 @@ def test_stream_counts(spark, tmp_path):
     q = stream_counts(spark.readStream.schema(t.schema).parquet(str(tmp_path / "t"))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(r.c for r in spark.table("counts").collect()) == t.count()
+
+
+def test_quotes_are_withdrawn_at_the_horizon_without_a_book():
+    config = ReplayConfig(tick_size=1.0, liquidate_at_end=False)
+    policy = QuotePolicy(QuoteModel(1.0, 1.5, 0.1, 0.05, 0.0, 5), config, unit=1.0, order_quantity=1.0, horizon_ms=10)
+    r = Replay(config, policy)
+    r.run([book(0, bq=0.0, aq=0.0), trade(15, 1.0, 50.0, "sell"), trade(16, 1000.0, 50.0, "buy"), book(30)])
+    assert r.orders and r.fills == [] and all(o.status == "canceled" and o.closed_ms == 10 for o in r.orders.values())

@@ -315,11 +315,16 @@ class Replay:
             self.advance(rows)
             self.finish(rows[-1]["ts_ms"])
 
+    def _cutoff(self) -> list[int]:
+        """When quotes are to be withdrawn, until they are."""
+        p = self.policy
+        return [] if p is None or p.ended or p.start_ms is None else [p.start_ms + p.horizon_ms]
+
     def advance(self, rows: list[dict]) -> None:
         """Rows of kind book, trade, place, cancel or quote, whole milliseconds, and what falls due up to the last one."""
         end, i = rows[-1]["ts_ms"], 0
-        while i < len(rows) or any(t <= end for t in self.due):
-            ts = min([rows[i]["ts_ms"]] * (i < len(rows)) + [t for t in self.due if t <= end])
+        while i < len(rows) or any(t <= end for t in [*self.due, *self._cutoff()]):
+            ts = min([rows[i]["ts_ms"]] * (i < len(rows)) + [t for t in [*self.due, *self._cutoff()] if t <= end])
             booked, commands, last = False, [], 0
             while i < len(rows) and rows[i]["ts_ms"] == ts:
                 r = rows[i]
@@ -336,6 +341,9 @@ class Replay:
                 got = self.policy.on_book(ts, self.book, self.inventory)
                 if got is not None:
                     self.quote(got[0], got[1], self.order_quantity, ts, last, f"q{ts}")
+            if ts in self._cutoff():  # no book at the horizon
+                self.policy.ended = True
+                self.quote(None, None, self.order_quantity, ts, 2**63 - 1, f"q{ts}")
             for r in commands:
                 if r["kind"] == "place":
                     self.place(r["order_id"], r["side"], r["price"], r["quantity"], ts, r["sequence"])
