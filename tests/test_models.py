@@ -129,3 +129,9 @@ def test_bootstrap_single_cluster(spark):
     df = spark.createDataFrame([("c", 0, 1.0), ("c", 0, 0.0)], "cluster string, bin int, event double")
     r = dg.bootstrap_ci(df, "cluster", "bin", "event", draws=20).first()
     assert (r.lower, r.upper) == (0.5, 0.5)
+
+
+@pytest.mark.parametrize("count", [0, 1, 2, 20, 21, 30, 1000])
+def test_log_likelihood_of_large_counts(spark, count):
+    got = spark.createDataFrame([(count, 2.5, 2.0)], "count long, rate double, exposure double").agg(hz.log_likelihood()).first()[0]
+    assert got == pytest.approx(count * math.log(5.0) - 5.0 - math.lgamma(count + 1), rel=1e-12)

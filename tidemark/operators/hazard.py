@@ -141,9 +141,13 @@ def _mean() -> Column:
 
 
 def log_likelihood() -> Column:
-    """Aggregate; minus infinity if a count meets a zero mean. The factorial term is exact for small counts."""
+    """Aggregate; minus infinity if a count meets a zero mean. The factorial term is exact up to 20; above, log-gamma
+    by Stirling's series (error below 1e-12)."""
     mu, y = _mean(), F.col("count")
-    term = y * F.log(F.greatest(mu, F.lit(2.2250738585072014e-308))) - mu - F.when(y <= 1, F.lit(0.0)).otherwise(F.log(F.factorial(F.least(y, F.lit(20)).cast("int")).cast("double")))
+    x = y.cast("double") + 1
+    stirling = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    small = F.log(F.factorial(F.least(y, F.lit(20)).cast("int")).cast("double"))
+    term = y * F.log(F.greatest(mu, F.lit(2.2250738585072014e-308))) - mu - F.when(y <= 1, F.lit(0.0)).when(y <= 20, small).otherwise(stirling)
     return F.sum(F.when((mu == 0) & (y > 0), F.lit(float("-inf"))).otherwise(term))
 
 
