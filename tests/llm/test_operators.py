@@ -18,7 +18,7 @@ from tidemark.llm.language_id import identify_languages
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.packing import best_fit, pack, piece_bounds
 from tidemark.llm.quality_model import fit_additive, quality_scores
-from tidemark.llm.quality_rules import KneserNey, quality_rules
+from tidemark.llm.quality_rules import KneserNey, Lookup, count_grams, fit_model, quality_rules, shard_model
 from tidemark.llm.sharding import byte_shards
 from tidemark.llm.suffix_dedup import equal_windows, remove_repeats, repeat_digest
 from tidemark.llm.word_bpe import ForcedBpe, encode_decode
@@ -275,6 +275,27 @@ def test_quality_rules_count_copies_once(spark):
     assert len(kept) == len(rows) and sum(kept[i] for i in range(120)) >= 117 and not any(kept[i] for i in range(120, 123))
 
 
+def test_quality_rules_tell_cyrillic_prose_from_letter_salad(spark):
+    rng = random.Random(5)
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    vocabulary = ["".join(rng.choice("аеиокнтсрв") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    prose = [" ".join(rng.choice(vocabulary) for _ in range(80)) for _ in range(150)]
+    salad = ["".join(x if x == " " else rng.choice(letters) for x in prose[i]) for i in range(3)]
+    docs = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(prose + salad)], "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id: r.kept for r in quality_rules(docs, scratch(spark)).collect()}
+    assert sum(kept[i] for i in range(150)) >= 147 and not any(kept[i] for i in range(150, 153))
+
+
+def test_quality_model_in_several_shards(spark):
+    texts = spark.createDataFrame([("ru", "мама мыла раму"), ("en", "the cat sat on the mat"), ("en", "a 😀 日本")], "l string, t string")
+    model = fit_model(count_grams(texts), scratch(spark))
+    want = {r.h: r.log_p for r in model.collect()}
+    shards = shard_model(model, scratch(spark), shard_rows=8)
+    h = np.array([*want, *want], np.int64)
+    assert len(shards) > 2 and (Lookup(shards, bits=3)(h) == np.array([want[x] for x in h.tolist()], np.float32)).all()
+    assert all(-30 < x <= 0 for x in want.values())
+
+
 # --- 6 ---
 
 

@@ -1,17 +1,21 @@
 """Document quality rules: base counts, and perplexity bands of a modified Kneser-Ney model per language.
 
-The model's symbols are 32 classes of bytes (letters folded, digits, stops, other signs, lead and following bytes of
-wider characters), its grams four symbols. So a language has at most 32**4 grams at any corpus size, which bounds
-what is counted, collected and broadcast. Spark counts the grams of all texts; the estimate is kept as sorted
-hash arrays (gram hash -> log probability, context hash -> log back-off weight).
+The model's symbols are full code points (case folded, digits as one), its grams GRAM of them, counted by Spark over all
+different texts; nothing bounds their number. The estimate is made in Spark and kept as sorted hash arrays (gram hash ->
+log probability) in files by hash range, which workers map and search.
 """
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,34 +26,8 @@ from tidemark.llm.measures import base
 _U = np.uint64
 ORDER, BITS = 4, 5
 SIZE = 1 << (BITS * ORDER)
-
-
-def _classes() -> np.ndarray:
-    out = np.full(256, 29, np.int32)  # other signs
-    out[[32, 9, 10, 11, 12, 13]] = 0
-    out[65:91] = out[97:123] = np.arange(1, 27)
-    out[48:58] = 27
-    out[list(b".,;:!?'\"()-")] = 28
-    out[0x80:0xC0] = 31
-    out[0xC0:] = 30
-    return out
-
-
-CLASS = _classes()
-
-
-def gram_codes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The code of the gram that ends at each byte; before a text's start stands white space."""
-    c = CLASS[buf]
-    code = c.copy()
-    for k in range(1, ORDER):
-        prev = np.zeros_like(c)
-        prev[k:] = c[:-k] if k < len(c) else c[:0]
-        for j in range(k):
-            spot = offs[:-1] + j
-            prev[spot[spot < offs[1:]]] = 0
-        code |= prev << (BITS * k)
-    return code
+#: Code points of a gram, and the rows of grams that a task holds before it adds them up.
+GRAM, MERGE_ROWS = 4, 1 << 21
 
 
 def _hashed(docs: DataFrame, text: str, lang: str, *more: Column) -> DataFrame:
@@ -68,30 +46,8 @@ def distinct_texts(docs: DataFrame, text: str, lang: str, scratch: Scratch) -> D
     return marked.where("not maybe").select("l", "t").unionByName(once.select("l", "t"))
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(lang, code, n) over all rows (l, t); each task adds up its own texts first."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            for a, b, buf, offs in chunks(batch.column(1)):
-                codes, sizes = gram_codes(buf, offs), np.diff(offs)
-                for name in set(langs[a:b].tolist()):
-                    own = codes[np.repeat(langs[a:b] == name, sizes)]
-                    if len(own):
-                        if name not in sums:
-                            sums[name] = np.zeros(SIZE, np.int64)
-                        sums[name] += np.bincount(own, minlength=SIZE)
-        for name, c in sums.items():
-            code = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(c[code])], names=["lang", "code", "n"])
-
-    return texts.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
 class KneserNey:
-    """Interpolated modified Kneser-Ney of order 4 over 32 symbols, from the counts of its grams."""
+    """Interpolated modified Kneser-Ney of order 4 over 32 symbols in dense arrays: a small counterpart for tests."""
 
     def __init__(self, code: np.ndarray, n: np.ndarray):
         c = np.zeros(SIZE)
@@ -154,27 +110,188 @@ class KneserNey:
         return below.astype(np.float32)
 
 
-_tables: dict[tuple[int, str], np.ndarray] = {}
+def symbols(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, code points, offsets from 0) of chunks of texts: case folded, digits as 0, white space as one sign."""
+    for a, b, buf, offs in chunks(pc.utf8_lower(text)):
+        lead = (buf & 0xC0) != 0x80
+        at = np.flatnonzero(lead)
+        x, size = buf[at].astype(np.uint32), np.diff(np.append(at, len(buf)))
+        cp = np.where(size == 1, x, np.where(size == 2, x & 0x1F, np.where(size == 3, x & 0x0F, x & 0x07)))
+        for k in (1, 2, 3):
+            more = size > k
+            cp[more] = cp[more] << 6 | (buf[at[more] + k] & 0x3F)
+        cp[(cp >= 9) & (cp <= 13)] = 32
+        cp[(cp >= 48) & (cp <= 57)] = 48
+        yield a, b, cp, np.append(0, np.cumsum(lead))[offs]
+
+
+def windows(cp: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """The GRAM symbols of the gram that ends at each place, the first ones first; before a text's start stands white space."""
+    out = []
+    for k in range(GRAM - 1, -1, -1):
+        prev = np.full(len(cp), 32, np.uint32)
+        prev[k:] = cp[: len(cp) - k]
+        for j in range(k):
+            spot = offs[:-1] + j
+            prev[spot[spot < offs[1:]]] = 32
+        out.append(prev)
+    return out
+
+
+def gram_hashes(grams: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
+    """Signed, so that Spark and numpy sort them alike; lang: the language's salt for each gram."""
+    h = lang.copy()
+    for x in grams:
+        h *= _U(0xC2B2AE3D27D4EB4F)
+        h += x + _U(1)
+    return mix(h).view(np.int64)
+
+
+def _salts(langs: list[str], sizes: np.ndarray) -> np.ndarray:
+    own = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in set(langs)}
+    return np.repeat(np.array([own[x] for x in langs], _U), sizes)
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(lang, g, h, n) over all rows (l, t): grams of GRAM code points, their hashes, and how many texts have them; each
+    task adds up first."""
+
+    def merged(parts: list[tuple]) -> tuple:
+        h, n, who, g = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, first, back = np.unique(h, return_index=True, return_inverse=True)
+        return h, np.bincount(back, weights=n).astype(np.int64), who[first], g[first]
+
+    def rows(names: dict[str, int], parts: list[tuple]) -> pa.RecordBatch:
+        h, n, who, g = merged(parts)
+        width = 1 + (g >= 0x80).astype(np.int32) + (g >= 0x800) + (g >= 0x10000)
+        offs = np.append(0, np.cumsum(width.sum(axis=1))).astype(np.int32)
+        data = g.astype("<u4").tobytes().decode("utf-32-le").encode()
+        grams = pa.StringArray.from_buffers(len(h), pa.py_buffer(offs), pa.py_buffer(data))
+        langs = pa.DictionaryArray.from_arrays(pa.array(who), pa.array(list(names), pa.string())).cast(pa.string())
+        return pa.RecordBatch.from_arrays([langs, grams, pa.array(h), pa.array(n)], names=["lang", "g", "h", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+        parts: list[tuple] = []
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            for a, b, cp, offs in symbols(batch.column(1)):
+                if not len(cp):
+                    continue
+                sizes, grams = np.diff(offs), windows(cp, offs)
+                who = np.repeat(np.array([names.setdefault(x, len(names)) for x in langs[a:b]], np.int32), sizes)
+                own = gram_hashes(grams, _salts(langs[a:b], sizes))
+                spot = np.concatenate([x + np.unique(own[x:y], return_index=True)[1] for x, y in zip(offs[:-1], offs[1:], strict=True)])
+                h, first, n = np.unique(own[spot], return_index=True, return_counts=True)
+                first = spot[first]
+                parts.append((h, n, who[first], np.stack([x[first] for x in grams], axis=1)))
+                if sum(len(x[0]) for x in parts) > MERGE_ROWS:
+                    parts = [merged(parts)]
+                    if len(parts[0][0]) > MERGE_ROWS // 2:
+                        yield rows(names, parts)
+                        parts = []
+        if parts:
+            yield rows(names, parts)
+
+    return texts.mapInArrow(count, "lang string, g string, h long, n long").groupBy("lang", "g", "h").agg(F.sum("n").alias("n"))
+
+
+def fit_model(grams: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, log_p) of every gram: interpolated modified Kneser-Ney of order GRAM, level by level in Spark.
+
+    Lower orders count the different symbols ahead of a gram. The texts that are scored are those counted, so each of
+    their grams is here and no back-off weight is needed."""
+    levels = [scratch.table(grams, "grams")]
+    for m in range(GRAM - 1, 0, -1):
+        lower = levels[-1].groupBy("lang", F.substring("g", 2, m).alias("g")).agg(F.count("*").alias("n"))
+        levels.append(scratch.table(lower, f"level{m}"))
+    p = None
+    for m, level in enumerate(reversed(levels), 1):
+        found = level.groupBy("lang").agg(*(F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)), F.count("*").alias("types"))
+        y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
+        cut = [F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(f"n{k}", F.lit(1.0)), F.lit(0.05)), F.lit(k - 0.05)).alias(f"d{k}") for k in (1, 2, 3)]
+        cuts = F.broadcast(found.select("lang", "types", *cut))
+        kinds = (F.count_if(F.col("n") == 1).alias("k1"), F.count_if(F.col("n") == 2).alias("k2"), F.count_if(F.col("n") > 2).alias("k3"))
+        level = level.withColumn("c", F.substring("g", 1, m - 1))
+        ctx = level.groupBy("lang", "c").agg(F.sum("n").alias("total"), *kinds)
+        got = level.join(ctx, ["lang", "c"]).join(cuts, "lang")
+        if p is None:
+            got = got.withColumn("below", 1 / F.col("types"))
+        else:
+            lower = p.select("lang", F.col("g").alias("s"), F.col("p").alias("below"))
+            got = got.withColumn("s", F.substring("g", 2, m - 1)).join(lower, ["lang", "s"])
+        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        gamma = F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")
+        got = got.withColumn("p", (F.col("n") - d + gamma * F.col("below")) / F.col("total"))
+        if m == GRAM:
+            return got.select("h", F.log("p").cast("float").alias("log_p"))
+        p = scratch.table(got.select("lang", "g", "p"), f"p{m}")
+    raise AssertionError
+
+
+def shard_model(model: DataFrame, scratch: Scratch, shard_rows: int = 1 << 22) -> list[tuple[int, str]]:
+    """Sorted hash arrays in files by range of hashes: (least hash, file name). The driver holds one shard at a time; each
+    executor gets the files once and its workers map them, so they take no memory of their own."""
+    spark, n, bits = model.sparkSession, 0, 0
+    kept = scratch.table(model, "model")
+    n = kept.count()
+    while n >> bits > shard_rows:
+        bits += 1
+    if bits:
+        path = f"{scratch.root}/shards"
+        kept.withColumn("shard", F.shiftright("h", 64 - bits)).write.partitionBy("shard").parquet(path)
+        kept = spark.read.parquet(path)
+    folder, out = tempfile.mkdtemp(prefix="tidemark-model-"), []
+    for k in range(-(1 << bits) // 2, (1 << bits) // 2) if bits else [0]:
+        got = (kept.where(F.col("shard") == k) if bits else kept).select("h", "log_p").toArrow()
+        h, v = got.column("h").to_numpy(), got.column("log_p").to_numpy()
+        order = np.argsort(h)
+        name = uuid.uuid4().hex
+        for kind, x in (("h", h), ("v", v)):
+            np.save(f"{folder}/{name}.{kind}.npy", x[order])
+            spark.sparkContext.addFile(f"{folder}/{name}.{kind}.npy")
+        out.append((k << (64 - bits) if bits else -(1 << 63), name))
+    return out
+
+
+class Lookup:
+    """Log probabilities by hash from the mapped shards; a direct-mapped cache spares most searches."""
+
+    def __init__(self, shards: list[tuple[int, str]], bits: int = 21):
+        self.low = np.array([x for x, _ in shards], np.int64)
+        self.shards = [tuple(np.load(SparkFiles.get(f"{name}.{kind}.npy"), mmap_mode="r") for kind in "hv") for _, name in shards]
+        self.mask = np.int64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, np.int64), np.full(1 << bits, np.nan, np.float32)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        slot = h & self.mask
+        out = self.values[slot]
+        miss = np.flatnonzero((self.keys[slot] != h) | np.isnan(out))
+        if len(miss):
+            want, back = np.unique(h[miss], return_inverse=True)
+            got, ends = np.empty(len(want), np.float32), np.append(np.searchsorted(want, self.low), len(want))
+            for (keys, values), a, b in zip(self.shards, ends[:-1], ends[1:], strict=True):
+                if a < b:
+                    spot = np.searchsorted(keys, want[a:b])
+                    if spot[-1] >= len(keys) or (keys[spot] != want[a:b]).any():
+                        raise ValueError("a gram is not in the model: the documents changed between two readings")
+                    got[a:b] = values[spot]
+            out[miss] = got[back]
+            at = want & self.mask
+            self.keys[at], self.values[at] = want, got
+        return out
 
 
-def fit_models(grams: DataFrame, most_languages: int = 256) -> dict[str, KneserNey]:
-    """A model per language. At most 32**4 rows a language come to the driver; more languages than that are an error."""
-    got = grams.toArrow()
-    langs = np.array(got.column("lang").to_pylist(), dtype=object)
-    code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
-    names = sorted(set(langs.tolist()))
-    if len(names) > most_languages:
-        raise ValueError(f"{len(names)} languages; most_languages is {most_languages}")
-    return {x: KneserNey(code[langs == x], n[langs == x]) for x in names}
+_lookups: dict[str, Lookup] = {}
 
 
-def score(docs: DataFrame, models: dict[str, KneserNey], key: str, text: str, lang: str) -> DataFrame:
-    """key, lang_key, text hash, n_bytes, the base counts, and log_ppl (null where the text is empty)."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+def score(docs: DataFrame, shards: list[tuple[int, str]], key: str, text: str, lang: str) -> DataFrame:
+    """key, lang_key, text hash, n_bytes, the base counts, and log_ppl a code point (null where the text is empty)."""
     kind = docs.schema[key].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who = shards[0][1]
         for batch in batches:
             langs = batch.column(1).to_pylist()
             cols: dict[str, list[np.ndarray]] = {x: [] for x in [*names, "n_bytes", "log_ppl"]}
@@ -182,17 +299,15 @@ def score(docs: DataFrame, models: dict[str, KneserNey], key: str, text: str, la
                 got = base(buf, offs)
                 for x in names:
                     cols[x].append(got[x])
-                codes, ppl, sizes = gram_codes(buf, offs), np.full(b - a, np.nan), np.diff(offs)
-                for i in range(b - a):
-                    if sizes[i]:
-                        who = (id(sent), langs[a + i])
-                        if who not in _tables:
-                            for old in [x for x in _tables if x[0] != who[0]]:  # a worker outlives its models
-                                del _tables[old]
-                            _tables[who] = sent.value[langs[a + i]].table()
-                        ppl[i] = -_tables[who][codes[offs[i] : offs[i + 1]]].mean(dtype=np.float64)
-                cols["n_bytes"].append(sizes)
-                cols["log_ppl"].append(ppl)
+                cols["n_bytes"].append(np.diff(offs))
+            for a, b, cp, offs in symbols(batch.column(2)):
+                sums, sizes = np.zeros(len(cp) + 1), np.diff(offs)
+                if len(cp):
+                    if who not in _lookups:
+                        _lookups.clear()  # a worker outlives its models
+                        _lookups[who] = Lookup(shards)
+                    np.cumsum(_lookups[who](gram_hashes(windows(cp, offs), _salts(langs[a:b], sizes))), dtype=np.float64, out=sums[1:])
+                cols["log_ppl"].append(np.where(sizes > 0, (sums[offs[:-1]] - sums[offs[1:]]) / np.maximum(sizes, 1), np.nan))
             flat = {k: np.concatenate(v) if v else np.zeros(0) for k, v in cols.items()}
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(3), *(pa.array(flat[x].astype(np.int64)) for x in ["n_bytes", *names]), pa.array(flat["log_ppl"], pa.float64(), from_pandas=True)],
@@ -211,14 +326,14 @@ def quality_rules(
     and lang_key, log_ppl, ppl_low, ppl_high.
 
     base_failed: fewer words than min_words, or more than max_repeat_percent of the words stand in repeated
-    five-word windows. kept is false if base_failed, or if the log perplexity a byte lies outside the band of its language:
+    five-word windows. kept is false if base_failed, or if the log perplexity a code point lies outside the band of its language:
     [median - below * s, median + above * s], s = median - first decile of that language's different texts (copies count
     once, in the model too), widened by sqrt(1 + length_bytes / n_bytes) for short texts. A null text counts as empty (no words, base_failed); a null
     lang is a language of its own. Ties, repeated rows and long texts are judged like any other row; a language
     with one document keeps it, as its band is centred on it. An empty table gives no rows. Extra columns are ignored.
     """
-    models = fit_models(count_grams(distinct_texts(docs, text, lang, scratch)))
-    scored = scratch.table(score(docs, models, key, text, lang), "scored")
+    model = fit_model(count_grams(distinct_texts(docs, text, lang, scratch)), scratch)
+    scored = scratch.table(score(docs, shard_model(model, scratch), key, text, lang), "scored")
     # two quantiles a language, from mergeable sketches of all different texts
     texts = scored.where("n_words >= 10").groupBy("lang", "h").agg(F.first("log_ppl").alias("log_ppl"))
     bands = texts.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.1, 0.5], 10000).alias("q"))
