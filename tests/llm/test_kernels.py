@@ -49,6 +49,16 @@ def test_hashes_name_content_not_place():
     assert low[0] == low[1]
 
 
+def test_distinct_spans_compare_bytes(monkeypatch):
+    buf = np.frombuffer(b"aa bb aa c bb", np.uint8)
+    a, b = np.array([0, 3, 6, 9, 11]), np.array([2, 5, 8, 10, 13])
+    for clash in (False, True):
+        if clash:  # every hash the same
+            monkeypatch.setattr(k.Prefix, "spans", lambda self, a, b: np.zeros(len(a), np.uint64))
+        pick, back = k.distinct_spans(buf, a, b)
+        assert [buf[a[i] : b[i]].tobytes() for i in pick[back]] == [b"aa", b"bb", b"aa", b"c", b"bb"] and len(pick) == 3
+
+
 def test_grams_stay_in_their_text():
     h = np.arange(1, 12, dtype=np.uint64)
     g, first = k.grams(h, np.array([0, 3, 9, 9, 11]), 3)

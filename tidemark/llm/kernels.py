@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
@@ -46,18 +48,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Spans above this many bytes are named by a digest: sums modulo 2**64 can agree for long words of few letters.
+LONG = 24
+
+
 class Prefix:
     """Prefix sums of a polynomial hash, for the hash of any span of a buffer in constant time."""
 
     def __init__(self, buf: np.ndarray, lower: bool = False):
         n = len(buf)
+        self.buf, self.lower = buf, lower
         self.sums = np.zeros(n + 1, _U)
         np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * _pow(_P, n), out=self.sums[1:])
         self.inv = _pow(_PINV, n + 1)
 
     def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hashes of buf[a:b], equal for equal bytes wherever they stand."""
-        return mix((self.sums[b] - self.sums[a]) * self.inv[a] + (b - a).astype(_U) * _U(0xD6E8FEB86659FD93))
+        """Hashes of buf[a:b], equal for equal bytes wherever they stand; those of long spans come from a digest."""
+        out = mix((self.sums[b] - self.sums[a]) * self.inv[a] + (b - a).astype(_U) * _U(0xD6E8FEB86659FD93))
+        far = np.flatnonzero(b - a > LONG)
+        for i, x, y in zip(far.tolist(), a[far].tolist(), b[far].tolist(), strict=True):
+            part = _LOWER[self.buf[x:y]] if self.lower else self.buf[x:y]
+            out[i] = int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), "little")
+        return out
+
+
+def spread(a: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places a, a + 1, ... of each span, end to end."""
+    at = np.cumsum(size) - size
+    return np.repeat(a - at, size) + np.arange(int(size.sum()))
+
+
+def distinct_spans(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each different string, each span's number among them). Strings are compared byte by byte: hashes only
+    propose what may be equal."""
+    if not len(a):
+        z = np.zeros(0, np.int64)
+        return z, z
+    _, pick, back = np.unique(Prefix(buf).spans(a, b), return_index=True, return_inverse=True)
+    size, lead = b - a, pick[back]
+    bad = size != size[lead]
+    same = np.where(bad, 0, size)
+    unlike = buf[spread(a, same)] != buf[spread(a[lead], same)]
+    if unlike.any():
+        bad[np.repeat(np.arange(len(a)), same)[unlike]] = True
+    if bad.any():
+        new: dict[bytes, int] = {}
+        more = []
+        for i in np.flatnonzero(bad).tolist():
+            raw = buf[a[i] : b[i]].tobytes()
+            if raw not in new:
+                new[raw] = len(pick) + len(more)
+                more.append(i)
+            back[i] = new[raw]
+        pick = np.append(pick, more)
+    return pick, back
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

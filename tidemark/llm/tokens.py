@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 
-from tidemark.llm.kernels import SPACE, Prefix
+from tidemark.llm.kernels import SPACE, distinct_spans, spread
 
 #: Splits a text before its merges; a fixed value of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -23,8 +23,8 @@ class ByteBpe:
     """ids of texts under a byte-level BPE vocabulary file, special tokens included, as the tokenizers library gives them.
 
     A text is cut before each blank that stands between two non-blank characters: no pre-token spans such a place, so
-    pieces tokenise alike wherever they stand. Pieces are named by 64-bit hashes; each distinct piece of a batch is
-    tokenised once, all of them laid end to end in one call, and ids are gathered back by number.
+    pieces tokenise alike wherever they stand. Each distinct piece of a batch is tokenised once, all of them laid end to
+    end in one call, and ids are gathered back by number.
     """
 
     def __init__(self, path: str):
@@ -64,14 +64,14 @@ class ByteBpe:
         cut[offs[:-1][full]] = True
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(buf))
-        _, pick, back = np.unique(Prefix(buf).spans(begin, end), return_index=True, return_inverse=True)
+        pick, back = distinct_spans(buf, begin, end)
         b, e = begin[pick], end[pick]
         size = e - b
         at = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=at[1:])
         # pieces with a blank ahead may follow anything; those without start a text and are kept apart
         lead = buf[b] == 32
-        data = buf[np.repeat(b - at[:-1], size) + np.arange(at[-1])]
+        data = buf[spread(b, size)]
         ids, count = [], np.zeros(len(size), np.int64)
         for run in np.split(np.arange(len(size)), np.flatnonzero(~lead | np.append(True, ~lead[:-1]))) if len(size) else []:
             if len(run):
@@ -89,5 +89,5 @@ class ByteBpe:
         reps = count[back]
         out_at = np.zeros(len(reps) + 1, np.int64)
         np.cumsum(reps, out=out_at[1:])
-        out = ids[np.repeat(first[back] - out_at[:-1], reps) + np.arange(out_at[-1])]
+        out = ids[spread(first[back], reps)]
         return out, out_at[np.searchsorted(begin, offs)]
