@@ -15,7 +15,7 @@ from tidemark.llm import url_filter as uf
 from tidemark.llm.common import Scratch, components, id_filter, read_table, without
 from tidemark.llm.embedding_dedup import near_vectors
 from tidemark.llm.language_id import identify_languages
-from tidemark.llm.ngram_join import jaccard_components
+from tidemark.llm.ngram_join import _differ, jaccard_components, parity_sketch
 from tidemark.llm.packing import best_fit, pack, piece_bounds
 from tidemark.llm.quality_model import fit_additive, quality_scores
 from tidemark.llm.quality_rules import KneserNey, Lookup, count_grams, fit_model, quality_rules, shard_model
@@ -119,6 +119,15 @@ def test_jaccard_null_key_and_empty(spark):
     assert jaccard_components(df.limit(0), scratch(spark)).count() == 0
 
 
+def test_parity_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        pool = np.sort(rng.integers(0, 2**64, rng.integers(1, 3000), dtype=np.uint64))
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, len(pool) + 1), replace=False)) for _ in range(2))
+        assert _differ(parity_sketch(a), parity_sketch(b)) <= len(np.setxor1d(a, b))
+        assert _differ(parity_sketch(a), parity_sketch(a)) == 0
+
+
 @pytest.mark.parametrize("n", [1024, 2048])
 def test_words_that_sums_confuse_are_told_apart(spark, n):
     pair = thue_morse(n)

@@ -2,13 +2,15 @@
 
 1. Documents with equal shingle sets form a class; only class representatives go on.
 2. Similar representatives are put into groups: those that share one of their smallest shingles are compared with the first
-   of them, and verified links make the groups.
+   of them, and verified links make the groups. Parity sketches of the sets, whose differing bits bound from below how many
+   shingles two sets differ in, spare the verification of most pairs that don't link.
 3. The matrix holds, per shingle, the blocks of groups whose token union has it. It needs only prefix shingles: in one total
    order of shingles (frequent ones last), sets that link share one of the first n - ceil(t n) + 1 of each. Shingles of
    one class alone are dropped as soon as they are sorted.
 4. A document that shares such shingles with a block of another group is a candidate for it if their number and the sizes of
    the block's members allow a link at all. Its overlap with the block's token union then bounds its overlap with every
-   member; only blocks that qualify are opened, and their members verified exactly.
+   member; only blocks that qualify are opened, and their members verified exactly. Of each two groups the most promising
+   candidate is tried first; the others only if that leaves the groups apart.
 Links inside a group need no further check, as only connectivity is asked for; so a group of n near copies costs
 about n comparisons, not n squared.
 """
@@ -52,6 +54,20 @@ def _names(s: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else 0, int(np.add.reduce(mix(s ^ _U(0x5851F42D4C957F2D))).view(np.int64)) if len(s) else 0
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of the set's shingles fall on i; about as many bits as shingles. Every bit in which two
+    such sketches differ takes at least one shingle that only one of the sets has."""
+    bits = 1 << max(6, min(17, int(max(len(s), 1) - 1).bit_length()))
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -61,7 +77,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def describe(rows: DataFrame, size: int) -> DataFrame:
-    """(id, n, h1, h2, mins): set size, set names and smallest shingles of every document."""
+    """(id, n, h1, h2, mins, sketch): set size, set names, smallest shingles and parity sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,12 +86,12 @@ def describe(rows: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()),
-                    pa.array([s[:MINS].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([s[:MINS].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parity_sketch(s) for s in sets], pa.binary()),
                 ],
-                names=["id", "n", "h1", "h2", "mins"],
+                names=["id", "n", "h1", "h2", "mins", "sketch"],
             )
 
-    return rows.mapInArrow(run, "id long, n long, h1 long, h2 long, mins array<long>")
+    return rows.mapInArrow(run, "id long, n long, h1 long, h2 long, mins array<long>, sketch binary")
 
 
 def common_shingles(rows: DataFrame, size: int, n_docs: int, sample: int = 4096, least: int = 3) -> np.ndarray:
@@ -202,7 +218,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [100 * (c := _overlap(x, y)) >= percent * ((len(x) + len(y)) // 8 - c) for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    right = id_filter(sets, "id", pairs.select(F.col("b").alias("id")).distinct())  # far fewer: the leads of groups
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -219,10 +236,56 @@ def _least_shared(percent: int, lo: str, hi: str) -> tuple[Column, Column]:
     return low <= high + 1e-9, F.least(need(low), need(high)) - 1
 
 
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b and other columns) that can link: those whose sketches differ in no more bits than the sets of linked
+    documents can differ in shingles, (100 - percent) / (100 + percent) of their sizes' sum."""
+    names = pairs.columns
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(*names, "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, x, y = (batch.column(k).to_pylist() for k in range(len(names), len(names) + 4))
+            ok = [(100 + percent) * _differ(p, q) <= (100 - percent) * (m + n) for m, n, p, q in zip(n_a, n_b, x, y, strict=True)]
+            yield batch.select(names).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, pairs.schema)
+
+
 def _alike(m: str, n: str, percent: int) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
+def open_blocks(asks: DataFrame, members: DataFrame, sets: DataFrame, percent: int, most_askers: int = 256) -> DataFrame:
+    """(a, b): for each ask (id, g, k) a link between the set id and a member of the block (g, k), if there is one.
+
+    Members and askers of a block meet once. The overlap with the members' token union bounds that with each of them; where it
+    allows a link, members of fitting size are verified until one links: all of a group are connected. A block with many
+    askers is given out several times, each time to most_askers of them or so."""
+    parts = asks.groupBy("g", "k").agg(F.ceil(F.count("*") / most_askers).cast("int").alias("parts"))
+    askers = asks.join(parts, ["g", "k"]).select("id", "g", "k", F.pmod(F.xxhash64("id", F.lit(5)), "parts").cast("int").alias("part"), F.lit(True).alias("asker"))
+    inside = members.join(parts, ["g", "k"]).select("id", "g", "k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asker"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        asker = table.column("asker").to_numpy(zero_copy_only=False)
+        ids, raw = table.column("id").to_pylist(), table.column("s").to_pylist()
+        own = [(ids[i], raw[i]) for i in np.flatnonzero(~asker).tolist()]
+        union = np.unique(np.concatenate([np.zeros(0, _U), *(np.frombuffer(x, _U) for _, x in own)])).tobytes()
+        out = []
+        for i in np.flatnonzero(asker).tolist():
+            x = raw[i]
+            if 100 * _overlap(x, union) < percent * (len(x) // 8):
+                continue
+            for b, y in own:
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * (c := _overlap(x, y)) >= percent * ((len(x) + len(y)) // 8 - c):
+                    out.append((ids[i], b))
+                    break
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    both = askers.unionByName(inside).join(sets, "id")
+    return both.groupBy("g", "k", "part").applyInArrow(meet, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, block: int = 64) -> DataFrame:
     """One row per document: key, n_shingles, component_id.
 
@@ -238,7 +301,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     about = scratch.table(describe(rows, size), "about")
     n_docs = about.count()
     full = about.where("n > 0 and id is not null")
-    classes = scratch.table(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("mins").alias("mins")), "classes")
+    classes = scratch.table(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")), "classes")
 
     # postings of shared prefix tokens, by class: a first round finds the frequent ones, which the second puts last
     keyed_rows = rows.where("id is not null")
@@ -253,57 +316,55 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     # groups: representatives that share a smallest shingle, against the first of them
     keyed = classes.select("id", "n", F.explode("mins").alias("m"))
     lead = keyed.groupBy("m").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("m", F.col("f.id").alias("b"), F.col("f.n").alias("bn"))
-    stars = scratch.table(keyed.join(lead, "m").where("id <> b").where(_alike("n", "bn", percent)).select(F.col("id").alias("a"), "b").distinct(), "stars")
-    posted = classes.select(F.col("h1").alias("h"), "id", "n").join(shared, "h").select("t", "id", "n")
-    posted = scratch.table(posted, "posted")
+    stars = keyed.join(lead, "m").where("id <> b").where(_alike("n", "bn", percent)).select(F.col("id").alias("a"), "b").distinct()
+    stars = scratch.table(likely(stars, classes, percent), "stars")
     wanted = stars.select(F.col("a").alias("id")).unionAll(stars.select(F.col("b").alias("id"))).distinct()
     sets = scratch.table(load_sets(docs, wanted, key, text, size), "sets")
     links = scratch.table(verify(stars, sets, percent), "links")
-    group_of = scratch.table(components(links, scratch, "groups"), "group_of")
+    joined = components(links, scratch, "groups").withColumnRenamed("component", "g")
+    grouped = scratch.table(joined.join(joined.groupBy("g").agg(F.count("*").alias("members")), "g"), "grouped")
 
-    # the matrix: tokens that lie in two groups or more
-    cells = posted.join(group_of, "id", "left").select("t", "id", "n", F.coalesce("component", "id").alias("g"))
-    cells = scratch.table(cells, "cells")
+    # the matrix, a row for each set: its tokens that lie in two groups or more. The filter lets some others pass, which meet nothing
+    posted = shared.groupBy("h").agg(F.collect_list("t").alias("ts")).join(classes.select(F.col("h1").alias("h"), "id", "n"), "h").join(grouped, "id", "left")
+    posted = scratch.table(posted.select("id", "n", F.coalesce("g", "id").alias("g"), F.coalesce("members", F.lit(1)).alias("members"), "ts"), "posted")
+    cells = posted.select("id", "n", "g", "members", F.explode("ts").alias("t"))
     crossing = cells.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("t")
-    counted = group_of.groupBy(F.col("component").alias("g")).agg(F.count("*").alias("members"))
-    cells = cells.join(crossing, "t").join(counted, "g", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    kept = id_filter(cells, "t", scratch.table(crossing, "crossing")).groupBy("id", "n", "g", "members").agg(F.collect_list("t").alias("ts"))
     # `own`: how many shingles a set has in the matrix, which bounds how many it can share
-    own = cells.groupBy("id").agg(F.count("*").alias("own"))
-    cells = scratch.table(cells.join(own, "id").withColumn("k", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / block))), "matrix")
+    matrix = kept.select("*", F.size("ts").alias("own"), F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / block)).alias("k"))
+    matrix = scratch.table(matrix, "matrix")
+    cells = matrix.select("id", "n", "g", "members", "own", "k", F.explode("ts").alias("t"))
     # a document asks the blocks of larger groups (of equal ones, those with the larger name)
     asked = cells.groupBy("t", F.col("g").alias("g2"), F.col("k").alias("k2"), F.col("members").alias("m2")).agg(F.min("n").alias("tlo"), F.max("n").alias("thi"), F.max("own").alias("own2"))
     fits, least = _least_shared(percent, "tlo", "thi")
     fits = fits & (F.least("own", "own2") >= least) & F.expr("members < m2 or (members = m2 and g < g2)")
-    sizes = cells.groupBy(F.col("g").alias("g2"), F.col("k").alias("k2")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    met = cells.join(asked, "t").where(fits).groupBy("id", "n", "g2", "k2").agg(F.count("*").alias("c"))
+    sizes = matrix.groupBy(F.col("g").alias("g2"), F.col("k").alias("k2")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = cells.select("t", "id", "n", "g", "members", "own").join(asked, "t").where(fits).groupBy("id", "n", "g", "g2", "k2", "m2").agg(F.count("*").alias("c"))
     some, least = _least_shared(percent, "lo", "hi")
-    asks = met.join(sizes, ["g2", "k2"]).where(some & (F.col("c") >= least)).select("id", "n", F.col("g2").alias("g"), F.col("k2").alias("k"))
-    asks = scratch.table(asks, "asks")
-
-    # token unions of the blocks that are asked
-    member = group_of.select("id", F.col("component").alias("g")).unionAll(cells.where("members = 1").select("id", "g").distinct()).join(counted, "g", "left")
-    member = member.select("id", "g", F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("members", F.lit(1)) / block)).alias("k"))
-    member = member.join(asks.select("g", "k").distinct(), ["g", "k"], "left_semi")
-    member = scratch.table(member, "members")
+    asks = met.join(sizes, ["g2", "k2"]).where(some & (F.col("c") >= least))
+    asks = asks.select(F.col("id").alias("a"), F.col("g2").alias("b"), F.col("g").alias("g1"), F.col("k2").alias("k"), "m2", (F.col("c") / F.col("n")).alias("share"))
+    asks = scratch.table(asks, "asked")
+    # a group of one is its member's set: sketches tell at once whether it can link
+    asks = asks.where("m2 > 1").unionByName(likely(asks.where("m2 = 1"), classes, percent))
+    asks = scratch.table(asks.withColumnsRenamed({"a": "id", "b": "g"}), "asks")
+
+    # the members of the blocks that are asked, and the sets of those that were not needed before
+    single = asks.where("m2 = 1").select(F.col("g").alias("id"), "g", "k").distinct()
+    member = grouped.select("id", "g", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / block)).alias("k")).join(asks.where("m2 > 1").select("g", "k").distinct(), ["g", "k"], "left_semi")
+    member = scratch.table(member.select("id", "g", "k").unionByName(single), "members")
     late = asks.select("id").unionAll(member.select("id")).distinct().join(wanted, "id", "left_anti")
-    sets = sets.join(wanted, "id", "left_semi").unionByName(scratch.table(load_sets(docs, late, key, text, size), "sets2").join(late, "id", "left_semi"))
-    member = scratch.table(member.join(sets, "id").select("g", "k", "id", (F.octet_length("s") / 8).cast("long").alias("n"), "s"), "member")
-
-    def union(table: pa.Table) -> pa.Table:
-        u = np.unique(np.concatenate([np.frombuffer(x, _U) for x in table.column("s").to_pylist()]))
-        return pa.table({"g": table.column("g")[:1], "k": table.column("k")[:1], "u": pa.array([u.tobytes()], pa.binary())})
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [100 * _overlap(x, y) >= percent * (len(x) // 8) for x, y in zip(batch.column("s").to_pylist(), batch.column("u").to_pylist(), strict=True)]
-            yield batch.select(["id", "n", "g", "k"]).filter(pa.array(ok, pa.bool_()))
-
-    unions = member.groupBy("g", "k").applyInArrow(union, "g long, k long, u binary")
-    opened = asks.join(sets, "id").join(unions, ["g", "k"]).select("id", "n", "g", "k", "s", "u").mapInArrow(bound, "id long, n long, g long, k long")
-    pairs = opened.join(member.select("g", "k", F.col("id").alias("b"), F.col("n").alias("bn")), ["g", "k"]).where(_alike("n", "bn", percent))
-    more = scratch.table(verify(scratch.table(pairs.select(F.col("id").alias("a"), "b").distinct(), "pairs"), sets, percent), "more")
-
-    final = components(links.unionByName(more), scratch, "final")
+    sets = sets.unionByName(scratch.table(load_sets(docs, late, key, text, size), "sets2"))  # a set that the filters let pass twice links twice
+
+    # first the most promising ask of each two groups; then those between groups that are still apart
+    best = scratch.table(asks.groupBy("g1", "g").agg(F.max(F.struct("share", "id", "k")).alias("b")).select(F.col("b.id").alias("id"), "g", F.col("b.k").alias("k")), "best")
+    links = links.unionByName(scratch.table(open_blocks(best, member, sets, percent), "more"))
+    now = components(links, scratch, "halfway")
+    name = lambda c: now.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
+    apart = asks.join(name("g1"), "g1", "left").join(name("g"), "g", "left").where(F.coalesce("g1c", "g1") != F.coalesce("gc", "g"))
+    rest = scratch.table(apart.select("id", "g", "k").join(best, ["id", "g", "k"], "left_anti"), "rest")
+    links = links.unionByName(scratch.table(open_blocks(rest, member, sets, percent), "most"))
+
+    final = components(links, scratch, "final")
     named = classes.join(final, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("c"))
     linked = full.select("id", "h1", "h2", "n").join(named, ["h1", "h2", "n"]).select("id", "n", "c")
     alone = about.where("n = 0 or id is null").select("id", "n", F.col("id").alias("c"))
