@@ -53,3 +53,8 @@ def minute_fano(trades: DataFrame, start_ms: int | None = None, end_ms: int | No
     m = counts.groupBy("symbol", F.floor(F.col("bin") / per_minute).alias("minute")).agg(F.sum("c").alias("events"), F.sum(F.col("c") * F.col("c")).alias("squares"))
     bins = F.least(F.col("last_bin"), (F.col("minute") + 1) * per_minute - 1) - F.greatest(F.col("first_bin"), F.col("minute") * per_minute) + 1
     return m.join(F.broadcast(edge), "symbol").select("symbol", "minute", "events", bins.alias("bins"), fano(F.col("events"), F.col("squares"), bins).alias("fano"))
+
+
+def median_minute_fano(minutes: DataFrame) -> DataFrame:
+    """The exact median over the minutes of minute_fano."""
+    return minutes.groupBy("symbol").agg(F.count("fano").alias("minutes"), F.median("fano").alias("median_fano"))

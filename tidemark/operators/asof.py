@@ -30,16 +30,14 @@ def _with_blocks(left: DataFrame, right: DataFrame, at: str, cols: list[str], bl
     rows = right.select("symbol", F.col("ts_ms").alias("__t"), payload.alias("__p"), F.lit(1 if forward else 0).alias("__side"))
     asks = left.withColumn("__t", F.col(at)).withColumn("__side", F.lit(0 if forward else 1))
     both = asks.unionByName(rows, allowMissingColumns=True).withColumn("__b", F.floor(F.col("__t") / block_ms))
-    # right rows ahead of asks on a tie (backward), or after them (forward): both include the tied row
-    w = Window.partitionBy("symbol", "__b").orderBy("__t", "__side", F.col("__p"))
-    if forward:
-        near = F.first("__p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        edge = F.min("__p")
-        carry = F.first("e", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("__b").rowsBetween(1, Window.unboundedFollowing))
-    else:
-        near = F.last("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        edge = F.max("__p")
-        carry = F.last("e", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    # right rows ahead of asks on a tie, in either direction: both include the tied row. Forward reads the block backwards,
+    # so that each row's frame is a running one
+    keys = [F.col("__t"), F.col("__side"), F.col("__p")]
+    w = Window.partitionBy("symbol", "__b").orderBy(*(k.desc() if forward else k for k in keys)).rowsBetween(Window.unboundedPreceding, 0)
+    near = F.last("__p", ignorenulls=True).over(w)
+    edge = F.min("__p") if forward else F.max("__p")
+    block = F.col("__b").desc() if forward else F.col("__b")
+    carry = F.last("e", ignorenulls=True).over(Window.partitionBy("symbol").orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
     # one row per block: the history's length in blocks, not in rows
     edges = both.groupBy("symbol", "__b").agg(edge.alias("e")).withColumn("c", carry).select("symbol", "__b", "c")
     found = both.withColumn("__n", near).where(F.col("__side") == (0 if forward else 1)).drop("__p")

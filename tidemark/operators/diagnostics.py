@@ -6,12 +6,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def finite(value: str) -> Column:
+    """Neither null nor NaN nor infinite."""
+    v = F.col(value).cast("double")
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+
+
+def metric_slice(rows: DataFrame, value: str, event: str | None = None) -> DataFrame:
+    """The rows that a metric is taken over: finite values, and with `event` only rows on which one happened."""
+    out = rows.where(finite(value))
+    return out.where(F.col(event) > 0) if event else out
+
+
+def rebased(rows: DataFrame, value: str, order: list[str], key: list[str], start: int | None = None, end: int | None = None) -> DataFrame:
+    """rows of the range start <= order[0] < end with `rebased`, the value less that of the range's first row."""
+    at = F.col(order[0])
+    part = rows.where((at >= start if start is not None else F.lit(True)) & (at < end if end is not None else F.lit(True)))
+    first = part.groupBy(*key).agg(F.min_by(value, F.struct(*order, value)).alias("__first"))  # one row a key, no window over its history
+    return part.join(F.broadcast(first), key).withColumn("rebased", F.col(value) - F.col("__first")).drop("__first")
+
+
 def markout_stats(rows: DataFrame, value: str = "markout", by: list[str] | None = None, tail: float = 0.05) -> DataFrame:
-    return rows.where(F.col(value).isNotNull()).groupBy(*(by or [])).agg(
+    return metric_slice(rows, value).groupBy(*(by or [])).agg(
         F.count("*").alias("n"), F.avg(value).alias("mean_markout"), F.median(value).alias("median_markout"), F.avg((F.col(value) < 0).cast("double")).alias("adverse_fraction"), F.percentile(value, F.lit(tail)).alias("markout_tail")
     )
 
@@ -19,7 +39,7 @@ def markout_stats(rows: DataFrame, value: str = "markout", by: list[str] | None
 def drawdown(rows: DataFrame, value: str, order: list[str], key: list[str], from_first: bool = False) -> DataFrame:
     """Largest fall of a running total below its peak. The peak starts at 0 (profit steps), or with from_first at the first
     level (an equity curve; value is then the level itself)."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*key).orderBy(*order, value).rowsBetween(Window.unboundedPreceding, 0)  # ties of the order go by value
     level = F.col(value) if from_first else F.sum(value).over(w)
     d = rows.withColumn("__level", level)
     peak = F.max("__level").over(w)
@@ -38,7 +58,7 @@ def pnl_stats(rows: DataFrame, value: str, key: list[str], tail: float = 0.05) -
 def inventory_stats(rows: DataFrame, value: str, order: list[str], key: list[str]) -> DataFrame:
     v = F.col(value)
     return rows.groupBy(*key).agg(
-        F.sqrt(F.avg(v * v)).alias("inventory_rms"), F.avg(F.abs(v)).alias("mean_absolute_inventory"), F.max(F.abs(v)).alias("max_absolute_inventory"), F.max_by(value, F.struct(*order)).alias("terminal_inventory")
+        F.sqrt(F.avg(v * v)).alias("inventory_rms"), F.avg(F.abs(v)).alias("mean_absolute_inventory"), F.max(F.abs(v)).alias("max_absolute_inventory"), F.max_by(value, F.struct(*order, value)).alias("terminal_inventory")
     )
 
 
@@ -55,7 +75,7 @@ def dispersion(rows: DataFrame, n_parameters: int = 0) -> DataFrame:
 def acf(rows: DataFrame, value: str, order: list[str], key: list[str], max_lag: int = 10) -> DataFrame:
     """(key, lag, acf): row-lag autocorrelation with the global mean and the full-sample denominator. A constant series has 0
     beyond lag 0; a lag not shorter than the series is null."""
-    w = Window.partitionBy(*key).orderBy(*order)
+    w = Window.partitionBy(*key).orderBy(*order, "__c")  # ties of the order go by value
     means = rows.groupBy(*key).agg(F.avg(value).alias("__m"))
     c = rows.join(means, key).withColumn("__c", F.col(value) - F.col("__m"))
     lagged = c.select(*key, "__c", *(F.lag("__c", k).over(w).alias(f"l{k}") for k in range(1, max_lag + 1)))
@@ -78,7 +98,7 @@ def cross_side(rows: DataFrame, ts: str = "ts_ms") -> DataFrame:
 
 def paired_sides(rows: DataFrame, order: list[str]) -> DataFrame:
     """Without timestamps: the k-th bid with the k-th ask, to the shorter side's length."""
-    n = rows.withColumn("k", F.row_number().over(Window.partitionBy("side").orderBy(*order)))
+    n = rows.withColumn("k", F.row_number().over(Window.partitionBy("side").orderBy(*order, "residual")))
     return n.where("side = 'bid'").select("k", F.col("residual").alias("bid_residual")).join(n.where("side = 'ask'").select("k", F.col("residual").alias("ask_residual")), "k")
 
 

@@ -380,7 +380,7 @@ def _residuals(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORDER = ["ts_ms", "k1", "k2"]
-LAGS = ", ".join(f"lag(c, {k}) over (partition by side order by ts_ms, k1, k2) as l{k}" for k in (1, 2, 3))
+LAGS = ", ".join(f"lag(c, {k}) over (partition by side order by ts_ms, k1, k2, c) as l{k}" for k in (1, 2, 3))
 ACF = f"ce as (select side, ts_ms, k1, k2, residual - avg(residual) over (partition by side) as c from oo), lg as (select side, c, {LAGS} from ce), ac2 as (select side, sum(c*c) as d, sum(c*l1) as s1, sum(c*l2) as s2, sum(c*l3) as s3 from lg group by side)"
 
 
@@ -415,12 +415,12 @@ def pnl_risk(spark: SparkSession, d: str) -> DataFrame:
     return dg.pnl_stats(x, "v", ["side"]).select("side", F.round("net_pnl", 3).alias("net_pnl"), *(_r(c) for c in ("mean_pnl", "pnl_volatility", "value_at_risk", "expected_shortfall")))
 
 
-@query(f"with {MONTHLY} select side, round(sqrt(avg(imbalance * imbalance)), 8) as inventory_rms, round(avg(abs(imbalance)), 8) as mean_absolute_inventory, round(max(abs(imbalance)), 8) as max_absolute_inventory, round(arg_max(imbalance, (ts_ms, k1, k2)), 8) as terminal_inventory from mo group by 1")
+@query(f"with {MONTHLY} select side, round(sqrt(avg(imbalance * imbalance)), 8) as inventory_rms, round(avg(abs(imbalance)), 8) as mean_absolute_inventory, round(max(abs(imbalance)), 8) as max_absolute_inventory, round(arg_max(imbalance, (ts_ms, k1, k2, imbalance)), 8) as terminal_inventory from mo group by 1")
 def inventory_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dg.inventory_stats(feeds.monthly_episodes(spark, d), "imbalance", ORDER, ["side"]))
 
 
-@query(f"with {MONTHLY}, cu as (select month, side, ts_ms, k1, k2, sum(value - 38) over (partition by month, side order by ts_ms, k1, k2 rows unbounded preceding) as e from mo), pk as (select month, side, greatest(max(e) over (partition by month, side order by ts_ms, k1, k2 rows unbounded preceding), 0) - e as dd from cu) select month, side, round(greatest(max(dd), 0), 6) as max_drawdown from pk group by 1, 2")
+@query(f"with {MONTHLY}, cu as (select month, side, ts_ms, k1, k2, sum(value - 38) over (partition by month, side order by ts_ms, k1, k2, value rows unbounded preceding) as e, value from mo), pk as (select month, side, greatest(max(e) over (partition by month, side order by ts_ms, k1, k2, value rows unbounded preceding), 0) - e as dd from cu) select month, side, round(greatest(max(dd), 0), 6) as max_drawdown from pk group by 1, 2")
 def drawdown(spark: SparkSession, d: str) -> DataFrame:
     x = feeds.monthly_episodes(spark, d).withColumn("v", F.col("value") - 38)
     return rounded(dg.drawdown(x, "v", ORDER, ["month", "side"]), 6)
@@ -463,12 +463,12 @@ def grid_inventory(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", px.grid_inventory(F.col("value") - 50, 10.0, 3).alias("q"))
 
 
-def _params(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def _params(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("p_partkey")
-    return spark.read.parquet(f"{d}/part.parquet").where(F.lit(whole) | (p <= 40)).select(p.cast("long").alias("id"), (0.5 + (p % 5) * 0.1).alias("A"), (1 + (p % 4) * 0.25).alias("k"), (0.05 + (p % 3) * 0.05).alias("gamma"), (0.1 + (p % 2) * 0.2).alias("sigma"), ((p % 3 - 1) * 0.01).alias("mu"), F.lit(2).alias("max_inventory"))
+    return spark.read.parquet(f"{d}/part.parquet").select(p.cast("long").alias("id"), (0.5 + (p % 5) * 0.1).alias("A"), (1 + (p % 4) * 0.25).alias("k"), (0.05 + (p % 3) * 0.05).alias("gamma"), (0.1 + (p % 2) * 0.2).alias("sigma"), ((p % 3 - 1) * 0.01).alias("mu"), F.lit(2).alias("max_inventory"))
 
 
-PAR = "pa as (select p_partkey::bigint as id, 0.5::double + (p_partkey % 5) * 0.1::double as A, 1 + (p_partkey % 4) * 0.25::double as k, 0.05::double + (p_partkey % 3) * 0.05::double as g, 0.1::double + (p_partkey % 2) * 0.2::double as s, (p_partkey % 3 - 1) * 0.01::double as mu from part where p_partkey <= 40), co as (select *, ln(1 + g / k) / g as c, A * exp(-(1 + k / g) * ln(1 + g / k)) as eta, 0.5 * k * g * s * s as alpha, k * mu as beta from pa)"
+PAR = "pa as (select p_partkey::bigint as id, 0.5::double + (p_partkey % 5) * 0.1::double as A, 1 + (p_partkey % 4) * 0.25::double as k, 0.05::double + (p_partkey % 3) * 0.05::double as g, 0.1::double + (p_partkey % 2) * 0.2::double as s, (p_partkey % 3 - 1) * 0.01::double as mu from part), co as (select *, ln(1 + g / k) / g as c, A * exp(-(1 + k / g) * ln(1 + g / k)) as eta, 0.5 * k * g * s * s as alpha, k * mu as beta from pa)"
 
 
 @query(f"with {PAR} select id, round(c, 8) as c, round(eta, 8) as eta, round(alpha, 8) as alpha, round(beta, 8) as beta from co")
@@ -509,28 +509,9 @@ def glft_quotes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(gq.quote_distances(_params(spark, d), [1.0]))
 
 
-# The SQL of the four above keeps the first 40 parameter sets; these run over all of part.
-
-
-@query()
-def glft_constants_all(spark: SparkSession, d: str) -> DataFrame:
-    return gq.constants_frame(_params(spark, d, True)).select("id", *(_r(c) for c in ("c", "eta", "alpha", "beta")))
-
-
-@query()
-def glft_matrix_all(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(gq.matrix_frame(_params(spark, d, True)))
-
-
-@query()
-def poisson_intensity_all(spark: SparkSession, d: str) -> DataFrame:
-    p = _params(spark, d, True).withColumn("delta", F.explode(F.array(*map(F.lit, (0.0, 0.5, 1.0, 2.0)))))
-    return p.select("id", "delta", gq.intensity(F.col("A"), F.col("k"), F.col("delta")).alias("x")).select("id", "delta", _r(F.col("x")).alias("intensity"))
-
-
-@query()
-def glft_quotes_all(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(gq.quote_distances(_params(spark, d, True), [1.0]))
+# The names under which an earlier version gave all of part, when the four above did not.
+for _name in ("glft_constants", "glft_matrix", "poisson_intensity", "glft_quotes"):
+    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
 
 
 @query()
@@ -575,14 +556,57 @@ def quote_segments(spark: SparkSession, d: str) -> DataFrame:
 @query(W + "select sequence, case when buyer_is_maker then 'sell' else 'buy' end as side, rint_qty as contracts, ms_seq from (select *, round_even(quantity * price / 100, 0) as rint_qty, row_number() over (partition by ts_ms order by sequence) - 1 as ms_seq from tr)")
 def replay_events(spark: SparkSession, d: str) -> DataFrame:
     t = feeds.trades(spark, d)
-    e = rp.event_rows(feeds.books(spark, d).limit(0), t, 100.0).where("kind = 'trade'")
+    e = rp.event_rows(feeds.books(spark, d), t, 100.0).where("kind = 'trade'")
     w = Window.partitionBy("ts_ms").orderBy("sequence")
     own = t.select("ts_ms", F.col("sequence").alias("id"), (F.row_number().over(w) - 1).cast("long").alias("sequence"))
     return e.join(own, ["ts_ms", "sequence"]).select(F.col("id").alias("sequence"), "side", F.col("quantity").alias("contracts"), F.col("sequence").alias("ms_seq"))
 
 
-@query()
+@query(W + """select symbol, ts_ms, row_number() over (partition by ts_ms order by phase, sequence) - 1 as ms_seq, kind, side, price, contracts, bid_price, bid_qty, ask_price, ask_qty from (
+select symbol, ts_ms, sequence, 0 as phase, 'trade' as kind, case when buyer_is_maker then 'sell' else 'buy' end as side, price, round_even(quantity * price / 100, 0) as contracts, null::double as bid_price, null::double as bid_qty, null::double as ask_price, null::double as ask_qty from tr
+union all select symbol, ts_ms, sequence, 1, 'book', null, null, null, bid_price, bid_qty, ask_price, ask_qty from bk)""")
 def replay_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Both feeds as one stream of replay events; the SQL of replay_events numbers the trades alone."""
+    """Both feeds as one stream of replay events."""
     e = rp.event_rows(feeds.books(spark, d), feeds.trades(spark, d), 100.0)
     return e.select("symbol", "ts_ms", F.col("sequence").alias("ms_seq"), "kind", "side", "price", F.col("quantity").alias("contracts"), "bid_price", "bid_qty", "ask_price", "ask_qty")
+
+
+# --- slices, rebased curves, values -----------------------------------------------------------------------------------
+
+
+@query(W + ", bn as (select ts_ms//100 as b, count(*) as c from tr group by 1), ed as (select min(b) as lo, max(b) as hi from bn), mi as (select b//600 as m, sum(c)::double as ev, sum(c*c)::double as sq, least(hi, (b//600 + 1) * 600 - 1) - greatest(lo, b//600 * 600) + 1 as n from bn, ed group by m, hi, lo, n), fa as (select (sq / n - ev / n * ev / n) / (ev / n) as fano from mi) select 'S' as symbol, count(*) as minutes, round(median(fano), 8) as median_fano from fa".replace("group by m, hi, lo, n", "group by all"))
+def arrival_minute_fano_median(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(arr.median_minute_fano(arr.minute_fano(feeds.trades(spark, d))))
+
+
+@query(f"with {MONTHLY}, v as (select side, count, case when count > 0 and k1 % 7 = 0 then 'nan'::double when k1 % 11 = 0 then null when k1 % 13 = 0 then 'infinity'::double else value - 38 end as v from mo) select side, count(*) as n, round(avg(v), 8) as mean_markout, round(median(v), 8) as median_markout, round(avg((v < 0)::int), 8) as adverse_fraction, round(quantile_cont(v, 0.05), 8) as markout_tail from v where count > 0 and v is not null and isfinite(v) group by 1")
+def finite_event_slice(spark: SparkSession, d: str) -> DataFrame:
+    odd = F.when((F.col("count") > 0) & (F.col("k1") % 7 == 0), float("nan")).when(F.col("k1") % 11 == 0, None).when(F.col("k1") % 13 == 0, float("inf")).otherwise(F.col("value") - 38)
+    rows = dg.metric_slice(feeds.monthly_episodes(spark, d).withColumn("v", odd), "v", "count")
+    return rounded(dg.markout_stats(rows, "v", ["side"]))
+
+
+@query(f"with {MONTHLY}, pt as (select *, arg_min(value, (ts_ms, k1, k2, value)) over (partition by side) as f from mo where ts_ms >= 820454400000 and ts_ms < 852076800000) select side, ts_ms, k1, k2, round(value - f, 6) as rebased from pt")
+def rebased_equity(spark: SparkSession, d: str) -> DataFrame:
+    """The year 1996 of a curve, from its first point."""
+    out = dg.rebased(feeds.monthly_episodes(spark, d), "value", ORDER, ["side"], 820_454_400_000, 852_076_800_000)
+    return rounded(out.select("side", "ts_ms", "k1", "k2", "rebased"), 6)
+
+
+@query(f"with {OOS}, n as (select side, residual, row_number() over (partition by side order by ts_ms, k1, k2, residual) as k from oo) select b.k, round(b.residual, 7) as bid_residual, round(a.residual, 7) as ask_residual from n b join n a on a.k = b.k and b.side = 'bid' and a.side = 'ask'")
+def paired_residuals(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(dg.paired_sides(_residuals(spark, d), ORDER).withColumn("k", F.col("k").cast("long")), 7)
+
+
+@query(W + "select sequence, least(bid_price + 0.25 * (sequence % 9), ask_price - 0.5) as buy_price, greatest(ask_price - 0.25 * (sequence % 9), bid_price + 0.5) as sell_price from bk")
+def post_only_projection(spark: SparkSession, d: str) -> DataFrame:
+    step = 0.25 * (F.col("sequence") % 9)
+    side = lambda s, p: px.post_only(p, F.lit(s), F.col("bid_price"), F.col("ask_price"), 0.5)
+    return feeds.books(spark, d).select("sequence", side("buy", F.col("bid_price") + step).alias("buy_price"), side("sell", F.col("ask_price") - step).alias("sell_price"))
+
+
+@query(W + "select sequence, (sequence % 5 - 2) * price as linear_value, round(case when sequence % 5 = 2 then 0 else 100.0 * (sequence % 5 - 2) * (1.0::double / (price + 5) - 1.0::double / price) end, 10) as inverse_value from tr")
+def position_value(spark: SparkSession, d: str) -> DataFrame:
+    q = (F.col("sequence") % 5 - 2).cast("double")
+    value = lambda inverse: acc.position_value(q, F.col("price") + 5, F.col("price"), inverse, 100.0)
+    return feeds.trades(spark, d).select("sequence", value(False).alias("linear_value"), F.round(value(True), 10).alias("inverse_value"))
