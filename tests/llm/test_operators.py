@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import url_filter as uf
 from tidemark.llm.common import Scratch, components, id_filter, read_table, without
-from tidemark.llm.embedding_dedup import near_vectors
+from tidemark.llm.embedding_dedup import near_vectors, unit
 from tidemark.llm.language_id import identify_languages
 from tidemark.llm.ngram_join import _differ, jaccard_components, parity_sketch
 from tidemark.llm.packing import best_fit, pack, piece_bounds
@@ -426,6 +426,35 @@ def test_near_vectors(spark):
     assert got[12].component_id <= 10 and near_vectors(df.limit(0), scratch(spark)).count() == 0
 
 
+def test_near_vectors_of_extreme_sizes(spark):
+    rows = [(0, [1e200, 1e200, 0.0]), (1, [1e200, 1e200, 1e-4]), (2, [1e-300, 0.0, 0.0]), (3, [5e-324, 0.0, 0.0]), (4, [0.0, 0.0, -1e308]), (None, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0])]
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scratch(spark)).collect()), key=repr)
+    assert got == sorted([(0, 1, 0), (1, 1, 0), (2, 3, 2), (3, 3, 2), (4, 0, 4), (None, 0, None), (5, 3, 2), (5, 3, 2)], key=repr)
+
+
+def test_near_vectors_of_many_lengths(spark):
+    rows = [(100 * d + j, [1.0] * d if j < 2 else [1.0] + [-3.0] * (d - 1)) for d in range(2, 80) for j in range(3)]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), scratch(spark)).collect()}
+    assert got == {i: int(i % 100 < 2) for i, _ in rows}
+
+
+def test_recall_on_a_whole_table(spark):
+    """Links of all vectors whose id is divisible by 20, against brute force over all rows: the table's vectors and, for each,
+    one at a cosine between 0.95 and 0.97."""
+    rng = np.random.default_rng(1)
+    x = unit(np.array(read_table(spark, "/root/testdata/sf0.1", "embeddings").select("embedding").toPandas().embedding.tolist(), float))
+    side = rng.normal(size=x.shape)
+    side = unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    c = rng.uniform(0.9501, 0.97, (len(x), 1))
+    x = np.concatenate([x, c * x + np.sqrt(1 - c * c) * side])
+    query = np.arange(len(x)) % 20 == 0
+    want = (x[query] @ x.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_vectors(df, scratch(spark), cell_rows=16).where("vec_id % 20 = 0").collect()}
+    got = np.array([got[i] for i in np.flatnonzero(query).tolist()])
+    assert (got <= want).all() and got.sum() >= 0.9 * want.sum() > 100
+
+
 # --- 9 ---
 
 
@@ -456,6 +485,17 @@ def test_packing(spark):
     assert pack(table(spark, ["a"]).limit(0), P.path("byte_bpe_50k.json"), scratch(spark)).count() == 0
 
 
+def test_packing_of_repeated_rows_and_null_keys(spark):
+    rows = [(7, "the same words " * 20)] * 400 + [(None, "a b c")] * 30 + [(8, None)] * 3
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), P.path("byte_bpe_50k.json"), scratch(spark), capacity=256, per_task=16).collect()
+    assert len(out) == len(rows) and sum(r.doc_id is None for r in out) == 30
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append(r)
+    assert all(sum(r.length for r in own) <= 256 and sorted(r.offset for r in own)[0] == 0 for own in by.values())
+    assert len(by) <= sum(r.length for r in out) / 256 * 1.1 + 3
+
+
 # --- 10 ---
 
 ODD = ["Σ ΟΔΟΣ", "İs", "don't I'LL we've", "日本語 x 😀", "a b　c\u0085d", "<|endoftext|>x<|startoftext|>", "\x1ca\x1d", "é é", "a" * 2000, "½ ² ١٢"]

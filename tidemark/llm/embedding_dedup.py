@@ -2,8 +2,8 @@
 
 Each half of a unit vector has its own codebook; the product of the two is a grid of cells, and every vector is listed
 in one. A vector visits cells in the order of the sum of its halves' squared distances to the codewords (multi-sequence
-order). How many cells are visited is set by measurement: so many that a vector at exactly the wanted cosine is
-met with at least the target recall from one side alone; a pair counts when either side meets the other. All candidates are
+order). How many cells are visited is set by measurement: so many, all of them if need be, that a vector at exactly the wanted
+cosine is met with at least the target recall from one side alone; a pair counts when either side meets the other. All candidates are
 verified in double precision, block by block, and blocks give counts and spanning edges, never lists of pairs.
 """
 
@@ -36,6 +36,13 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None, :]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x.astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 @dataclass
 class MultiIndex:
     first: np.ndarray
@@ -60,7 +67,7 @@ class MultiIndex:
         return np.take_along_axis(o1[:, ra], order, 1) * len(self.second) + np.take_along_axis(o2[:, rb], order, 1)
 
 
-def fit_index(x: np.ndarray, k: int, cosine: float, target: float, most_visits: int, seed: int = 5) -> MultiIndex:
+def fit_index(x: np.ndarray, k: int, cosine: float, target: float, seed: int = 5) -> MultiIndex:
     """Codebooks from sample x (unit rows), and the number of visits that meets the target recall on made-up partners:
     for each sample row, a vector at exactly the wanted cosine in a random direction."""
     rng = np.random.default_rng(seed)
@@ -71,12 +78,22 @@ def fit_index(x: np.ndarray, k: int, cosine: float, target: float, most_visits:
     side -= (side * probe).sum(axis=1)[:, None] * probe
     side /= np.maximum(np.linalg.norm(side, axis=1), 1e-12)[:, None]
     home = index.home(cosine * probe + np.sqrt(1 - cosine**2) * side)
-    order = index.traverse(probe, min(most_visits, len(index.first) * len(index.second)))
-    met = (order == home[:, None]).cumsum(axis=1).mean(axis=0)
-    good = np.flatnonzero(met >= target)
-    index.visits = int(good[0]) + 1 if len(good) else order.shape[1]
-    index.recall = float(met[index.visits - 1])
-    return index
+    cells, most = len(index.first) * len(index.second), 32
+    while True:
+        met = np.concatenate([index.traverse(probe[s : s + 100], most) == home[s : s + 100, None] for s in range(0, len(probe), 100)]).cumsum(axis=1).mean(axis=0)
+        good = np.flatnonzero(met >= target)
+        if len(good):
+            index.visits, index.recall = int(good[0]) + 1, float(met[good[0]])
+            return index
+        if most >= cells:
+            index.visits, index.recall = cells, 1.0  # every cell: nothing can be missed
+            return index
+        most *= 4
+
+
+def one_cell(d: int) -> MultiIndex:
+    """An index without a grid, for lengths with few vectors."""
+    return MultiIndex(np.zeros((1, d // 2)), np.zeros((1, d - d // 2)))
 
 
 def _compare(q: dict, m: dict, cosine: float) -> tuple[dict[str, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
@@ -110,7 +127,7 @@ def _compare(q: dict, m: dict, cosine: float) -> tuple[dict[str, np.ndarray], li
 
 def near_vectors(
     vectors: DataFrame, scratch: Scratch, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, target_recall: float = 0.97,
-    sample: int = 20_000, cell_rows: int = 256, most_codewords: int = 256, most_visits: int = 512, block_rows: int = 2048,
+    sample: int = 20_000, cell_rows: int = 256, most_codewords: int = 4096, block_rows: int = 2048,
 ) -> DataFrame:
     """One row per input row: key, n_links, component_id, kept.
 
@@ -118,31 +135,37 @@ def near_vectors(
     reachable by links; kept: the key is that smallest one. Vectors that are null, empty, zero, or hold a null, NaN or
     infinite component link with nothing and are kept. Vectors of different lengths never link. Repeated rows are
     rows of their own. A null key links nothing. An empty table gives no rows. Extra columns are ignored.
-    Codebooks are fitted on at most `sample` different vectors; every vector is indexed. Equal vectors are gathered
-    first, and a cell of many vectors is dealt out in blocks of about block_rows members.
+    Codebooks are fitted on about `sample` different vectors, or 8 a codeword if that is more; every vector is indexed. There
+    are as many codewords a half as make cells of about cell_rows vectors, at most most_codewords: what lies beyond stays in
+    larger cells, which are dealt out in blocks of about block_rows members. A length with few vectors has one cell.
+    Equal vectors are gathered first. Ties at the wanted cosine link.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
     good = F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(vector, lambda v: v != 0)
-    e = F.transform(vector, lambda v: v.cast("double") + F.lit(0.0))
+    # vectors travel in their own type and are scaled where they are compared
+    own = "float" if "float" in vectors.schema[vector].dataType.simpleString() else "double"
+    e = F.transform(vector, lambda v: v.cast(own) + F.lit(0.0).cast(own))
     rows = vectors.select(F.col(key).alias("k"), F.when(F.coalesce(good, F.lit(False)) & F.col(key).isNotNull(), e).alias("e"))
     rows = rows.withColumns({"h1": F.xxhash64("e"), "h2": F.xxhash64("e", F.lit(1))})
     classes = scratch.table(rows.where("e is not null").groupBy("h1", "h2").agg(F.min("k").cast("long").alias("id"), F.count("*").alias("n"), F.first("e").alias("e")), "classes")
     sizes = {r["d"]: r["count"] for r in classes.groupBy(F.size("e").alias("d")).count().collect()}
-    if len(sizes) > 64:
-        raise ValueError(f"vectors of {len(sizes)} different lengths; at most 64 are indexed")
     indexes, nth = {}, 0
     for d, n in sorted(sizes.items()):
-        few = classes.where(F.size("e") == d)
-        if n > sample:
-            few = few.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * sample / n))
-        x = np.array(few.select("e").toArrow().column("e").to_pylist(), float).reshape(-1, d)[:sample]
-        x /= np.linalg.norm(x, axis=1)[:, None]
         k = int(min(most_codewords, max(1, 2 ** round(np.log2(max(1.0, (n / cell_rows) ** 0.5))))))
-        indexes[d] = (nth, fit_index(x, k, cosine, target_recall, most_visits))
+        if k == 1 or d == 1:
+            indexes[d] = (nth, one_cell(d))
+        else:
+            few, take = classes.where(F.size("e") == d), max(sample, 8 * k)
+            if n > take:
+                few = few.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * take / n))
+            x = np.array(few.select("e").toArrow().column("e").to_pylist(), float).reshape(-1, d)[: 2 * take]
+            indexes[d] = (nth, fit_index(unit(x), k, cosine, target_recall) if len(x) else one_cell(d))
         nth += len(indexes[d][1].first) * len(indexes[d][1].second)
     sent = spark.sparkContext.broadcast(indexes)
 
+    flat_type = pa.float32() if own == "float" else pa.float64()
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
@@ -152,19 +175,19 @@ def near_vectors(
                 own = np.flatnonzero(lengths == d)
                 for s in range(0, len(own), 1024):
                     part = own[s : s + 1024]
-                    x = flat[at[part][:, None] + np.arange(d)]
-                    x = x / np.linalg.norm(x, axis=1)[:, None]
+                    raw = flat[at[part][:, None] + np.arange(d)]
+                    x = unit(raw)
                     cells = index.traverse(x, index.visits) + base
                     home = index.home(x) + base
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array(part)), batch.column(1).take(pa.array(part)), pa.array(home.astype(np.int64)),
-                            pa.array(list(cells.astype(np.int64)), pa.list_(pa.int64())), pa.array(list(x), pa.list_(pa.float64())),
+                            pa.array(list(cells.astype(np.int64)), pa.list_(pa.int64())), pa.array(list(raw), pa.list_(flat_type)),
                         ],
                         names=["id", "n", "home", "visits", "x"],
                     )
 
-    shape = "id long, n long, home long, visits array<long>, x array<double>"
+    shape = f"id long, n long, home long, visits array<long>, x array<{own}>"
     placed = scratch.table(classes.select("id", "n", "e").mapInArrow(place, shape), "placed")
     # blocks of each cell: a table of at most codewords squared rows
     blocks = placed.groupBy("home").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks")).withColumnRenamed("home", "cell")
@@ -180,7 +203,7 @@ def near_vectors(
         if not role.all():
             def side(own: np.ndarray) -> dict:
                 t = table.take(pa.array(np.flatnonzero(own)))
-                x = np.array(t.column("x").combine_chunks().flatten().to_numpy()).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1))
+                x = unit(np.array(t.column("x").combine_chunks().flatten().to_numpy()).reshape(t.num_rows, -1)) if t.num_rows else np.zeros((0, 1))
                 return {"id": t.column("id").to_numpy(), "n": t.column("n").to_numpy(), "home": t.column("home").to_numpy(), "x": x, "visits": t.column("visits").to_pylist()}
 
             q, m = side(role), side(~role)
