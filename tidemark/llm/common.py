@@ -17,9 +17,12 @@ CHUNK_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where the setting is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local folder serves a local master; on a cluster
+    that would be another folder on each machine, so the setting is asked for."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

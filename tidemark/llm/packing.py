@@ -1,18 +1,19 @@
-"""Best-fit packing of token sequences, in rounds over ever fewer partitions.
+"""Best-fit packing of token sequences, merged up a tree.
 
-Round 0 packs the pieces of each partition best-fit decreasing. Bins that are nearly full are done; the others go on as
-items (a bin with its members) to a next round on a quarter of the partitions, until that no longer saves bins. A
-round's partition never holds more than about `per_task` items, so no task ever sees the whole corpus.
+The leaves of the tree are groups of about `per_task` pieces, packed best-fit decreasing. Bins that are nearly full are done;
+the others go on as items (a bin with its members) to the node above, where neighbouring groups meet and are packed
+again, up to the root or until that no longer saves bins. A node holds about `per_task` items at any level: there are as many
+as the items left need, so no task ever sees the whole corpus.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,65 +86,67 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack_round(items: DataFrame, kind: str, capacity: int, level: int) -> DataFrame:
-    """items: (filled, members) -> (sequence_id, filled, members), packed within each partition."""
+    """items: (node, n, filled, members) -> (node, n, filled, members): the bins of each node. n numbers items and bins;
+    equal sizes go by it, so that a retried task packs alike."""
     member = f"array<struct<k:{kind},piece:int,start:long,length:long,ids_crc32:long>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got).combine_chunks()
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("filled", "descending"), ("n", "ascending")]).combine_chunks()
         lists = table.column("members").combine_chunks()
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.chunk(0)
         at, flat = lists.offsets.to_numpy(), lists.values
-        sizes = table.column("filled").to_numpy()
+        sizes, node = table.column("filled").to_numpy(), table.column("node")[0].as_py()
         bins = best_fit(sizes.tolist(), capacity)
         order = [k for b in bins for i in b for k in range(at[i], at[i + 1])]
         counts = [sum(int(at[i + 1] - at[i]) for i in b) for b in bins]
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        base = ((level << 24) + TaskContext.get().partitionId()) << 32
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(base + np.arange(len(bins), dtype=np.int64)),
-                pa.array([int(sizes[b].sum()) for b in bins], pa.int64()),
-                pa.ListArray.from_arrays(offsets, flat.take(pa.array(order, pa.int64()))),
-            ],
-            names=["sequence_id", "filled", "members"],
+        return pa.table(
+            {
+                "node": pa.array(np.full(len(bins), node, np.int64)),
+                "n": pa.array((level << 56) + (node << 28) + np.arange(len(bins), dtype=np.int64)),
+                "filled": pa.array([int(sizes[b].sum()) for b in bins], pa.int64()),
+                "members": pa.ListArray.from_arrays(offsets, flat.take(pa.array(order, pa.int64()))),
+            }
         )
 
-    return items.select("filled", "members").mapInArrow(run, f"sequence_id long, filled long, members {member}")
+    return items.groupBy("node").applyInArrow(run, f"node long, n long, filled long, members {member}")
 
 
 def pack(
     docs: DataFrame, tokenizer: str, scratch: Scratch, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text",
-    nearly_full: int = 8, per_task: int = 8192, most_rounds: int = 4,
+    nearly_full: int = 8, per_task: int = 8192,
 ) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and end_id; only one longer than capacity is cut (full pieces, the first may be shorter). A
     null or empty text is end_id alone. Equal and repeated documents are packed each on its own. An empty table
     gives no rows. Extra columns are ignored. Bins with at most nearly_full free places are closed at once. Which of
-    several equal pieces lands where follows partition order; the packing itself is written, so all readers see one.
+    several equal pieces lands where follows partition order; the packing itself is written, so all readers see one. A null
+    key is packed like any other. Ties of size go by row number.
     """
     kind = docs.schema[key].dataType.simpleString()
     pieces = token_pieces(docs, tokenizer, capacity, end_id, key, text)
     member = F.struct("k", "piece", "start", "length", "ids_crc32")
-    carry = scratch.table(pieces.select(F.col("length").alias("filled"), F.array(member).alias("members")), "pieces")
-    done, left = [], carry.count()
-    for level in range(most_rounds):
-        n = max(1, -(-left // per_task))
-        # dealt by a hash of a member, so that a retried task sees the same items
-        packed = scratch.table(_pack_round(carry.repartition(n, F.xxhash64(F.col("members")[0], F.lit(level))), kind, capacity, level), f"round{level}")
-        now = packed.where(F.col("filled") < capacity - nearly_full).count()
-        if n == 1 or now == 0 or now > 0.98 * left or level == most_rounds - 1:
+    # rows are numbered as they are written: repeated rows spread over the leaves like any others
+    carry = scratch.table(pieces.select(F.monotonically_increasing_id().alias("n"), F.col("length").alias("filled"), F.array(member).alias("members")), "pieces")
+    left = carry.count()
+    nodes, level, done = max(1, -(-left // per_task)), 1, []
+    carry = carry.withColumn("node", F.pmod(F.xxhash64("n"), F.lit(nodes)))
+    while True:
+        packed = scratch.table(_pack_round(carry, kind, capacity, level), f"level{level}")
+        underfull = F.col("filled") < capacity - nearly_full
+        now = packed.where(underfull).count()
+        if nodes == 1 or now == 0 or now > 0.98 * left:
             done.append(packed)
             break
-        done.append(packed.where(F.col("filled") >= capacity - nearly_full))
-        carry, left = packed.where(F.col("filled") < capacity - nearly_full), now
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
+        done.append(packed.where(~underfull))
+        # neighbouring nodes meet in the one above; where no fewer nodes will do, bins change their partners
+        above = max(1, -(-now // per_task))
+        up = F.floor(F.col("node") * above / nodes) if above < nodes else F.pmod(F.xxhash64("n"), F.lit(above))
+        carry = packed.where(underfull).withColumn("node", up.cast("long"))
+        nodes, left, level = above, now, level + 1
+    out = reduce(DataFrame.unionByName, done).withColumnRenamed("n", "sequence_id")
     # offsets run over a bin's members in order
     spots = F.expr("transform(sequence(1, size(members)), i -> struct(members[i-1] as m, aggregate(slice(members, 1, i-1), 0L, (s, x) -> s + x.length) as o))")
     rows = out.select("sequence_id", F.explode(spots).alias("s"))
