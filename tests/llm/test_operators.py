@@ -1,9 +1,11 @@
 """Each operator against a brute-force version on small tables with nulls, empty, long and repeated texts."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -18,7 +20,7 @@ from tidemark.llm.language_id import identify_languages
 from tidemark.llm.ngram_join import _differ, jaccard_components, parity_sketch
 from tidemark.llm.packing import best_fit, pack, piece_bounds
 from tidemark.llm.quality_model import fit_additive, quality_scores
-from tidemark.llm.quality_rules import KneserNey, Lookup, count_grams, fit_model, quality_rules, shard_model
+from tidemark.llm.quality_rules import Lookup, count_grams, fit_model, quality_rules, shard_model
 from tidemark.llm.sharding import byte_shards
 from tidemark.llm.suffix_dedup import equal_windows, remove_repeats, repeat_digest
 from tidemark.llm.word_bpe import ForcedBpe, encode_decode
@@ -302,12 +304,59 @@ def test_query_matches_sql(spark, duck, name):
 # --- 5 ---
 
 
-def test_kneser_ney_is_a_distribution():
-    rng = np.random.default_rng(1)
-    code = np.unique(rng.integers(0, 32**4, 5000))
-    m = KneserNey(code, rng.integers(1, 50, len(code)))
-    p = np.exp(m.table().astype(float)).reshape(-1, 32).sum(axis=1)
-    assert np.abs(p - 1).max() < 1e-3 and (np.diff(m.keys.astype(object)) > 0).all()
+def brute_rules(rows, gram=4, min_words=10, below=3.0, above=3.2):
+    """Perplexities and verdicts by counting in dictionaries: modified Kneser-Ney over the different texts of each language."""
+    fold = lambda t: re.sub("[0-9]", "0", re.sub("[\t-\r]", " ", (t or "").lower()))
+    ends = lambda t: [(" " * (gram - 1) + t)[i : i + gram] for i in range(len(t))]
+    out = {}
+    for lang in {x for _, _, x in rows}:
+        texts = {t or "" for _, t, x in rows if x == lang}
+        counts = Counter(g for t in texts for g in set(ends(fold(t))))
+        levels = [counts]
+        for _ in range(gram - 1):  # how many different symbols stand ahead
+            levels.append(Counter(g[1:] for g in levels[-1]))
+        p = None
+        for level in reversed(levels):
+            n = [sum(c == k for c in level.values()) for k in range(1, 5)]
+            y = n[0] / max(n[0] + 2 * n[1], 1)
+            d = [min(max(k - (k + 1) * y * n[k] / max(n[k - 1], 1), 0.05), k - 0.05) for k in (1, 2, 3)]
+            total, room = Counter(), Counter()
+            for g, c in level.items():
+                total[g[:-1]] += c
+                room[g[:-1]] += d[min(c, 3) - 1]
+            p = {g: (c - d[min(c, 3) - 1] + room[g[:-1]] * (p[g[1:]] if p else 1 / len(level))) / total[g[:-1]] for g, c in level.items()}
+        ppl = {t: -sum(math.log(p[g]) for g in ends(fold(t))) / len(fold(t)) for t in texts if fold(t)}
+        known = sorted(ppl[t] for t in ppl if len(re.findall("[^\x20\x09-\x0d]+", t)) >= min_words)
+        low, mid = ((known[max(math.ceil(q * len(known)) - 1, 0)] for q in (0.1, 0.5)) if known else (None, None))
+        for i, t, x in rows:
+            if x == lang:
+                w = re.findall("[^\x20\x09-\x0d]+", t or "")
+                where = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+                rep = {j + k for j in range(len(w) - 4) if where[tuple(w[j : j + 5])] > 1 for k in range(5)}
+                failed = len(w) < min_words or 100 * len(rep) > 20 * len(w)
+                s = max(mid - low, 0.005) * math.sqrt(1 + 300 / max(len((t or "").encode()), 1)) if known else 0
+                inside = not known or not fold(t) or mid - below * s <= ppl[t] <= mid + above * s
+                out[i] = (ppl.get(t or ""), failed, not failed and inside)
+    return out
+
+
+def test_quality_rules_by_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = {x: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(60)] for x, letters in (("en", "etaoinshr"), ("ru", "аеиокнтсрв"), (None, "etaño日本"))}
+    rows = [(None, x) for x in vocabulary] + [("", "en"), ("12 ab" * 30, "en"), ("one\ttwo\nthree " * 5, "xx")]
+    for x, own in vocabulary.items():
+        texts = [" ".join(rng.choice(own) + rng.choice(["", ".", " 7", "\n"]) for _ in range(rng.randint(3, 60))) for _ in range(40)]
+        texts += ["".join(rng.choice("qzjx ж#") for _ in range(200)) for _ in range(2)] + texts[:3] + [texts[4]] * 30
+        rows += [(t, x) for t in texts]
+    rows = [(i, t, x) for i, (t, x) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"h": F.lit("x"), "t": F.lit(1), "k": F.lit(2)}).repartition(3)
+    want = brute_rules(rows)
+    got = {r.doc_id: r for r in quality_rules(df, scratch(spark)).collect()}
+    assert set(got) == set(want)
+    for i, (ppl, failed, kept) in want.items():
+        r = got[i]
+        assert (r.log_ppl is None) == (ppl is None) and (ppl is None or abs(r.log_ppl - ppl) < 1e-4) and (r.base_failed, r.kept) == (failed, kept)
+    assert {k for _, _, k in want.values()} == {True, False} and any(not f and not k for _, f, k in want.values())
 
 
 def test_quality_rules(spark):

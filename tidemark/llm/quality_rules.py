@@ -24,8 +24,6 @@ from tidemark.llm.kernels import mix
 from tidemark.llm.measures import base
 
 _U = np.uint64
-ORDER, BITS = 4, 5
-SIZE = 1 << (BITS * ORDER)
 #: Code points of a gram, and the rows of grams that a task holds before it adds them up.
 GRAM, MERGE_ROWS = 4, 1 << 21
 
@@ -46,70 +44,6 @@ def distinct_texts(docs: DataFrame, text: str, lang: str, scratch: Scratch) -> D
     return marked.where("not maybe").select("l", "t").unionByName(once.select("l", "t"))
 
 
-class KneserNey:
-    """Interpolated modified Kneser-Ney of order 4 over 32 symbols in dense arrays: a small counterpart for tests."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        c = np.zeros(SIZE)
-        c[code] = n
-        levels = [c.reshape((32,) * ORDER)]
-        for _ in range(ORDER - 1):  # lower orders count the different symbols ahead of a gram
-            levels.append((levels[-1] > 0).sum(axis=0).astype(float))
-        keys, logs, ctx, bows = [], [], [], []
-        lower = np.full(32, 1 / 32)
-        for m, c in zip(range(1, ORDER + 1), reversed(levels), strict=True):
-            d = self._discounts(c)
-            flat = c.reshape(-1, 32)
-            kind = np.minimum(flat, 3).astype(int)
-            total = flat.sum(axis=1, keepdims=True)
-            seen = total > 0
-            gamma = np.where(seen, (d[kind] * (flat > 0)).sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
-            below = np.tile(lower.reshape(-1, 32), (len(flat) // max(1, lower.size // 32), 1)) if m > 1 else lower.reshape(1, 32)
-            p = np.where(seen, np.maximum(flat - d[kind], 0) / np.maximum(total, 1) + gamma * below, below)
-            lower = p.reshape(-1)
-            found = np.flatnonzero(flat.reshape(-1) > 0)
-            keys.append(self._key(m, found))
-            logs.append(np.log(lower[found]))
-            have = np.flatnonzero(seen[:, 0])
-            ctx.append(self._key(m, have))
-            bows.append(np.log(np.maximum(gamma[have, 0], 1e-12)))
-        self.keys, self.logs = self._sorted(keys, logs)
-        self.ctx, self.bows = self._sorted(ctx, bows)
-
-    @staticmethod
-    def _discounts(c: np.ndarray) -> np.ndarray:
-        n = [float((c == k).sum()) for k in range(1, 5)]
-        y = n[0] / max(n[0] + 2 * n[1], 1)
-        d = [0.0, *(min(max(k - (k + 1) * y * n[k] / max(n[k - 1], 1), 0.05), k - 0.05) for k in (1, 2, 3))]
-        return np.array(d)
-
-    @staticmethod
-    def _key(m: int, code: np.ndarray) -> np.ndarray:
-        return mix(code.astype(_U) + _U(m << 40))
-
-    @staticmethod
-    def _sorted(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        k, v = np.concatenate(keys), np.concatenate(values).astype(np.float32)
-        order = np.argsort(k)
-        return k[order], v[order]
-
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, want: np.ndarray, other: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return other
-        spot = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return np.where(keys[spot] == want, values[spot], other)
-
-    def table(self) -> np.ndarray:
-        """Log probability of the last symbol of every possible gram: look-ups with back-off, made once per worker."""
-        below = np.full(32, -np.log(32), np.float32)
-        for m in range(1, ORDER + 1):
-            code = np.arange(32**m)
-            bow = self._find(self.ctx, self.bows, self._key(m, code >> BITS), np.float32(0))
-            below = self._find(self.keys, self.logs, self._key(m, code), bow + below[code % len(below)])
-        return below.astype(np.float32)
-
-
 def symbols(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, code points, offsets from 0) of chunks of texts: case folded, digits as 0, white space as one sign."""
     for a, b, buf, offs in chunks(pc.utf8_lower(text)):
@@ -335,7 +269,7 @@ def quality_rules(
     model = fit_model(count_grams(distinct_texts(docs, text, lang, scratch)), scratch)
     scored = scratch.table(score(docs, shard_model(model, scratch), key, text, lang), "scored")
     # two quantiles a language, from mergeable sketches of all different texts
-    texts = scored.where("n_words >= 10").groupBy("lang", "h").agg(F.first("log_ppl").alias("log_ppl"))
+    texts = scored.where(F.col("n_words") >= min_words).groupBy("lang", "h").agg(F.first("log_ppl").alias("log_ppl"))
     bands = texts.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.1, 0.5], 10000).alias("q"))
     s = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.005)) * F.sqrt(1 + F.lit(float(length_bytes)) / F.greatest("n_bytes", F.lit(1)))
     out = scored.join(F.broadcast(bands), "lang", "left").withColumns({"ppl_low": F.col("q")[1] - below * s, "ppl_high": F.col("q")[1] + above * s})
