@@ -24,8 +24,8 @@ from tidemark.llm.kernels import mix
 from tidemark.llm.measures import base
 
 _U = np.uint64
-#: Code points of a gram, and the rows of grams that a task holds before it adds them up.
-GRAM, MERGE_ROWS = 4, 1 << 21
+#: Code points of a gram, the rows of grams that a task holds before it adds them up, and the bytes of text it looks at at once.
+GRAM, MERGE_ROWS, CHUNK = 4, 1 << 19, 1 << 19
 
 
 def _hashed(docs: DataFrame, text: str, lang: str, *more: Column) -> DataFrame:
@@ -46,7 +46,8 @@ def distinct_texts(docs: DataFrame, text: str, lang: str, scratch: Scratch) -> D
 
 def symbols(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, code points, offsets from 0) of chunks of texts: case folded, digits as 0, white space as one sign."""
-    for a, b, buf, offs in chunks(pc.utf8_lower(text)):
+    parts = ((s + a, s + b, buf, offs) for s in range(0, len(text), 256) for a, b, buf, offs in chunks(pc.utf8_lower(text.slice(s, 256)), CHUNK))
+    for a, b, buf, offs in parts:
         lead = (buf & 0xC0) != 0x80
         at = np.flatnonzero(lead)
         x, size = buf[at].astype(np.uint32), np.diff(np.append(at, len(buf)))
@@ -229,7 +230,7 @@ def score(docs: DataFrame, shards: list[tuple[int, str]], key: str, text: str, l
         for batch in batches:
             langs = batch.column(1).to_pylist()
             cols: dict[str, list[np.ndarray]] = {x: [] for x in [*names, "n_bytes", "log_ppl"]}
-            for a, b, buf, offs in chunks(batch.column(2)):
+            for _, _, buf, offs in chunks(batch.column(2), CHUNK):
                 got = base(buf, offs)
                 for x in names:
                     cols[x].append(got[x])
