@@ -96,3 +96,33 @@ def test_sides_and_steps(spark):
     df = spark.createDataFrame([(" Buy ",), ("1",), ("A",), ("b",)], "s string")
     assert [r[0] for r in df.select(feeds.normalise_side(F.col("s"))).collect()] == ["bid", "ask", "ask", "bid"]
     assert spark.range(1).select(feeds.step_multiple(F.lit(0.3), 0.1), feeds.step_multiple(F.lit(0.35), 0.1)).first()[:] == (True, False)
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    row = {"timestamp": 1.0, "side": "bid", **{c: 0.5 for c in ("distance", "spread", "imbalance", "ofi", "volatility", "queue_ahead", "order_age")}, "count": 1, "exposure": 2.0}
+    lines = ["" if k % 7 == 3 else json.dumps(row | {"timestamp": float(k)}) for k in range(400)]
+    path = write(tmp_path / "e.jsonl", "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        df = feeds.read_episodes_jsonl(spark, [path])
+        assert df.rdd.getNumPartitions() > 4
+        assert {(r.episode_id, r.timestamp) for r in df.collect()} == {(str(k + 1), float(k)) for k in range(400) if k % 7 != 3}
+        assert [r.episode_id for r in feeds.read_episodes_jsonl(spark, [path, path], 350).collect()][-7:] == [f"1:{k}" for k in (1, 2, 3, 5, 6, 7, 8)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(Exception, match=r"bad.jsonl:2: episode row lacks required field timestamp, distance"):
+        feeds.read_episodes_jsonl(spark, [write(tmp_path / "bad.jsonl", json.dumps(row) + "\n" + json.dumps({"side": "bid"}) + "\n")]).collect()
+
+
+def test_month_files_must_exist(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="bookTicker-2024-09.csv and .*aggTrades-2024-09.csv"):
+        feeds.existing_month_paths(spark, str(tmp_path), "X", "2024-09")
+    for p in feeds.month_paths(str(tmp_path), "X", "2024-09"):
+        open(p, "w").close()
+    assert feeds.existing_month_paths(spark, str(tmp_path), "X", "2024-09") == feeds.month_paths(str(tmp_path), "X", "2024-09")
+
+
+def test_order_violations_over_blocks(spark):
+    df = spark.createDataFrame([("S", 1, 1, 0), ("S", 3, 1, 1), ("S", 2, 5, 2), ("S", 2, 4, 9), ("S", 2, 4, 10)], "symbol string, ts_ms long, sequence long, row long")
+    assert [r.row for r in feeds.order_violations(df, "row", 2).orderBy("row").collect()] == [2, 9]

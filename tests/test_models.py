@@ -135,3 +135,42 @@ def test_bootstrap_single_cluster(spark):
 def test_log_likelihood_of_large_counts(spark, count):
     got = spark.createDataFrame([(count, 2.5, 2.0)], "count long, rate double, exposure double").agg(hz.log_likelihood()).first()[0]
     assert got == pytest.approx(count * math.log(5.0) - 5.0 - math.lgamma(count + 1), rel=1e-12)
+
+
+def test_blocks_do_not_change_order_statistics(spark):
+    import numpy as np
+
+    from tidemark.operators import ordering
+
+    rng = np.random.default_rng(5)
+    data = [("a" if k % 3 else "b", int(t), float(v)) for k, (t, v) in enumerate(zip(rng.integers(-50, 50, 400), rng.normal(size=400), strict=True))] + [("a", None, 0.25)]
+    df = spark.createDataFrame(data, "side string, t long, v double")
+    lagged = ordering.with_lags(ordering.numbered(df, ["t", "v"], ["side"], 7), "v", 3, ["side"], 5).collect()
+    for side in "ab":
+        own = sorted(((-1e9 if t is None else t, v) for s, t, v in data if s == side))
+        got = sorted((r for r in lagged if r.side == side), key=lambda r: r["__k"])
+        assert [r["__k"] for r in got] == list(range(1, len(own) + 1)) and [r.v for r in got] == [v for _, v in own]
+        assert [(r.l1, r.l3) for r in got] == [(own[k - 1][1] if k else None, own[k - 3][1] if k > 2 else None) for k in range(len(own))]
+        steps = np.cumsum([v for _, v in own])
+        fall = ordering.largest_fall(df.where(f"side = '{side}'"), "v", ["t"], ["side"], False, 7).first().fall
+        assert fall == pytest.approx(max(np.maximum(np.maximum.accumulate(steps), 0) - steps))
+        level = np.array([v for _, v in own])
+        assert ordering.largest_fall(df.where(f"side = '{side}'"), "v", ["t"], ["side"], True, 7).first().fall == pytest.approx(max(np.maximum.accumulate(level) - level))
+
+
+def test_bootstrap_in_buckets(spark):
+    """Many buckets give the interval that one gives, up to the draws' own spread."""
+    df = spark.range(6000).selectExpr("cast(id % 600 as string) as cluster", "cast(id % 2 as int) as bin", "cast(hash(id % 600) % 5 = 0 as double) as event")
+    one, many = ({r.bin: r for r in dg.bootstrap_ci(df, "cluster", "bin", "event", bucket_clusters=b).collect()} for b in (10_000, 40))
+    for k in (0, 1):
+        assert one[k].observed == many[k].observed and one[k].lower < one[k].observed < one[k].upper
+        width = one[k].upper - one[k].lower
+        assert abs(one[k].lower - many[k].lower) < 0.15 * width and abs(one[k].upper - many[k].upper) < 0.15 * width
+
+
+def test_inverse_fold_is_linear(spark):
+    import time
+
+    f = spark.range(200_000).selectExpr("'a' as k", "id as n", "if(id % 2 = 0, 'buy', 'sell') as side", "100.0 + id % 7 as price", "1.0 + id % 3 as quantity")
+    began = time.time()
+    assert acc.inverse(f, ["k"], ["n"]).count() == 200_000 and time.time() - began < 60

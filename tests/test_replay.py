@@ -1,7 +1,7 @@
 import pytest
 
 from tidemark.functions.quotes import QuoteModel
-from tidemark.operators.replay import QuotePolicy, Replay, ReplayConfig, event_rows, fixture_run, replay
+from tidemark.operators.replay import QuotePolicy, Replay, ReplayConfig, canonical, checked, event_fault, event_rows, fill_markouts, fixture_run, replay
 from tidemark.sources import feeds
 
 DATA = "/root/testdata/sf0.001"
@@ -120,3 +120,95 @@ def test_quotes_are_withdrawn_at_the_horizon_without_a_book():
     r = Replay(config, policy)
     r.run([book(0, bq=0.0, aq=0.0), trade(15, 1.0, 50.0, "sell"), trade(16, 1000.0, 50.0, "buy"), book(30)])
     assert r.orders and r.fills == [] and all(o.status == "canceled" and o.closed_ms == 10 for o in r.orders.values())
+
+
+EVENTS = "symbol string, kind string, ts_ms long, sequence long, order_id string, side string, price double, quantity double, bid_price double, bid_qty double, ask_price double, ask_qty double"
+GOOD = {
+    "book": ("S", "book", 1, 0, None, None, None, None, 99.0, 0.0, 101.0, 2.0), "trade": ("S", "trade", 1, 0, None, "buy", 99.0, 1.0, None, None, None, None), "cancel": ("S", "cancel", 1, 0, "a", None, None, None, None, None, None, None),
+    "place": ("S", "place", 1, 0, "a", "sell", 99.0, 1.0, None, None, None, None), "quote": ("S", "quote", 1, 0, "q", None, None, 1.0, 99.0, None, None, None),
+}
+
+
+def odd(base, **kw):
+    names = [x.split()[0] for x in EVENTS.split(", ")]
+    return tuple(kw.get(n, v) for n, v in zip(names, GOOD[base], strict=True))
+
+
+def test_event_faults(spark):
+    inf, nan = float("inf"), float("nan")
+    cases = [(GOOD[k], None) for k in GOOD] + [
+        (odd("book", kind="other"), "kind"), (odd("book", kind=None), "kind"), (odd("book", ts_ms=None), "order"), (odd("book", bid_price=0.0), "price"), (odd("book", ask_price=nan), "price"), (odd("book", bid_qty=-1.0), "quantity"),
+        (odd("book", bid_price=101.0), "crossed"), (odd("trade", price=None), "price"), (odd("trade", quantity=0.0), "quantity"), (odd("trade", side="up"), "side"), (odd("trade", side=None), "side"), (odd("place", price=inf), "price"),
+        (odd("place", order_id=""), "order_id"), (odd("cancel", order_id=None), "order_id"), (odd("quote", bid_price=-1.0), "price"), (odd("quote", quantity=0.0), "quantity"), (odd("quote", bid_price=None, quantity=None), None), (odd("trade", quantity=1.5), None),
+    ]
+    for rows, config in (([(r, f) for r, f in cases], ReplayConfig(1.0)), ([(odd("trade", quantity=1.5), "step"), (odd("book", ask_qty=0.5), "step"), (GOOD["trade"], None)], ReplayConfig(1.0, inverse=True, quantity_step=1.0))):
+        for row, want in rows:
+            e = spark.createDataFrame([row], EVENTS)
+            assert e.select(event_fault(e, config)).first()[0] == want, row
+    with pytest.raises(Exception, match="bad replay event: crossed at 1 book"):
+        checked(spark.createDataFrame([odd("book", bid_price=101.0)], EVENTS), ReplayConfig(1.0)).collect()
+    with pytest.raises(Exception, match="bad replay event: side"):
+        replay(spark.createDataFrame([GOOD["book"], odd("trade", side="up")], EVENTS), lambda: Replay(ReplayConfig(1.0))).collect()
+
+
+def test_order_of_rows_does_not_matter(spark):
+    rows = [odd("book", bid_qty=2.0), odd("place", ts_ms=2, order_id="b", side="buy"), odd("place", ts_ms=2, order_id="a", side="buy"), odd("cancel", ts_ms=2, order_id="a"), odd("trade", ts_ms=2, quantity=2.5, side="sell"), odd("trade", ts_ms=3, quantity=2.5, side="sell"), odd("book", ts_ms=3, bid_qty=1.0)]
+    logs = [sorted(map(str, replay(spark.createDataFrame(x, EVENTS), lambda: Replay(ReplayConfig(1.0))).collect())) for x in (rows, rows[::-1])]
+    assert logs[0] == logs[1] and len(logs[0]) > 5
+    names = [x.split()[0] for x in EVENTS.split(", ")]
+    at_two = sorted((dict(zip(names, r, strict=True)) for r in rows if r[2] == 2), key=canonical)
+    assert [(r["kind"], r["order_id"]) for r in at_two] == [("trade", None), ("cancel", "a"), ("place", "a"), ("place", "b")]
+
+
+def test_policy_results_are_checked():
+    class Bad:
+        ended, start_ms, horizon_ms = False, None, 10
+
+        def __init__(self, got):
+            self.got = got
+
+        def on_book(self, ts, book, inventory):
+            return self.got
+
+    for got in ((1.0,), (float("nan"), None), (-1.0, None)):
+        with pytest.raises(ValueError, match="a policy gives"):
+            Replay(ReplayConfig(1.0), Bad(got)).run([book(0)])
+
+
+@pytest.mark.parametrize("inverse", [False, True])
+def test_fill_markouts_equal_brute_force(spark, inverse):
+    config = ReplayConfig(0.5, inverse=inverse, multiplier=10.0)
+    books = feeds.books(spark, DATA)
+    fills = replay(event_rows(books, feeds.trades(spark, DATA)), fixture_run()).where("log = 'fill'")
+    history = sorted((b.ts_ms, b.sequence, 0.5 * (b.bid_price + b.ask_price)) for b in books.collect())
+    want = {}
+    for f in fills.collect():
+        for h in (600_000, 5 * 86_400_000) if f.liquidity == "maker" else ():
+            t, _, mid = next((x for x in history if x[0] >= f.ts_ms + h), (None, None, None))
+            s = 1 if f.side == "buy" else -1
+            pnl = None if mid is None else 10.0 * s * (1 / f.price - 1 / mid) if inverse else s * (mid - f.price)
+            want[f.n, h] = (t, mid, pnl, None if mid is None else 10_000 * pnl / ((10.0 / f.price) if inverse else f.price))
+    got = {(r.n, r.horizon_ms): (r.observed_ms, r.mid, r.signed_pnl, r.signed_bps) for r in fill_markouts(fills, books, [600_000, 5 * 86_400_000], config).collect()}
+    assert got.keys() == want.keys() and len(want) > 3 and any(v[0] is None for v in want.values())
+    for k, v in want.items():
+        assert got[k] == (None,) * 4 if v[0] is None else got[k] == pytest.approx(v)
+
+
+def test_stream_end_closes_the_run(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming.live import stream_replay
+
+    e = event_rows(feeds.books(spark, DATA), feeds.trades(spark, DATA)).where("ts_ms < 1704300000000")
+    last = e.agg(F.max("ts_ms")).first()[0]
+    src = str(tmp_path / "in")
+    e.where(F.col("ts_ms") < last).coalesce(1).write.parquet(src)
+    end = e.limit(1).withColumns({"kind": F.lit("end"), "ts_ms": F.lit(last)})
+    e.where(F.col("ts_ms") == last).unionByName(end).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = stream_replay(stream, fixture_run()).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    cols = ("log", "n", "ts_ms", "order_id", "status", "liquidity", "equity")
+    pick = lambda rows: {tuple(r[c] for c in cols) for r in rows if r.log != "order"} | {("order", r.order_id, r.status, r.closed_ms) for r in rows if r.log == "order"}
+    live, batch = pick(spark.table("closed").collect()), pick(replay(e, fixture_run()).collect())
+    assert live == batch and any(x[0] == "order" and x[2] == "expired" for x in live)

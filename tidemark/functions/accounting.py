@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def sign(side: Column) -> Column:
@@ -21,33 +25,34 @@ def linear(fills: DataFrame, key: list[str], order: list[str], fee_rate: float =
 def inverse(fills: DataFrame, key: list[str], order: list[str], multiplier: float = 1.0, fee_rate: float = 0.0) -> DataFrame:
     """One row per fill with inventory_after, average_entry (null when flat), realized_pnl, fee and cash_after in the base asset.
     Average entry is harmonic while a position grows; a fill through zero closes at the old entry and opens at its price.
-    The position is a fold in fill order per key, inside the JVM; a key is one account's history."""
+    Each position follows from the one before, so a key's history (one account's) is one task's fold over sorted columns."""
     eps = 1e-12
-    cols = F.struct(*order, F.col("price").alias("price"), F.col("quantity").alias("quantity"), sign(F.col("side")).alias("s"))
-    rows = fills.groupBy(*key).agg(F.array_sort(F.collect_list(cols)).alias("f"))
-    zero = F.struct(F.lit(0.0).alias("q"), F.lit(None).cast("double").alias("avg"), F.lit(0.0).alias("pnl"), F.lit(0.0).alias("fee"), F.lit(0.0).alias("cash"))
+    used = fills.select(*key, *(c for c in order if c not in key), *(F.col(c).cast("double").alias(c) for c in ("price", "quantity")), sign(F.col("side")).alias("__s"))
+    names = ["inventory_after", "average_entry", "realized_pnl", "fee", "cash_after"]
 
-    def step(a: Column, x: Column) -> Column:
-        q0, avg0, d, p = a["q"], a["avg"], x["s"] * x["quantity"], x["price"]
-        closing = F.least(F.abs(q0), x["quantity"])
-        pnl = F.when(q0 * d < 0, multiplier * closing * F.signum(q0) * (1.0 / avg0 - 1.0 / p)).otherwise(0.0)
-        q1 = F.when(F.abs(q0 + d) <= eps, 0.0).otherwise(q0 + d)
-        avg1 = (
-            F.when(q1 == 0.0, None)
-            .when((F.abs(q0) <= eps) | ((q0 * d < 0) & (x["quantity"] > F.abs(q0) + eps)), p)
-            .when(q0 * d > 0, (F.abs(q0) + x["quantity"]) / (F.abs(q0) / avg0 + x["quantity"] / p))
-            .otherwise(avg0)
-        )
-        fee = multiplier * x["quantity"] / p * fee_rate
-        return F.struct(q1.alias("q"), avg1.cast("double").alias("avg"), pnl.alias("pnl"), fee.alias("fee"), (a["cash"] + pnl - fee).alias("cash"))
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in [*order, "price", "quantity", "__s"]])
+        q, entry, cash, out = 0.0, None, 0.0, {x: [] for x in names}
+        for p, n, s in zip(*(t.column(c).to_pylist() for c in ("price", "quantity", "__s")), strict=True):
+            d, old = s * n, q
+            pnl = multiplier * min(abs(old), n) * math.copysign(1.0, old) * (1.0 / entry - 1.0 / p) if old * d < 0 else 0.0
+            q = 0.0 if abs(old + d) <= eps else old + d
+            if q == 0.0:
+                entry = None
+            elif abs(old) <= eps or (old * d < 0 and n > abs(old) + eps):
+                entry = p
+            elif old * d > 0:
+                entry = (abs(old) + n) / (abs(old) / entry + n / p)
+            fee = multiplier * n / p * fee_rate
+            cash += pnl - fee
+            for x, v in zip(names, (q, entry, pnl, fee, cash), strict=True):
+                out[x].append(v)
+        for x in names:
+            t = t.append_column(x, pa.array(out[x], pa.float64()))
+        return t.drop_columns("__s")
 
-    # states after each fill: a fold that appends; one account's fills only
-    states = F.aggregate("f", F.array().cast("array<struct<q:double,avg:double,pnl:double,fee:double,cash:double>>"), lambda acc, x: F.concat(acc, F.array(step(F.coalesce(F.try_element_at(acc, F.lit(-1)), zero), x))))
-    out = rows.select(*key, F.explode(F.arrays_zip(F.col("f"), states.alias("s"))).alias("z"))
-    return out.select(
-        *key, *(F.col(f"z.f.{c}") for c in order), F.col("z.f.price").alias("price"), F.col("z.f.quantity").alias("quantity"), F.col("z.s.q").alias("inventory_after"), F.col("z.s.avg").alias("average_entry"),
-        F.col("z.s.pnl").alias("realized_pnl"), F.col("z.s.fee").alias("fee"), F.col("z.s.cash").alias("cash_after"),
-    )
+    schema = T.StructType([f for f in used.schema.fields if f.name != "__s"] + [T.StructField(x, T.DoubleType()) for x in names])
+    return used.groupBy(*key).applyInArrow(fold, schema)
 
 
 def position_value(inventory: Column, average_entry: Column, mark: Column, inverse_contract: bool, multiplier: float = 1.0) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import largest_fall, numbered, with_lags
+
 
 def finite(value: str) -> Column:
     """Neither null nor NaN nor infinite."""
@@ -39,12 +39,7 @@ def markout_stats(rows: DataFrame, value: str = "markout", by: list[str] | None
 def drawdown(rows: DataFrame, value: str, order: list[str], key: list[str], from_first: bool = False) -> DataFrame:
     """Largest fall of a running total below its peak. The peak starts at 0 (profit steps), or with from_first at the first
     level (an equity curve; value is then the level itself)."""
-    w = Window.partitionBy(*key).orderBy(*order, value).rowsBetween(Window.unboundedPreceding, 0)  # ties of the order go by value
-    level = F.col(value) if from_first else F.sum(value).over(w)
-    d = rows.withColumn("__level", level)
-    peak = F.max("__level").over(w)
-    d = d.withColumn("__fall", (peak if from_first else F.greatest(peak, F.lit(0.0))) - F.col("__level"))
-    return d.groupBy(*key).agg(F.greatest(F.max("__fall"), F.lit(0.0)).alias("max_drawdown"))
+    return largest_fall(rows, value, order, key, from_first).select(*key, F.greatest("fall", F.lit(0.0)).alias("max_drawdown"))
 
 
 def pnl_stats(rows: DataFrame, value: str, key: list[str], tail: float = 0.05) -> DataFrame:
@@ -75,10 +70,9 @@ def dispersion(rows: DataFrame, n_parameters: int = 0) -> DataFrame:
 def acf(rows: DataFrame, value: str, order: list[str], key: list[str], max_lag: int = 10) -> DataFrame:
     """(key, lag, acf): row-lag autocorrelation with the global mean and the full-sample denominator. A constant series has 0
     beyond lag 0; a lag not shorter than the series is null."""
-    w = Window.partitionBy(*key).orderBy(*order, "__c")  # ties of the order go by value
     means = rows.groupBy(*key).agg(F.avg(value).alias("__m"))
-    c = rows.join(means, key).withColumn("__c", F.col(value) - F.col("__m"))
-    lagged = c.select(*key, "__c", *(F.lag("__c", k).over(w).alias(f"l{k}") for k in range(1, max_lag + 1)))
+    c = rows.join(means, key).withColumn("__c", F.col(value) - F.col("__m")).select(*{*key, *order}, "__c")
+    lagged = with_lags(numbered(c, [*order, "__c"], key), "__c", max_lag, key)  # ties of the order go by value
     sums = lagged.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col("__c") * F.col("__c")).alias("d"), *(F.sum(F.col("__c") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, max_lag + 1)))
     flat = F.col("d") <= 2.220446049250313e-16
     cells = [F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("acf"))]
@@ -98,7 +92,7 @@ def cross_side(rows: DataFrame, ts: str = "ts_ms") -> DataFrame:
 
 def paired_sides(rows: DataFrame, order: list[str]) -> DataFrame:
     """Without timestamps: the k-th bid with the k-th ask, to the shorter side's length."""
-    n = rows.withColumn("k", F.row_number().over(Window.partitionBy("side").orderBy(*order, "residual")))
+    n = numbered(rows, [*order, "residual"], ["side"]).withColumnRenamed("__k", "k")
     return n.where("side = 'bid'").select("k", F.col("residual").alias("bid_residual")).join(n.where("side = 'ask'").select("k", F.col("residual").alias("ask_residual")), "k")
 
 
@@ -126,32 +120,37 @@ def gate_frame(rows: DataFrame, order: list[str], max_lag: int = 10, least: floa
     return out.withColumns({"serial_dependence": serial, "cross_side_dependence": cross, "overdispersed": F.col("dispersion") > 1.5, "warranted": serial | cross})
 
 
-def bootstrap_ci(rows: DataFrame, cluster: str, bin_col: str, event: str, draws: int = 2000, batch: int = 250, seed: int = 0, low: float = 2.5, high: float = 97.5) -> DataFrame:
-    """(bin, observed, lower, upper): interval of each bin's event share under cluster resampling. Clusters' sums are
-    aggregated first; each batch of draws weighs them by multinomial counts in a task of its own. One cluster: the
-    interval is the share itself."""
-    sums = rows.groupBy(cluster, bin_col).agg(F.sum(event).cast("double").alias("e"), F.count("*").cast("double").alias("n")).toArrow()
-    names, who = np.unique(np.asarray(sums.column(cluster).to_pylist(), dtype=object).astype(str), return_inverse=True)
-    labels, where = np.unique(sums.column(bin_col).to_numpy(), return_inverse=True)
-    e, n = np.zeros((len(names), len(labels))), np.zeros((len(names), len(labels)))
-    np.add.at(e, (who, where), sums.column("e").to_numpy())
-    np.add.at(n, (who, where), sums.column("n").to_numpy())
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast((e, n))
-    jobs = -(-draws // batch)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, n = sent.value
-        for b in batches:
-            for k in b.column(0).to_pylist():
-                size = min(batch, draws - k * batch)
-                w = np.random.default_rng([seed, k]).multinomial(len(e), np.full(len(e), 1 / len(e)), size)
-                total = w @ n
-                share = np.where(total > 0, (w @ e) / np.where(total > 0, total, 1), np.nan)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(share.shape[1]), size)), pa.array(share.reshape(-1), pa.float64(), from_pandas=True)], names=["j", "share"])
-
-    drawn = spark.range(0, jobs, 1, jobs).mapInArrow(run, "j long, share double").where("share is not null")
-    ci = drawn.groupBy("j").agg(F.percentile("share", F.array(F.lit(low / 100), F.lit(high / 100))).alias("q"))
-    base = spark.createDataFrame([(j, int(labels[j]), float(e[:, j].sum() / n[:, j].sum())) for j in range(len(labels))], f"j long, {bin_col} int, observed double")
-    one = len(names) == 1
-    return base.join(ci, "j", "left").select(bin_col, "observed", (F.col("observed") if one else F.col("q")[0]).alias("lower"), (F.col("observed") if one else F.col("q")[1]).alias("upper"))
+def bootstrap_ci(
+    rows: DataFrame, cluster: str, bin_col: str, event: str, draws: int = 2000, batch: int = 250, seed: int = 0, low: float = 2.5, high: float = 97.5, bucket_clusters: int = 1 << 14,
+) -> DataFrame:
+    """(bin, observed, lower, upper): interval of each bin's event share under cluster resampling. Clusters' sums are dealt into
+    buckets of about bucket_clusters; a draw's number of picks in each bucket is multinomial, and so are the picks of
+    the bucket's clusters, which together is a draw over all clusters. Only the buckets' sizes come to the driver. A null
+    cluster is one cluster. One cluster: the interval is the share itself."""
+    own = rows.select(F.coalesce(F.col(cluster).cast("string"), F.lit("null")).alias("c"), F.col(bin_col).cast("int").alias("j"), F.col(event).cast("double").alias("v"))
+    n_buckets = max(1, -(-(own.agg(F.approx_count_distinct("c")).first()[0]) // bucket_clusters))
+    sums = own.groupBy("c", "j").agg(F.sum("v").alias("e"), F.count("*").cast("double").alias("n")).withColumn("b", F.pmod(F.xxhash64("c"), F.lit(n_buckets)).cast("int"))
+    sizes = dict(sums.groupBy("b").agg(F.count_distinct("c")).collect())
+    which = {b: k for k, b in enumerate(sorted(sizes))}
+    all_clusters, share = sum(sizes.values()), np.array([sizes[b] for b in sorted(sizes)], float)
+
+    def run(t: pa.Table) -> pa.Table:
+        mine = which[t.column("b")[0].as_py()]
+        names, who = np.unique(np.asarray(t.column("c").to_pylist(), dtype=object).astype(str), return_inverse=True)
+        labels, where = np.unique(t.column("j").to_numpy(), return_inverse=True)
+        e, n = np.zeros((len(names), len(labels))), np.zeros((len(names), len(labels)))
+        np.add.at(e, (who, where), t.column("e").to_numpy())
+        np.add.at(n, (who, where), t.column("n").to_numpy())
+        out = []
+        for k in range(-(-draws // batch)):
+            size = min(batch, draws - k * batch)
+            picks = np.random.default_rng([seed, k]).multinomial(all_clusters, share / share.sum(), size)[:, mine]
+            w = np.random.default_rng([seed, k, 1 + mine]).multinomial(picks, np.full(len(names), 1 / len(names)))
+            at = np.repeat(k * batch + np.arange(size), len(labels))
+            out.append(pa.table({"draw": pa.array(at, pa.int32()), "j": pa.array(np.tile(labels, size), pa.int32()), "e": (w @ e).reshape(-1), "n": (w @ n).reshape(-1)}))
+        return pa.concat_tables(out)
+
+    drawn = sums.groupBy("b").applyInArrow(run, "draw int, j int, e double, n double").groupBy("draw", "j").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).where("n > 0")
+    ci = drawn.groupBy("j").agg(F.percentile(F.col("e") / F.col("n"), F.array(F.lit(low / 100), F.lit(high / 100))).alias("q"))
+    base = sums.groupBy("j").agg((F.sum("e") / F.sum("n")).alias("observed"))
+    return base.join(ci, "j", "left").select(F.col("j").alias(bin_col), "observed", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))

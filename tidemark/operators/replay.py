@@ -13,10 +13,13 @@ from dataclasses import dataclass, field, fields
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import accounting
 from tidemark.functions.quotes import QuoteModel, deltas
+from tidemark.operators.asof import asof_forward
+from tidemark.sources.feeds import step_multiple
 
 EPS = 1e-12
 TERMINAL = frozenset({"filled", "canceled", "rejected", "expired"})
@@ -155,9 +158,9 @@ class Replay:
     # -- commands
     def place(self, order_id: str, side: str, price: float, quantity: float, ts: int, sequence: int, not_before: int = 0) -> None:
         if order_id in self.orders:
-            raise ValueError(f"duplicate order_id: {order_id}")
+            raise ValueError(f"order {order_id} was placed before")
         if self.config.quantity_step and abs((u := quantity / self.config.quantity_step) - round(u)) > 1e-9:
-            raise ValueError("order quantity must be a quantity_step multiple")
+            raise ValueError(f"{quantity} is no whole number of steps of {self.config.quantity_step}")
         o = _Order(order_id, side, decimal_tick(price, side, self.config.tick_size), quantity, ts, max(ts + self.config.placement_latency_ms, not_before), sequence)
         self.orders[order_id] = o
         self.due.setdefault(o.activation_ms, ([], []))[1].append(o)
@@ -340,6 +343,8 @@ class Replay:
             if booked and self.policy is not None:
                 got = self.policy.on_book(ts, self.book, self.inventory)
                 if got is not None:
+                    if len(got) != 2 or not all(x is None or (math.isfinite(x) and x > 0) for x in got):
+                        raise ValueError(f"a policy gives a bid and an ask, each a positive price or None, not {got!r}")
                     self.quote(got[0], got[1], self.order_quantity, ts, last, f"q{ts}")
             if ts in self._cutoff():  # no book at the horizon
                 self.policy.ended = True
@@ -399,19 +404,81 @@ def event_rows(books: DataFrame, trades: DataFrame, multiplier_units: float | No
     return out.withColumn("sequence", (F.row_number().over(Window.partitionBy("symbol", "ts_ms").orderBy("phase", "sequence")) - 1).cast("long"))
 
 
+#: What decides between rows of one millisecond and sequence: the kind, then these columns.
+TIES = {
+    "book": (0, "bid_price", "ask_price", "bid_qty", "ask_qty"), "trade": (1, "price", "quantity", "side"),
+    "cancel": (0, "order_id"), "quote": (1, "order_id", "bid_price", "ask_price", "quantity"), "place": (2, "order_id", "side", "price", "quantity"),
+}
+
+
+def canonical(row: dict) -> tuple:
+    """The order of replay: time, market rows before commands, sequence, kind, payload; the same for any order of input."""
+    rank, *names = TIES[row["kind"]]
+    return (row["ts_ms"], row["kind"] not in ("book", "trade"), row["sequence"], rank, *(-1.0 if row[x] is None or row[x] != row[x] else row[x] for x in names))
+
+
+def event_fault(events: DataFrame, config: ReplayConfig) -> Column:
+    """What is wrong with a row of events, null if nothing: kind, order, price, quantity, crossed, side, order_id or, for
+    inverse contracts with a quantity_step, step (fractional contracts tell of a source in other units)."""
+    col = {x: F.col(x) if x in events.columns else F.lit(None).cast(k) for x, k in (*((x, "string") for x in ("order_id", "side")), *((x, "double") for x in ("price", "quantity", "bid_price", "bid_qty", "ask_price", "ask_qty")))}
+    kind = F.col("kind")
+
+    def least(x: str, zero: bool = False) -> Column:
+        c = col[x]
+        return F.coalesce(~F.isnan(c) & (c < float("inf")) & ((c >= 0) if zero else (c > 0)), F.lit(False))
+
+    def all_of(*names: str, zero: bool = False) -> Column:
+        out = F.lit(True)
+        for x in names:
+            out = out & least(x, zero)
+        return out
+
+    sided = F.coalesce(col["side"].isin("buy", "sell"), F.lit(False))
+    named = F.coalesce(F.length(col["order_id"]) > 0, F.lit(False))
+    quoted = col["bid_price"].isNotNull() | col["ask_price"].isNotNull()
+    fault = F.when(F.col("ts_ms").isNull() | F.col("sequence").isNull(), "order").when(kind.isNull() | ~kind.isin(*TIES), "kind")
+    fault = fault.when(kind.isin("trade", "place") & ~least("price"), "price").when(kind.isin("trade", "place") & ~least("quantity"), "quantity").when(kind.isin("trade", "place") & ~sided, "side")
+    fault = fault.when((kind == "book") & ~all_of("bid_price", "ask_price"), "price").when((kind == "book") & ~all_of("bid_qty", "ask_qty", zero=True), "quantity")
+    fault = fault.when((kind == "book") & (col["bid_price"] >= col["ask_price"]), "crossed").when(kind.isin("place", "cancel", "quote") & ~named, "order_id")
+    fault = fault.when((kind == "quote") & ((col["bid_price"].isNotNull() & ~least("bid_price")) | (col["ask_price"].isNotNull() & ~least("ask_price"))), "price").when((kind == "quote") & quoted & ~least("quantity"), "quantity")
+    if config.inverse and config.quantity_step:
+        whole = {x: F.coalesce(step_multiple(col[x], config.quantity_step), F.lit(True)) for x in ("quantity", "bid_qty", "ask_qty")}
+        fault = fault.when(~(whole["quantity"] & whole["bid_qty"] & whole["ask_qty"]), "step")
+    return fault
+
+
+def checked(events: DataFrame, config: ReplayConfig, but: Column | None = None) -> DataFrame:
+    """events; the first faulty row met raises, those of `but` aside."""
+    fault = event_fault(events, config)
+    where = F.concat_ws(" ", F.lit("bad replay event:"), fault, F.lit("at"), F.coalesce(F.col("ts_ms").cast("string"), F.lit("null")), F.coalesce("kind", F.lit("null")))
+    return events.where(F.when(fault.isNull() | (F.lit(False) if but is None else but), True).otherwise(F.raise_error(where).cast("boolean")))
+
+
+def fill_markouts(fills: DataFrame, books: DataFrame, horizons_ms: list[int], config: ReplayConfig) -> DataFrame:
+    """(symbol, order_id, ts_ms, n, horizon_ms, observed_ms, mid, signed_pnl, signed_bps): each maker fill against the first book at or
+    after fill + horizon; null where the feed ends before. Liquidations have none."""
+    asked = fills.where("liquidity = 'maker'").select("symbol", "order_id", "side", "price", "ts_ms", "n", F.explode(F.array(*(F.lit(h).cast("long") for h in horizons_ms))).alias("horizon_ms"))
+    asked = asked.withColumn("due_ms", F.col("ts_ms") + F.col("horizon_ms"))
+    mids = books.select("symbol", "ts_ms", "sequence", F.col("ts_ms").alias("observed_ms"), (0.5 * (F.col("bid_price") + F.col("ask_price"))).alias("mid"))
+    pnl, bps = accounting.markout(F.col("side"), F.col("price"), F.col("mid"), config.inverse, config.multiplier)
+    seen = asof_forward(asked, mids, ["observed_ms", "mid"], at="due_ms")
+    return seen.select("symbol", "order_id", "ts_ms", "n", "horizon_ms", "observed_ms", "mid", pnl.alias("signed_pnl"), bps.alias("signed_bps"))
+
+
 def replay(events: DataFrame, make: Callable[[], Replay], max_events: int | None = None) -> DataFrame:
     """All logs of every symbol's run. events: symbol, ts_ms, phase, sequence, kind and the kinds' columns. A run is one
-    sequential history, hence one task; runs of different symbols are parallel. More than max_events rows raise."""
+    sequential history, hence one task; runs of different symbols are parallel. More than max_events rows raise, and so
+    does a faulty row."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = t.sort_by([("ts_ms", "ascending"), ("phase", "ascending"), ("sequence", "ascending")]).to_pylist()
+        rows = sorted(t.to_pylist(), key=canonical)
         if max_events is not None and len(rows) > max_events:
             raise ValueError(f"{len(rows)} events; max_events is {max_events}")
         r = make()
         r.run(rows)
         return logs_of(rows[0]["symbol"], r)
 
-    return events.groupBy("symbol").applyInArrow(run, LOGS)
+    return checked(events, make().config).groupBy("symbol").applyInArrow(run, LOGS)
 
 
 def fixture_run(tick: float = 0.5) -> Callable[[], Replay]:

@@ -441,7 +441,15 @@ def linear_accounting(spark: SparkSession, d: str) -> DataFrame:
     return acc.linear(f, ["day"], ["ts_ms", "sequence"], 0.0002).select("sequence", F.round("cash_after", 4).alias("cash_after"), "inventory_after")
 
 
-@query()
+INVERSE = f"""with recursive {EV}, f as materialized (select ts_ms//86400000 as day, ts_ms, sequence, price, quantity, case when buyer_is_maker then -1.0::double else 1.0::double end as s, row_number() over (partition by ts_ms//86400000 order by ts_ms, sequence) as k from tr),
+st as (select 0::bigint as k, day, null::bigint as ts_ms, null::bigint as sequence, null::double as price, null::double as quantity, 0.0::double as q, null::double as avg, 0.0::double as pnl, 0.0::double as fee, 0.0::double as cash from (select distinct day from f)
+union all select k, day, ts_ms, sequence, price, quantity, q1, case when q1 = 0 then null when abs(q) <= 1e-12 or (q * d < 0 and quantity > abs(q) + 1e-12) then price when q * d > 0 then (abs(q) + quantity) / (abs(q) / avg + quantity / price) else avg end, p1, fee1, cash + p1 - fee1
+from (select f.k, f.day, f.ts_ms, f.sequence, f.price, f.quantity, st.q, st.avg, st.cash, f.s * f.quantity as d, case when abs(st.q + f.s * f.quantity) <= 1e-12 then 0 else st.q + f.s * f.quantity end as q1,
+case when st.q * f.s * f.quantity < 0 then 100.0::double * least(abs(st.q), f.quantity) * sign(st.q) * (1 / st.avg - 1 / f.price) else 0.0::double end as p1, 100.0::double * f.quantity / f.price * 0.0002::double as fee1 from st join f on f.day = st.day and f.k = st.k + 1) x)
+select day, ts_ms, sequence, price, quantity, q as inventory_after, round(avg, 10) as average_entry, round(pnl, 10) as realized_pnl, round(fee, 10) as fee, round(cash, 10) as cash_after from st where k > 0"""
+
+
+@query(INVERSE)
 def inverse_accounting(spark: SparkSession, d: str) -> DataFrame:
     f = feeds.trades(spark, d).withColumns({"side": feeds.aggressor_side(F.col("buyer_is_maker")), "day": F.floor(F.col("ts_ms") / 86_400_000)})
     return rounded(acc.inverse(f, ["day"], ["ts_ms", "sequence"], 100.0, 0.0002), 10)
@@ -553,6 +561,13 @@ def quote_segments(spark: SparkSession, d: str) -> DataFrame:
     return rp.quote_segments(logs.where("log = 'order'"), logs.where("log = 'fill'"))
 
 
+@query()
+def replay_markouts(spark: SparkSession, d: str) -> DataFrame:
+    """The run's maker fills against the book ten minutes and a day later."""
+    logs = _replay(spark, d).where("log = 'fill'").select("symbol", "log", "n", "ts_ms", "order_id", "side", "price", "liquidity")
+    return rounded(rp.fill_markouts(logs, feeds.books(spark, d), [600_000, 86_400_000], rp.fixture_run()().config))
+
+
 @query(W + "select sequence, case when buyer_is_maker then 'sell' else 'buy' end as side, rint_qty as contracts, ms_seq from (select *, round_even(quantity * price / 100, 0) as rint_qty, row_number() over (partition by ts_ms order by sequence) - 1 as ms_seq from tr)")
 def replay_events(spark: SparkSession, d: str) -> DataFrame:
     t = feeds.trades(spark, d)

@@ -62,6 +62,16 @@ def month_paths(directory: str, symbol: str, month: str) -> tuple[str, str]:
     return f"{directory}/{symbol}-bookTicker-{month}.csv", f"{directory}/{symbol}-aggTrades-{month}.csv"
 
 
+def existing_month_paths(spark: SparkSession, directory: str, symbol: str, month: str) -> tuple[str, str]:
+    """month_paths, looked up in the directory's file system; missing files raise, all named."""
+    paths = month_paths(directory, symbol, month)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    if missing := [p for p, f in zip(paths, files, strict=True) if not f.getFileSystem(conf).isFile(f)]:
+        raise FileNotFoundError(f"no market data at {' and '.join(missing)}")
+    return paths
+
+
 def parse_timestamp_ms(value: str | None) -> int | None:
     """Integer milliseconds, or ISO-8601 (without zone: UTC)."""
     if value is None:
@@ -84,11 +94,16 @@ def first_rows(df: DataFrame, most: int | None) -> DataFrame:
     return df.orderBy("ts_ms", "sequence").limit(most) if most else df
 
 
-def order_violations(df: DataFrame, row_id: str) -> DataFrame:
+def order_violations(df: DataFrame, row_id: str, block_rows: int = 1 << 20) -> DataFrame:
     """Rows whose (ts, sequence) is below that of the row before in source order. A DataFrame has no order of its own, so the
-    source's row number is an explicit column."""
-    w = Window.partitionBy("symbol").orderBy(row_id)
-    return df.withColumns({"p_ts": F.lag("ts_ms").over(w), "p_seq": F.lag("sequence").over(w)}).where("p_ts > ts_ms or (p_ts = ts_ms and p_seq > sequence)")
+    source's row number is an explicit column; windows run over block_rows of it, and one row per block carries on."""
+    at = F.struct("ts_ms", "sequence")
+    b = df.withColumn("__b", F.floor(F.col(row_id) / block_rows))
+    own = b.withColumn("__p", F.lag(at).over(Window.partitionBy("symbol", "__b").orderBy(row_id)))
+    ends = b.groupBy("symbol", "__b").agg(F.max_by(at, row_id).alias("e")).withColumn("__e", F.lag("e").over(Window.partitionBy("symbol").orderBy("__b"))).drop("e")
+    out = own.join(ends, ["symbol", "__b"]).withColumn("__p", F.coalesce("__p", "__e"))
+    out = out.select(*df.columns, F.col("__p.ts_ms").alias("p_ts"), F.col("__p.sequence").alias("p_seq"))
+    return out.where("p_ts > ts_ms or (p_ts = ts_ms and p_seq > sequence)")
 
 
 def book_faults(books: DataFrame) -> DataFrame:
@@ -119,20 +134,30 @@ def normalise_side(c: Column) -> Column:
     return F.when(v.isin("bid", "buy", "b", "0"), "bid").when(v.isin("ask", "sell", "a", "1"), "ask").otherwise(F.raise_error(F.lit("unknown side")).cast("string"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): a text file's lines that are not blank with their numbers from 1, blank ones counted; of a folder, the files in
+    order of their names. A split's lines are counted first, so no task sees more than its split."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("m"))
+    splits = raw.groupBy("f", "s").agg(F.count("*").alias("c"), F.min("m").alias("m0"))  # one row a split
+    starts = splits.select("f", "s", "m0", (F.sum("c").over(Window.orderBy("f", "s")) - F.col("c")).alias("before"))
+    out = raw.join(F.broadcast(starts), ["f", "s"])
+    return out.where(F.length(F.trim("value")) > 0).select("value", (F.col("before") + F.col("m") - F.col("m0") + 1).alias("line"))
+
+
 def read_episodes_jsonl(spark: SparkSession, paths: list[str], most: int | None = None) -> DataFrame:
     """Episode JSONL files; the id gets its file's number as a prefix when there is more than one file, and is the line
-    number within the file where absent. Missing required fields raise."""
+    number within the file where absent. Missing required fields raise, with file and line. `most`: the first so
+    many rows in the order of files and lines."""
     out = None
     for k, path in enumerate(paths):
-        df = spark.read.schema(EPISODE_SCHEMA).json(path).withColumn("line", F.monotonically_increasing_id())
+        df = numbered_lines(spark, path).select(F.lit(k).alias("file"), "line", F.from_json("value", EPISODE_SCHEMA).alias("x"))
+        lacking = F.array_compact(F.array(*(F.when(F.col(f"x.{c}").isNull(), F.lit(c)) for c in EPISODE_REQUIRED)))
+        told = F.concat(F.lit(f"{path}:"), F.col("line").cast("string"), F.lit(": episode row lacks required field "), F.array_join(lacking, ", "))
+        df = df.where(F.when(F.size(lacking) == 0, True).otherwise(F.raise_error(told).cast("boolean")))
         own = F.coalesce("episode_id", F.col("line").cast("string"))
-        df = df.withColumn("episode_id", F.concat(F.lit(f"{k}:"), own) if len(paths) > 1 else own).drop("line")
+        df = df.select("file", "line", "x.*").withColumn("episode_id", F.concat(F.lit(f"{k}:"), own) if len(paths) > 1 else own)
         out = df if out is None else out.unionByName(df)
-    need = F.lit(True)
-    for c in EPISODE_REQUIRED:
-        need = need & F.col(c).isNotNull()
-    out = out.where(F.when(need, True).otherwise(F.raise_error(F.lit("episode row lacks a required field")).cast("boolean")))
-    return out.limit(most) if most else out
+    return (out.orderBy("file", "line").limit(most) if most else out).drop("file", "line")
 
 
 def null_odd(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.replay import LOGS, Replay, logs_of
+from tidemark.operators.replay import LOGS, Replay, canonical, checked, logs_of
 
 
 def stream_counts(trades: DataFrame, lateness: str = "10 seconds", width: str = "100 milliseconds") -> DataFrame:
@@ -22,29 +22,38 @@ def stream_counts(trades: DataFrame, lateness: str = "10 seconds", width: str =
 def stream_replay(events: DataFrame, make: Callable[[], Replay]) -> DataFrame:
     """Replay logs as they arise, keyed by symbol. Rows of a batch are put in order; those of its last millisecond wait in state
     for the next batch, as more of that millisecond may come. A row older than what was processed is logged as 'late'
-    and changes nothing. Fills and equity points come as they happen; orders once they are terminal."""
+    and changes nothing. Fills and equity points come as they happen; orders once, when they are terminal. A row of kind
+    'end' closes a symbol's run: what waits is processed, open orders expire and the position is liquidated, as
+    at the end of a batch run; later rows are late. A faulty row raises."""
     columns = [x.split()[0] for x in LOGS.split(", ")]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, held, seen, told = pickle.loads(state.get[0]) if state.exists else (make(), [], None, set())
-        rows = held + [r for b in batches for r in b.to_dict("records")]
+        run, held, seen, told = pickle.loads(state.get[0]) if state.exists else (make(), [], None, {})
+        fresh = [r for b in batches for r in b.to_dict("records")]
+        ended = any(r["kind"] == "end" for r in fresh)
+        rows = held + [r for r in fresh if r["kind"] != "end"]
         late = [r for r in rows if seen is not None and r["ts_ms"] <= seen]
-        rows = sorted((r for r in rows if seen is None or r["ts_ms"] > seen), key=lambda r: (r["ts_ms"], r["phase"], r["sequence"]))
-        held = [r for r in rows if r["ts_ms"] == rows[-1]["ts_ms"]] if rows else []
+        rows = sorted((r for r in rows if seen is None or r["ts_ms"] > seen), key=canonical)
+        held = [r for r in rows if r["ts_ms"] == rows[-1]["ts_ms"]] if rows and not ended else []
         ready = rows[: len(rows) - len(held)]
         if ready:
             run.advance(ready)
             seen = ready[-1]["ts_ms"]
+        if ended and seen is not None:
+            run.finish(seen)
+            seen = 2**63 - 1
         table = logs_of(key[0], run).to_pandas()
-        orders = (table["log"] == "order") & table["status"].isin(["filled", "canceled", "rejected", "expired"]) & ~table["order_id"].isin(told)
-        out = table[orders | (table["log"] != "order")]
-        told |= set(table.loc[orders, "order_id"])
+        closed = [o.order_id for o in run.orders.values() if o.done]
+        out = table[(table["log"] != "order") | table["order_id"].isin(closed)]
+        out = out.assign(n=out.groupby("log").cumcount() + out["log"].map(told).fillna(0).astype("int64"))  # numbers go on
+        told = {k: told.get(k, 0) + int((out["log"] == k).sum()) for k in ("order", "fill", "equity")}
         run.fills, run.equity = [], []
-        for o in [o for o in run.orders.values() if o.order_id in told]:
-            del run.orders[o.order_id]
-        state.update((pickle.dumps((run, held, seen, told if len(told) < 10_000 else set())),))
+        for k in closed:  # told once, then gone: the state holds open orders only
+            del run.orders[k]
+        state.update((pickle.dumps((run, held, seen, told)),))
         if late:
             out = pd.concat([out, pd.DataFrame([{"symbol": key[0], "log": "late", "n": k, "ts_ms": r["ts_ms"]} for k, r in enumerate(late)])])
         yield out.reindex(columns=columns)
 
-    return events.groupBy("symbol").applyInPandasWithState(step, LOGS, "run binary", "append", GroupStateTimeout.NoTimeout)
+    end = F.coalesce(F.col("kind") == "end", F.lit(False))
+    return checked(events, make().config, but=end).groupBy("symbol").applyInPandasWithState(step, LOGS, "run binary", "append", GroupStateTimeout.NoTimeout)
