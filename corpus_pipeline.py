@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages; each works on all that the one before kept.
 
-All stages but the last return the columns of documents. A document goes as a whole when its key is rejected; rows with a
-null key are judged nowhere and stay. Empty tables pass through every stage.
+All stages but the last return the columns of documents. A document goes as a whole when its key is rejected. Rows without a
+key are judged like all others, by a key made of their text and language: equal ones are copies of a document.
+Keys are integers below 2^62. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -18,26 +19,41 @@ from tidemark.llm.queries import tokenizer_file
 from tidemark.llm.suffix_dedup import remove_repeats
 
 
+MADE = 1 << 62  # made keys begin here, above all others, so that a row with a key of its own represents a group
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    made = F.lit(MADE) + F.shiftrightunsigned(F.xxhash64("text", F.length("text"), "lang"), 2)
+    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), made))
+
+
+def _as_given(keyed: DataFrame, docs: DataFrame) -> DataFrame:
+    own = F.when(F.col("doc_id") < MADE, F.col("doc_id")).cast(docs.schema["doc_id"].dataType)
+    return keyed.withColumn("doc_id", own).select(*docs.columns)
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is below the threshold go."""
-    scratch = Scratch(spark, "pipe-classify")
-    scores = quality_scores(docs, read_table(spark, sf_dir, "labels"), scratch)
-    return without(docs, "doc_id", scratch.table(scores.where("predicted = 0 and doc_id is not null").select("doc_id"), "gone"))
+    scratch, keyed = Scratch(spark, "pipe-classify"), _keyed(docs)
+    scores = quality_scores(keyed, read_table(spark, sf_dir, "labels"), scratch)
+    return _as_given(without(keyed, "doc_id", scratch.table(scores.where("predicted = 0").select("doc_id"), "gone")), docs)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base counts or their language's perplexity band go."""
-    scratch = Scratch(spark, "pipe-rules")
-    judged = quality_rules(docs, scratch)
-    return without(docs, "doc_id", scratch.table(judged.where("not kept and doc_id is not null").select("doc_id"), "gone"))
+    scratch, keyed = Scratch(spark, "pipe-rules"), _keyed(docs)
+    judged = quality_rules(keyed, scratch)
+    return _as_given(without(keyed, "doc_id", scratch.table(judged.where("not kept").select("doc_id"), "gone")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by near duplicates the document with the smallest key stays; of repeated rows, one."""
-    scratch = Scratch(spark, "pipe-near")
-    groups = scratch.table(jaccard_components(docs, scratch).where("doc_id is not null").select("doc_id", "component_id"), "groups")
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    return without(docs, "doc_id", groups.where("doc_id <> component_id").select("doc_id"), repeated)
+    """Of each group linked by near duplicates the document with the smallest key stays; of repeated rows, one. Rows with neither
+    key nor words are linked with nothing and stay."""
+    scratch, keyed = Scratch(spark, "pipe-near"), _keyed(docs)
+    groups = scratch.table(jaccard_components(keyed, scratch).select("doc_id", "n_shingles", "component_id"), "groups")
+    told_apart = groups.where((F.col("doc_id") < MADE) | (F.col("n_shingles") > 0))
+    repeated = told_apart.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    return _as_given(without(keyed, "doc_id", groups.where("doc_id <> component_id").select("doc_id"), repeated), docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
