@@ -30,3 +30,25 @@ def test_clean_documents_stay(spark):
     kept = corpus_pipeline.classify(spark, docs, "/root/testdata/sf0.01").join(labels, "doc_id")
     assert kept.where("quality = 1").count() >= 0.98 * docs.join(labels, "doc_id").where("quality = 1").count()
     assert kept.where("quality = 0").count() <= 0.1 * docs.join(labels, "doc_id").where("quality = 0").count()
+
+
+def test_rows_without_a_key_are_judged(spark):
+    """The same texts with and without keys: what is rejected by its text goes either way, and copies count as copies."""
+    sf = "/root/testdata/sf0.01"
+    docs = read_table(spark, sf, "documents").where("doc_id is not null").dropDuplicates(["text", "lang"])
+    bare = docs.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars")
+    texts = lambda df: sorted(str((r.text, r.lang)) for r in df.collect())
+    stage = corpus_pipeline.rules
+    kept = stage(spark, bare, sf)
+    assert kept.columns == docs.columns and kept.where("doc_id is not null").count() == 0
+    assert texts(kept) == texts(stage(spark, docs, sf)) and 0 < kept.count() < bare.count()
+    judged = corpus_pipeline.classify(spark, docs.unionByName(bare.withColumn("source", bare.source)), sf)
+    with_key, without_key = (texts(judged.where(x)) for x in ("doc_id is not null", "doc_id is null"))
+    assert with_key == without_key and 0 < len(with_key) < docs.count()
+
+    good = [f"{i} " + " ".join(f"word{(i * 7 + j * j) % 97}x{j}" for j in range(40)) for i in range(4)]
+    rows = [(1, good[0], "en"), (None, good[0], "en"), (None, good[1], "en"), (None, good[1], "en"), (None, good[1] + " more", "fr"), (None, good[2], None), (None, None, "a"), (None, None, "a"), (None, "", None)]
+    few = spark.createDataFrame([(*r, "s", 0) for r in rows], docs.schema)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, few, sf).collect()]
+    assert (1, good[0]) in left and (None, good[0]) not in left and (None, good[2]) in left
+    assert sum(t is not None and t.startswith(good[1]) for _, t in left) == 1 and sum(not t for _, t in left) == 3 and len(left) == 6
