@@ -174,3 +174,29 @@ def test_inverse_fold_is_linear(spark):
     f = spark.range(200_000).selectExpr("'a' as k", "id as n", "if(id % 2 = 0, 'buy', 'sell') as side", "100.0 + id % 7 as price", "1.0 + id % 3 as quantity")
     began = time.time()
     assert acc.inverse(f, ["k"], ["n"]).count() == 200_000 and time.time() - began < 60
+
+
+def test_month_pair(spark):
+    rows = spark.createDataFrame([("2024-01-01",), ("2024-02-01",), ("2024-03-01",)], "m string").select(F.col("m").cast("date").alias("month"))
+    assert sorted((str(r.month), r.part) for r in wf.month_pair(rows, "2024-01", "2024-03").collect()) == [("2024-01-01", "train"), ("2024-03-01", "test")]
+    with pytest.raises(ValueError, match="before"):
+        wf.month_pair(rows, "2024-02", "2024-02")
+    with pytest.raises(ValueError, match="2024-04"):
+        wf.month_pair(rows, "2024-01", "2024-04")
+
+
+def test_month_of_units(spark):
+    got = spark.range(1).select(*(wf.month_of(F.lit(-1 * per).cast("long"), u) for u, per in (("s", 1), ("ms", 1000), ("us", 10**6), ("ns", 10**9)))).first()
+    assert {str(x) for x in got} == {"1969-12-01"}
+
+
+def test_value_vector_and_time_grids(spark):
+    m = gq.QuoteModel(1.0, 1.5, 0.1, 0.3, 0.02, 3)
+    _, eta, alpha, beta = m.constants
+    q = np.arange(-3, 4.0)
+    step = np.eye(7) - (np.diag(alpha * q**2 - beta * q) - eta * (np.eye(7, k=1) + np.eye(7, k=-1))) * (2.0 / 2**20)
+    assert gq.finite_value(m, 2.0) == pytest.approx(np.linalg.matrix_power(step, 2**20) @ np.ones(7), rel=1e-5)
+    params = [(1, 1.0, 0.1), (2, 1.0, 0.3), (3, 0.5, 2.0), (4, 0.7, 0.7 / 3)]
+    rows = gq.time_grids(spark.createDataFrame(params, "id long, horizon double, dt double")).orderBy("id", "step").collect()
+    for k, horizon, dt in params:
+        assert [r.time for r in rows if r.id == k] == pytest.approx(list(gq.time_grid(horizon, dt)))

@@ -55,6 +55,14 @@ def relative_value(m: QuoteModel, tau: float) -> np.ndarray:
     return vectors @ (np.exp(-gaps * tau) * weights) if tau else np.ones(len(gaps))
 
 
+def finite_value(m: QuoteModel, tau: float) -> np.ndarray:
+    """v itself; for long times it may overflow, where relative_value does not."""
+    _, eta, alpha, beta = m.constants
+    q0 = -m.max_inventory
+    least = float(np.linalg.eigvalsh(np.diag([alpha * q * q - beta * q for q in range(q0, -q0 + 1)]) - eta * (np.eye(1 - 2 * q0, k=1) + np.eye(1 - 2 * q0, k=-1)))[0])
+    return relative_value(m, tau) * math.exp(-least * tau)
+
+
 def deltas(m: QuoteModel, q: int, tau: float) -> tuple[float | None, float | None]:
     """(bid, ask) distances from the mid; no bid at the upper bound, no ask at the lower."""
     if abs(q) > m.max_inventory:
@@ -98,6 +106,31 @@ def quote_distances(params: DataFrame, taus: list[float]) -> DataFrame:
     return grid.select("id", "A", "k", "gamma", "sigma", "mu", "max_inventory", "tau").mapInArrow(run, "id long, tau double, q int, bid double, ask double")
 
 
+def value_frame(params: DataFrame, taus: list[float]) -> DataFrame:
+    """(id, tau, q, value): the value vector of every parameter set over its inventory grid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.to_pylist():
+                m = QuoteModel(r["A"], r["k"], r["gamma"], r["sigma"], r["mu"], r["max_inventory"])
+                out += [(r["id"], r["tau"], i - m.max_inventory, float(v)) for i, v in enumerate(finite_value(m, r["tau"]))]
+            kinds = {"id": pa.int64(), "tau": pa.float64(), "q": pa.int32(), "value": pa.float64()}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+    grid = params.withColumn("tau", F.explode(F.array(*map(F.lit, taus))))
+    return grid.select("id", "A", "k", "gamma", "sigma", "mu", "max_inventory", "tau").mapInArrow(run, "id long, tau double, q int, value double")
+
+
+def time_grids(params: DataFrame) -> DataFrame:
+    """(id, step, time) of params (id, horizon, dt), as time_grid gives for each."""
+    ratio = F.col("horizon") / F.col("dt")
+    near = F.abs(ratio - F.rint(ratio)) <= 1e-12 * F.greatest(ratio, F.lit(1.0))
+    n = F.greatest(F.when(near, F.rint(ratio)).otherwise(F.ceil(ratio)), F.lit(1)).cast("int")
+    steps = params.withColumn("n", n).withColumn("step", F.explode(F.sequence(F.lit(0), "n")))
+    return steps.select("id", "step", F.when(F.col("step") == F.col("n"), F.col("horizon")).otherwise(F.least(F.col("step") * F.col("dt"), "horizon")).alias("time"))
+
+
 def time_grid(horizon: float, dt: float) -> np.ndarray:
     """0, dt, 2 dt, ... ending at the horizon; a ratio within 1e-12 of a whole number counts as that number."""
     ratio = horizon / dt

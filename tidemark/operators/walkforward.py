@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.hazard import evaluation, fill_probability
@@ -29,6 +29,23 @@ def monthly_splits(months: DataFrame, mode: str = "expanding", min_train: int =
     return test.join(F.broadcast(ranked), early).select("fold", "test_month", F.col("month").alias("train_month"))
 
 
+def month_of(ts: Column, unit: str = "ms") -> Column:
+    """First day of an epoch time's UTC month; the unit is given, never guessed."""
+    per = {"s": ts, "ms": F.floor(ts / 1000), "us": F.floor(ts / 1_000_000), "ns": F.floor(ts / 1_000_000_000)}[unit]
+    return F.trunc(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(per / 86_400).cast("int")), "month")
+
+
+def month_pair(rows: DataFrame, train: str, test: str) -> DataFrame:
+    """rows of two months (YYYY-MM) with `part`: train or test. The first must lie before the second, and both must have rows."""
+    if train >= test:
+        raise ValueError("the training month must lie before the test month")
+    name = F.date_format("month", "yyyy-MM")
+    chosen = rows.where(name.isin(train, test))
+    if missing := {train, test} - {r[0] for r in chosen.select(name).distinct().collect()}:
+        raise ValueError(f"no rows in {', '.join(sorted(missing))}")
+    return chosen.withColumn("part", F.when(name == train, "train").otherwise("test"))
+
+
 def constant_rate(rows: DataFrame, mode: str = "expanding", min_train: int = 1, window: int | None = None) -> DataFrame:
     """Out-of-sample rows with fold, rate and probability under the model rate = events / exposure of the training months of
     the row's side. Monthly sums are windowed; no row meets a fold but its own."""
