@@ -200,3 +200,15 @@ def test_value_vector_and_time_grids(spark):
     rows = gq.time_grids(spark.createDataFrame(params, "id long, horizon double, dt double")).orderBy("id", "step").collect()
     for k, horizon, dt in params:
         assert [r.time for r in rows if r.id == k] == pytest.approx(list(gq.time_grid(horizon, dt)))
+
+
+def test_flagged_risk(spark):
+    df = spark.createDataFrame([(True, False, None, None, 1.0, 2.0), (True, True, False, 5.0, 2.0, None), (None, False, False, None, None, None)], "f boolean, a boolean, c boolean, t double, u double, v double")
+    flags, times = tuple(map(F.col, "fac")), tuple(map(F.col, "tuv"))
+    assert [r[0] for r in df.select(hz.flagged_risk(flags, times)).collect()] == ["fill", "adverse_move", "none"]
+    for odd, told in ((None, "missing"), (-1.0, "missing"), (float("inf"), "missing"), (float("nan"), "missing"), (2.0, "simultaneous")):
+        row = spark.createDataFrame([(True, True, False, odd, 2.0, None)], df.schema)
+        with pytest.raises(Exception, match=told):
+            row.select(hz.flagged_risk(flags, times)).collect()
+    with pytest.raises(Exception, match="need event times"):
+        df.select(hz.flagged_risk(flags)).collect()

@@ -201,3 +201,19 @@ def competing_risk(fill: Column, adverse: Column, cancel: Column) -> Column:
     ties = sum((F.coalesce(t == first, F.lit(False)).cast("int") for t in (fill, adverse, cancel)), F.lit(0))
     named = F.when(fill == first, "fill").when(adverse == first, "adverse_move").when(cancel == first, "cancel")
     return F.when(first.isNull(), "none").when(ties > 1, F.raise_error(F.lit("simultaneous competing risks")).cast("string")).otherwise(named)
+
+
+def flagged_risk(flags: tuple[Column, Column, Column], times: tuple[Column, Column, Column] | None = None) -> Column:
+    """Label of three event flags (fill, adverse move, cancel; null: not seen). One flag needs no time; where several are set, the
+    earliest wins, and a row raises if times are not given, if one of a set flag is missing, odd or negative, or on a tie."""
+    on = [F.coalesce(f.cast("boolean"), F.lit(False)) for f in flags]
+    several = on[0].cast("int") + on[1].cast("int") + on[2].cast("int") > 1
+    alone = F.when(on[0], "fill").when(on[1], "adverse_move").when(on[2], "cancel").otherwise("none")
+    if times is None:
+        return F.when(several, F.raise_error(F.lit("several risks need event times")).cast("string")).otherwise(alone)
+    odd = F.lit(False)
+    for f, t in zip(on, times, strict=True):
+        good = t.isNotNull() & ~F.isnan(t.cast("double")) & (t >= 0) & (t < float("inf"))
+        odd = odd | (f & ~F.coalesce(good, F.lit(False)))
+    first = competing_risk(*(F.when(f, t) for f, t in zip(on, times, strict=True)))
+    return F.when(several & odd, F.raise_error(F.lit("an event time is missing or not a finite number from 0 on")).cast("string")).when(several, first).otherwise(alone)

@@ -12,7 +12,7 @@ from tidemark.operators import diagnostics as dg
 from tidemark.operators import hazard as hz
 from tidemark.operators import replay as rp
 from tidemark.operators import walkforward as wf
-from tidemark.plans.catalog import GRID, MONTHLY, W, _params, _taylor, query, rounded
+from tidemark.plans.catalog import GRID, MONTHLY, OOS, ORDER, W, _params, _residuals, _taylor, query, rounded
 from tidemark.sources import feeds
 from tidemark.sources.folders import new_folder
 
@@ -200,3 +200,21 @@ _VALUES = " union all ".join(f"select id, 1.0::double as tau, {q}::int as q, rou
 @query(_taylor().rpartition(" select id, 1.0::double as tau, -2::int")[0] + " " + _VALUES)
 def value_vector(spark: SparkSession, d: str) -> DataFrame:
     return rounded(gq.value_frame(_params(spark, d), [1.0]))
+
+
+BUNDLE = ", ".join(f"lag(c, {k}) over (partition by series, scope order by ts_ms, k1, k2, c) as l{k}" for k in (1, 2))
+
+
+@query(f"""with {OOS}, sr as (select 'count' as series, side, ts_ms, k1, k2, count::double as v from oo union all select 'residual', side, ts_ms, k1, k2, residual from oo), sc as (select *, side as scope from sr union all select *, 'all' from sr),
+ce as (select series, scope, ts_ms, k1, k2, v - avg(v) over (partition by series, scope) as c from sc), lg as (select series, scope, c, {BUNDLE} from ce), su as (select series, scope, sum(c * c) as d, sum(c * l1) as s1, sum(c * l2) as s2 from lg group by 1, 2)
+select series, scope, lag, round(case lag when 0 then 1.0::double when 1 then s1 / d else s2 / d end, 7) as acf from su, (select unnest([0, 1, 2])::int as lag) where d > 2.3e-16 union all select series, scope, lag, case when lag = 0 then 1.0::double else 0.0::double end from su, (select unnest([0, 1, 2])::int as lag) where d <= 2.3e-16""")
+def acf_bundle(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(dg.acf_bundle(_residuals(spark, d), ORDER, 2), 7)
+
+
+@query("""select event_id, case when (f + a + c) = 0 then 'none' when f * t1 + (1 - f) * 999 < least(a * t2 + (1 - a) * 999, c * t3 + (1 - c) * 999) then 'fill' when a * t2 + (1 - a) * 999 < c * t3 + (1 - c) * 999 then 'adverse_move' else 'cancel' end as risk
+from (select event_id, (event_id % 2 = 0)::int as f, (event_id % 3 = 0)::int as a, (event_id % 5 = 0)::int as c, event_id % 7 * 3 as t1, event_id % 11 * 3 + 1 as t2, event_id % 13 * 3 + 2 as t3 from events)""")
+def flagged_risk(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    label = hz.flagged_risk((i % 2 == 0, i % 3 == 0, i % 5 == 0), (i % 7 * 3, i % 11 * 3 + 1, i % 13 * 3 + 2))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", label.alias("risk"))
