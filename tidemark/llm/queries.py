@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.ball_kmeans import ball_kmeans
 from tidemark.llm.common import Scratch, read_table
 from tidemark.llm.embedding_dedup import near_vectors
+from tidemark.llm.fill_middle import fill_in_middle, restored
 from tidemark.llm.language_id import identify_languages
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.packing import pack
@@ -16,6 +18,7 @@ from tidemark.llm.quality_model import quality_scores
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.sharding import byte_shards
 from tidemark.llm.suffix_dedup import repeat_digest
+from tidemark.llm.toxicity import toxicity_scores
 from tidemark.llm.url_filter import url_verdicts
 from tidemark.llm.word_bpe import encode_decode
 
@@ -68,6 +71,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(read_table(spark, sf_dir, "documents"), Scratch(spark, "op11"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans(read_table(spark, sf_dir, "embeddings"), Scratch(spark, "op12")).drop("compared")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), Scratch(spark, "op13")).select("doc_id", "held_out", "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_quality_classifier, op3_suffix_array_dedup, op4_url_filters, op5_quality_rules,
-        op6_language_id, op7_sharding, op8_embedding_near_dedup, op9_best_fit_packing, op10_bpe, pipeline,
+        op6_language_id, op7_sharding, op8_embedding_near_dedup, op9_best_fit_packing, op10_bpe, op11_fill_in_middle,
+        op12_centroid_clustering, op13_toxicity, pipeline,
     )
 }
 
