@@ -58,9 +58,10 @@ def example_terms(rows: DataFrame) -> DataFrame:
     return rows.select("t", "y").mapInArrow(run, "y int, h long")
 
 
-def telling_terms(rows: DataFrame, n: tuple[int, int], most: int) -> np.ndarray:
-    """Sorted hashes of at most `most` words whose share of toxic examples differs from their share of clean ones beyond chance:
-    a log-likelihood ratio above 4 + 2 ln(words tried)."""
+def telling_terms(rows: DataFrame, n: tuple[int, int], most: int, ratio: float = 3.0) -> np.ndarray:
+    """Sorted hashes of at most `most` words whose share of toxic examples differs from their share of clean ones much (one at
+    least `ratio` times the other) and beyond chance (a log-likelihood ratio above 4 + 2 ln(words tried)). Frequent words that
+    differ a little tell nothing of a text, and would bring every example to every document."""
     counted = example_terms(rows).groupBy("h").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("q")).where("p + q >= 3").persist()
     try:
         tried = counted.count()
@@ -68,7 +69,8 @@ def telling_terms(rows: DataFrame, n: tuple[int, int], most: int) -> np.ndarray:
         df = F.col("p") + F.col("q")
         part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
         g2 = 2 * (part(F.col("p"), df * pos / all_) + part(F.col("q"), df * neg / all_) + part(pos - F.col("p"), (all_ - df) * pos / all_) + part(neg - F.col("q"), (all_ - df) * neg / all_))
-        got = counted.select("h", g2.alias("g")).where(F.col("g") > 4 + 2 * np.log(max(tried, 1))).orderBy(F.desc("g"), "h").limit(most).toArrow()
+        much = F.abs(F.log((F.col("p") + 0.5) * (neg + 1) / ((F.col("q") + 0.5) * (pos + 1)))) >= np.log(ratio)
+        got = counted.where(much).select("h", g2.alias("g")).where(F.col("g") > 4 + 2 * np.log(max(tried, 1))).orderBy(F.desc("g"), "h").limit(most).toArrow()
     finally:
         counted.unpersist()
     return np.sort(got.column("h").to_numpy())
