@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import DAY_MS
+from tidemark.operators.quantiles import exact_quantiles, with_quantiles
 
 
 def gaps(trades: DataFrame, block_ms: int = DAY_MS) -> DataFrame:
@@ -19,8 +20,9 @@ def gaps(trades: DataFrame, block_ms: int = DAY_MS) -> DataFrame:
 def interarrival(trades: DataFrame) -> DataFrame:
     """delta_count, mean, exact median and population coefficient of variation of the gaps."""
     g = gaps(trades).where("delta is not null")
-    return g.groupBy("symbol").agg(F.count("*").alias("delta_count"), F.avg("delta").alias("mean_ms"), F.median("delta").alias("median_ms"), F.stddev_pop("delta").alias("s")).select(
-        "symbol", "delta_count", "mean_ms", "median_ms", F.when(F.col("mean_ms") > 0, F.col("s") / F.col("mean_ms")).alias("cv")
+    t = g.groupBy("symbol").agg(F.count("*").alias("delta_count"), F.avg("delta").alias("mean_ms"), F.stddev_pop("delta").alias("s"))
+    return with_quantiles(t, exact_quantiles(g, ["symbol"], ["delta"], [0.5]), ["symbol"]).select(
+        "symbol", "delta_count", "mean_ms", F.col("q_delta")[0].alias("median_ms"), F.when(F.col("mean_ms") > 0, F.col("s") / F.col("mean_ms")).alias("cv")
     )
 
 
@@ -57,4 +59,5 @@ def minute_fano(trades: DataFrame, start_ms: int | None = None, end_ms: int | No
 
 def median_minute_fano(minutes: DataFrame) -> DataFrame:
     """The exact median over the minutes of minute_fano."""
-    return minutes.groupBy("symbol").agg(F.count("fano").alias("minutes"), F.median("fano").alias("median_fano"))
+    t = minutes.groupBy("symbol").agg(F.count("fano").alias("minutes"))
+    return with_quantiles(t, exact_quantiles(minutes, ["symbol"], ["fano"], [0.5]), ["symbol"]).select("symbol", "minutes", F.col("q_fano")[0].alias("median_fano"))

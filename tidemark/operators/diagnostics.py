@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import largest_fall, numbered, with_lags
+from tidemark.operators.quantiles import exact_quantiles, with_quantiles
 
 
 def finite(value: str) -> Column:
@@ -31,9 +32,12 @@ def rebased(rows: DataFrame, value: str, order: list[str], key: list[str], start
 
 
 def markout_stats(rows: DataFrame, value: str = "markout", by: list[str] | None = None, tail: float = 0.05) -> DataFrame:
-    return metric_slice(rows, value).groupBy(*(by or [])).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean_markout"), F.median(value).alias("median_markout"), F.avg((F.col(value) < 0).cast("double")).alias("adverse_fraction"), F.percentile(value, F.lit(tail)).alias("markout_tail")
-    )
+    """n, mean, exact median and tail, and the share below 0, of the finite values."""
+    by, own = by or [], metric_slice(rows, value)
+    q = exact_quantiles(own, by, [value], [0.5, tail])
+    t = own.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean_markout"), F.avg((F.col(value) < 0).cast("double")).alias("adverse_fraction"))
+    cut = F.col(f"q_{value}")
+    return with_quantiles(t, q, by).select(*by, "n", "mean_markout", cut[0].alias("median_markout"), "adverse_fraction", cut[1].alias("markout_tail"))
 
 
 def drawdown(rows: DataFrame, value: str, order: list[str], key: list[str], from_first: bool = False) -> DataFrame:
@@ -44,9 +48,13 @@ def drawdown(rows: DataFrame, value: str, order: list[str], key: list[str], from
 
 def pnl_stats(rows: DataFrame, value: str, key: list[str], tail: float = 0.05) -> DataFrame:
     """net, mean, population deviation, value at risk and expected shortfall (mean of values at or below the cutoff)."""
-    cut = rows.groupBy(*key).agg(F.percentile(value, F.lit(tail)).alias("cut"))
-    return rows.join(cut, key).groupBy(*key).agg(
-        F.sum(value).alias("net_pnl"), F.avg(value).alias("mean_pnl"), F.stddev_pop(value).alias("pnl_volatility"), (-F.first("cut")).alias("value_at_risk"), (-F.avg(F.when(F.col(value) <= F.col("cut"), F.col(value)))).alias("expected_shortfall")
+    cut = exact_quantiles(rows, key, [value], [tail]).select(*(F.col(c).alias(f"__{c}") for c in key), F.col(f"q_{value}")[0].alias("__cut"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    v = F.col(value)
+    return rows.join(cut, same).groupBy(*key).agg(
+        F.sum(v).alias("net_pnl"), F.avg(v).alias("mean_pnl"), F.stddev_pop(v).alias("pnl_volatility"), (-F.max("__cut")).alias("value_at_risk"), (-F.avg(F.when(v <= F.col("__cut"), v))).alias("expected_shortfall")
     )
 
 

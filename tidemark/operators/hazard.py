@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_quantiles, with_quantiles
+
 RAW = ("distance", "spread", "imbalance", "ofi", "volatility", "queue_ahead", "order_age")
 FEATURES = (*RAW, "tod_sin", "tod_cos")
 NOT_NEGATIVE = ("distance", "spread", "volatility", "queue_ahead", "order_age")
@@ -40,10 +42,7 @@ def features(rows: DataFrame, fraction: Column) -> DataFrame:
 
 def scaler_stats(rows: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:
     """One row: c_<name> exact median, s_<name> = IQR/1.349, else population deviation, else 1."""
-    sums = []
-    for n in names:
-        sums += [F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{n}"), F.stddev_pop(n).alias(f"d_{n}")]
-    s = rows.agg(*sums)
+    s = with_quantiles(rows.agg(*(F.stddev_pop(n).alias(f"d_{n}") for n in names)), exact_quantiles(rows, [], list(names), [0.25, 0.5, 0.75]), [])
     out = []
     for n in names:
         iqr = (F.col(f"q_{n}")[2] - F.col(f"q_{n}")[0]) / 1.349
@@ -186,13 +185,18 @@ def calibration(rows: DataFrame, n_bins: int = 10, by: list[str] | None = None)
     return rows.withColumn("bin", fixed_bin(F.col("probability"), n_bins)).groupBy(*(by or []), "bin").agg(F.avg("probability").alias("predicted"), F.avg("event").alias("observed"), F.count("*").alias("count"))
 
 
-def reliability(rows: DataFrame, n_bins: int = 10) -> DataFrame:
-    """Equal-frequency bins: edges are the different exact quantiles; a row's bin counts the inner edges at or below it."""
-    q = [float(x) for x in np.linspace(0.0, 1.0, n_bins + 1)]
-    edges = rows.agg(F.array_distinct(F.percentile("probability", F.array(*map(F.lit, q)))).alias("edges"))
-    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    b = rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("probability"))))
-    return b.groupBy("bin").agg(F.avg("probability").alias("predicted"), F.avg("event").alias("observed"), F.count("*").alias("count"))
+def reliability(rows: DataFrame, n_bins: int = 10, by: list[str] | None = None) -> DataFrame:
+    """Equal-frequency bins, of each group apart with `by`: edges are the different exact quantiles; a row's bin counts the inner
+    edges at or below it."""
+    by = by or []
+    q = exact_quantiles(rows, by, ["probability"], [float(x) for x in np.linspace(0.0, 1.0, n_bins + 1)])
+    edges = q.select(*(F.col(c).alias(f"__{c}") for c in by), F.array_distinct("q_probability").alias("__edges"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    inner = F.slice("__edges", 2, F.greatest(F.size("__edges") - 2, F.lit(0)))
+    b = rows.join(edges, same).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("probability"))))
+    return b.groupBy(*by, "bin").agg(F.avg("probability").alias("predicted"), F.avg("event").alias("observed"), F.count("*").alias("count"))
 
 
 def competing_risk(fill: Column, adverse: Column, cancel: Column) -> Column:
