@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tidemark.operators.scans import CHUNK, affine_scan, in_chunks, running_total
 
 
 def sign(side: Column) -> Column:
@@ -22,37 +20,28 @@ def linear(fills: DataFrame, key: list[str], order: list[str], fee_rate: float =
     return f.withColumns({"cash_after": cash - F.sum(s * F.col("notional") + F.col("fee")).over(w), "inventory_after": inventory + F.sum(s * F.col("quantity")).over(w)})
 
 
-def inverse(fills: DataFrame, key: list[str], order: list[str], multiplier: float = 1.0, fee_rate: float = 0.0) -> DataFrame:
+def inverse(fills: DataFrame, key: list[str], order: list[str], multiplier: float = 1.0, fee_rate: float = 0.0, chunk: int = CHUNK) -> DataFrame:
     """One row per fill with inventory_after, average_entry (null when flat), realized_pnl, fee and cash_after in the base asset.
     Average entry is harmonic while a position grows; a fill through zero closes at the old entry and opens at its price.
-    Each position follows from the one before, so a key's history (one account's) is one task's fold over sorted columns."""
-    eps = 1e-12
-    used = fills.select(*key, *(c for c in order if c not in key), *(F.col(c).cast("double").alias(c) for c in ("price", "quantity")), sign(F.col("side")).alias("__s"))
-    names = ["inventory_after", "average_entry", "realized_pnl", "fee", "cash_after"]
 
-    def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by([(c, "ascending") for c in [*order, "price", "quantity", "__s"]])
-        q, entry, cash, out = 0.0, None, 0.0, {x: [] for x in names}
-        for p, n, s in zip(*(t.column(c).to_pylist() for c in ("price", "quantity", "__s")), strict=True):
-            d, old = s * n, q
-            pnl = multiplier * min(abs(old), n) * math.copysign(1.0, old) * (1.0 / entry - 1.0 / p) if old * d < 0 else 0.0
-            q = 0.0 if abs(old + d) <= eps else old + d
-            if q == 0.0:
-                entry = None
-            elif abs(old) <= eps or (old * d < 0 and n > abs(old) + eps):
-                entry = p
-            elif old * d > 0:
-                entry = (abs(old) + n) / (abs(old) / entry + n / p)
-            fee = multiplier * n / p * fee_rate
-            cash += pnl - fee
-            for x, v in zip(names, (q, entry, pnl, fee, cash), strict=True):
-                out[x].append(v)
-        for x in names:
-            t = t.append_column(x, pa.array(out[x], pa.float64()))
-        return t.drop_columns("__s")
-
-    schema = T.StructType([f for f in used.schema.fields if f.name != "__s"] + [T.StructField(x, T.DoubleType()) for x in names])
-    return used.groupBy(*key).applyInArrow(fold, schema)
+    The position is a running sum, exact in decimals of 12 places. With it known, w = |position| / entry follows w' = a w + b: a
+    growing fill adds quantity / price, a shrinking one scales w, flat and flip start it anew. So histories are scanned in
+    chunks of rows, and a key's fills are many tasks' work. order[0] is a number; ties of the order go by price, quantity, side."""
+    used = fills.select(*key, *(c for c in order if c not in key), *(F.col(c).cast("double").alias(c) for c in ("price", "quantity")), sign(F.col("side")).alias("__s"))
+    rows = in_chunks(used, key, [*dict.fromkeys([*order, "price", "quantity", "__s"])], chunk)
+    step = (F.col("__s") * F.col("quantity")).cast("decimal(26,12)")
+    rows = running_total(rows, step, "__q").withColumns({"__old": (F.col("__q") - step).cast("double"), "__new": F.col("__q").cast("double")})
+    old, new, p, n = F.col("__old"), F.col("__new"), F.col("price"), F.col("quantity")
+    opens = (old == 0) | (old * new < 0)
+    grows = old * F.col("__s") > 0
+    a = F.when(opens | (new == 0), 0.0).when(grows, 1.0).otherwise(F.abs(new) / F.abs(old))
+    b = F.when(new == 0, 0.0).when(opens, F.abs(new) / p).when(grows, n / p).otherwise(0.0)
+    held = affine_scan(rows, {"__w": (a, b)})
+    closes = old * F.col("__s") < 0
+    pnl = F.when(closes, multiplier * F.least(F.abs(old), n) * F.signum(old) * (F.col("__w_before") / F.abs(old) - 1.0 / p)).otherwise(0.0)
+    out = held.withColumns({"inventory_after": new, "average_entry": F.when(new != 0, F.abs(new) / F.col("__w")), "realized_pnl": pnl, "fee": multiplier * n / p * fee_rate})
+    out = running_total(out, F.col("realized_pnl") - F.col("fee"), "cash_after")
+    return out.select(*(c for c in used.columns if c != "__s"), "inventory_after", "average_entry", "realized_pnl", "fee", "cash_after")
 
 
 def position_value(inventory: Column, average_entry: Column, mark: Column, inverse_contract: bool, multiplier: float = 1.0) -> Column:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import DAY_MS, asof_backward
+from tidemark.operators.scans import CHUNK, affine_scan, in_chunks
 
 
 def mid(bid: str = "bid_price", ask: str = "ask_price") -> Column:
@@ -54,49 +50,13 @@ def flow_steps(books: DataFrame, block_ms: int = DAY_MS) -> DataFrame:
     return with_previous(books, block_ms).withColumns({"ofi_step": F.when(known, 2.0 * raw / depth), "move": F.when(known, (mid() - before) / before * 10_000.0 / F.sqrt(elapsed))})
 
 
-def ewma_state(books: DataFrame, alpha: float = 0.05, block_ms: int = DAY_MS) -> DataFrame:
-    """books with `ofi` and `volatility` after each book, seeds 0 at a symbol's first book.
-
-    The recursion s = (1 - alpha) s + alpha x is linear: each block is scanned from zero, blocks' ends are chained in a fold over
-    one row per block, and the carried part decays by (1 - alpha) a row. Blocks hold at most a day, so no task sees a
-    whole history.
-    """
-    steps = flow_steps(books, block_ms).withColumns({"__b": F.floor(F.col("ts_ms") / block_ms), "x": F.coalesce("ofi_step", F.lit(0.0)), "y": F.coalesce(F.pow("move", F.lit(2.0)), F.lit(0.0))})
-    keep = books.columns
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in books.schema.fields)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by([("ts_ms", "ascending"), ("sequence", "ascending")])
-        decay, out = 1.0 - alpha, {}
-        for c in ("x", "y"):
-            s, vals = 0.0, t.column(c).to_numpy()
-            got = np.empty(len(vals))
-            for i, v in enumerate(vals.tolist()):
-                s = decay * s + alpha * v
-                got[i] = s
-            out[c] = pa.array(got)
-        n = pa.array(np.arange(1, t.num_rows + 1, dtype=np.int64))
-        cols = [t.column(c).combine_chunks() for c in keep] + [t.column("__b").combine_chunks(), n, out["x"], out["y"]]
-        yield pa.RecordBatch.from_arrays(cols, names=[*keep, "__b", "n", "x", "y"])
-
-    local = steps.groupBy("symbol", "__b").applyInArrow(lambda t: pa.Table.from_batches(list(scan(iter(t.to_batches())))), f"{kinds}, __b long, n long, x double, y double")
-    ends = local.groupBy("symbol", "__b").agg(F.max("n").alias("len"), F.max_by("x", "n").alias("ex"), F.max_by("y", "n").alias("ey"))
-
-    def chain(t: pa.Table) -> pa.Table:
-        t = t.sort_by("__b")
-        sx = sy = 0.0
-        cx, cy = [], []
-        for n, ex, ey in zip(*(t.column(c).to_pylist() for c in ("len", "ex", "ey")), strict=True):
-            cx.append(sx)
-            cy.append(sy)
-            d = math.pow(1.0 - alpha, n)
-            sx, sy = d * sx + ex, d * sy + ey
-        return pa.table({"symbol": t.column("symbol"), "__b": t.column("__b"), "cx": pa.array(cx, pa.float64()), "cy": pa.array(cy, pa.float64())})
-
-    carried = ends.groupBy("symbol").applyInArrow(chain, "symbol string, __b long, cx double, cy double")
-    d = F.pow(F.lit(1.0 - alpha), F.col("n"))
-    out = local.join(carried, ["symbol", "__b"])
-    return out.select(*keep, (F.col("x") + d * F.col("cx")).alias("ofi"), F.sqrt(F.greatest(F.col("y") + d * F.col("cy"), F.lit(0.0))).alias("volatility"))
+def ewma_state(books: DataFrame, alpha: float = 0.05, block_ms: int = DAY_MS, chunk: int = CHUNK) -> DataFrame:
+    """books with `ofi` and `volatility` after each book, seeds 0 at a symbol's first book: s = (1 - alpha) s + alpha x, by an affine
+    scan over chunks of rows, so no task sees a whole history."""
+    steps = in_chunks(flow_steps(books, block_ms), ["symbol"], ["ts_ms", "sequence"], chunk)
+    x, y = F.coalesce("ofi_step", F.lit(0.0)), F.coalesce(F.pow("move", F.lit(2.0)), F.lit(0.0))
+    out = affine_scan(steps, {"ofi": (F.lit(1.0 - alpha), alpha * x), "volatility": (F.lit(1.0 - alpha), alpha * y)})
+    return out.select(*books.columns, "ofi", F.sqrt(F.greatest("volatility", F.lit(0.0))).alias("volatility"))
 
 
 def end_of_ms(state: DataFrame) -> DataFrame:
