@@ -13,8 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import interval_join
+from tidemark.operators.asof import asof_backward, interval_join
 from tidemark.operators.bookstate import book_at, end_of_ms, ewma_state
+from tidemark.operators.crossing import VALUE, first_crossing
+from tidemark.sources.feeds import book_faults, step_multiple, trade_faults
+from tidemark.sources.folders import kept
 
 #: Order of terminal events that share a millisecond.
 FILL, ADVERSE, CANCEL, CENSORED = 0, 1, 2, 3
@@ -109,35 +112,83 @@ def depletion(active: DataFrame, trades: DataFrame, config: EpisodeConfig) -> Da
     return pairs.withColumns({"through": through, "taken": F.sum("quantity").over(life)})
 
 
-def terminals(active: DataFrame, depleted: DataFrame, state: DataFrame, config: EpisodeConfig) -> DataFrame:
-    """One row per resting order: end_ms, risk, filled_quantity; the first event wins, on a tie fill, adverse, cancel."""
-    size = F.lit(config.order_quantity)
-    own = F.when(F.col("through"), size).otherwise(F.least(size, F.col("taken") - F.col("queue0")))
-    fills = depleted.where("through or taken > queue0").groupBy("symbol", "episode_id").agg(F.min_by(F.struct(F.col("ts_ms").alias("t"), own.alias("f")), F.struct("ts_ms", "sequence")).alias("fill"))
-    away = config.adverse_move_ticks * config.tick_size
-    mids = state.select("symbol", "ts_ms", (0.5 * (F.col("bid_price") + F.col("ask_price"))).alias("m"))
-    moved = interval_join(active.select("symbol", "episode_id", "side", "activated_ms", "expires_ms", "mid0"), mids, "activated_ms", "expires_ms", config.horizon_ms)
-    adverse = moved.where(F.when(F.col("side") == "bid", F.col("m") <= F.col("mid0") - away).otherwise(F.col("m") >= F.col("mid0") + away)).groupBy("symbol", "episode_id").agg(F.min("ts_ms").alias("adverse_ms"))
-    out = active.join(fills, ["symbol", "episode_id"], "left").join(adverse, ["symbol", "episode_id"], "left")
+def level_volume(trades: DataFrame, config: EpisodeConfig, block_ms: int = 60_000) -> DataFrame:
+    """(symbol, k, ts_ms, v, p): running volume v of each side and price level at the end of each millisecond, p that of the
+    millisecond itself, exact in decimals. k names side and level. Windows hold a minute's milliseconds, so busy times are
+    spread; one row a minute carries on."""
+    level = F.rint(F.col("price") / config.tick_size).cast("long")
+    own = trades.where(F.abs(F.col("price") - level * config.tick_size) <= config.tolerance)
+    k = series("volume", F.when(F.col("buyer_is_maker"), "bid").otherwise("ask"), level)
+    ms = own.groupBy("symbol", k.alias("k"), "ts_ms").agg(F.sum(F.col("quantity").cast("decimal(26,12)")).cast(VALUE).alias("p")).withColumn("__b", F.floor(F.col("ts_ms") / block_ms))
+    w = Window.partitionBy("symbol", "k", "__b").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("symbol", "k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ms.groupBy("symbol", "k", "__b").agg(F.sum("p").alias("t")).withColumn("at", F.coalesce(F.sum("t").over(earlier), F.lit(0))).drop("t")
+    return ms.withColumn("own", F.sum("p").over(w)).join(starts, ["symbol", "k", "__b"]).select("symbol", "k", "ts_ms", (F.col("own") + F.col("at")).cast(VALUE).alias("v"), "p")
+
+
+def series(kind: str, side: Column | None = None, level: Column | None = None) -> Column:
+    return F.concat_ws(":", F.lit(kind), *([side] if side is not None else []), *([level.cast("string")] if level is not None else []))
+
+
+def volume_before(rows: DataFrame, volume: DataFrame, at: str, name: str) -> DataFrame:
+    """rows (with side and quote_price) with `name`, the volume at their side and price up to the millisecond `at`, its own included."""
+    named = volume.select(F.concat_ws("|", "k", "symbol").alias("symbol"), "ts_ms", "v")
+    asked = rows.withColumn("__symbol", F.col("symbol")).withColumn("symbol", F.concat_ws("|", "k", "symbol"))
+    found = asof_backward(asked, named, ["v"], at, "__")
+    return found.withColumn("symbol", F.col("__symbol")).withColumn(name, F.coalesce("__v", F.lit(0).cast(VALUE))).drop("__symbol", "__v")
+
+
+def terminals(active: DataFrame, trades: DataFrame, volume: DataFrame, state: DataFrame, config: EpisodeConfig) -> DataFrame:
+    """One row per resting order: end_ms, risk, filled_quantity, and k and base (its level's name and volume at activation); the
+    first event wins, on a tie fill, adverse, cancel.
+
+    A trade beyond the order's price fills it, so ahead of that only volume at its own price counts: the fill is the first
+    crossing of the running volume of its level, or the first trade through. Both, and the adverse move, are looked up
+    as first crossings; only the trades of the filling millisecond itself are met one by one."""
+    tick, bid, size = config.tick_size, F.col("side") == "bid", float(config.order_quantity)
+    away, tol = config.adverse_move_ticks * tick, config.tolerance
+    orders_ = active.withColumn("k", series("volume", F.col("side"), F.rint(F.col("quote_price") / tick).cast("long")))
+    orders_ = volume_before(orders_, volume, "activated_ms", "base")
+    sign = F.when(bid, -1.0).otherwise(1.0)
+    ask = lambda kind, k, thr, up, strict: F.struct(F.concat_ws("|", k, "symbol").alias("k"), F.struct("symbol", "episode_id", F.lit(kind).alias("kind")).alias("id"), F.col("activated_ms").alias("lo"), F.least("expires_ms", "last_ms").alias("hi"), thr.cast(VALUE).alias("thr"), up.alias("up"), F.lit(strict).alias("strict"))
+    asked = orders_.select(F.explode(F.array(
+        ask("adverse", series("mid"), F.col("mid0") + sign * away, ~bid, False), ask("through", series("trade", F.col("side")), F.col("quote_price") + sign * tol, ~bid, True),
+        ask("volume", F.col("k"), F.col("base") + F.col("queue0").cast(VALUE), F.lit(True), True),
+    )).alias("x")).select("x.*")
+    point = lambda df, k, s, v, p: df.select(F.concat_ws("|", k, "symbol").alias("k"), F.col("ts_ms").alias("t"), s.cast("long").alias("s"), v.cast(VALUE).alias("v"), p.cast(VALUE).alias("p"))
+    none = F.lit(0)
+    points = point(state, series("mid"), none, 0.5 * (F.col("bid_price") + F.col("ask_price")), none)
+    points = points.unionByName(point(trades, series("trade", F.when(F.col("buyer_is_maker"), "bid").otherwise("ask")), F.col("sequence"), F.col("price"), none))
+    points = points.unionByName(point(volume, F.col("k"), none, F.col("v"), F.col("p")))
+    hits = first_crossing(asked, points, config.horizon_ms).groupBy("id.symbol", "id.episode_id").agg(*(F.max(F.when(F.col("id.kind") == x, F.col("hit"))).alias(x) for x in ("adverse", "through", "volume")))
+    met = orders_.join(hits, ["symbol", "episode_id"], "left")
+    # the millisecond in which volume at the order's price fills it: its trades in their order, as one through may come first
+    t = trades.select("symbol", F.col("ts_ms").alias("__t"), "sequence", "price", "quantity", F.when(F.col("buyer_is_maker"), "bid").otherwise("ask").alias("__side"))
+    close = met.where("volume is not null and (through is null or volume.t <= through.t)").withColumns({"__t": F.col("volume.t"), "__side": F.col("side")}).join(t, ["symbol", "__t", "__side"])
+    beyond = F.when(bid, F.col("price") < F.col("quote_price") - tol).otherwise(F.col("price") > F.col("quote_price") + tol)
+    matched = F.when(bid, F.col("price") <= F.col("quote_price") + tol).otherwise(F.col("price") >= F.col("quote_price") - tol)
+    life = Window.partitionBy("symbol", "episode_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
+    own = close.where(matched).withColumn("__through", beyond)
+    own = own.withColumn("__taken", F.col("volume.v") - F.col("volume.p") - F.col("base") + F.sum(F.col("quantity").cast("decimal(26,12)")).over(life))
+    part = F.when(F.col("__through"), size).otherwise(F.least(F.lit(size), (F.col("__taken") - F.col("queue0").cast(VALUE)).cast("double")))
+    filled = own.where("__through or __taken > queue0").groupBy("symbol", "episode_id").agg(F.min_by(part, "sequence").alias("part"))
+    out = met.join(filled, ["symbol", "episode_id"], "left")
     event = lambda t, p: F.when(t.isNotNull(), F.struct(t.cast("long").alias("t"), F.lit(p).alias("p")))
     ends = F.array_min(F.array_compact(F.array(
-        event(F.col("fill.t"), FILL), event(F.col("adverse_ms"), ADVERSE), event(F.when(F.col("expires_ms") <= F.col("last_ms"), F.col("expires_ms")), CANCEL), event(F.col("last_ms"), CENSORED),
+        event(F.least("through.t", "volume.t"), FILL), event(F.col("adverse.t"), ADVERSE), event(F.when(F.col("expires_ms") <= F.col("last_ms"), F.col("expires_ms")), CANCEL), event(F.col("last_ms"), CENSORED),
     )))
     out = out.withColumn("end", ends)
     risk = F.when(F.col("end.p") == FILL, "fill").when(F.col("end.p") == ADVERSE, "adverse_move").when(F.col("end.p") == CANCEL, "cancel").otherwise("none")
-    return out.select(*active.columns, F.col("end.t").alias("end_ms"), risk.alias("risk"), F.when(F.col("end.p") == FILL, F.col("fill.f")).otherwise(0.0).alias("filled_quantity"))
+    return out.select(*active.columns, "k", "base", F.col("end.t").alias("end_ms"), risk.alias("risk"), F.when(F.col("end.p") == FILL, F.coalesce("part", F.lit(size))).otherwise(0.0).alias("filled_quantity"))
 
 
-def bins(ended: DataFrame, depleted: DataFrame, state: DataFrame, config: EpisodeConfig) -> DataFrame:
+def bins(ended: DataFrame, volume: DataFrame, state: DataFrame, config: EpisodeConfig) -> DataFrame:
     """Exposure intervals: bins anchored at activation up to the terminal event, each with the state at its start."""
     step = config.observation_interval_ms
     cut = ended.where("end_ms > activated_ms").withColumn("start_ms", F.explode(F.sequence(F.col("activated_ms"), F.col("end_ms") - 1, F.lit(step).cast("long"))))
     cut = cut.withColumn("stop_ms", F.least(F.col("start_ms") + step, F.col("end_ms")))
-    # volume taken up to a bin's start: trades of that millisecond come first
-    marks = cut.select("symbol", "episode_id", F.col("start_ms").alias("ts_ms"), F.lit(1).alias("kind"), F.lit(0.0).alias("quantity"), F.struct(*cut.columns).alias("row"))
-    flow = depleted.select("symbol", "episode_id", "ts_ms", F.lit(0).alias("kind"), "quantity")
-    life = Window.partitionBy("symbol", "episode_id").orderBy("ts_ms", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    both = marks.unionByName(flow, allowMissingColumns=True).withColumn("taken", F.sum("quantity").over(life)).where("kind = 1").select("row.*", "taken")
+    # volume taken up to a bin's start: trades of that millisecond come first, and none beyond the price came before the end
+    both = volume_before(cut, volume, "start_ms", "upto").withColumn("taken", (F.col("upto") - F.col("base")).cast("double"))
     at = book_at(both, state, "start_ms", "s_")
     tick = config.tick_size
     gap = F.when(F.col("side") == "bid", F.col("s_bid_price") - F.col("quote_price")).otherwise(F.col("quote_price") - F.col("s_ask_price")) / tick
@@ -154,9 +205,27 @@ def bins(ended: DataFrame, depleted: DataFrame, state: DataFrame, config: Episod
     )
 
 
+def checked_rows(books: DataFrame, trades: DataFrame, config: EpisodeConfig) -> tuple[DataFrame, DataFrame]:
+    """Both feeds as they are; a row that is not finite, crossed, not positive or off the quantity step raises before any order
+    meets it."""
+    def told(df: DataFrame, quantities: tuple[str, ...], what: str) -> DataFrame:
+        fault = F.col("fault")
+        if config.quantity_step is not None:
+            off = F.lit(False)
+            for q in quantities:
+                off = off | ~step_multiple(F.col(q), config.quantity_step)
+            fault = F.coalesce(fault, F.when(off, "off_step"))
+        fine = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit(f"invalid {what} row: "), fault)).cast("long")).otherwise(F.col("ts_ms"))
+        return df.withColumn("ts_ms", fine).drop("fault")
+
+    return told(book_faults(books), ("bid_qty", "ask_qty"), "book"), told(trade_faults(trades), ("quantity",), "trade")
+
+
 def build_intervals(books: DataFrame, trades: DataFrame, config: EpisodeConfig) -> DataFrame:
-    """All steps together: feeds to hazard intervals. What several steps read is kept (memory, then disk)."""
-    state = end_of_ms(ewma_state(books, config.state_ewma_alpha)).persist()
-    active = activations(orders(decision_grid(books, trades, config), state, config), state, config).persist()
-    depleted = depletion(active, trades, config).persist()
-    return bins(terminals(active, depleted, state, config), depleted, state, config)
+    """All steps together: feeds to hazard intervals. What several steps read is written to the shared folder once. Invalid rows
+    of either feed raise."""
+    books, trades = checked_rows(books, trades, config)
+    state = kept(end_of_ms(ewma_state(books, config.state_ewma_alpha)), "state")
+    volume = kept(level_volume(trades, config), "volume")
+    active = kept(activations(orders(decision_grid(books, trades, config), state, config), state, config), "active")
+    return bins(kept(terminals(active, trades, volume, state, config), "ended"), volume, state, config)

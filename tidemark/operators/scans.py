@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.ordering import numbered
-from tidemark.sources.folders import new_folder
+from tidemark.sources.folders import kept
 
 #: Rows of a chunk.
 CHUNK = 1 << 17
@@ -32,13 +32,7 @@ def composed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def in_chunks(rows: DataFrame, key: list[str], order: list[str], chunk: int = CHUNK) -> DataFrame:
     """rows with __g (the key as one value, null like any other), __k (place from 1 in the order) and __c (chunk), written once."""
     placed = numbered(rows.withColumn("__g", F.struct(*(F.col(c) for c in key))), order, ["__g"]).withColumn("__c", F.floor((F.col("__k") - 1) / chunk))
-    return _kept(placed, "chunks")
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(placed, "chunks")
 
 
 def running_total(rows: DataFrame, value: Column, name: str) -> DataFrame:
@@ -67,7 +61,7 @@ def affine_scan(rows: DataFrame, maps: dict[str, tuple[Column, Column]], seed: f
                 out = out.append_column(f"__{n}_{s}", pa.array(x))
         return out
 
-    local = _kept(given.groupBy("__g", "__c").applyInArrow(scan, schema), "scan")
+    local = kept(given.groupBy("__g", "__c").applyInArrow(scan, schema), "scan")
     last = local.groupBy("__g", "__c").agg(F.max_by(F.struct(*(F.col(f"__{n}_{s}") for n in names for s in "ab")), "__k").alias("e")).select("__g", "__c", "e.*")
     carries = T.StructType([last.schema["__g"], last.schema["__c"], *(T.StructField(f"__{n}_at", T.DoubleType()) for n in names)])
 

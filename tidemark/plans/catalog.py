@@ -22,6 +22,7 @@ from tidemark.operators import hazard as hz
 from tidemark.operators import replay as rp
 from tidemark.operators import walkforward as wf
 from tidemark.sources import feeds
+from tidemark.sources.folders import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -222,9 +223,12 @@ def _episode_steps(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     b, t, c = feeds.books(spark, d), feeds.trades(spark, d), ep.FIXTURE
     state = bs.end_of_ms(b).withColumns({"ofi": F.lit(0.0), "volatility": F.lit(0.0)})
     placed = ep.orders(ep.decision_grid(b, t, c), state, c)
-    active = ep.activations(placed, state, c).persist()
-    depleted = ep.depletion(active, t, c)
-    return state, placed, active, depleted, ep.terminals(active, depleted, state, c)
+    return t, state, placed, ep.activations(placed, state, c)
+
+
+def _ended(spark: SparkSession, d: str) -> DataFrame:
+    t, state, _, active = _episode_steps(spark, d)
+    return ep.terminals(kept(active, "active"), t, kept(ep.level_volume(t, ep.FIXTURE), "volume"), kept(state, "state"), ep.FIXTURE)
 
 
 @query(W + f", {GRID} select decision, decision_ms from gr")
@@ -234,22 +238,23 @@ def decision_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W + f", {ORDERS} select episode_id, side, distance_ticks, quote_price, activated_ms from od")
 def episode_orders(spark: SparkSession, d: str) -> DataFrame:
-    return _episode_steps(spark, d)[1].select("episode_id", "side", "distance_ticks", "quote_price", "activated_ms")
+    return _episode_steps(spark, d)[2].select("episode_id", "side", "distance_ticks", "quote_price", "activated_ms")
 
 
 @query(W + f", {ACTIVE} select episode_id, queue0, mid0, expires_ms from ac")
 def episode_activation(spark: SparkSession, d: str) -> DataFrame:
-    return _episode_steps(spark, d)[2].select("episode_id", "queue0", "mid0", "expires_ms")
+    return _episode_steps(spark, d)[3].select("episode_id", "queue0", "mid0", "expires_ms")
 
 
 @query(W + f", {DEPLETED} select episode_id, sequence, through, taken from dp")
 def episode_queue_depletion(spark: SparkSession, d: str) -> DataFrame:
-    return _episode_steps(spark, d)[3].select("episode_id", "sequence", "through", "taken")
+    t, _, _, active = _episode_steps(spark, d)
+    return ep.depletion(active, t, ep.FIXTURE).select("episode_id", "sequence", "through", "taken")
 
 
 @query(W + f", {ENDED} select episode_id, end_ms, risk, filled_quantity from et")
 def episode_terminal(spark: SparkSession, d: str) -> DataFrame:
-    return _episode_steps(spark, d)[4].select("episode_id", "end_ms", "risk", "filled_quantity")
+    return _ended(spark, d).select("episode_id", "end_ms", "risk", "filled_quantity")
 
 
 @query(W + f""", {BINS} select episode_id, start_ms as start_timestamp, stop_ms as end_timestamp, side, greatest(case when side = 'bid' then bid_price - quote_price else quote_price - ask_price end / 0.5, 0.0)::double as distance,
@@ -263,7 +268,7 @@ def episode_bins(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W + f", {ENDED} select side, risk, count(*) as episodes, round(sum((end_ms - activated_ms) / 1000.0::double), 6) as exposure, round(count(*) / sum((end_ms - activated_ms) / 1000.0::double), 10) as rate from et where end_ms > activated_ms group by 1, 2")
 def risk_rates_by_side(spark: SparkSession, d: str) -> DataFrame:
-    e = _episode_steps(spark, d)[4].where("end_ms > activated_ms").groupBy("side", "risk").agg(F.count("*").alias("episodes"), F.sum((F.col("end_ms") - F.col("activated_ms")) / 1000.0).alias("e"))
+    e = _ended(spark, d).where("end_ms > activated_ms").groupBy("side", "risk").agg(F.count("*").alias("episodes"), F.sum((F.col("end_ms") - F.col("activated_ms")) / 1000.0).alias("e"))
     return e.select("side", "risk", "episodes", F.round("e", 6).alias("exposure"), F.round(F.col("episodes") / F.col("e"), 10).alias("rate"))
 
 
