@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.scans import CHUNK, affine_scan, in_chunks, running_total
+from tidemark.sources.folders import kept
 
 
 def sign(side: Column) -> Column:
@@ -28,7 +29,7 @@ def inverse(fills: DataFrame, key: list[str], order: list[str], multiplier: floa
     growing fill adds quantity / price, a shrinking one scales w, flat and flip start it anew. So histories are scanned in
     chunks of rows, and a key's fills are many tasks' work. order[0] is a number; ties of the order go by price, quantity, side."""
     used = fills.select(*key, *(c for c in order if c not in key), *(F.col(c).cast("double").alias(c) for c in ("price", "quantity")), sign(F.col("side")).alias("__s"))
-    rows = in_chunks(used, key, [*dict.fromkeys([*order, "price", "quantity", "__s"])], chunk)
+    rows = kept(in_chunks(used, key, [*dict.fromkeys([*order, "price", "quantity", "__s"])], chunk), "fills")
     step = (F.col("__s") * F.col("quantity")).cast("decimal(26,12)")
     rows = running_total(rows, step, "__q").withColumns({"__old": (F.col("__q") - step).cast("double"), "__new": F.col("__q").cast("double")})
     old, new, p, n = F.col("__old"), F.col("__new"), F.col("price"), F.col("quantity")

@@ -148,7 +148,7 @@ def terminals(active: DataFrame, trades: DataFrame, volume: DataFrame, state: Da
     tick, bid, size = config.tick_size, F.col("side") == "bid", float(config.order_quantity)
     away, tol = config.adverse_move_ticks * tick, config.tolerance
     orders_ = active.withColumn("k", series("volume", F.col("side"), F.rint(F.col("quote_price") / tick).cast("long")))
-    orders_ = volume_before(orders_, volume, "activated_ms", "base")
+    orders_ = kept(volume_before(orders_, volume, "activated_ms", "base"), "orders")
     sign = F.when(bid, -1.0).otherwise(1.0)
     ask = lambda kind, k, thr, up, strict: F.struct(F.concat_ws("|", k, "symbol").alias("k"), F.struct("symbol", "episode_id", F.lit(kind).alias("kind")).alias("id"), F.col("activated_ms").alias("lo"), F.least("expires_ms", "last_ms").alias("hi"), thr.cast(VALUE).alias("thr"), up.alias("up"), F.lit(strict).alias("strict"))
     asked = orders_.select(F.explode(F.array(
@@ -159,9 +159,9 @@ def terminals(active: DataFrame, trades: DataFrame, volume: DataFrame, state: Da
     none = F.lit(0)
     points = point(state, series("mid"), none, 0.5 * (F.col("bid_price") + F.col("ask_price")), none)
     points = points.unionByName(point(trades, series("trade", F.when(F.col("buyer_is_maker"), "bid").otherwise("ask")), F.col("sequence"), F.col("price"), none))
-    points = points.unionByName(point(volume, F.col("k"), none, F.col("v"), F.col("p")))
+    points = kept(points.unionByName(point(volume, F.col("k"), none, F.col("v"), F.col("p"))), "points")
     hits = first_crossing(asked, points, config.horizon_ms).groupBy("id.symbol", "id.episode_id").agg(*(F.max(F.when(F.col("id.kind") == x, F.col("hit"))).alias(x) for x in ("adverse", "through", "volume")))
-    met = orders_.join(hits, ["symbol", "episode_id"], "left")
+    met = kept(orders_.join(hits, ["symbol", "episode_id"], "left"), "met")
     # the millisecond in which volume at the order's price fills it: its trades in their order, as one through may come first
     t = trades.select("symbol", F.col("ts_ms").alias("__t"), "sequence", "price", "quantity", F.when(F.col("buyer_is_maker"), "bid").otherwise("ask").alias("__side"))
     close = met.where("volume is not null and (through is null or volume.t <= through.t)").withColumns({"__t": F.col("volume.t"), "__side": F.col("side")}).join(t, ["symbol", "__t", "__side"])

@@ -30,9 +30,8 @@ def composed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def in_chunks(rows: DataFrame, key: list[str], order: list[str], chunk: int = CHUNK) -> DataFrame:
-    """rows with __g (the key as one value, null like any other), __k (place from 1 in the order) and __c (chunk), written once."""
-    placed = numbered(rows.withColumn("__g", F.struct(*(F.col(c) for c in key))), order, ["__g"]).withColumn("__c", F.floor((F.col("__k") - 1) / chunk))
-    return kept(placed, "chunks")
+    """rows with __g (the key as one value, null like any other), __k (place from 1 in the order) and __c (chunk)."""
+    return numbered(rows.withColumn("__g", F.struct(*(F.col(c) for c in key))), order, ["__g"]).withColumn("__c", F.floor((F.col("__k") - 1) / chunk))
 
 
 def running_total(rows: DataFrame, value: Column, name: str) -> DataFrame:
