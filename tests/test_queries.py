@@ -6,7 +6,7 @@ import pytest
 
 from tests.conftest import DATA
 from tidemark.operators import asof
-from tidemark.plans import audits, catalog  # noqa: F401
+from tidemark.plans import audits, catalog, reports  # noqa: F401
 
 
 def norm(v):

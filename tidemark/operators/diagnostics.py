@@ -128,14 +128,33 @@ def gate(n: int, peaks: dict[str, float], correlation: float | None, dispersion_
     }
 
 
-def gate_frame(rows: DataFrame, order: list[str], max_lag: int = 10, least: float = 0.10, z: float = 1.96) -> DataFrame:
-    """The gate as a one-row plan over out-of-sample rows with residual and side."""
+def residual_bundle(rows: DataFrame, order: list[str], max_lag: int = 10, n_parameters: int = 0, out_of_sample: bool = False) -> DataFrame:
+    """All residual diagnostics as one row: out_of_sample, n_observations, n_parameters, dispersion, correlation and pair_count of the
+    sides, and the autocorrelations by lag from 0, of counts and residuals, over all rows and each side (count_acf,
+    count_acf_bid, ...; null for a side without rows). rows: count, residual, side, ts_ms and the order."""
+    curves = acf_bundle(rows, order, max_lag)
+    cells = [F.array_sort(F.collect_list(F.when((F.col("series") == s) & (F.col("scope") == w), F.struct("lag", "acf")))).alias(f"{s}_acf" + ("" if w == "all" else f"_{w}")) for s in ("count", "residual") for w in ("all", "bid", "ask")]
+    wide = curves.agg(*cells)  # max_lag + 1 entries of each curve
+    wide = wide.select(*(F.when(F.size(c) > 0, F.transform(c, lambda x: x["acf"])).alias(c) for c in wide.columns))
+    one = dispersion(rows, n_parameters).withColumnRenamed("n", "n_observations").crossJoin(cross_side(rows)).crossJoin(wide)  # one row each
+    return one.withColumns({"out_of_sample": F.lit(out_of_sample), "n_parameters": F.lit(n_parameters)})
+
+
+def gate_frame(rows: DataFrame, order: list[str], max_lag: int = 10, least: float = 0.10, z: float = 1.96, out_of_sample: bool = True, n_parameters: int = 0, most_dispersion: float = 1.50) -> DataFrame:
+    """The gate as a one-row plan over rows with residual and side. It opens on out-of-sample rows alone; `reasons` lists what
+    speaks for or against: in_sample, serial, cross_side, overdispersed, nothing_left."""
+    if min(least, most_dispersion, z) <= 0:
+        raise ValueError("thresholds must be positive")
     peak = acf(rows, "residual", order, ["side"], max_lag).where("lag > 0").agg(F.max(F.when(F.col("side") == "bid", F.abs("acf"))).alias("bid_peak"), F.max(F.when(F.col("side") == "ask", F.abs("acf"))).alias("ask_peak"))
     limit = F.greatest(F.lit(least), F.lit(z) / F.sqrt(F.greatest(F.col("n"), F.lit(1))))
-    out = dispersion(rows).crossJoin(peak).crossJoin(cross_side(rows)).withColumn("threshold", limit)
+    out = dispersion(rows, n_parameters).crossJoin(peak).crossJoin(cross_side(rows)).withColumn("threshold", limit)
     serial = F.greatest(F.coalesce("bid_peak", F.lit(0.0)), F.coalesce("ask_peak", F.lit(0.0))) > F.col("threshold")
     cross = F.coalesce(F.abs("correlation") > F.col("threshold"), F.lit(False))
-    return out.withColumns({"serial_dependence": serial, "cross_side_dependence": cross, "overdispersed": F.col("dispersion") > 1.5, "warranted": serial | cross})
+    out = out.withColumns({"serial_dependence": serial, "cross_side_dependence": cross, "overdispersed": F.coalesce(F.col("dispersion") > most_dispersion, F.lit(False)), "out_of_sample": F.lit(out_of_sample)})
+    left = F.col("serial_dependence") | F.col("cross_side_dependence")
+    out = out.withColumn("warranted", F.col("out_of_sample") & left)
+    why = ((~F.col("out_of_sample"), "in_sample"), (F.col("serial_dependence"), "serial"), (F.col("cross_side_dependence"), "cross_side"), (F.col("overdispersed"), "overdispersed"), (F.col("out_of_sample") & ~left, "nothing_left"))
+    return out.withColumns({"decision": F.when(F.col("warranted"), "research_hawkes").otherwise("keep_state_dependent_poisson"), "reasons": F.array_compact(F.array(*(F.when(c, F.lit(x)) for c, x in why)))})
 
 
 def bootstrap_ci(

@@ -9,12 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.folds import BOUND, fit_folds, predicted
 from tidemark.operators.quantiles import exact_quantiles, with_quantiles
 
 RAW = ("distance", "spread", "imbalance", "ofi", "volatility", "queue_ahead", "order_age")
 FEATURES = (*RAW, "tod_sin", "tod_cos")
 NOT_NEGATIVE = ("distance", "spread", "volatility", "queue_ahead", "order_age")
-CLIP, BOUND = 12.0, 30.0
+CLIP = 12.0
 
 
 def time_fraction(ts: Column, unit: str = "ms") -> Column:
@@ -56,13 +57,6 @@ def scaled(rows: DataFrame, stats: DataFrame, names: tuple[str, ...] = FEATURES,
     return rows.crossJoin(F.broadcast(stats)).withColumns(z).drop(*(f"{k}_{n}" for n in names for k in "cs"))
 
 
-def _eta(beta: np.ndarray, names: tuple[str, ...]) -> Column:
-    out = F.lit(float(beta[0]))
-    for b, n in zip(beta[1:], names, strict=True):
-        out = out + F.lit(float(b)) * F.col(f"x_{n}")
-    return out
-
-
 @dataclass
 class PoissonGlm:
     """Log-link Poisson rates per side, exposure as offset, ridge on the summed objective except the intercept."""
@@ -71,64 +65,28 @@ class PoissonGlm:
     l2: float = 1e-3
     iterations: int = 50
     stats: DataFrame | None = None
-    beta: dict[str, np.ndarray] = field(default_factory=dict)
-    results: dict[str, dict] = field(default_factory=dict)
+    fits: dict = field(default_factory=dict)
 
     def fit(self, rows: DataFrame) -> PoissonGlm:
-        """Newton steps; each is one aggregate per side of gradient and Hessian sums, so the driver holds 10 x 10 numbers. A
-        step that does not lower the objective is halved. rows: features, side, count, exposure."""
-        self.stats = scaler_stats(rows, self.names).persist()
-        x = scaled(rows, self.stats, self.names).persist()
-        for r in x.groupBy("side").agg(F.count("*").alias("n"), F.sum("count").alias("y"), F.sum("exposure").alias("e")).orderBy("side").collect():
-            own = x.where(F.col("side") == r["side"])
-            beta = np.zeros(len(self.names) + 1)
-            beta[0] = np.clip(math.log((r["y"] + 0.5) / (r["e"] + 0.5)), -BOUND, BOUND)
-            value, grad, hess, n_iter, ok = *self._sums(own, beta), 0, False
-            for n_iter in range(1, self.iterations + 1):
-                step = np.linalg.solve(hess + 1e-10 * np.eye(len(beta)), grad)
-                size = 1.0
-                while True:
-                    trial = np.clip(beta - size * step, -BOUND, BOUND)
-                    got = self._sums(own, trial)
-                    if got[0] <= value + 1e-12 * abs(value) or size < 1e-6:
-                        break
-                    size /= 2
-                moved, (value, grad, hess), beta = float(np.abs(trial - beta).max()), got, trial
-                if moved < 1e-9:
-                    ok = True
-                    break
-            self.beta[r["side"]] = beta
-            rate = F.exp(F.greatest(F.least(_eta(beta, self.names), F.lit(BOUND)), F.lit(-BOUND)))
-            ll = own.withColumn("rate", rate).agg(log_likelihood()).first()[0]
-            self.results[r["side"]] = {"n_observations": r["n"], "event_count": float(r["y"]), "total_exposure": float(r["e"]), "log_likelihood": ll, "converged": ok, "iterations": n_iter, "gradient": float(np.abs(grad).max())}
-        x.unpersist()
+        """Newton steps, all sides in one pass a step. rows: features, side, count, exposure."""
+        self.fits = fit_folds(rows, self.names, None, self.l2, self.iterations, CLIP)
+        one = next(iter(self.fits.values()))
+        cells = {f"{k}_{n}": float(v[i]) for i, n in enumerate(self.names) for k, v in (("c", one.centre), ("s", one.scale))}
+        self.stats = rows.sparkSession.createDataFrame([tuple(cells.values())], ", ".join(f"{c} double" for c in cells)) if cells else None
         return self
 
-    def _sums(self, own: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        raw = _eta(beta, self.names)
-        eta = F.greatest(F.least(raw, F.lit(BOUND)), F.lit(-BOUND))
-        d = own.select("count", F.col("exposure").alias("e"), eta.alias("eta"), F.when((raw > -BOUND) & (raw < BOUND), 1.0).otherwise(0.0).alias("on"), *(F.col(f"x_{n}") for n in self.names))
-        d = d.withColumn("mu", F.col("e") * F.exp("eta"))
-        xs = [F.lit(1.0), *(F.col(f"x_{n}") for n in self.names)]
-        k = len(xs)
-        sums = [F.sum(F.col("mu") - F.col("count") * F.col("eta"))]
-        sums += [F.sum((F.col("mu") - F.col("count")) * F.col("on") * x) for x in xs]
-        sums += [F.sum(F.col("mu") * F.col("on") * xs[i] * xs[j]) for i in range(k) for j in range(i + 1)]
-        got = [float(v) for v in d.agg(*(s.alias(f"a{i}") for i, s in enumerate(sums))).first()]
-        ridge = np.full(k, self.l2)
-        ridge[0] = 0.0
-        hess = np.zeros((k, k))
-        hess[np.tril_indices(k)] = got[1 + k :]
-        hess = hess + np.tril(hess, -1).T + np.diag(ridge)
-        return got[0] + 0.5 * float((ridge * beta**2).sum()), np.array(got[1 : 1 + k]) + ridge * beta, hess
+    @property
+    def beta(self) -> dict[str, np.ndarray]:
+        return {s: f.beta for (_, s), f in sorted(self.fits.items())}
+
+    @property
+    def results(self) -> dict[str, dict]:
+        shown = ("n_observations", "event_count", "total_exposure", "log_likelihood", "converged", "iterations", "gradient")
+        return {s: {x: getattr(f, x) for x in shown} for (_, s), f in sorted(self.fits.items())}
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """rows with `rate`; a side that was not trained raises."""
-        x = scaled(rows, self.stats, self.names)
-        rate = F.raise_error(F.concat(F.lit("side was not trained: "), F.col("side"))).cast("double")
-        for side, beta in self.beta.items():
-            rate = F.when(F.col("side") == side, F.exp(F.greatest(F.least(_eta(beta, self.names), F.lit(BOUND)), F.lit(-BOUND)))).otherwise(rate)
-        return x.withColumn("rate", rate).drop(*(f"x_{n}" for n in self.names))
+        return predicted(rows, self.fits, self.names, None, CLIP)
 
 
 def fill_probability(rate: Column, exposure: Column) -> Column:
@@ -171,6 +129,14 @@ def evaluation(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def evaluation_report(rows: DataFrame, by: list[str] | None = None, n_bins: int = 10) -> DataFrame:
+    """The eleven measures of evaluation with `curve`, the calibration in fixed bins as an array of (bin, predicted, observed, count)."""
+    by = by or []
+    own = rows.withColumns({"probability": fill_probability(F.col("rate"), F.col("exposure")), "event": (F.col("count") > 0).cast("double")})
+    curve = calibration(own, n_bins, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", "predicted", "observed", "count"))).alias("curve"))  # n_bins entries at most
+    return with_quantiles(evaluation(rows, by), curve, by)
+
+
 def fixed_bin(probability: Column, n_bins: int = 10) -> Column:
     """Number of the calibration bin; edges are those of an even float grid, the last bin is closed."""
     edges = [float(e) for e in np.linspace(0.0, 1.0, n_bins + 1)]

@@ -33,11 +33,11 @@ def _picked(rows: DataFrame, key: list[str], ranks: list[Column]) -> DataFrame:
     return upto.groupBy(*key).agg(*(F.max(F.when(here(r), F.col("v"))).alias(f"r{i}") for i, r in enumerate(ranks)))
 
 
-def exact_quantiles(rows: DataFrame, by: list[str], values: list[str], probabilities: list[float], most_values: int = MOST_VALUES, splits: int = 64) -> DataFrame:
+def exact_quantiles(rows: DataFrame, by: list[str], values: list[str], probabilities: list[float], most_values: int = MOST_VALUES, splits: int = 64, weight: str | None = None) -> DataFrame:
     """One row per group: by, and for each value column q_<name>, the array of its quantiles (linear between the two nearest
     ranks), all columns, groups and quantiles together. Nulls do not count, NaN is above all numbers; a column without values
     in a group has null. A task orders at most about most_values different values of a group and column; larger groups are
-    narrowed down first, by tables in the shared folder."""
+    narrowed down first, by tables in the shared folder. weight: a column of whole numbers, how often a row counts."""
     spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "quantiles")
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -46,17 +46,18 @@ def exact_quantiles(rows: DataFrame, by: list[str], values: list[str], probabili
 
     group = F.struct(*(F.col(c) for c in by)) if by else F.struct(F.lit(0).alias("all"))
     cells = F.explode(F.array(*(F.struct(F.lit(i).alias("j"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values))))
-    flat = rows.select(group.alias("g"), cells.alias("x")).select("g", "x.j", "x.v").where("v is not null")
-    sizes = kept(flat.groupBy("g", "j").agg(F.count("*").alias("n")), "sizes")
+    once = (F.col(weight) if weight else F.lit(1)).cast("long")
+    flat = rows.select(group.alias("g"), cells.alias("x"), once.alias("c")).select("g", "x.j", "x.v", "c").where("v is not null")
+    sizes = kept(flat.groupBy("g", "j").agg(F.sum("c").alias("n")), "sizes")
     spot = lambda p: F.lit(float(p)) * (F.col("n") - 1)
     ranks = lambda p: (F.floor(spot(p)) + 1, F.ceil(spot(p)) + 1)
     pairs = [r for p in probabilities for r in ranks(p)]
     n_groups, largest = sizes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     if largest <= most_values:
-        counted = flat.groupBy("g", "j", "v").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy("g", "j")))
+        counted = flat.groupBy("g", "j", "v").agg(F.sum("c").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy("g", "j")))
         found = _picked(counted, ["g", "j"], pairs)
     else:
-        key, work = ["g", "j"], flat.withColumn("c", F.lit(1).cast("long"))
+        key, work = ["g", "j"], flat
         targets = kept(sizes.select("g", "j", F.posexplode(F.array(*pairs)).alias("t", "r")), "targets0")
         # the first splitters bracket the wanted ranks as closely as the sketch can; later ones cut evenly
         fractions = sorted({min(1.0, max(0.0, p + s)) for p in probabilities for s in (-2 * ERROR, 2 * ERROR)})

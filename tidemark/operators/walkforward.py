@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.folds import fit_folds, predicted
 from tidemark.operators.hazard import evaluation, fill_probability
+from tidemark.sources.folders import kept
 
 
 def monthly_splits(months: DataFrame, mode: str = "expanding", min_train: int = 1, window: int | None = None) -> DataFrame:
@@ -75,5 +77,21 @@ def walk_forward(rows: DataFrame, factory: Callable[[], object], mode: str = "ex
     return out.withColumn("probability", fill_probability(F.col("rate"), F.col("exposure")))
 
 
+def walk_forward_glm(
+    rows: DataFrame, names: tuple[str, ...], mode: str = "expanding", min_train: int = 1, window: int | None = None, l2: float = 1e-3, iterations: int = 50,
+) -> tuple[DataFrame, DataFrame]:
+    """(out-of-sample rows with fold, rate, probability; one row per fold and side of how it was fitted). All folds and sides take
+    their Newton steps together, each with its own scaler over its own training months. A test row whose side its fold was
+    not trained on raises."""
+    splits = kept(monthly_splits(rows, mode, min_train, window), "splits")
+    fits = fit_folds(rows, names, splits, l2, iterations)
+    if not fits:
+        raise ValueError("no eligible test month")
+    oos = predicted(rows, fits, names, splits)
+    kinds = "fold int, side string, n_observations long, event_count double, total_exposure double, log_likelihood double, converged boolean, iterations int, gradient double, n_parameters int, coefficients array<double>"
+    told = [(f, s, x.n_observations, x.event_count, x.total_exposure, x.log_likelihood, x.converged, x.iterations, x.gradient, len(x.beta), x.beta.tolist()) for (f, s), x in sorted(fits.items())]
+    return oos.withColumn("probability", fill_probability(F.col("rate"), F.col("exposure"))), rows.sparkSession.createDataFrame(told, kinds)
+
+
 def fold_metrics(oos: DataFrame) -> DataFrame:
     return evaluation(oos, ["fold", "month"])

@@ -522,11 +522,6 @@ def glft_quotes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(gq.quote_distances(_params(spark, d), [1.0]))
 
 
-# The names under which an earlier version gave all of part, when the four above did not.
-for _name in ("glft_constants", "glft_matrix", "poisson_intensity", "glft_quotes"):
-    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
-
-
 @query()
 def poisson_simulation(spark: SparkSession, d: str) -> DataFrame:
     seeds = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("seed"))
