@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, chunks, with_maybe
+from tidemark.llm.common import Scratch, chunks, id_filter, with_maybe
 from tidemark.llm.kernels import mix
 from tidemark.llm.measures import base
 
@@ -88,8 +88,8 @@ def _salts(langs: list[str], sizes: np.ndarray) -> np.ndarray:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """(lang, g, h, n) over all rows (l, t): grams of GRAM code points, their hashes, and how many texts have them; each
-    task adds up first."""
+    """(lang, g, h, n) over all rows (l, t): grams of GRAM code points, their hashes, and how often they occur; each task adds up
+    first."""
 
     def merged(parts: list[tuple]) -> tuple:
         h, n, who, g = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -116,9 +116,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 sizes, grams = np.diff(offs), windows(cp, offs)
                 who = np.repeat(np.array([names.setdefault(x, len(names)) for x in langs[a:b]], np.int32), sizes)
                 own = gram_hashes(grams, _salts(langs[a:b], sizes))
-                spot = np.concatenate([x + np.unique(own[x:y], return_index=True)[1] for x, y in zip(offs[:-1], offs[1:], strict=True)])
-                h, first, n = np.unique(own[spot], return_index=True, return_counts=True)
-                first = spot[first]
+                h, first, n = np.unique(own, return_index=True, return_counts=True)
                 parts.append((h, n, who[first], np.stack([x[first] for x in grams], axis=1)))
                 if sum(len(x[0]) for x in parts) > MERGE_ROWS:
                     parts = [merged(parts)]
@@ -131,36 +129,57 @@ def count_grams(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "lang string, g string, h long, n long").groupBy("lang", "g", "h").agg(F.sum("n").alias("n"))
 
 
+def entry_hashes(grams: pa.Array, langs: pa.Array, kind: str) -> np.ndarray:
+    """Hashes of the model's other entries: shorter grams ('p' and length) and contexts' back-off weights ('b' and length)."""
+    size = int(kind[1:])
+    cp = np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, size) if size else np.zeros((len(grams), 0), np.uint32)
+    return gram_hashes(list(cp.T), _salts([f"{x}\0{kind}" for x in langs.to_pylist()], np.ones(len(grams), np.int64)))
+
+
+def _entries(df: DataFrame, kind: str) -> DataFrame:
+    """(h, log_p) of rows (lang, g, log_p)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(entry_hashes(batch.column("g"), batch.column("lang"), kind)), batch.column("log_p")], names=["h", "log_p"])
+
+    return df.select("lang", "g", F.col("log_p").cast("float").alias("log_p")).mapInArrow(run, "h long, log_p float")
+
+
 def fit_model(grams: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, log_p) of every gram: interpolated modified Kneser-Ney of order GRAM, level by level in Spark.
+    """(h, log_p): interpolated modified Kneser-Ney of order GRAM, level by level in Spark, as entries of one hash array: every gram's
+    probability, those of its shorter ends, and each context's weight for backing off to them.
 
-    Lower orders count the different symbols ahead of a gram. The texts that are scored are those counted, so each of
-    their grams is here and no back-off weight is needed."""
+    Lower orders count the different symbols ahead of a gram; a symbol never seen has a uniform share."""
     levels = [scratch.table(grams, "grams")]
     for m in range(GRAM - 1, 0, -1):
         lower = levels[-1].groupBy("lang", F.substring("g", 2, m).alias("g")).agg(F.count("*").alias("n"))
         levels.append(scratch.table(lower, f"level{m}"))
-    p = None
+    p, out = None, None
     for m, level in enumerate(reversed(levels), 1):
         found = level.groupBy("lang").agg(*(F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)), F.count("*").alias("types"))
         y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
         cut = [F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(f"n{k}", F.lit(1.0)), F.lit(0.05)), F.lit(k - 0.05)).alias(f"d{k}") for k in (1, 2, 3)]
-        cuts = F.broadcast(found.select("lang", "types", *cut))
+        cuts = F.broadcast(found.select("lang", "types", *cut))  # a row a language
         kinds = (F.count_if(F.col("n") == 1).alias("k1"), F.count_if(F.col("n") == 2).alias("k2"), F.count_if(F.col("n") > 2).alias("k3"))
         level = level.withColumn("c", F.substring("g", 1, m - 1))
-        ctx = level.groupBy("lang", "c").agg(F.sum("n").alias("total"), *kinds)
-        got = level.join(ctx, ["lang", "c"]).join(cuts, "lang")
+        gamma = F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")
+        ctx = level.groupBy("lang", "c").agg(F.sum("n").alias("total"), *kinds).join(cuts, "lang").withColumn("weight", gamma / F.col("total"))
+        got = level.join(ctx, ["lang", "c"])
         if p is None:
             got = got.withColumn("below", 1 / F.col("types"))
+            uniform = F.log(F.col("weight") / F.col("types"))
+            out = _entries(ctx.select("lang", F.lit("").alias("g"), uniform.alias("log_p")), "p0")
         else:
             lower = p.select("lang", F.col("g").alias("s"), F.col("p").alias("below"))
             got = got.withColumn("s", F.substring("g", 2, m - 1)).join(lower, ["lang", "s"])
+            out = out.unionByName(_entries(ctx.select("lang", F.col("c").alias("g"), F.log("weight").alias("log_p")), f"b{m - 1}"))
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        gamma = F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")
-        got = got.withColumn("p", (F.col("n") - d + gamma * F.col("below")) / F.col("total"))
+        got = got.withColumn("p", (F.col("n") - d) / F.col("total") + F.col("weight") * F.col("below"))
         if m == GRAM:
-            return got.select("h", F.log("p").cast("float").alias("log_p"))
+            return out.unionByName(got.select("h", F.log("p").cast("float").alias("log_p")))
         p = scratch.table(got.select("lang", "g", "p"), f"p{m}")
+        out = out.unionByName(_entries(p.select("lang", "g", F.log("p").alias("log_p")), f"p{m}"))
     raise AssertionError
 
 
@@ -190,7 +209,7 @@ def shard_model(model: DataFrame, scratch: Scratch, shard_rows: int = 1 << 22) -
 
 
 class Lookup:
-    """Log probabilities by hash from the mapped shards; a direct-mapped cache spares most searches."""
+    """Values by hash from the mapped shards, NaN where there is none; a direct-mapped cache spares most searches."""
 
     def __init__(self, shards: list[tuple[int, str]], bits: int = 21):
         self.low = np.array([x for x, _ in shards], np.int64)
@@ -207,76 +226,146 @@ class Lookup:
             got, ends = np.empty(len(want), np.float32), np.append(np.searchsorted(want, self.low), len(want))
             for (keys, values), a, b in zip(self.shards, ends[:-1], ends[1:], strict=True):
                 if a < b:
-                    spot = np.searchsorted(keys, want[a:b])
-                    if spot[-1] >= len(keys) or (keys[spot] != want[a:b]).any():
-                        raise ValueError("a gram is not in the model: the documents changed between two readings")
-                    got[a:b] = values[spot]
+                    spot = np.minimum(np.searchsorted(keys, want[a:b]), max(len(keys) - 1, 0))
+                    got[a:b] = np.where(keys[spot] == want[a:b], values[spot], np.nan) if len(keys) else np.nan
             out[miss] = got[back]
             at = want & self.mask
             self.keys[at], self.values[at] = want, got
         return out
 
+    def log_p(self, grams: list[np.ndarray], langs: list[str], sizes: np.ndarray) -> np.ndarray:
+        """Log probability of the last symbol of each gram under its text's language, backed off where the gram is new."""
+        out = self(gram_hashes(grams, _salts(langs, sizes))).astype(np.float64)
+        new, weight = np.flatnonzero(np.isnan(out)), None
+        row = np.repeat(np.arange(len(langs)), sizes)[new] if len(new) else None
+        weight = np.zeros(len(new))
+        for m in range(len(grams) - 1, -1, -1):
+            if not len(new):
+                break
+            salts = lambda kind: _salts([f"{x}\0{kind}" for x in langs], np.ones(len(langs), np.int64))[row]  # noqa: B023, E731
+            own = [g[new] for g in grams[len(grams) - m - 1 :]] if m < len(grams) else grams
+            if m:
+                back = self(gram_hashes(own[:-1], salts(f"b{m}")))
+                weight += np.where(np.isnan(back), 0.0, back)  # an unseen context has no say
+            got = self(gram_hashes(own[1:], salts(f"p{m}")) if m else gram_hashes([], salts("p0")))
+            known = ~np.isnan(got)
+            out[new[known]] = weight[known] + got[known]
+            new, row, weight = new[~known], row[~known], weight[~known]
+        out[new] = -20.0  # a language that the model has no symbol of
+        return out
+
 
 _lookups: dict[str, Lookup] = {}
 
 
-def score(docs: DataFrame, shards: list[tuple[int, str]], key: str, text: str, lang: str) -> DataFrame:
-    """key, lang_key, text hash, n_bytes, the base counts, and log_ppl a code point (null where the text is empty)."""
-    kind = docs.schema[key].dataType.simpleString()
+def _lookup(shards: list[tuple[int, str]]) -> Lookup:
+    who = shards[0][1]
+    if who not in _lookups:
+        _lookups.clear()  # a worker outlives its models
+        _lookups[who] = Lookup(shards)
+    return _lookups[who]
+
+
+def _words(cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each word with the white space after it, number of words with a letter or digit in each text)."""
+    begin = cp != 32
+    begin[1:] &= cp[:-1] == 32
+    begin[offs[:-1][offs[:-1] < len(cp)]] = True
+    at = np.flatnonzero(begin)
+    letter = ((cp >= 97) & (cp <= 122)) | (cp == 48) | (cp >= 170)
+    lettered = np.append(0, np.cumsum(np.maximum.reduceat(letter, at))) if len(at) else np.zeros(1, np.int64)
+    return at, np.diff(lettered[np.searchsorted(at, offs)])
+
+
+def score(rows: DataFrame, shards: list[tuple[int, str]]) -> DataFrame:
+    """Of rows (k, l, t, h): k, lang, text hash, n_bytes, n_points, the base counts, lettered (words with a letter or digit) and cost,
+    the negative log probability under the text's own language."""
+    kind = rows.schema["k"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        who = shards[0][1]
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            cols: dict[str, list[np.ndarray]] = {x: [] for x in [*names, "n_bytes", "log_ppl"]}
-            for _, _, buf, offs in chunks(batch.column(2), CHUNK):
+            langs = batch.column("l").to_pylist()
+            cols: dict[str, list[np.ndarray]] = {x: [] for x in ["n_bytes", "n_points", *names, "lettered", "cost"]}
+            for _, _, buf, offs in chunks(batch.column("t"), CHUNK):
                 got = base(buf, offs)
                 for x in names:
                     cols[x].append(got[x])
                 cols["n_bytes"].append(np.diff(offs))
-            for a, b, cp, offs in symbols(batch.column(2)):
+            for a, b, cp, offs in symbols(batch.column("t")):
                 sums, sizes = np.zeros(len(cp) + 1), np.diff(offs)
                 if len(cp):
-                    if who not in _lookups:
-                        _lookups.clear()  # a worker outlives its models
-                        _lookups[who] = Lookup(shards)
-                    np.cumsum(_lookups[who](gram_hashes(windows(cp, offs), _salts(langs[a:b], sizes))), dtype=np.float64, out=sums[1:])
-                cols["log_ppl"].append(np.where(sizes > 0, (sums[offs[:-1]] - sums[offs[1:]]) / np.maximum(sizes, 1), np.nan))
+                    np.cumsum(_lookup(shards).log_p(windows(cp, offs), langs[a:b], sizes), out=sums[1:])
+                cols["n_points"].append(sizes)
+                cols["lettered"].append(_words(cp, offs)[1])
+                cols["cost"].append(sums[offs[:-1]] - sums[offs[1:]])
             flat = {k: np.concatenate(v) if v else np.zeros(0) for k, v in cols.items()}
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), *(pa.array(flat[x].astype(np.int64)) for x in ["n_bytes", *names]), pa.array(flat["log_ppl"], pa.float64(), from_pandas=True)],
-                names=["k", "lang", "h", "n_bytes", *names, "log_ppl"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("l"), batch.column("h"), *(pa.array(v.astype(float if x == "cost" else np.int64)) for x, v in flat.items())], names=["k", "lang", "h", *flat])
+
+    return rows.select("k", "l", "t", "h").mapInArrow(judge, f"k {kind}, lang string, h long, n_bytes long, n_points long, {', '.join(f'{x} long' for x in names)}, lettered long, cost double")
 
-    rows = _hashed(docs, text, lang, F.col(key).alias("k"))
-    return rows.mapInArrow(judge, f"k {kind}, lang string, h long, n_bytes long, {', '.join(f'{x} long' for x in names)}, log_ppl double")
+
+def best_costs(rows: DataFrame, shards: list[tuple[int, str]], languages: list[str]) -> DataFrame:
+    """Of rows (l, h, t): lang, h and `best`, the cost if each word has whichever of the languages, its text's own among them, fits it best."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, best = batch.column("l").to_pylist(), []
+            for a, b, cp, offs in symbols(batch.column("t")):
+                at, sizes, least = _words(cp, offs)[0], np.diff(offs), None
+                grams = windows(cp, offs)
+                for own in [langs[a:b], *([x] * (b - a) for x in languages)]:
+                    cost = np.add.reduceat(-_lookup(shards).log_p(grams, own, sizes), at) if len(at) else np.zeros(0)
+                    least = cost if least is None else np.minimum(least, cost)
+                sums = np.append(0.0, np.cumsum(least))
+                spot = np.searchsorted(at, offs)
+                best.append(sums[spot[1:]] - sums[spot[:-1]])
+            yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("h"), pa.array(np.concatenate(best) if best else np.zeros(0))], names=["lang", "h", "best"])
+
+    return rows.select("l", "h", "t").mapInArrow(judge, "lang string, h long, best double")
 
 
 def quality_rules(
     docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    min_words: int = 10, max_repeat_percent: int = 20, below: float = 3.0, above: float = 3.2, length_bytes: int = 300,
+    min_words: int = 10, max_repeat_percent: int = 20, below: float = 3.0, above: float = 3.2, by_word: float = 5.5, length_bytes: int = 300,
+    most_languages: int = 16,
 ) -> DataFrame:
     """One row per document: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    and lang_key, log_ppl, ppl_low, ppl_high.
+    and lang_key, log_ppl, ppl_low, ppl_high, word_ppl, word_low, word_high.
 
     base_failed: fewer words than min_words, or more than max_repeat_percent of the words stand in repeated
     five-word windows. kept is false if base_failed, or if the log perplexity a code point lies outside the band of its language:
     [median - below * s, median + above * s], s = median - first decile of that language's different texts (copies count
-    once, in the model too), widened by sqrt(1 + length_bytes / n_bytes) for short texts. A null text counts as empty (no words, base_failed); a null
+    once, in the model too), widened by sqrt(1 + length_bytes / n_bytes) for short texts. The log perplexity a word (with a
+    letter or digit) has a band of its own, by_word * s on either side: marks on every word are as likely, sign by sign, as
+    letters, and show only there. A text above its bands is measured once more with each word under whichever of the
+    most_languages largest languages fits it best, so that mixed texts stay. A null text counts as empty (no words, base_failed); a null
     lang is a language of its own. Ties, repeated rows and long texts are judged like any other row; a language
     with one document keeps it, as its band is centred on it. An empty table gives no rows. Extra columns are ignored.
     """
-    model = fit_model(count_grams(distinct_texts(docs, text, lang, scratch)), scratch)
-    scored = scratch.table(score(docs, shard_model(model, scratch), key, text, lang), "scored")
-    # two quantiles a language, from mergeable sketches of all different texts
-    texts = scored.where(F.col("n_words") >= min_words).groupBy("lang", "h").agg(F.first("log_ppl").alias("log_ppl"))
-    bands = texts.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.1, 0.5], 10000).alias("q"))
-    s = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.005)) * F.sqrt(1 + F.lit(float(length_bytes)) / F.greatest("n_bytes", F.lit(1)))
-    out = scored.join(F.broadcast(bands), "lang", "left").withColumns({"ppl_low": F.col("q")[1] - below * s, "ppl_high": F.col("q")[1] + above * s})
+    shards = shard_model(fit_model(count_grams(distinct_texts(docs, text, lang, scratch)), scratch), scratch)
+    rows = _hashed(docs, text, lang, F.col(key).alias("k"))
+    scored = scratch.table(score(rows, shards), "scored")
+    per = lambda cost: {"log_ppl": F.when(F.col("n_points") > 0, cost / F.col("n_points")), "word_ppl": F.when(F.col("lettered") > 0, cost / F.col("lettered"))}
+    # two quantiles a language and measure, from mergeable sketches of all different texts
+    texts = scored.where(F.col("n_words") >= min_words).withColumns(per(F.col("cost"))).groupBy("lang", "h").agg(F.first("log_ppl").alias("log_ppl"), F.first("word_ppl").alias("word_ppl"))
+    bands = scratch.table(texts.groupBy("lang").agg(F.count("*").alias("texts"), F.percentile_approx("log_ppl", [0.1, 0.5], 10000).alias("q"), F.percentile_approx("word_ppl", [0.1, 0.5], 10000).alias("w")), "bands")
+    wide = F.sqrt(1 + F.lit(float(length_bytes)) / F.greatest("n_bytes", F.lit(1)))
+    s, t = (F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(0.005)) * wide for c in "qw")
+    edges = {"ppl_low": F.col("q")[1] - below * s, "ppl_high": F.col("q")[1] + above * s, "word_low": F.col("w")[1] - by_word * t, "word_high": F.col("w")[1] + by_word * t}
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    inside = F.coalesce(F.col("log_ppl").between(F.col("ppl_low"), F.col("ppl_high")), F.lit(True))
+    judged = scored.join(F.broadcast(bands.drop("texts")), "lang", "left").withColumns(edges | per(F.col("cost")) | {"base_failed": failed})
+    # what is too unlikely for its own language is looked at once more, word by word in the most frequent languages
+    above_ = ~F.col("base_failed") & ((F.col("log_ppl") > F.col("ppl_high")) | F.coalesce(F.col("word_ppl") > F.col("word_high"), F.lit(False)))
+    judged = scratch.table(judged.withColumn("again", F.coalesce(above_, F.lit(False))), "judged")
+    again = scratch.table(judged.where("again").select("lang", "h").distinct(), "again")
+    languages = [r[0] for r in bands.orderBy(F.desc("texts"), "lang").limit(most_languages).select("lang").collect()]
+    asked = id_filter(rows.select("l", "h", "t"), "h", again.select("h")).groupBy("l", "h").agg(F.first("t").alias("t"))
+    best = scratch.table(best_costs(asked, shards, languages), "best")
+    second = judged.where("again").join(best, ["lang", "h"], "left").withColumns(per(F.coalesce("best", "cost"))).drop("best")
+    out = judged.where("not again").unionByName(second)
+    inside = F.coalesce(F.col("log_ppl").between(F.col("ppl_low"), F.col("ppl_high")), F.lit(True)) & F.coalesce(F.col("word_ppl").between(F.col("word_low"), F.col("word_high")), F.lit(True))
     return out.select(
-        F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"),
-        F.col("lang").alias("lang_key"), "log_ppl", "ppl_low", "ppl_high",
+        F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"),
+        F.col("lang").alias("lang_key"), "log_ppl", "ppl_low", "ppl_high", "word_ppl", "word_low", "word_high",
     )
