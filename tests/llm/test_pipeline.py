@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidemark.llm.common import Scratch, read_table
 from tests.conftest import DATA
@@ -32,6 +34,52 @@ def test_clean_documents_stay(spark):
     assert kept.where("quality = 0").count() <= 0.1 * docs.join(labels, "doc_id").where("quality = 0").count()
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(i, n=60):
+    return f"{i} " + " ".join(f"word{(i * 7 + j * j) % 97}x{(i + j) % 41}" for j in range(n))
+
+
+def test_texts_of_one_key_are_judged_apart(spark):
+    """A key on several texts: no text's verdict takes another's row, in any stage."""
+    sf = "/root/testdata/sf0.01"
+    junk = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels").where("quality = 0"), "doc_id").select("text", "lang").orderBy(F.length("text").desc()).first()
+    clean = read_table(spark, sf, "documents").where("length(text) between 500 and 3000").dropDuplicates(["text"])
+    rows = [(1, prose(1), "en", "s", 0), (1, prose(2), "en", "s", 0), (1, prose(2), "en", "s", 0), (2, prose(1) + " more", "en", "s", 0), (3, prose(3), "en", "s", 0), (3, "", "en", "s", 0), (None, prose(4), "en", "s", 0), (5, prose(4), "en", "s", 0)]
+    few = spark.createDataFrame(rows, COLUMNS)
+    left = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, few, sf).collect())
+    # key 1 stands on two texts; one of the two near copies of the first text stays, and each other text once
+    assert [t for k, t in left if k == 1 and t == prose(2)] == [prose(2)] and sum(t.startswith(prose(1)) for _, t in left) == 1
+    assert (3, prose(3)) in left and (3, "") in left and (5, prose(4)) in left and len(left) == 5
+    some = clean.orderBy("doc_id").limit(400)
+    key = some.first().doc_id
+    under = lambda k: some.unionByName(spark.createDataFrame([(k, junk.text, junk.lang, "s", 0)], some.schema))
+    other = 10**9
+    got, want = ({(r.doc_id, r.text) for r in corpus_pipeline.rules(spark, under(k), sf).collect()} for k in (key, other))
+    assert {(other if t == junk.text else k, t) for k, t in got} == want and any(k == key for k, _ in got) and not any(t == junk.text for _, t in got)
+    cut = corpus_pipeline.repeats(spark, few, sf)
+    assert cut.columns == few.columns and cut.count() == len(rows)
+    assert all(r.doc_id == 5 or r.doc_id is None for r in cut.where(F.col("text").startswith("4 ")).collect())
+    pieces = corpus_pipeline.packing(spark, few, sf)
+    assert pieces.count() >= len(rows)
+
+
+def test_repeats_of_rows_without_a_key(spark):
+    shared = prose(9, 25)
+    rows = [(None, "one " + shared, "en", "s", 0), (None, "two " + shared, "en", "s", 0), (None, None, None, None, None)]
+    out = [r.text for r in corpus_pipeline.repeats(spark, spark.createDataFrame(rows, COLUMNS), DATA).collect()]
+    assert len(out) == 3 and None in out and sum(shared[-100:] in (t or "") for t in out) == 1  # the passage stays once
+
+
+def test_empty_tables_pass_through_every_stage(spark):
+    docs = spark.createDataFrame([], COLUMNS)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.packing(spark, docs, DATA).count() == 0
+
+
 def test_rows_without_a_key_are_judged(spark):
     """The same texts with and without keys: what is rejected by its text goes either way, and copies count as copies."""
     sf = "/root/testdata/sf0.01"
