@@ -218,3 +218,22 @@ def flagged_risk(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     label = hz.flagged_risk((i % 2 == 0, i % 3 == 0, i % 5 == 0), (i % 7 * 3, i % 11 * 3 + 1, i % 13 * 3 + 2))
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", label.alias("risk"))
+
+
+@query(W + """select sequence, ts_ms, p_ts, p_seq from (select sequence, ts_ms, lag(ts_ms) over w as p_ts, lag(sequence) over w as p_seq from tr window w as (order by sequence % 7, sequence // 64 % 5, sequence))
+where p_ts > ts_ms or (p_ts = ts_ms and p_seq > sequence)""")
+def source_violations(spark: SparkSession, d: str) -> DataFrame:
+    """A trade file out of order: which rows come too late, by their places in the files alone."""
+    path, t = new_folder(spark, "unsorted"), feeds.trades(spark, d)
+    t.orderBy(F.col("sequence") % 7, F.floor(F.col("sequence") / 64) % 5, "sequence").select(
+        F.col("sequence").alias("agg_trade_id"), "price", "quantity", F.col("ts_ms").alias("transact_time"), F.col("buyer_is_maker").alias("is_buyer_maker"),
+    ).write.csv(path, header=True)
+    return feeds.source_violations(feeds.read_trade_csv(spark, path, "S", source=True)).select("sequence", "ts_ms", "p_ts", "p_seq")
+
+
+@query(W + "select symbol, ts_ms, sequence, price, quantity, buyer_is_maker from tr where ts_ms >= 1704672000000 and ts_ms < 1705000000000")
+def feed_store_window(spark: SparkSession, d: str) -> DataFrame:
+    """A stretch of time from a feed kept by symbol and day."""
+    path = new_folder(spark, "feed-store")
+    feeds.write_feed_store(feeds.trades(spark, d), path)
+    return feeds.read_feed_store(spark, path, "S", 1_704_672_000_000, 1_705_000_000_000).select("symbol", "ts_ms", "sequence", "price", "quantity", "buyer_is_maker")

@@ -38,22 +38,24 @@ def _by_name(df: DataFrame, required: Sequence[str], optional: Sequence[str]) ->
     return df.select(*required, *((F.col(x) if x in df.columns else F.lit(None).cast("string")).alias(x) for x in optional))
 
 
-def read_book_csv(spark: SparkSession, path: str | list[str], symbol: str = "") -> DataFrame:
-    """Top-of-book CSV, columns by name, extras ignored. Bad numbers fail (ANSI casts)."""
-    raw = _by_name(spark.read.csv(path, header=True), ("transaction_time", "update_id", "best_bid_price", "best_bid_qty", "best_ask_price", "best_ask_qty"), ("event_time",))
+def read_book_csv(spark: SparkSession, path: str | list[str], symbol: str = "", source: bool = False) -> DataFrame:
+    """Top-of-book CSV, columns by name, extras ignored. Bad numbers fail (ANSI casts). source: with the rows' places in their files."""
+    scan, more = spark.read.csv(path, header=True), SOURCE if source else ()
+    raw = _by_name(with_source(scan) if source else scan, ("transaction_time", "update_id", "best_bid_price", "best_bid_qty", "best_ask_price", "best_ask_qty", *more), ("event_time",))
     return raw.select(
         F.lit(symbol).alias("symbol"), F.col("transaction_time").cast("long").alias("ts_ms"), F.col("update_id").cast("long").alias("sequence"),
         F.col("best_bid_price").cast("double").alias("bid_price"), F.col("best_bid_qty").cast("double").alias("bid_qty"),
-        F.col("best_ask_price").cast("double").alias("ask_price"), F.col("best_ask_qty").cast("double").alias("ask_qty"), optional_long(F.col("event_time")).alias("event_time_ms"),
+        F.col("best_ask_price").cast("double").alias("ask_price"), F.col("best_ask_qty").cast("double").alias("ask_qty"), optional_long(F.col("event_time")).alias("event_time_ms"), *more,
     )
 
 
-def read_trade_csv(spark: SparkSession, path: str | list[str], symbol: str = "") -> DataFrame:
-    """Aggregate-trade CSV, columns by name, extras ignored."""
-    raw = _by_name(spark.read.csv(path, header=True), ("transact_time", "agg_trade_id", "price", "quantity", "is_buyer_maker"), ("first_trade_id", "last_trade_id"))
+def read_trade_csv(spark: SparkSession, path: str | list[str], symbol: str = "", source: bool = False) -> DataFrame:
+    """Aggregate-trade CSV, columns by name, extras ignored. source: with the rows' places in their files."""
+    scan, more = spark.read.csv(path, header=True), SOURCE if source else ()
+    raw = _by_name(with_source(scan) if source else scan, ("transact_time", "agg_trade_id", "price", "quantity", "is_buyer_maker", *more), ("first_trade_id", "last_trade_id"))
     return raw.select(
         F.lit(symbol).alias("symbol"), F.col("transact_time").cast("long").alias("ts_ms"), F.col("agg_trade_id").cast("long").alias("sequence"), F.col("price").cast("double").alias("price"),
-        F.col("quantity").cast("double").alias("quantity"), strict_bool(F.col("is_buyer_maker")).alias("buyer_is_maker"), optional_long(F.col("first_trade_id")).alias("first_trade_id"), optional_long(F.col("last_trade_id")).alias("last_trade_id"),
+        F.col("quantity").cast("double").alias("quantity"), strict_bool(F.col("is_buyer_maker")).alias("buyer_is_maker"), optional_long(F.col("first_trade_id")).alias("first_trade_id"), optional_long(F.col("last_trade_id")).alias("last_trade_id"), *more,
     )
 
 
@@ -90,8 +92,21 @@ def in_window(df: DataFrame, start_ms: int | None = None, end_ms: int | None = N
 
 
 def first_rows(df: DataFrame, most: int | None) -> DataFrame:
-    """The first `most` rows in (ts, sequence) order; None or 0 means all, as on the command line."""
-    return df.orderBy("ts_ms", "sequence").limit(most) if most else df
+    """The first `most` rows in (ts, sequence) order; None or 0 means all, as on the command line. Rows are counted by day, then by
+    minute and millisecond of the part that crosses `most`, so only the rows of one millisecond are put in order."""
+    if not most:
+        return df
+    at, left = None, most
+    for width in (86_400_000, 60_000, 1):
+        block = F.floor(F.col("ts_ms") / width)
+        counts = (df if at is None else df.where((F.col("ts_ms") >= at[0]) & (F.col("ts_ms") < at[1]))).where("ts_ms is not null").groupBy(block.alias("b")).agg(F.count("*").alias("c"))
+        upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("b")))  # one row a block
+        found = upto.where(F.col("upto") >= left).orderBy("b").first()
+        if found is None:
+            return df.where("ts_ms is not null")
+        left -= found["upto"] - found["c"]
+        at = (found["b"] * width, (found["b"] + 1) * width)
+    return df.where(F.col("ts_ms") < at[0]).unionByName(df.where(F.col("ts_ms") == at[0]).orderBy("sequence").limit(left))
 
 
 def order_violations(df: DataFrame, row_id: str, block_rows: int = 1 << 20) -> DataFrame:
@@ -106,6 +121,53 @@ def order_violations(df: DataFrame, row_id: str, block_rows: int = 1 << 20) -> D
     return out.where("p_ts > ts_ms or (p_ts = ts_ms and p_seq > sequence)")
 
 
+SOURCE = ("source_file", "source_start", "source_row")
+
+
+def with_source(scan: DataFrame) -> DataFrame:
+    """A file scan with the place of each row in its source: file, where the split starts, and a number that rises in the split."""
+    return scan.select("*", F.col("_metadata.file_path").alias(SOURCE[0]), F.col("_metadata.file_block_start").alias(SOURCE[1]), F.monotonically_increasing_id().alias(SOURCE[2]))
+
+
+def source_violations(df: DataFrame) -> DataFrame:
+    """Rows of a feed read with its source whose (ts, sequence) is below that of the row before in the same symbol; files follow each
+    other by name. Windows run inside a split, and one row a split carries on."""
+    at, split = F.struct("ts_ms", "sequence"), list(SOURCE[:2])
+    own = df.withColumn("__p", F.lag(at).over(Window.partitionBy("symbol", *split).orderBy(SOURCE[2])))
+    last = df.groupBy("symbol", *split).agg(F.max_by(at, SOURCE[2]).alias("e"))
+    ends = last.withColumn("__e", F.lag("e").over(Window.partitionBy("symbol").orderBy(*split))).drop("e")  # one row a split
+    out = own.join(ends, ["symbol", *split]).withColumn("__p", F.coalesce("__p", "__e"))
+    return out.select(*df.columns, F.col("__p.ts_ms").alias("p_ts"), F.col("__p.sequence").alias("p_seq")).where("p_ts > ts_ms or (p_ts = ts_ms and p_seq > sequence)")
+
+
+def sorted_source(df: DataFrame) -> DataFrame:
+    """A feed read with its source, without those columns, if its files are in order; raises at the first row that is not."""
+    if bad := source_violations(df).orderBy(*SOURCE).first():
+        raise ValueError(f"{bad['source_file']}: ({bad['ts_ms']}, {bad['sequence']}) comes after ({bad['p_ts']}, {bad['p_seq']})")
+    return df.drop(*SOURCE)
+
+
+def write_feed_store(feed: DataFrame, path: str, files_per_day: int = 1) -> None:
+    """A feed as Parquet by symbol and UTC day, sorted by time in each file, so that a file's and row group's statistics bound its times.
+    A day is cut by time in files_per_day files."""
+    part = F.floor((F.pmod("ts_ms", F.lit(86_400_000))) / (86_400_000 / files_per_day))
+    dated = feed.withColumns({"day": F.floor(F.col("ts_ms") / 86_400_000).cast("int"), "__part": part})
+    dated.repartition("symbol", "day", "__part").drop("__part").sortWithinPartitions("symbol", "day", "ts_ms", "sequence").write.mode("overwrite").partitionBy("symbol", "day").parquet(path)
+
+
+def read_feed_store(spark: SparkSession, path: str, symbol: str | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    """Rows of a feed store with start <= ts < end: other symbols and days are not listed to be read, and inside a day the times are
+    left to the files' statistics."""
+    df = spark.read.parquet(path)
+    if symbol is not None:
+        df = df.where(F.col("symbol") == symbol)
+    if start_ms is not None:
+        df = df.where(F.col("day") >= start_ms // 86_400_000)
+    if end_ms is not None:
+        df = df.where(F.col("day") <= (end_ms - 1) // 86_400_000)
+    return in_window(df, start_ms, end_ms).drop("day")
+
+
 def book_faults(books: DataFrame) -> DataFrame:
     """books with `fault`: non_finite, crossed, negative_qty or null, the first that applies."""
     cols = ("bid_price", "bid_qty", "ask_price", "ask_qty")
