@@ -261,11 +261,20 @@ _lookups: dict[str, Lookup] = {}
 def _lookup(shards: list[tuple[int, str]]) -> Lookup:
     who = shards[0][1]
     if who not in _lookups:
-        _lookups.clear()  # a worker outlives its models
+        _lookups.clear()
         _lookups[who] = Lookup(shards)
     return _lookups[who]
 
 
+def _let_go(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rows, and then the model's maps and cache go: a worker outlives its task, and later stages need its memory."""
+    try:
+        yield from rows
+    finally:
+        _lookups.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def _words(cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first place of each word with the white space after it, number of words with a letter or digit in each text)."""
     begin = cp != 32
@@ -302,7 +311,7 @@ def score(rows: DataFrame, shards: list[tuple[int, str]]) -> DataFrame:
             flat = {k: np.concatenate(v) if v else np.zeros(0) for k, v in cols.items()}
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("l"), batch.column("h"), *(pa.array(v.astype(float if x == "cost" else np.int64)) for x, v in flat.items())], names=["k", "lang", "h", *flat])
 
-    return rows.select("k", "l", "t", "h").mapInArrow(judge, f"k {kind}, lang string, h long, n_bytes long, n_points long, {', '.join(f'{x} long' for x in names)}, lettered long, cost double")
+    return rows.select("k", "l", "t", "h").mapInArrow(lambda it: _let_go(judge(it)), f"k {kind}, lang string, h long, n_bytes long, n_points long, {', '.join(f'{x} long' for x in names)}, lettered long, cost double")
 
 
 def best_costs(rows: DataFrame, shards: list[tuple[int, str]], languages: list[str]) -> DataFrame:
@@ -322,7 +331,7 @@ def best_costs(rows: DataFrame, shards: list[tuple[int, str]], languages: list[s
                 best.append(sums[spot[1:]] - sums[spot[:-1]])
             yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("h"), pa.array(np.concatenate(best) if best else np.zeros(0))], names=["lang", "h", "best"])
 
-    return rows.select("l", "h", "t").mapInArrow(judge, "lang string, h long, best double")
+    return rows.select("l", "h", "t").mapInArrow(lambda it: _let_go(judge(it)), "lang string, h long, best double")
 
 
 def quality_rules(
