@@ -91,7 +91,7 @@ def acf(rows: DataFrame, value: str, order: list[str], key: list[str], max_lag:
 def acf_bundle(rows: DataFrame, order: list[str], max_lag: int = 10) -> DataFrame:
     """(series, scope, lag, acf) for counts and residuals, over all rows and for each side. rows: count, residual, side."""
     if max_lag < 1:
-        raise ValueError("max_lag must be at least one")
+        raise ValueError("an autocorrelation needs a lag of one or more")
     scopes = F.explode(F.array(F.lit("all"), F.col("side")))
     series = F.explode(F.array(F.struct(F.lit("count").alias("series"), F.col("count").cast("double").alias("v")), F.struct(F.lit("residual").alias("series"), F.col("residual").alias("v"))))
     flat = rows.select(*order, "side", series.alias("x")).select(*order, "side", "x.series", "x.v").withColumn("scope", scopes)

@@ -47,13 +47,13 @@ class EpisodeConfig:
         if not d or len(set(d)) != len(d) or any(isinstance(x, bool) or int(x) != x or x < 0 for x in d):
             raise ValueError("distance_ticks must be different whole numbers, not negative")
         if not 0 < self.state_ewma_alpha <= 1:
-            raise ValueError("state_ewma_alpha must lie in (0, 1]")
+            raise ValueError("state_ewma_alpha: above 0, and 1 at most")
         if self.quantity_step is not None:
             if isinstance(self.quantity_step, bool) or not math.isfinite(self.quantity_step) or self.quantity_step <= 0:
                 raise ValueError("quantity_step must be positive and finite")
             units = self.order_quantity / self.quantity_step
             if abs(units - round(units)) > max(1e-9, 8 * math.ulp(units)):
-                raise ValueError("order_quantity must be a multiple of quantity_step")
+                raise ValueError("order_quantity: not a whole number of quantity steps")
 
     @property
     def tolerance(self) -> float:

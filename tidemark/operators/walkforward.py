@@ -17,7 +17,7 @@ def monthly_splits(months: DataFrame, mode: str = "expanding", min_train: int =
     if min_train < 1:
         raise ValueError("min_train must be at least one")
     if mode not in ("expanding", "rolling"):
-        raise ValueError("mode must be 'expanding' or 'rolling'")
+        raise ValueError(f"no such mode of walking forward: {mode}")
     if mode == "rolling" and (window is None or window < min_train):
         raise ValueError("rolling mode needs window >= min_train")
     if mode == "expanding" and window is not None:
