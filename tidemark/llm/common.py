@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +31,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """Jobs inside hand rows to Python in batches of at most `most` bytes (None: as the session says)."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    if most is not None:
+        spark.conf.set(setting, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def lets_go(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which its worker gives free memory back: workers outlive their tasks, and what their allocators keep would
+    add to the needs of every later stage."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 class Scratch:
-    """Intermediate Parquet tables in the shared folder; they cut lineage and survive lost executors."""
+    """Intermediate Parquet tables in the shared folder; they cut lineage and survive lost executors. batch_bytes: see arrow_batches."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, batch_bytes: int | None = None):
+        self.spark, self.batch_bytes = spark, batch_bytes
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with arrow_batches(self.spark, self.batch_bytes):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

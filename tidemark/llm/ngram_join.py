@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, chunks, components, id_filter
+from tidemark.llm.common import Scratch, chunks, components, id_filter, lets_go
 from tidemark.llm.kernels import Prefix, grams, mix, sequences, words
 
 _U = np.uint64
@@ -79,6 +79,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 def describe(rows: DataFrame, size: int) -> DataFrame:
     """(id, n, h1, h2, mins, sketch): set size, set names, smallest shingles and parity sketch of every document."""
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for _, _, buf, offs in chunks(batch.column(1)) for s in shingle_sets(buf, offs, size)]
@@ -100,6 +101,7 @@ def common_shingles(rows: DataFrame, size: int, n_docs: int, sample: int = 4096,
     if n_docs > sample:
         rows = rows.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 24)) < int((1 << 24) * sample / n_docs))
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, buf, offs in chunks(batch.column(1)):
@@ -122,6 +124,7 @@ def prefix_tokens(rows: DataFrame, size: int, percent: int, common: np.ndarray,
     not in `common` first, then by level, then by hash."""
     sent = rows.sparkSession.sparkContext.broadcast((common, level))
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -165,6 +168,7 @@ def frequent_tokens(shared: DataFrame, most: int = 1 << 20, least_level: int = 3
 def shared_tokens(tokens: DataFrame) -> DataFrame:
     """(t, h) for the tokens that stand in two or more sets: each partition is sorted by token and read as a stream."""
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         # held: the last token's last row, and whether it has been given out
@@ -194,6 +198,7 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
 def load_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(id, s): sorted shingles, 8 bytes each, of at least the documents in ids."""
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, offs in chunks(batch.column(1)):
@@ -212,6 +217,7 @@ def _overlap(a: bytes, b: bytes) -> int:
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link: 100 * intersection >= percent * union."""
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -243,6 +249,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select(*names, "n_a", "n_b", "sketch_a", "sketch_b")
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b, x, y = (batch.column(k).to_pylist() for k in range(len(names), len(names) + 4))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, chunks
+from tidemark.llm.common import Scratch, chunks, lets_go
 from tidemark.llm.measures import FEATURES, features
 
 
@@ -124,6 +124,7 @@ def measure(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(k, x array<float>): the features of every whole text, in one scan."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(buf, offs) for _, _, buf, offs in chunks(batch.column(1))]
@@ -168,6 +169,7 @@ def quality_scores(
     model = docs.sparkSession.sparkContext.broadcast(fit_additive(x, y))
     kind = docs.schema[key].dataType.simpleString()
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))

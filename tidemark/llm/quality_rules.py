@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, chunks, id_filter, with_maybe
+from tidemark.llm.common import Scratch, chunks, id_filter, lets_go, with_maybe
 from tidemark.llm.kernels import mix
 from tidemark.llm.measures import base
 
@@ -105,6 +105,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         langs = pa.DictionaryArray.from_arrays(pa.array(who), pa.array(list(names), pa.string())).cast(pa.string())
         return pa.RecordBatch.from_arrays([langs, grams, pa.array(h), pa.array(n)], names=["lang", "g", "h", "n"])
 
+    @lets_go
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
         parts: list[tuple] = []
@@ -139,6 +140,7 @@ def entry_hashes(grams: pa.Array, langs: pa.Array, kind: str) -> np.ndarray:
 def _entries(df: DataFrame, kind: str) -> DataFrame:
     """(h, log_p) of rows (lang, g, log_p)."""
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(entry_hashes(batch.column("g"), batch.column("lang"), kind)), batch.column("log_p")], names=["h", "log_p"])
@@ -266,13 +268,16 @@ def _lookup(shards: list[tuple[int, str]]) -> Lookup:
     return _lookups[who]
 
 
-def _let_go(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rows, and then the model's maps and cache go: a worker outlives its task, and later stages need its memory."""
-    try:
-        yield from rows
-    finally:
-        _lookups.clear()
-        pa.default_memory_pool().release_unused()
+def _forgets(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the model's maps and cache go, too."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _lookups.clear()
+
+    return lets_go(whole)
 
 
 def _words(cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +316,7 @@ def score(rows: DataFrame, shards: list[tuple[int, str]]) -> DataFrame:
             flat = {k: np.concatenate(v) if v else np.zeros(0) for k, v in cols.items()}
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("l"), batch.column("h"), *(pa.array(v.astype(float if x == "cost" else np.int64)) for x, v in flat.items())], names=["k", "lang", "h", *flat])
 
-    return rows.select("k", "l", "t", "h").mapInArrow(lambda it: _let_go(judge(it)), f"k {kind}, lang string, h long, n_bytes long, n_points long, {', '.join(f'{x} long' for x in names)}, lettered long, cost double")
+    return rows.select("k", "l", "t", "h").mapInArrow(_forgets(judge), f"k {kind}, lang string, h long, n_bytes long, n_points long, {', '.join(f'{x} long' for x in names)}, lettered long, cost double")
 
 
 def best_costs(rows: DataFrame, shards: list[tuple[int, str]], languages: list[str]) -> DataFrame:
@@ -331,7 +336,7 @@ def best_costs(rows: DataFrame, shards: list[tuple[int, str]], languages: list[s
                 best.append(sums[spot[1:]] - sums[spot[:-1]])
             yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("h"), pa.array(np.concatenate(best) if best else np.zeros(0))], names=["lang", "h", "best"])
 
-    return rows.select("l", "h", "t").mapInArrow(lambda it: _let_go(judge(it)), "lang string, h long, best double")
+    return rows.select("l", "h", "t").mapInArrow(_forgets(judge), "lang string, h long, best double")
 
 
 def quality_rules(
