@@ -19,6 +19,8 @@ from tidemark.llm.queries import tokenizer_file
 from tidemark.llm.suffix_dedup import remove_repeats
 
 
+#: Stages run one after another in the same workers; batches of this size leave room beside what each stage keeps.
+BATCH_BYTES = 4 << 20
 MADE = 1 << 62  # made keys begin here, above all others, so that a row with a key of its own represents a group
 
 
@@ -41,7 +43,7 @@ def _as_given(keyed: DataFrame, docs: DataFrame) -> DataFrame:
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is below the threshold go."""
-    scratch = Scratch(spark, "pipe-classify")
+    scratch = Scratch(spark, "pipe-classify", BATCH_BYTES)
     keyed = _keyed(docs, scratch)
     scores = quality_scores(keyed, read_table(spark, sf_dir, "labels"), scratch)
     return _as_given(without(keyed, "doc_id", scratch.table(scores.where("predicted = 0").select("doc_id"), "gone")), docs)
@@ -49,7 +51,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base counts or their language's perplexity bands go."""
-    scratch = Scratch(spark, "pipe-rules")
+    scratch = Scratch(spark, "pipe-rules", BATCH_BYTES)
     keyed = _keyed(docs, scratch)
     judged = quality_rules(keyed, scratch)
     return _as_given(without(keyed, "doc_id", scratch.table(judged.where("not kept").select("doc_id"), "gone")), docs)
@@ -58,7 +60,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by near duplicates the document with the smallest key stays, one row of it; made keys come after all others.
     Texts without words and without a key of their own are linked with nothing and stay."""
-    scratch = Scratch(spark, "pipe-near")
+    scratch = Scratch(spark, "pipe-near", BATCH_BYTES)
     keyed = _keyed(docs, scratch)
     groups = scratch.table(jaccard_components(keyed, scratch).select("doc_id", "n_shingles", "component_id"), "groups")
     told_apart = groups.where((F.col("doc_id") < MADE) | (F.col("n_shingles") > 0))
@@ -69,7 +71,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 100-byte strings that stand earlier go; n_chars follows. Rows with a made key come after all others; equal rows without
     a key are one document, of which every row is cut alike."""
-    scratch = Scratch(spark, "pipe-repeats")
+    scratch = Scratch(spark, "pipe-repeats", BATCH_BYTES)
     out = _as_given(remove_repeats(_keyed(docs, scratch), scratch), docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -78,7 +80,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces, each with its place in a sequence of at most 2048 tokens."""
-    return pack(docs, tokenizer_file("byte_bpe_50k.json"), Scratch(spark, "pipe-pack"))
+    return pack(docs, tokenizer_file("byte_bpe_50k.json"), Scratch(spark, "pipe-pack", BATCH_BYTES))
 
 
 STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("ngram_jaccard_join", near_duplicates), ("suffix_array_dedup", repeats), ("best_fit_packing", packing)]
