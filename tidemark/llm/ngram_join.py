@@ -28,7 +28,8 @@ from tidemark.llm.common import Scratch, chunks, components, id_filter, lets_go
 from tidemark.llm.kernels import Prefix, grams, mix, sequences, words
 
 _U = np.uint64
-MINS = 4
+#: Smallest shingles kept of a set, and the bytes of text that a task looks at at once.
+MINS, BLOCK_BYTES = 4, 1 << 19
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> list[np.ndarray]:
@@ -82,7 +83,7 @@ def describe(rows: DataFrame, size: int) -> DataFrame:
     @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, _, buf, offs in chunks(batch.column(1)) for s in shingle_sets(buf, offs, size)]
+            sets = [s for _, _, buf, offs in chunks(batch.column(1), BLOCK_BYTES) for s in shingle_sets(buf, offs, size)]
             names = [_names(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -104,7 +105,7 @@ def common_shingles(rows: DataFrame, size: int, n_docs: int, sample: int = 4096,
     @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, offs in chunks(batch.column(1)):
+            for _, _, buf, offs in chunks(batch.column(1), BLOCK_BYTES):
                 t, c = np.unique(np.concatenate([np.zeros(0, _U), *shingle_sets(buf, offs, size)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names=["t", "c"])
 
@@ -128,7 +129,7 @@ def prefix_tokens(rows: DataFrame, size: int, percent: int, common: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, buf, offs in chunks(batch.column(1)):
+            for _, _, buf, offs in chunks(batch.column(1), BLOCK_BYTES):
                 tokens, names, lengths = [], [], []
                 for s in shingle_sets(buf, offs, size):
                     if not len(s) or (h := _names(s)[0]) in seen:
@@ -201,7 +202,7 @@ def load_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -
     @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, offs in chunks(batch.column(1)):
+            for a, b, buf, offs in chunks(batch.column(1), BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s.tobytes() for s in shingle_sets(buf, offs, size)], pa.binary())], names=["id", "s"])
 
     return id_filter(_rows(docs, key, text), "id", ids).mapInArrow(run, "id long, s binary")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, chunks
+from tidemark.llm.common import Scratch, chunks, lets_go
 from tidemark.llm.tokens import ByteBpe
 
 _encoders: dict[str, ByteBpe] = {}
@@ -35,6 +35,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, ke
     """(k, piece, start, length, ids_crc32) of every document's ids followed by end_id."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
             _encoders[tokenizer] = ByteBpe(tokenizer)

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, chunks, lets_go
 from tidemark.llm.measures import FEATURES, features
 
+#: Bytes of text that a task looks at at once.
+BLOCK_BYTES = 1 << 19
+
 
 @dataclass
 class AdditiveModel:
@@ -127,7 +130,7 @@ def measure(docs: DataFrame, key: str, text: str) -> DataFrame:
     @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [features(buf, offs) for _, _, buf, offs in chunks(batch.column(1))]
+            got = [features(buf, offs) for _, _, buf, offs in chunks(batch.column(1), BLOCK_BYTES)]
             flat = np.concatenate(got).reshape(-1) if got else np.zeros(0, np.float32)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=["k", "x"])

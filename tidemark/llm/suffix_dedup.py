@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import CHUNK_BYTES, Scratch, chunks, id_filter, with_maybe
+from tidemark.llm.common import Scratch, chunks, id_filter, lets_go, with_maybe
 from tidemark.llm.kernels import Prefix, mix, sliding_min, spread
 
 _U = np.uint64
@@ -38,6 +38,8 @@ V = 32
 COVER = np.array([1, 2, 3, 4, 8, 12, 20])
 #: SHIFT[r, q]: the least distance that takes residues r and q to members of the cover both.
 SHIFT = np.array([[next(d for d in range(V) if (r + d) % V in COVER and (q + d) % V in COVER) for q in range(V)] for r in range(V)])
+#: Bytes of text that a task looks at at once; the kernels take some 60 times as much.
+BLOCK_BYTES = 1 << 19
 #: Texts that a task remembers to tell their copies; beyond that it starts anew, and copies meet in their bucket.
 REMEMBERED = 1 << 19
 
@@ -45,7 +47,7 @@ REMEMBERED = 1 << 19
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of window starts with one anchor: text number, first and last start, anchor place (all in buf), anchor hash."""
     out = []
-    most = max(CHUNK_BYTES, 4 * length)
+    most = max(2 * BLOCK_BYTES, 4 * length)
     for s in range(0, max(1, len(buf)), most):  # only a single long text is longer than one block
         part = buf[s : s + most + length - 1]
         if len(part) < length:
@@ -92,11 +94,12 @@ def anchor_places(rows: DataFrame, length: int, bits: int = 20) -> DataFrame:
     travel under a key of their own (m 2). A table of 2**bits anchors keeps a task's witnesses, so that a frequent
     anchor has two rows a task in one place, and more only where another anchor took its slot."""
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         held, told = np.zeros(1 << bits, _U), np.zeros(1 << bits, np.int8)  # told: 0 empty, 1 a witness, 2 known to have more
         for batch in batches:
-            for a, b, buf, offs in chunks(batch.column(1), CHUNK_BYTES // 2):
+            for a, b, buf, offs in chunks(batch.column(1), BLOCK_BYTES):
                 names, fresh = np.zeros(b - a, np.int64), np.zeros(b - a, bool)
                 for i in range(b - a):
                     if offs[i + 1] - offs[i] >= length:
@@ -130,6 +133,7 @@ def shared_places(places: DataFrame) -> DataFrame:
     """(h, p) of the anchors that stand in two places or more: a stream over sorted partitions that holds one row of the
     anchor it is at."""
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # held: the last anchor's first row, and whether all its rows have been given out
         held, given = np.zeros((4, 0), np.int64), False
@@ -196,11 +200,12 @@ def contexts(rows: DataFrame, length: int) -> DataFrame:
     """rows (id, t, h, places) -> one row per run of windows around a shared anchor; ctx is null where the task has met an
     equal one that starts earlier: that run repeats."""
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = Met()
         for batch in batches:
             ids, names = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for a, b, buf, offs in chunks(batch.column(1), CHUNK_BYTES // 2):
+            for a, b, buf, offs in chunks(batch.column(1), BLOCK_BYTES):
                 text, lo, hi, place, h = anchors(buf, offs, length)
                 take = np.zeros(len(text), bool)
                 at = np.searchsorted(text, np.arange(b - a + 1))
@@ -230,11 +235,12 @@ def narrower(ctx: DataFrame, length: int, width: int) -> DataFrame:
     equal one that starts earlier."""
     top = length - GRAM
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = Met()
         for batch in batches:
             ids, names, start, span, rel = (batch.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3, 4, 5))
-            for a, b, buf, offs in chunks(batch.column(6), CHUNK_BYTES // 2):
+            for a, b, buf, offs in chunks(batch.column(6), BLOCK_BYTES):
                 far, near = rel[a:b], rel[a:b] - span[a:b] + 1
                 n = far // width - near // width + 1
                 who = np.repeat(np.arange(b - a), n)
@@ -362,6 +368,7 @@ def repeated_starts(ctx: DataFrame, length: int, block_bytes: int = 1 << 20) ->
             e = np.append(f[1:], len(k)) - 1
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[who[k[f]]], names[who[k[f]]], where[k[f]], where[k[e]])], names=runs)
 
+    @lets_go
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size, most = 0, block_bytes
@@ -457,6 +464,7 @@ def repeat_digest(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
     about, spans = repeat_spans(docs, scratch, key, text, length, hot)
 
+    @lets_go
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
