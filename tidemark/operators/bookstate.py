@@ -50,12 +50,17 @@ def flow_steps(books: DataFrame, block_ms: int = DAY_MS) -> DataFrame:
     return with_previous(books, block_ms).withColumns({"ofi_step": F.when(known, 2.0 * raw / depth), "move": F.when(known, (mid() - before) / before * 10_000.0 / F.sqrt(elapsed))})
 
 
-def ewma_state(books: DataFrame, alpha: float = 0.05, block_ms: int = DAY_MS, chunk: int = CHUNK) -> DataFrame:
+def ewma_state(books: DataFrame, alpha: float = 0.05, block_ms: int = DAY_MS, chunk: int = CHUNK, known: tuple[str, str] | None = None) -> DataFrame:
     """books with `ofi` and `volatility` after each book, seeds 0 at a symbol's first book: s = (1 - alpha) s + alpha x, by an affine
-    scan over chunks of rows, so no task sees a whole history."""
+    scan over chunks of rows, so no task sees a whole history. known: columns with both after a book where an earlier run has
+    found them, else null; the recursion goes on from there."""
     steps = in_chunks(flow_steps(books, block_ms), ["symbol"], ["ts_ms", "sequence"], chunk)
     x, y = F.coalesce("ofi_step", F.lit(0.0)), F.coalesce(F.pow("move", F.lit(2.0)), F.lit(0.0))
-    out = affine_scan(steps, {"ofi": (F.lit(1.0 - alpha), alpha * x), "volatility": (F.lit(1.0 - alpha), alpha * y)})
+    maps = {"ofi": (F.lit(1.0 - alpha), alpha * x), "volatility": (F.lit(1.0 - alpha), alpha * y)}
+    if known is not None:
+        found = {"ofi": F.col(known[0]), "volatility": F.pow(F.col(known[1]), F.lit(2.0))}
+        maps = {n: (F.when(found[n].isNotNull(), 0.0).otherwise(a), F.coalesce(found[n], b)) for n, (a, b) in maps.items()}
+    out = affine_scan(steps, maps)
     return out.select(*books.columns, "ofi", F.sqrt(F.greatest("volatility", F.lit(0.0))).alias("volatility"))
 
 

@@ -12,9 +12,11 @@ from tidemark.operators import diagnostics as dg
 from tidemark.operators import hazard as hz
 from tidemark.operators import replay as rp
 from tidemark.operators import walkforward as wf
-from tidemark.plans.catalog import GRID, MONTHLY, OOS, ORDER, W, _params, _residuals, _taylor, query, rounded
+from tidemark.operators.episodes import FIXTURE
+from tidemark.plans.catalog import BIN_ROWS, GRID, MONTHLY, OOS, ORDER, W, _params, _residuals, _taylor, bin_rows, query, rounded
 from tidemark.sources import feeds
-from tidemark.sources.folders import new_folder
+from tidemark.sources.folders import kept, new_folder
+from tidemark.streaming import live_episodes
 
 # --- files ------------------------------------------------------------------------------------------------------------
 
@@ -237,3 +239,21 @@ def feed_store_window(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "feed-store")
     feeds.write_feed_store(feeds.trades(spark, d), path)
     return feeds.read_feed_store(spark, path, "S", 1_704_672_000_000, 1_705_000_000_000).select("symbol", "ts_ms", "sequence", "price", "quantity", "buyer_is_maker")
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------
+
+
+@query(BIN_ROWS)
+def streamed_episode_bins(spark: SparkSession, d: str) -> DataFrame:
+    """The episodes of both feeds as a stream: two micro-batches in which rows come up to six hours late, then the end."""
+    lateness, source, out, log = 21_600_000, new_folder(spark, "stream-in"), new_folder(spark, "stream-out"), new_folder(spark, "stream-log")
+    delay = F.pmod(F.xxhash64("kind", "sequence"), F.lit(lateness))
+    rows = kept(live_episodes.feed_rows(feeds.books(spark, d), feeds.trades(spark, d)).withColumn("at", F.col("ts_ms") + delay), "arrivals")
+    half = rows.agg(((F.min("at") + F.max("at")) / 2).cast("long")).first()[0]
+    for part in (F.col("at") <= half, F.col("at") > half):
+        rows.where(part).drop("at").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(live_episodes.SCHEMA).parquet(source).writeStream.foreachBatch(live_episodes.episode_stream(out, lateness, FIXTURE))
+        stream.option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    live_episodes.finish(spark, out, lateness, FIXTURE)
+    return bin_rows(live_episodes.intervals(spark, out))

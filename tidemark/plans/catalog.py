@@ -257,13 +257,19 @@ def episode_terminal(spark: SparkSession, d: str) -> DataFrame:
     return _ended(spark, d).select("episode_id", "end_ms", "risk", "filled_quantity")
 
 
-@query(W + f""", {BINS} select episode_id, start_ms as start_timestamp, stop_ms as end_timestamp, side, greatest(case when side = 'bid' then bid_price - quote_price else quote_price - ask_price end / 0.5, 0.0)::double as distance,
+BIN_ROWS = W + f""", {BINS} select episode_id, start_ms as start_timestamp, stop_ms as end_timestamp, side, greatest(case when side = 'bid' then bid_price - quote_price else quote_price - ask_price end / 0.5, 0.0)::double as distance,
   (ask_price - bid_price) / 0.5 as spread, round((bid_qty - ask_qty) / (bid_qty + ask_qty), 8) as imbalance, round(ofi, 7) as ofi, round(volatility, 7) as volatility, greatest(queue0 - taken, 0.0)::double as queue_ahead,
   ((start_ms - activated_ms) / 1000.0::double) as order_age, ((start_ms//1000) % 86400)::double as time_of_day, (stop_ms - start_ms) / 1000.0::double as exposure, (stop_ms = end_ms and risk = 'fill')::bigint as count,
-  case when stop_ms = end_ms then risk else 'none' end as risk, quote_price, distance_ticks as requested_distance_ticks, case when stop_ms = end_ms then filled_quantity else 0.0::double end as filled_quantity from c4""")
+  case when stop_ms = end_ms then risk else 'none' end as risk, quote_price, distance_ticks as requested_distance_ticks, case when stop_ms = end_ms then filled_quantity else 0.0::double end as filled_quantity from c4"""
+
+
+def bin_rows(intervals: DataFrame) -> DataFrame:
+    return intervals.drop("symbol", "queue_is_approximate").withColumns({"imbalance": _r("imbalance"), "ofi": _r("ofi", 7), "volatility": _r("volatility", 7)})
+
+
+@query(BIN_ROWS)
 def episode_bins(spark: SparkSession, d: str) -> DataFrame:
-    x = ep.build_intervals(feeds.books(spark, d), feeds.trades(spark, d), ep.FIXTURE).drop("symbol", "queue_is_approximate")
-    return x.withColumns({"imbalance": _r("imbalance"), "ofi": _r("ofi", 7), "volatility": _r("volatility", 7)})
+    return bin_rows(ep.build_intervals(feeds.books(spark, d), feeds.trades(spark, d), ep.FIXTURE))
 
 
 @query(W + f", {ENDED} select side, risk, count(*) as episodes, round(sum((end_ms - activated_ms) / 1000.0::double), 6) as exposure, round(count(*) / sum((end_ms - activated_ms) / 1000.0::double), 10) as rate from et where end_ms > activated_ms group by 1, 2")
