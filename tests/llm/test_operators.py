@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import url_filter as uf
 from tidemark.llm.common import Scratch, components, id_filter, read_table, without
-from tidemark.llm.embedding_dedup import near_vectors, unit
+from tidemark.llm.embedding_dedup import near_vectors, routes, unit
 from tidemark.llm.language_id import identify_languages
 from tidemark.llm.ngram_join import _differ, jaccard_components, parity_sketch
 from tidemark.llm.packing import best_fit, pack, piece_bounds
@@ -530,6 +531,39 @@ def test_near_vectors_of_many_lengths(spark):
     assert got == {i: int(i % 100 < 2) for i, _ in rows}
 
 
+def test_links_to_cores_are_those_of_all_pairs(spark):
+    """A near group that spreads past the wanted cosine, over several cells, with equal vectors: every count is that of the pairs of
+    which either visits the other's cell."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=12)
+    x = np.concatenate([centre + rng.normal(size=(700, 12)) * rng.uniform(0.02, 0.5, (700, 1)), rng.normal(size=(300, 12))])
+    x[650:700] = x[600:650]
+    kept, df = scratch(spark), spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, kept, cell_rows=8, block_rows=25, target_recall=0.6).collect()}
+    placed = {r.id: r for r in spark.read.parquet(f"{kept.root}/placed").collect()}
+    rows = [placed[i - 50 if 650 <= i < 700 else i] for i in range(len(x))]
+    home, u = np.array([r.home for r in rows]), unit(x)
+    visits = np.array([[h in set(r.visits) for h in home] for r in rows])
+    links = (u @ u.T >= 0.95) & (visits | visits.T) & ~np.eye(len(x), dtype=bool)
+    assert not visits.all() and len({r.home for r in rows[:700] if r.r is not None}) > 3 and spark.read.parquet(f"{kept.root}/sure").count() > 300
+    assert [got[i][0] for i in range(len(x))] == links.sum(axis=1).tolist()
+    label = np.arange(len(x))
+    while (low := np.minimum(label, np.where(links, label[None, :], len(x)).min(axis=1))).tolist() != label.tolist():
+        label = low
+    assert [got[i][1] for i in range(len(x))] == label.tolist()
+
+
+def test_a_large_near_group_is_not_compared_pair_by_pair(spark):
+    rng, n = np.random.default_rng(6), 20_000
+    x = 1.0 + rng.normal(scale=0.05, size=(n, 8))
+    kept, df = scratch(spark), spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    out = near_vectors(df, kept).agg(F.min("n_links").alias("least"), F.max("n_links").alias("most"), F.max("component_id").alias("c")).first()
+    assert 0.9 * n <= out.least and out.most <= n - 1 and out.c == 0
+    placed, cells = (spark.read.parquet(f"{kept.root}/{t}") for t in ("placed", "cells"))
+    told = routes(placed, cells, 0.95).agg(F.sum("blocks").alias("compared"), F.count("*").alias("n")).first()
+    assert told.compared < n / 10 and told.n <= n * len(placed.first().visits)
+
+
 def test_recall_on_a_whole_table(spark):
     """Links of all vectors whose id is divisible by 20, against brute force over all rows: the table's vectors and, for each,
     one at a cosine between 0.95 and 0.97."""

@@ -5,6 +5,10 @@ in one. A vector visits cells in the order of the sum of its halves' squared dis
 order). How many cells are visited is set by measurement: so many, all of them if need be, that a vector at exactly the wanted
 cosine is met with at least the target recall from one side alone; a pair counts when either side meets the other. All candidates are
 verified in double precision, block by block, and blocks give counts and spanning edges, never lists of pairs.
+
+Near groups of any size: members within half the wanted angle of their cell's centre are its core. By the triangle inequality a
+visitor that lies close enough to the centre links to the whole core, one far enough away to none of it; both are settled by
+one row, without a vector sent or compared.
 """
 
 from __future__ import annotations
@@ -54,6 +58,13 @@ class MultiIndex:
         h = x.shape[1] // 2
         return _distances(x[:, :h], self.first).argmin(axis=1) * len(self.second) + _distances(x[:, h:], self.second).argmin(axis=1)
 
+    def angles(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Angle of each row of x to the centres of its row of cells; infinite where a centre is zero."""
+        h, (a, b) = x.shape[1] // 2, np.divmod(cells, len(self.second))
+        dots = np.take_along_axis(x[:, :h] @ self.first.T, a, 1) + np.take_along_axis(x[:, h:] @ self.second.T, b, 1)
+        norms = np.sqrt((self.first**2).sum(axis=1)[a] + (self.second**2).sum(axis=1)[b])
+        return np.where(norms > 0, np.arccos(np.clip(dots / np.where(norms > 0, norms, 1.0), -1.0, 1.0)), np.inf)
+
     def traverse(self, x: np.ndarray, most: int) -> np.ndarray:
         """The first `most` cells of each vector in multi-sequence order. The cell of ranks (a, b) comes after at least
         (a + 1)(b + 1) - 1 others, so only those with (a + 1)(b + 1) <= most can be among them."""
@@ -125,6 +136,45 @@ def _compare(q: dict, m: dict, cosine: float) -> tuple[dict[str, np.ndarray], li
     return {"q": add_q, "m": add_m}, edges
 
 
+#: Radians by which angles may be off; within it, vectors are compared.
+SLACK = 1e-6
+
+
+def cell_table(placed: DataFrame, block_rows: int) -> DataFrame:
+    """A row a cell: blocks of its other members (rest) and of its core, the core's radius, number of vectors and smallest id."""
+    core = F.col("r").isNotNull()
+    blocks = lambda which: F.ceil(F.count_if(which) / block_rows).cast("long")
+    return placed.groupBy(F.col("home").alias("cell")).agg(
+        blocks(~core).alias("rest"), blocks(core).alias("core"), F.max("r").alias("radius"), F.sum(F.when(core, F.col("n"))).alias("core_n"), F.min(F.when(core, F.col("id"))).alias("core_id")
+    )
+
+
+def routes(placed: DataFrame, cells: DataFrame, cosine: float) -> DataFrame:
+    """A row for each vector and cell it visits, with what is known of the cell; sure: it links to the whole core; blocks: so many of
+    the cell's blocks are to be compared, the core's coming last."""
+    angle = float(np.arccos(cosine))
+    at = placed.withColumn("v", F.explode(F.arrays_zip("visits", "angles"))).withColumns({"cell": F.col("v.visits"), "angle": F.col("v.angles")}).join(cells, "cell")
+    at = at.withColumn("sure", F.coalesce(F.col("angle") + F.col("radius") <= angle - SLACK, F.lit(False)))
+    none = F.coalesce(F.col("angle") - F.col("radius") > angle + SLACK, F.lit(False))
+    return at.withColumn("blocks", F.col("rest") + F.when(F.col("sure") | none, F.lit(0)).otherwise(F.col("core")))
+
+
+def core_links(placed: DataFrame, cells: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
+    """(id, add, root) of links to whole cores: a visitor adds the core's vectors, itself left out, and hangs on its smallest id; a
+    core member that does not visit the visitor's cell is given the visitor's vectors, summed up by pairs of cells."""
+    bare = placed.select("id", "n", "home", "r", "visits", "angles")
+    sure = scratch.table(routes(bare, cells, cosine).where("sure").select("id", "n", "home", "r", "cell", "core_n", "core_id"), "sure")
+    own = (F.col("cell") == F.col("home")) & F.col("r").isNotNull()
+    adds = sure.select("id", (F.col("core_n") - F.when(own, F.col("n")).otherwise(0)).alias("add"), F.lit(None).cast("long").alias("root"))
+    roots = sure.where("id <> core_id").select("id", F.lit(0).cast("long").alias("add"), F.col("core_id").alias("root"))
+    sent = scratch.table(sure.groupBy(F.col("home").alias("from_cell"), "cell").agg(F.sum("n").alias("s")), "sent")
+    members = bare.where("r is not null").withColumnRenamed("home", "cell")
+    met = members.select("id", "cell", F.explode("visits").alias("from_cell")).join(sent, ["from_cell", "cell"]).groupBy("id").agg(F.sum("s").alias("met"))
+    total = sent.groupBy("cell").agg(F.sum("s").alias("s"))
+    given = members.select("id", "cell").join(total, "cell").join(met, "id", "left").select("id", (F.col("s") - F.coalesce("met", F.lit(0))).alias("add"), F.lit(None).cast("long").alias("root")).where("add > 0")
+    return adds.where("add > 0").unionByName(roots).unionByName(given)
+
+
 def near_vectors(
     vectors: DataFrame, scratch: Scratch, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, target_recall: float = 0.97,
     sample: int = 20_000, cell_rows: int = 256, most_codewords: int = 4096, block_rows: int = 2048,
@@ -137,7 +187,7 @@ def near_vectors(
     rows of their own. A null key links nothing. An empty table gives no rows. Extra columns are ignored.
     Codebooks are fitted on about `sample` different vectors, or 8 a codeword if that is more; every vector is indexed. There
     are as many codewords a half as make cells of about cell_rows vectors, at most most_codewords: what lies beyond stays in
-    larger cells, which are dealt out in blocks of about block_rows members. A length with few vectors has one cell.
+    larger cells, which are dealt out in blocks of about block_rows members; links to a whole core need no comparing. A length with few vectors has one cell.
     Equal vectors are gathered first. Ties at the wanted cosine link.
     """
     spark = vectors.sparkSession
@@ -165,6 +215,7 @@ def near_vectors(
     sent = spark.sparkContext.broadcast(indexes)
 
     flat_type = pa.float32() if own == "float" else pa.float64()
+    inner = float(np.arccos(cosine)) / 2 - SLACK  # members so near their centre are its core
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,22 +228,24 @@ def near_vectors(
                     part = own[s : s + 1024]
                     raw = flat[at[part][:, None] + np.arange(d)]
                     x = unit(raw)
-                    cells = index.traverse(x, index.visits) + base
-                    home = index.home(x) + base
+                    cells, home = index.traverse(x, index.visits), index.home(x)
+                    r = index.angles(x, home[:, None])[:, 0]
+                    angles, cells, home = index.angles(x, cells), cells + base, home + base
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array(part)), batch.column(1).take(pa.array(part)), pa.array(home.astype(np.int64)),
-                            pa.array(list(cells.astype(np.int64)), pa.list_(pa.int64())), pa.array(list(raw), pa.list_(flat_type)),
+                            pa.array(r, pa.float64(), mask=~(r <= inner)), pa.array(list(cells.astype(np.int64)), pa.list_(pa.int64())), pa.array(list(angles), pa.list_(pa.float64())),
+                            pa.array(list(raw), pa.list_(flat_type)),
                         ],
-                        names=["id", "n", "home", "visits", "x"],
+                        names=["id", "n", "home", "r", "visits", "angles", "x"],
                     )
 
-    shape = f"id long, n long, home long, visits array<long>, x array<{own}>"
+    shape = f"id long, n long, home long, r double, visits array<long>, angles array<double>, x array<{own}>"
     placed = scratch.table(classes.select("id", "n", "e").mapInArrow(place, shape), "placed")
-    # blocks of each cell: a table of at most codewords squared rows
-    blocks = placed.groupBy("home").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks")).withColumnRenamed("home", "cell")
-    members = placed.withColumn("cell", F.col("home")).join(F.broadcast(blocks), "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(0).alias("visitor"), "id", "n", "home", "visits", "x")
-    visitors = placed.withColumn("cell", F.explode("visits")).join(F.broadcast(blocks), "cell").select(
+    cells = scratch.table(cell_table(placed, block_rows), "cells")
+    spot = F.when(F.col("r").isNull(), F.pmod(F.xxhash64("id"), F.greatest("rest", F.lit(1)))).otherwise(F.col("rest") + F.pmod(F.xxhash64("id"), F.greatest("core", F.lit(1))))
+    members = placed.withColumn("cell", F.col("home")).join(cells, "cell").select("cell", spot.alias("block"), F.lit(0).alias("visitor"), "id", "n", "home", "visits", "x")
+    visitors = routes(placed, cells, cosine).where("blocks > 0").select(
         "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("visitor"), "id", "n", "home", F.array().cast("array<long>").alias("visits"), "x"
     )
 
@@ -221,7 +274,8 @@ def near_vectors(
                     out_root += root.tolist()
         return pa.table({"id": pa.array(out_id, pa.int64()), "add": pa.array(out_n, pa.int64()), "root": pa.array(out_root, pa.int64())})
 
-    found = scratch.table(members.unionByName(visitors).groupBy("cell", "block").applyInArrow(block, "id long, add long, root long"), "found")
+    compared = members.unionByName(visitors).groupBy("cell", "block").applyInArrow(block, "id long, add long, root long")
+    found = scratch.table(compared.unionByName(core_links(placed, cells, cosine, scratch)), "found")
     linked = found.where("root is null").groupBy("id").agg(F.sum("add").alias("others"))
     joined = components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     per_class = (
