@@ -212,3 +212,13 @@ def test_flagged_risk(spark):
             row.select(hz.flagged_risk(flags, times)).collect()
     with pytest.raises(Exception, match="need event times"):
         df.select(hz.flagged_risk(flags)).collect()
+
+
+def test_a_small_file_of_seeds_is_dealt_out(spark):
+    """Paths make many rows of few seeds: one input partition must not simulate them all in one task."""
+    m, seeds = gq.QuoteModel(1.0, 1.5, 0.1, 0.3, 0.0, 2), spark.range(40).toDF("seed").coalesce(1)
+    out = gq.simulate_paths(seeds, m, 3.0, 0.5, 100.0, paths=5)
+    assert out.rdd.getNumPartitions() == 8
+    rows = sorted(tuple(r)[1:] for r in out.where("seed = 17").collect())
+    assert rows == gq.simulate(m, 3.0, 0.5, 100.0, 17) and out.count() == 40 * 7
+    assert all(r[6:8] == gq.deltas(m, r[3], 3.0 - r[1]) for r in rows[:-1])

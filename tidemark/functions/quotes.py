@@ -140,35 +140,55 @@ def time_grid(horizon: float, dt: float) -> np.ndarray:
     return t
 
 
+@lru_cache(maxsize=8)
+def quoted_steps(m: QuoteModel, horizon: float, dt: float) -> list[tuple]:
+    """(time, step, by inventory from the lowest: (bid, ask, bids expected, asks expected)) of each step; the same for every path."""
+    t = time_grid(horizon, dt)
+    out = []
+    for at, step in zip(t[:-1], np.diff(t), strict=True):
+        row = []
+        for q in range(-m.max_inventory, m.max_inventory + 1):
+            bid, ask = deltas(m, q, horizon - at)
+            row.append((bid, ask, None if bid is None else m.A * math.exp(-m.k * bid) * step, None if ask is None else m.A * math.exp(-m.k * ask) * step))
+        out.append((float(at), step, row))
+    return out
+
+
 def simulate(m: QuoteModel, horizon: float, dt: float, mid0: float, seed: int, inventory: int = 0, cash: float = 0.0) -> list[tuple]:
     """One path: (step, time, mid, inventory, cash, equity, bid delta, ask delta, bid fills, ask fills), the last row without
     quotes. Draw order per step: bid count, ask count (each only if quoted), then the mid's normal."""
-    rng, t = np.random.default_rng(seed), time_grid(horizon, dt)
+    if abs(inventory) > m.max_inventory:
+        raise ValueError("inventory outside the grid")
+    rng, most = np.random.default_rng(seed), m.max_inventory
+    poisson, normal = rng.poisson, rng.normal
     mid, q, rows = mid0, inventory, []
-    for i, step in enumerate(np.diff(t)):
-        bid, ask = deltas(m, q, horizon - t[i])
-        nb = min(int(rng.poisson(m.A * math.exp(-m.k * bid) * step)), m.max_inventory - q) if bid is not None else 0
-        na = min(int(rng.poisson(m.A * math.exp(-m.k * ask) * step)), q + m.max_inventory) if ask is not None else 0
-        rows.append((i, float(t[i]), mid, q, cash, cash + q * mid, bid, ask, nb, na))
+    for i, (at, step, quotes) in enumerate(quoted_steps(m, horizon, dt)):
+        bid, ask, bids, asks = quotes[q + most]
+        nb = min(int(poisson(bids)), most - q) if bid is not None else 0
+        na = min(int(poisson(asks)), q + most) if ask is not None else 0
+        rows.append((i, at, mid, q, cash, cash + q * mid, bid, ask, nb, na))
         cash += (na * (mid + ask) if na else 0.0) - (nb * (mid - bid) if nb else 0.0)
         q += nb - na
-        mid += m.mu * step + m.sigma * math.sqrt(step) * rng.normal()
-    rows.append((len(t) - 1, float(t[-1]), mid, q, cash, cash + q * mid, None, None, None, None))
+        mid += m.mu * step + m.sigma * math.sqrt(step) * normal()
+    rows.append((len(rows), float(horizon), mid, q, cash, cash + q * mid, None, None, None, None))
     return rows
 
 
 SIMULATION = "seed long, step long, time double, mid double, inventory long, cash double, equity double, bid_delta double, ask_delta double, bid_fills long, ask_fills long"
 
 
-def simulate_paths(seeds: DataFrame, m: QuoteModel, horizon: float, dt: float, mid0: float) -> DataFrame:
-    """seeds has `seed`; paths run side by side, each sequential and reproducible from its seed."""
+def simulate_paths(seeds: DataFrame, m: QuoteModel, horizon: float, dt: float, mid0: float, paths: int = 1 << 12) -> DataFrame:
+    """seeds has `seed`; paths run side by side, each sequential and reproducible from its seed. Seeds are dealt out anew, about `paths`
+    a task, since a small file of seeds makes many rows."""
     names = [x.split()[0] for x in SIMULATION.split(", ")]
     kinds = [pa.float64() if x.endswith("double") else pa.int64() for x in SIMULATION.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in b.column(0).to_pylist():
-                rows = [(s, *r) for r in simulate(m, horizon, dt, mid0, s)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+            own = b.column(0).to_pylist()
+            for k in range(0, len(own), 32):
+                rows = [(s, *r) for s in own[k : k + 32] for r in simulate(m, horizon, dt, mid0, s)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return seeds.select("seed").mapInArrow(run, SIMULATION)
+    tasks = max(seeds.sparkSession.sparkContext.defaultParallelism, -(-seeds.count() // paths))
+    return seeds.select("seed").repartition(tasks).mapInArrow(run, SIMULATION)
