@@ -212,3 +212,31 @@ def test_stream_end_closes_the_run(spark, tmp_path):
     pick = lambda rows: {tuple(r[c] for c in cols) for r in rows if r.log != "order"} | {("order", r.order_id, r.status, r.closed_ms) for r in rows if r.log == "order"}
     live, batch = pick(spark.table("closed").collect()), pick(replay(e, fixture_run()).collect())
     assert live == batch and any(x[0] == "order" and x[2] == "expired" for x in live)
+
+
+def test_a_long_run_is_a_stream(spark):
+    """A run arrives in many small batches, its orders are given out as they close, and the logs are those of one piece."""
+    e = event_rows(feeds.books(spark, DATA), feeds.trades(spark, DATA)).where("ts_ms < 1704400000000")
+    run = fixture_run()()
+    run.run(sorted((r.asDict() for r in e.collect()), key=canonical))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        plan = replay(e, fixture_run())
+        rows = plan.collect()
+        assert "FlatMapGroups" not in plan._jdf.queryExecution().toString()  # no group of a symbol's whole history
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    by = {k: sorted((r for r in rows if r.log == k), key=lambda r: r.n) for k in ("order", "fill", "equity")}
+    assert [(r.n, r.order_id, r.status, r.closed_ms, r.filled, r.queue0) for r in by["order"]] == [(i, o.order_id, o.status, o.closed_ms, o.filled, o.queue0) for i, o in enumerate(run.orders.values())]
+    assert [(r.ts_ms, r.order_id, r.quantity, r.cash_after) for r in by["fill"]] == [(f["ts_ms"], f["order_id"], f["quantity"], f["cash_after"]) for f in run.fills]
+    assert [(r.n, r.ts_ms, r.equity) for r in by["equity"]] == [(i, x["ts_ms"], x["equity"]) for i, x in enumerate(run.equity)]
+    only = replay(e, fixture_run(), logs=("fill",)).collect()
+    assert sorted(only, key=lambda r: r.n) == by["fill"]
+
+
+def test_an_id_is_not_used_twice_even_after_its_order_has_closed(spark):
+    rows = [book(0), place(1, "a", "buy", 101.0, 1.0), book(5), *(book(t) for t in range(6, 60)), place(60, "a", "buy", 99.0, 1.0), book(70)]
+    e = spark.createDataFrame([{"symbol": "S", **r} for r in rows], "symbol string, ts_ms long, phase int, sequence long, kind string, bid_price double, bid_qty double, ask_price double, ask_qty double, order_id string, side string, price double, quantity double")
+    with pytest.raises(Exception, match="placed before"):
+        replay(e, lambda: Replay(ReplayConfig(tick_size=1.0, liquidate_at_end=False))).collect()

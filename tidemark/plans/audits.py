@@ -99,7 +99,7 @@ eqv as (select *, cash_after + inventory_after * mid as equity from eq)
 """
 
 
-def _single(spark: SparkSession, d: str) -> DataFrame:
+def _single(spark: SparkSession, d: str, *logs: str) -> DataFrame:
     """The logs of one run for each hour of the feed, `run` its number."""
     books, trades = feeds.books(spark, d), feeds.trades(spark, d)
     ends = books.select("ts_ms", F.lit(True).alias("book")).unionAll(trades.select("ts_ms", F.lit(False).alias("book")))
@@ -114,26 +114,26 @@ def _single(spark: SparkSession, d: str) -> DataFrame:
     cancel = own.select("run", "phase", "sequence", "order_id", F.lit("cancel").alias("kind"), (F.col("d") + 3 * HOUR).alias("ts_ms"))
     events = market.unionByName(place, allowMissingColumns=True).unionByName(cancel, allowMissingColumns=True)
     config = rp.ReplayConfig(tick_size=0.5, placement_latency_ms=60_000, cancel_latency_ms=60_000, maker_fee_rate=-0.0001, taker_fee_rate=0.0005)
-    return rp.replay(events.withColumn("symbol", F.col("run").cast("string")), lambda: rp.Replay(config)).withColumn("run", F.col("symbol").cast("long"))
+    return rp.replay(events.withColumn("symbol", F.col("run").cast("string")), lambda: rp.Replay(config), logs=logs).withColumn("run", F.col("symbol").cast("long"))
 
 
 @query(SINGLE + """select k.run, side, p as price, case when reason is not null then 'rejected' when filled = 3 then 'filled' when c <= e then 'canceled' else 'expired' end as status, reason, case when reason is null then a end as active_ms,
 case when reason is not null then a when filled = 3 then done when c <= e then c else e end as closed_ms, coalesce(filled, 0)::double as filled, case when reason is null and (at0 is not null or done is null or known < done) then q0 end as queue0 from kn k left join fs1 using (run)""")
 def replay_single_orders(spark: SparkSession, d: str) -> DataFrame:
     """What becomes of one order a run: refusals, queues at the touch, inside the spread and not yet seen, cancels, expiry."""
-    return _single(spark, d).where("log = 'order'").select("run", "side", "price", "status", "reason", "active_ms", "closed_ms", "filled", "queue0")
+    return _single(spark, d, "order").select("run", "side", "price", "status", "reason", "active_ms", "closed_ms", "filled", "queue0")
 
 
 @query(SINGLE + "select run, ts_ms, side, price, q as quantity, liquidity, quote_age_ms, round(fee, 6) as fee, round(cash_after, 6) as cash_after, inventory_after from al")
 def replay_single_fills(spark: SparkSession, d: str) -> DataFrame:
     """Their fills and liquidations, with fees, cash and age."""
-    return rounded(_single(spark, d).where("log = 'fill'").select("run", "ts_ms", "side", "price", "quantity", "liquidity", "quote_age_ms", "fee", "cash_after", "inventory_after"), 6)
+    return rounded(_single(spark, d, "fill").select("run", "ts_ms", "side", "price", "quantity", "liquidity", "quote_age_ms", "fee", "cash_after", "inventory_after"), 6)
 
 
 @query(SINGLE + "select run, ts_ms, reason, mid, round(cash_after, 6) as cash_after, inventory_after, round(equity, 6) as equity from eqv")
 def replay_single_equity(spark: SparkSession, d: str) -> DataFrame:
     """Their equity at each book, fill and liquidation."""
-    return rounded(_single(spark, d).where("log = 'equity'").select("run", "ts_ms", "reason", "mid", "cash_after", "inventory_after", "equity"), 6)
+    return rounded(_single(spark, d, "equity").select("run", "ts_ms", "reason", "mid", "cash_after", "inventory_after", "equity"), 6)
 
 
 @query(SINGLE + """, dd as (select *, max(equity) over w - equity as fall, first_value(equity) over w as e0, last_value(equity) over (partition by run order by o = 2, ts_ms, o, sequence rows between unbounded preceding and unbounded following) as e1 from eqv window w as (partition by run order by o = 2, ts_ms, o, sequence rows unbounded preceding)),
@@ -142,16 +142,14 @@ af as (select run, count(*) as n_fills, sum(fee) as fees, sum(case when liquidit
 select k.run, 1 as n_orders, coalesce(n_fills, 0) as n_fills, round(fees, 6) as fees, maker_quantity, round(max_drawdown, 6) as max_drawdown, max_abs_inventory, round(net_pnl, 6) as net_pnl from kn k left join de using (run) left join af using (run)""")
 def replay_single_summary(spark: SparkSession, d: str) -> DataFrame:
     """Each run's fees, largest inventory, drawdown and profit."""
-    s = rp.summary(_single(spark, d)).withColumn("run", F.col("symbol").cast("long"))
+    s = rp.summary(_single(spark, d, "order", "fill", "equity")).withColumn("run", F.col("symbol").cast("long"))
     return rounded(s.select("run", "n_orders", "n_fills", "fees", "maker_quantity", "max_drawdown", "max_abs_inventory", "net_pnl"), 6)
 
 
 @query(SINGLE + "select k.run, side, p as price, a as start_ms, case when filled = 3 then done when c <= e then c else e end as stop_ms from kn k left join fs1 using (run) where reason is null")
 def replay_single_segments(spark: SparkSession, d: str) -> DataFrame:
     """When each of these orders was live."""
-    path = new_folder(spark, "single-runs")
-    _single(spark, d).where("log <> 'equity'").write.parquet(path)
-    logs = spark.read.parquet(path)
+    logs = kept(_single(spark, d, "order", "fill"), "single-runs")
     return rp.quote_segments(logs.where("log = 'order'"), logs.where("log = 'fill'")).select(F.col("symbol").cast("long").alias("run"), "side", "price", "start_ms", "stop_ms")
 
 

@@ -537,40 +537,40 @@ def poisson_simulation(spark: SparkSession, d: str) -> DataFrame:
 # --- replay -----------------------------------------------------------------------------------------------------------
 
 
-def _replay(spark: SparkSession, d: str) -> DataFrame:
-    return rp.replay(rp.event_rows(feeds.books(spark, d), feeds.trades(spark, d)), rp.fixture_run())
+def _replay(spark: SparkSession, d: str, *logs: str) -> DataFrame:
+    return rp.replay(rp.event_rows(feeds.books(spark, d), feeds.trades(spark, d)), rp.fixture_run(), logs=logs)
 
 
 @query()
 def replay_orders(spark: SparkSession, d: str) -> DataFrame:
-    return _replay(spark, d).where("log = 'order'").select("order_id", "side", "price", "quantity", "status", "requested_ms", "active_ms", "closed_ms", "filled", "queue0")
+    return _replay(spark, d, "order").select("order_id", "side", "price", "quantity", "status", "requested_ms", "active_ms", "closed_ms", "filled", "queue0")
 
 
 @query()
 def replay_fills(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_replay(spark, d).where("log = 'fill'").select("n", "ts_ms", "order_id", "side", "price", "quantity", "liquidity", "fee", "cash_after", "inventory_after"), 6)
+    return rounded(_replay(spark, d, "fill").select("n", "ts_ms", "order_id", "side", "price", "quantity", "liquidity", "fee", "cash_after", "inventory_after"), 6)
 
 
 @query()
 def replay_equity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_replay(spark, d).where("log = 'equity'").select("n", "ts_ms", "reason", "mid", "cash_after", "inventory_after", "equity"), 6)
+    return rounded(_replay(spark, d, "equity").select("n", "ts_ms", "reason", "mid", "cash_after", "inventory_after", "equity"), 6)
 
 
 @query()
 def replay_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rp.summary(_replay(spark, d)), 6)
+    return rounded(rp.summary(_replay(spark, d, "order", "fill", "equity")), 6)
 
 
 @query()
 def quote_segments(spark: SparkSession, d: str) -> DataFrame:
-    logs = _replay(spark, d).persist()
+    logs = kept(_replay(spark, d, "order", "fill"), "logs")
     return rp.quote_segments(logs.where("log = 'order'"), logs.where("log = 'fill'"))
 
 
 @query()
 def replay_markouts(spark: SparkSession, d: str) -> DataFrame:
     """The run's maker fills against the book ten minutes and a day later."""
-    logs = _replay(spark, d).where("log = 'fill'").select("symbol", "log", "n", "ts_ms", "order_id", "side", "price", "liquidity")
+    logs = _replay(spark, d, "fill").select("symbol", "log", "n", "ts_ms", "order_id", "side", "price", "liquidity")
     return rounded(rp.fill_markouts(logs, feeds.books(spark, d), [600_000, 86_400_000], rp.fixture_run()().config))
 
 
