@@ -115,3 +115,20 @@ def test_gate_frame_names_its_reasons(spark):
     calm = spark.createDataFrame([(i, "bid" if i % 2 else "ask", float(v), 1) for i, v in enumerate(rng.normal(size=20000))], "ts_ms long, side string, residual double, count int")
     got = dg.gate_frame(calm, ["ts_ms"]).first()
     assert not got.warranted and got.reasons == ["nothing_left"] and got.decision == "keep_state_dependent_poisson"
+
+
+def test_equal_rows_are_gathered_and_weigh_as_often_as_they_occur(spark):
+    """A pass reads as many rows as there are different ones; nulls, copies and rows alone give the fit of the rows one by one."""
+    from tidemark.operators import folds
+
+    rows = spark.range(6000).selectExpr("double(id % 5) as x", "case when id % 3 = 0 then 'bid' else 'ask' end as side", "int(id % 7 = 0) as count", "1.0 + id % 2 as exposure", "date'2024-01-01' as month")
+    rows = rows.unionByName(spark.sql("select cast(null as double) as x, 'bid' as side, 1 as count, 1.0 as exposure, date'2024-01-01' as month")).withColumn("exposure", F.col("exposure").cast("double"))
+    got = folds.gathered(rows, ("x",), False)
+    assert got.count() <= 5 * 2 * 2 * 2 + 1 and got.agg(F.sum("c")).first()[0] == 6001
+    fits = fit_folds(rows, ("x",))
+    x, y, e, side = (np.array(c) for c in zip(*[(r.x, r["count"], r.exposure, r.side) for r in rows.where("x is not null").collect()], strict=True))
+    for s in ("bid", "ask"):
+        f, use = fits[0, s], side == s
+        d = np.stack([np.ones(use.sum()), (x[use] - f.centre[0]) / f.scale[0]], axis=1)
+        slope = d.T @ (e[use] * np.exp(d @ f.beta) - y[use]) + np.array([0.0, 1e-3]) * f.beta
+        assert f.n_observations == use.sum() and f.converged and np.abs(slope).max() < 1e-6

@@ -1,6 +1,7 @@
 """Poisson fits of many folds and sides at once: every Newton step is one pass over the rows for all of them.
 
-Scales and coefficients are a small table of one row a fold and side. A task adds up the gradients and Hessians of all
+Rows that agree in all that a fit looks at are one row with their number `c`. Scales and coefficients are a small table of
+one row a fold and side. A task adds up the gradients and Hessians of all
 fits that train on its rows, Spark adds up the tasks' sums, and the driver solves fits x terms systems.
 """
 
@@ -16,17 +17,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import beside, exact_quantiles
+from tidemark.sources.folders import kept
 
 BOUND = 30.0
 
 
+def gathered(rows: DataFrame, names: tuple[str, ...], by_month: bool) -> DataFrame:
+    """(names, count, exposure, side, month if asked for, c): equal rows as one with their number, written once for all passes."""
+    used = rows.select(*dict.fromkeys([*names, "count", "exposure", "side", *(["month"] if by_month else [])]))
+    return kept(used.groupBy(*used.columns).agg(F.count("*").alias("c")), "gathered")
+
+
 def scales(rows: DataFrame, names: tuple[str, ...], splits: DataFrame | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """fold -> (centres, scales): exact median, and IQR / 1.349, else population deviation, else 1, over a fold's training months.
-    Months are summed up first, so a row meets its own month and not every fold. Without splits: all rows, as fold 0."""
+    """fold -> (centres, scales) of gathered rows: exact median, and IQR / 1.349, else population deviation, else 1, over a fold's training
+    months. Months are summed up first, so a row meets its own month and not every fold. Without splits: all rows, as fold 0."""
     by = ["month"] if splits is not None else []
     cells = F.explode(F.array(*(F.struct(F.lit(i).alias("j"), F.col(n).cast("double").alias("v")) for i, n in enumerate(names))))
-    flat = rows.select(*by, cells.alias("x")).select(*by, "x.j", "x.v")
-    counted, moments = flat.groupBy(*by, "j", "v").agg(F.count("*").alias("c")), flat.groupBy(*by, "j").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("d"))
+    flat = rows.select(*by, cells.alias("x"), "c").select(*by, "x.j", "x.v", "c")
+    counted = kept(flat.groupBy(*by, "j", "v").agg(F.sum("c").alias("c")), "counted")
+    sure = counted.where("v is not null")
+    means = kept(sure.groupBy(*by, "j").agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("m")), "means")
+    away = F.col("v") - F.col("m")
+    moments = beside(sure, means, [*by, "j"], means.count()).groupBy(*by, "j").agg(F.first("n").alias("n"), F.first("m").alias("m"), (F.sum(F.col("c") * away * away) / F.first("n")).alias("d"))
     if splits is None:
         counted, moments = (x.withColumn("fold", F.lit(0)) for x in (counted, moments))
     else:
@@ -76,7 +88,7 @@ def _sums(rows: DataFrame, names: tuple[str, ...], folds_of: dict | None, trials
         total = np.zeros((len(order), size))
         for batch in batches:
             x = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names], axis=1) if names else np.zeros((batch.num_rows, 0))
-            y, e = (batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in ("count", "exposure"))
+            y, e, c = (batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in ("count", "exposure", "c"))
             kinds, back = np.unique(batch.column("side").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
             months, when = np.unique(batch.column("month").to_numpy(zero_copy_only=False).astype(str), return_inverse=True) if folds_of else (None, None)
             often, place = np.unique(y, return_inverse=True)
@@ -89,20 +101,20 @@ def _sums(rows: DataFrame, names: tuple[str, ...], folds_of: dict | None, trials
                     if not use.any():
                         continue
                     beta, centre, scale = trials[fold, side]
-                    d, yy, ee = design(x[use], centre, scale, clip), y[use], e[use]
+                    d, yy, ee, w = design(x[use], centre, scale, clip), y[use], e[use], c[use]
                     raw = d @ beta
                     eta, on = np.clip(raw, -BOUND, BOUND), (np.abs(raw) < BOUND).astype(float)
                     mu = ee * np.exp(eta)
                     own = total[number[fold, side]]
-                    own[0] += (mu - yy * eta).sum()
-                    own[1 : 1 + k] += d.T @ ((mu - yy) * on)
-                    own[1 + k : 1 + k + k * k] += ((d * (mu * on)[:, None]).T @ d).reshape(-1)
-                    own[-4:] += (len(yy), yy.sum(), ee.sum(), fixed[use].sum())
+                    own[0] += (w * (mu - yy * eta)).sum()
+                    own[1 : 1 + k] += d.T @ (w * (mu - yy) * on)
+                    own[1 + k : 1 + k + k * k] += ((d * (w * mu * on)[:, None]).T @ d).reshape(-1)
+                    own[-4:] += (w.sum(), (w * yy).sum(), (w * ee).sum(), (w * fixed[use]).sum())
         at = np.flatnonzero(total.any(axis=1))
         spot = (at[:, None] * size + np.arange(size)).reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int64)), pa.array(total[at].reshape(-1))], names=["at", "s"])
 
-    used = rows.select(*names, "count", "exposure", "side", *(["month"] if folds_of else [])).dropna(subset=[*names, "count", "exposure"])
+    used = rows.select(*names, "count", "exposure", "side", "c", *(["month"] if folds_of else [])).dropna(subset=[*names, "count", "exposure"])
     if folds_of:
         used = used.withColumn("month", F.col("month").cast("string"))
     got = np.zeros(len(order) * size)
@@ -115,6 +127,7 @@ def fit_folds(rows: DataFrame, names: tuple[str, ...], splits: DataFrame | None
     """(fold, side) -> its fit. rows: features, side, count, exposure and, with splits (fold, train_month), month; rows with a null among them are passed over. Fits that have
     converged leave the passes; a step that does not lower its fit's objective is halved in the next pass. Fits are folds x sides,
     as many as there are months, so they and their sums stay small at any number of rows."""
+    rows = gathered(rows, names, splits is not None)
     scaled = scales(rows, names, splits)
     folds_of: dict | None = None
     if splits is not None:
