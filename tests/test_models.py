@@ -222,3 +222,16 @@ def test_a_small_file_of_seeds_is_dealt_out(spark):
     rows = sorted(tuple(r)[1:] for r in out.where("seed = 17").collect())
     assert rows == gq.simulate(m, 3.0, 0.5, 100.0, 17) and out.count() == 40 * 7
     assert all(r[6:8] == gq.deltas(m, r[3], 3.0 - r[1]) for r in rows[:-1])
+
+
+def test_a_key_of_many_rows_is_not_sent_to_one_task(spark):
+    """Means and cutoffs of two sides are broadcast beside the rows; no join shuffles the rows by side."""
+    rows = spark.range(400).selectExpr("id as ts_ms", "id as k1", "if(id % 2 = 0, 'bid', 'ask') as side", "double(id * 37 % 101) as v")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for out in (dg.acf(rows, "v", ["ts_ms", "k1"], ["side"], 2), dg.pnl_stats(rows, "v", ["side"])):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin [side" in plan or "BroadcastHashJoin [coalesce(side" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

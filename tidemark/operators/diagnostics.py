@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import largest_fall, numbered, with_lags
-from tidemark.operators.quantiles import exact_quantiles, with_quantiles
+from tidemark.operators.quantiles import MOST_BROADCAST, beside, exact_quantiles, with_quantiles
+from tidemark.sources.folders import kept
 
 
 def finite(value: str) -> Column:
@@ -47,8 +48,11 @@ def drawdown(rows: DataFrame, value: str, order: list[str], key: list[str], from
 
 
 def pnl_stats(rows: DataFrame, value: str, key: list[str], tail: float = 0.05) -> DataFrame:
-    """net, mean, population deviation, value at risk and expected shortfall (mean of values at or below the cutoff)."""
+    """net, mean, population deviation, value at risk and expected shortfall (mean of values at or below the cutoff). The cutoffs
+    are broadcast, so that a group of many rows is not sent to one task."""
     cut = exact_quantiles(rows, key, [value], [tail]).select(*(F.col(c).alias(f"__{c}") for c in key), F.col(f"q_{value}")[0].alias("__cut"))
+    cut = kept(cut, "cutoffs")
+    cut = F.broadcast(cut) if cut.count() <= MOST_BROADCAST else cut
     same = F.lit(True)
     for c in key:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
@@ -77,9 +81,10 @@ def dispersion(rows: DataFrame, n_parameters: int = 0) -> DataFrame:
 
 def acf(rows: DataFrame, value: str, order: list[str], key: list[str], max_lag: int = 10) -> DataFrame:
     """(key, lag, acf): row-lag autocorrelation with the global mean and the full-sample denominator. A constant series has 0
-    beyond lag 0; a lag not shorter than the series is null."""
-    means = rows.groupBy(*key).agg(F.avg(value).alias("__m"))
-    c = rows.join(means, key).withColumn("__c", F.col(value) - F.col("__m")).select(*{*key, *order}, "__c")
+    beyond lag 0; a lag not shorter than the series is null. The means are broadcast, so that a key of many rows is not sent
+    to one task."""
+    means = kept(rows.groupBy(*key).agg(F.avg(value).alias("__m")), "means")
+    c = beside(rows, means, key, means.count()).withColumn("__c", F.col(value) - F.col("__m")).select(*{*key, *order}, "__c")
     lagged = with_lags(numbered(c, [*order, "__c"], key), "__c", max_lag, key)  # ties of the order go by value
     sums = lagged.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col("__c") * F.col("__c")).alias("d"), *(F.sum(F.col("__c") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, max_lag + 1)))
     flat = F.col("d") <= 2.220446049250313e-16
@@ -140,14 +145,19 @@ def residual_bundle(rows: DataFrame, order: list[str], max_lag: int = 10, n_para
     return one.withColumns({"out_of_sample": F.lit(out_of_sample), "n_parameters": F.lit(n_parameters)})
 
 
-def gate_frame(rows: DataFrame, order: list[str], max_lag: int = 10, least: float = 0.10, z: float = 1.96, out_of_sample: bool = True, n_parameters: int = 0, most_dispersion: float = 1.50) -> DataFrame:
-    """The gate as a one-row plan over rows with residual and side. It opens on out-of-sample rows alone; `reasons` lists what
-    speaks for or against: in_sample, serial, cross_side, overdispersed, nothing_left."""
+def gate_measures(rows: DataFrame, order: list[str], max_lag: int = 10, n_parameters: int = 0) -> DataFrame:
+    """What the gate goes by, one row: n, dispersion, bid_peak, ask_peak, correlation, pair_count."""
+    peak = acf(rows, "residual", order, ["side"], max_lag).where("lag > 0").agg(F.max(F.when(F.col("side") == "bid", F.abs("acf"))).alias("bid_peak"), F.max(F.when(F.col("side") == "ask", F.abs("acf"))).alias("ask_peak"))
+    return dispersion(rows, n_parameters).crossJoin(peak).crossJoin(cross_side(rows))
+
+
+def gate_of(measures: DataFrame, least: float = 0.10, z: float = 1.96, out_of_sample: bool = True, most_dispersion: float = 1.50) -> DataFrame:
+    """The gate over a row of gate_measures. It opens on out-of-sample rows alone; `reasons` lists what speaks for or against:
+    in_sample, serial, cross_side, overdispersed, nothing_left."""
     if min(least, most_dispersion, z) <= 0:
         raise ValueError("thresholds must be positive")
-    peak = acf(rows, "residual", order, ["side"], max_lag).where("lag > 0").agg(F.max(F.when(F.col("side") == "bid", F.abs("acf"))).alias("bid_peak"), F.max(F.when(F.col("side") == "ask", F.abs("acf"))).alias("ask_peak"))
     limit = F.greatest(F.lit(least), F.lit(z) / F.sqrt(F.greatest(F.col("n"), F.lit(1))))
-    out = dispersion(rows, n_parameters).crossJoin(peak).crossJoin(cross_side(rows)).withColumn("threshold", limit)
+    out = measures.withColumn("threshold", limit)
     serial = F.greatest(F.coalesce("bid_peak", F.lit(0.0)), F.coalesce("ask_peak", F.lit(0.0))) > F.col("threshold")
     cross = F.coalesce(F.abs("correlation") > F.col("threshold"), F.lit(False))
     out = out.withColumns({"serial_dependence": serial, "cross_side_dependence": cross, "overdispersed": F.coalesce(F.col("dispersion") > most_dispersion, F.lit(False)), "out_of_sample": F.lit(out_of_sample)})
@@ -157,6 +167,11 @@ def gate_frame(rows: DataFrame, order: list[str], max_lag: int = 10, least: floa
     return out.withColumns({"decision": F.when(F.col("warranted"), "research_hawkes").otherwise("keep_state_dependent_poisson"), "reasons": F.array_compact(F.array(*(F.when(c, F.lit(x)) for c, x in why)))})
 
 
+def gate_frame(rows: DataFrame, order: list[str], max_lag: int = 10, least: float = 0.10, z: float = 1.96, out_of_sample: bool = True, n_parameters: int = 0, most_dispersion: float = 1.50) -> DataFrame:
+    """The gate as a one-row plan over rows with residual and side."""
+    return gate_of(gate_measures(rows, order, max_lag, n_parameters), least, z, out_of_sample, most_dispersion)
+
+
 def bootstrap_ci(
     rows: DataFrame, cluster: str, bin_col: str, event: str, draws: int = 2000, batch: int = 250, seed: int = 0, low: float = 2.5, high: float = 97.5, bucket_clusters: int = 1 << 14,
 ) -> DataFrame:

@@ -91,10 +91,10 @@ select oos as out_of_sample, least::double as least, oos and (serial or crossed)
 @query(GATES)
 def hawkes_gate_reasons(spark: SparkSession, d: str) -> DataFrame:
     """The gate's decision with reasons, for rows in and out of sample and for two thresholds."""
-    rows, out = kept(_residuals(spark, d), "residuals"), None
+    measures, out = kept(dg.gate_measures(kept(_residuals(spark, d), "residuals"), ORDER, 3), "measures"), None
     for least in (0.1, 0.000001):
         for oos in (True, False):
-            g = dg.gate_frame(rows, ORDER, 3, least, out_of_sample=oos).select("out_of_sample", F.lit(least).alias("least"), "warranted", "decision", F.concat_ws(",", "reasons").alias("reasons"))
+            g = dg.gate_of(measures, least, out_of_sample=oos).select("out_of_sample", F.lit(least).alias("least"), "warranted", "decision", F.concat_ws(",", "reasons").alias("reasons"))
             out = g if out is None else out.unionByName(g)
     return out
 
