@@ -126,3 +126,9 @@ def test_month_files_must_exist(spark, tmp_path):
 def test_order_violations_over_blocks(spark):
     df = spark.createDataFrame([("S", 1, 1, 0), ("S", 3, 1, 1), ("S", 2, 5, 2), ("S", 2, 4, 9), ("S", 2, 4, 10)], "symbol string, ts_ms long, sequence long, row long")
     assert [r.row for r in feeds.order_violations(df, "row", 2).orderBy("row").collect()] == [2, 9]
+
+
+def test_an_episode_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("{}\n")
+    plan = feeds.read_episodes_jsonl(spark, [str(tmp_path / "a.jsonl")])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1

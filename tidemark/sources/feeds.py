@@ -212,12 +212,13 @@ def read_episodes_jsonl(spark: SparkSession, paths: list[str], most: int | None
     many rows in the order of files and lines."""
     out = None
     for k, path in enumerate(paths):
-        df = numbered_lines(spark, path).select(F.lit(k).alias("file"), "line", F.from_json("value", EPISODE_SCHEMA).alias("x"))
-        lacking = F.array_compact(F.array(*(F.when(F.col(f"x.{c}").isNull(), F.lit(c)) for c in EPISODE_REQUIRED)))
+        # a generator's columns are not computed anew by the filter below: each line is parsed once
+        df = numbered_lines(spark, path).select(F.lit(k).alias("file"), "line", F.inline(F.array(F.from_json("value", EPISODE_SCHEMA))))
+        lacking = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in EPISODE_REQUIRED)))
         told = F.concat(F.lit(f"{path}:"), F.col("line").cast("string"), F.lit(": episode row lacks required field "), F.array_join(lacking, ", "))
         df = df.where(F.when(F.size(lacking) == 0, True).otherwise(F.raise_error(told).cast("boolean")))
         own = F.coalesce("episode_id", F.col("line").cast("string"))
-        df = df.select("file", "line", "x.*").withColumn("episode_id", F.concat(F.lit(f"{k}:"), own) if len(paths) > 1 else own)
+        df = df.withColumn("episode_id", F.concat(F.lit(f"{k}:"), own) if len(paths) > 1 else own)
         out = df if out is None else out.unionByName(df)
     return (out.orderBy("file", "line").limit(most) if most else out).drop("file", "line")
 
