@@ -643,3 +643,16 @@ def test_encode_decode(spark):
         ids = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids == ids and r.n_tokens == len(ids) and r.ids_sha256 == sha(" ".join(map(str, ids))) and r.decoded_sha256 == sha(tok.decode(ids, skip_special_tokens=False))
     assert encode_decode(table(spark, ["a"]).limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_large_buckets_are_told_without_a_join(spark):
+    """The rows of every bucket meet no join when some are large; beyond the bound a bitmap marks at least the same."""
+    from tidemark.llm import suffix_dedup as sd
+
+    sent = spark.range(1000).selectExpr("id % 7 - 3 as a", "id")
+    often = spark.createDataFrame([(-3,), (2,)], "a long")
+    large, small = sd.parted(sent, often, 2)
+    assert "Join" not in large._jdf.queryExecution().optimizedPlan().toString() + small._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.a for r in large.collect()} == {-3, 2} and large.count() + small.count() == 1000
+    large, small = sd.parted(sent, often, 2, most=1)
+    assert {-3, 2} <= {r.a for r in large.collect()} and large.count() + small.count() == 1000

@@ -42,6 +42,8 @@ SHIFT = np.array([[next(d for d in range(V) if (r + d) % V in COVER and (q + d)
 BLOCK_BYTES = 1 << 19
 #: Texts that a task remembers to tell their copies; beyond that it starts anew, and copies meet in their bucket.
 REMEMBERED = 1 << 19
+#: Numbers of large buckets that may come to the driver.
+MOST_OFTEN = 1 << 14
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -397,6 +399,16 @@ def repeated_starts(ctx: DataFrame, length: int, block_bytes: int = 1 << 20) ->
     return ctx.repartition("a").sortWithinPartitions("a").mapInArrow(run, "id long, h long, lo long, hi long")
 
 
+def parted(sent: DataFrame, often: DataFrame, n_often: int, most: int = MOST_OFTEN) -> tuple[DataFrame, DataFrame]:
+    """(rows of the buckets in often, the others). Up to `most` such buckets are told by their numbers alone; beyond, by a
+    joined bitmap: a mark goes by bucket, so a bucket that is marked by chance is dealt on as a whole."""
+    if n_often <= most:
+        hit = F.col("a").isin([r[0] for r in often.collect()])
+        return sent.where(hit), sent.where(~hit)
+    marked = with_maybe(sent, "a", often)
+    return marked.where("maybe").select("row.*"), marked.where("not maybe").select("row.*")
+
+
 def repeat_spans(docs: DataFrame, scratch: Scratch, key: str, text: str, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(about, spans): about has id, n_bytes, sha, copy (an equal text has a smaller id); spans has id, h and starts
     array<struct<lo, hi>> for the first of equal texts that has repeated windows."""
@@ -416,13 +428,12 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, key: str, text: str, length:
     sent, cold, width = found[0].where("ctx is not null"), [], length - GRAM + 1
     while width > 1:
         often = scratch.table(sent.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("a"), f"often{width}")
-        if often.isEmpty():
+        if not (n_often := often.count()):
             break
-        # a mark goes by bucket, so a bucket that is marked by chance is dealt on as a whole
-        marked = with_maybe(sent, "a", often)
-        cold.append(marked.where("not maybe").select("row.*"))
+        large, small = parted(sent, often, n_often)
+        cold.append(small)
         width = -(-width // 2)
-        found.append(scratch.table(narrower(marked.where("maybe").select("row.*"), length, width), f"width{width}"))
+        found.append(scratch.table(narrower(large, length, width), f"width{width}"))
         sent = found[-1].where("ctx is not null")
     every, sent = reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, cold, sent)
     local = every.where("ctx is null").select("id", "h", F.col("start").alias("lo"), (F.col("start") + F.col("span") - 1).alias("hi"))
