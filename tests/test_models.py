@@ -235,3 +235,11 @@ def test_a_key_of_many_rows_is_not_sent_to_one_task(spark):
             assert "BroadcastHashJoin [side" in plan or "BroadcastHashJoin [coalesce(side" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_more_rows_of_a_series_go_to_more_tasks(spark):
+    rows = spark.range(3000).selectExpr("id * 86400000 as ts_ms", "id as k1", "if(id % 2 = 0, 'bid', 'ask') as side", "double(id * 37 % 101) as v")
+    few, many = (dg.acf(rows, "v", ["ts_ms", "k1"], ["side"], 2, most) for most in (1 << 22, 100))
+    assert "REPARTITION_BY_NUM" in (plan := many._jdf.queryExecution().executedPlan().toString()) and ", 30)" in plan
+    got = lambda x: {(r.side, r.lag): pytest.approx(r.acf, abs=1e-12) for r in x.collect()}
+    assert got(few) == {k: v.expected for k, v in got(many).items()}

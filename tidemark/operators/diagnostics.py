@@ -79,13 +79,15 @@ def dispersion(rows: DataFrame, n_parameters: int = 0) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), (F.sum(r * r) / F.greatest(F.count("*") - n_parameters, F.lit(1))).alias("dispersion"))
 
 
-def acf(rows: DataFrame, value: str, order: list[str], key: list[str], max_lag: int = 10) -> DataFrame:
+def acf(rows: DataFrame, value: str, order: list[str], key: list[str], max_lag: int = 10, most: int = 1 << 22) -> DataFrame:
     """(key, lag, acf): row-lag autocorrelation with the global mean and the full-sample denominator. A constant series has 0
     beyond lag 0; a lag not shorter than the series is null. The means are broadcast, so that a key of many rows is not sent
-    to one task."""
-    means = kept(rows.groupBy(*key).agg(F.avg(value).alias("__m")), "means")
-    c = beside(rows, means, key, means.count()).withColumn("__c", F.col(value) - F.col("__m")).select(*{*key, *order}, "__c")
-    lagged = with_lags(numbered(c, [*order, "__c"], key), "__c", max_lag, key)  # ties of the order go by value
+    to one task; a task has about `most` rows, so more rows go to more tasks."""
+    means = kept(rows.groupBy(*key).agg(F.avg(value).alias("__m"), F.count("*").alias("__n")), "means")
+    n_keys, n = means.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+    tasks = -(-n // most) if n > most * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    c = beside(rows, means.drop("__n"), key, n_keys).withColumn("__c", F.col(value) - F.col("__m")).select(*{*key, *order}, "__c")
+    lagged = with_lags(numbered(c, [*order, "__c"], key, tasks=tasks), "__c", max_lag, key, tasks=tasks)  # ties of the order go by value
     sums = lagged.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col("__c") * F.col("__c")).alias("d"), *(F.sum(F.col("__c") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, max_lag + 1)))
     flat = F.col("d") <= 2.220446049250313e-16
     cells = [F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("acf"))]

@@ -17,16 +17,17 @@ def block_of(at: str, block: int) -> Column:
     return F.coalesce(F.floor(F.col(at) / block).cast("long"), F.lit(-(2**63)))
 
 
-def numbered(rows: DataFrame, order: list[str], key: list[str], block: int = DAY_MS) -> DataFrame:
-    """rows with __k, their place from 1 within key in that order; ties of the order go in any order."""
+def numbered(rows: DataFrame, order: list[str], key: list[str], block: int = DAY_MS, tasks: int | None = None) -> DataFrame:
+    """rows with __k, their place from 1 within key in that order; ties of the order go in any order. tasks: over how many the
+    blocks are dealt, where Spark's own number is too small for the rows."""
     b = rows.withColumn("__b", block_of(order[0], block))
-    own = b.withColumn("__k", F.row_number().over(Window.partitionBy(*key, "__b").orderBy(*order)).cast("long"))
+    own = (b.repartition(tasks, *key, "__b") if tasks else b).withColumn("__k", F.row_number().over(Window.partitionBy(*key, "__b").orderBy(*order)).cast("long"))
     earlier = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = b.groupBy(*key, "__b").agg(F.count("*").alias("__c")).withColumn("__at", F.coalesce(F.sum("__c").over(earlier), F.lit(0))).drop("__c")
     return own.join(starts, [*key, "__b"]).withColumn("__k", F.col("__k") + F.col("__at")).drop("__b", "__at")
 
 
-def with_lags(rows: DataFrame, value: str, lags: int, key: list[str], chunk: int = 1 << 17) -> DataFrame:
+def with_lags(rows: DataFrame, value: str, lags: int, key: list[str], chunk: int = 1 << 17, tasks: int | None = None) -> DataFrame:
     """Numbered rows with l1 to l`lags`, the value so many places before (null where there is none). Chunks of equal size, each with
     the last rows of the one before, are a task's share."""
     size = max(chunk, lags)
@@ -34,6 +35,7 @@ def with_lags(rows: DataFrame, value: str, lags: int, key: list[str], chunk: int
     home = F.struct(F.floor(at / size).alias("c"), F.lit(False).alias("copy"))
     next_ = F.struct((F.floor(at / size) + 1).alias("c"), F.lit(True).alias("copy"))
     out = rows.withColumn("__in", F.explode(F.when(at % size >= size - lags, F.array(home, next_)).otherwise(F.array(home))))
+    out = out.repartition(tasks, *key, "__in.c") if tasks else out
     w = Window.partitionBy(*key, "__in.c").orderBy("__k")
     return out.withColumns({f"l{k}": F.lag(value, k).over(w) for k in range(1, lags + 1)}).where("not __in.copy").drop("__in")
 
