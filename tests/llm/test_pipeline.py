@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm.common import Scratch, read_table
+from tidemark.llm.common import Scratch, components, read_table, without
 from tests.conftest import DATA
 
 
@@ -100,3 +100,25 @@ def test_rows_without_a_key_are_judged(spark):
     left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, few, sf).collect()]
     assert (1, good[0]) in left and (None, good[0]) not in left and (None, good[2]) in left
     assert sum(t is not None and t.startswith(good[1]) for _, t in left) == 1 and sum(not t for _, t in left) == 3 and len(left) == 6
+
+
+def test_steps_spare_the_driver_what_meets_nothing(spark):
+    """No ids: no broadcast and no join. Edges that are stars: the table of the edges and one round, which hashes what it writes."""
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id long, t string")
+    left = without(rows, "id", spark.createDataFrame([], "id long"))
+    assert sorted(r.t for r in left.collect()) == ["a", "b", "c"] and "Join" not in left._jdf.queryExecution().optimizedPlan().toString()
+
+    class Counted(Scratch):
+        def table(self, df, name):
+            written.append(name)
+            return super().table(df, name)
+
+    edges = lambda *e: spark.createDataFrame(list(e), "a long, b long")
+    for e, tables, want in (
+        ([(5, 2), (7, 2), (9, 4), (9, 4), (3, 3)], 2, {(2, 2), (5, 2), (7, 2), (4, 4), (9, 4)}),
+        ([], 1, set()),
+        ([(1, 2), (2, 3), (3, 4), (9, 8)], None, {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}),
+    ):
+        written = []
+        assert {tuple(r) for r in components(edges(*e), Counted(spark, "test-stars")).collect()} == want
+        assert tables is None or len(written) == tables

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised kernel handles at once; a longer single text is handled alone.
@@ -113,8 +113,11 @@ def with_maybe(df: DataFrame, col: str, ids: DataFrame, max_bits: int = 1 << 24)
     """(row, key, maybe): df's rows as a struct, so that no name of theirs clashes, and whether `col` may be in ids (ids has
     `col`). A one-hash bitmap of at most max_bits bits is joined as a broadcast of at most max_bits/64 rows. It marks
     every true id, and some others; beyond about max_bits ids nearly all. An exact join follows: the mark only spares
-    shuffled bytes. A null is never marked."""
+    shuffled bytes. A null is never marked. Where ids is empty nothing is marked, and nothing broadcast."""
     n = ids.count()
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(col).alias("key"))
+    if not n:
+        return packed.withColumn("maybe", F.lit(False))
     bits = 1 << 12
     while bits < min(max_bits, 16 * n):
         bits <<= 1
@@ -125,7 +128,6 @@ def with_maybe(df: DataFrame, col: str, ids: DataFrame, max_bits: int = 1 << 24)
         .groupBy("w")
         .agg(F.bit_or("v").alias("v"))
     )
-    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(col).alias("key"))
     out = packed.withColumn("s", spot).withColumn("w", F.shiftright("s", 6)).join(F.broadcast(words), "w", "left")
     return out.select("row", "key", F.coalesce(F.expr("(shiftright(v, cast(s % 64 as int)) & 1L) = 1L"), F.lit(False)).alias("maybe"))
 
@@ -148,13 +150,20 @@ def without(docs: DataFrame, key: str, gone: DataFrame, once: DataFrame | None =
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, component), component = smallest id reachable.
 
-    Alternating large-star and small-star; each round is a written table, so lineage stays short and a lost
-    executor costs a round at most. Hub nodes are aggregated map-side before the shuffle: min is the only
+    Alternating large-star and small-star until a round changes nothing; stars stay as they are, so edges that are stars take one
+    round. Each round is a written table, so lineage stays short and a lost executor costs a round at most. Hub nodes are aggregated map-side before the shuffle: min is the only
     aggregate, and each star emits one row per incoming edge. Ids without an edge are absent.
     """
-    cur = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
-    before = None
+    def written(df: DataFrame, k: int) -> tuple[DataFrame, dict]:
+        """The table of a round, with its rows counted and hashed as they are written."""
+        seen = Observation()
+        out = scratch.table(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), f"{name}{k}")
+        return out, seen.get
+
+    cur, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0)
     for k in range(1, 100):
+        if not before["n"]:
+            break
         # large-star: every neighbour larger than u links to the smallest of u and its neighbours
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -162,10 +171,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         # small-star: u and its smaller neighbours link to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        nxt = scratch.table(small.where("a <> b").distinct(), f"{name}{k}")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        cur, now = written(small.where("a <> b").distinct(), k)
         scratch.drop(f"{name}{k - 1}")
-        cur = nxt
         if now == before:
             break
         before = now

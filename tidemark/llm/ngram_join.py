@@ -365,14 +365,13 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
 
     # first the most promising ask of each two groups; then those between groups that are still apart
     best = scratch.table(asks.groupBy("g1", "g").agg(F.max(F.struct("share", "id", "k")).alias("b")).select(F.col("b.id").alias("id"), "g", F.col("b.k").alias("k")), "best")
-    links = links.unionByName(scratch.table(open_blocks(best, member, sets, percent), "more"))
-    now = components(links, scratch, "halfway")
+    # each step goes on from the stars of the one before, in place of its links
+    stars_of = lambda cc, c: cc.select(F.col("id").alias("a"), F.col(c).alias("b"))
+    now = components(stars_of(joined, "g").unionByName(scratch.table(open_blocks(best, member, sets, percent), "more")), scratch, "halfway")
     name = lambda c: now.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
     apart = asks.join(name("g1"), "g1", "left").join(name("g"), "g", "left").where(F.coalesce("g1c", "g1") != F.coalesce("gc", "g"))
     rest = scratch.table(apart.select("id", "g", "k").join(best, ["id", "g", "k"], "left_anti"), "rest")
-    links = links.unionByName(scratch.table(open_blocks(rest, member, sets, percent), "most"))
-
-    final = components(links, scratch, "final")
+    final = components(stars_of(now, "component").unionByName(scratch.table(open_blocks(rest, member, sets, percent), "most")), scratch, "final")
     named = classes.join(final, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("c"))
     linked = full.select("id", "h1", "h2", "n").join(named, ["h1", "h2", "n"]).select("id", "n", "c")
     alone = about.where("n = 0 or id is null").select("id", "n", F.col("id").alias("c"))

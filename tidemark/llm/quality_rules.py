@@ -167,6 +167,7 @@ def fit_model(grams: DataFrame, scratch: Scratch) -> DataFrame:
         level = level.withColumn("c", F.substring("g", 1, m - 1))
         gamma = F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")
         ctx = level.groupBy("lang", "c").agg(F.sum("n").alias("total"), *kinds).join(cuts, "lang").withColumn("weight", gamma / F.col("total"))
+        ctx = scratch.table(ctx, f"contexts{m}")
         got = level.join(ctx, ["lang", "c"])
         if p is None:
             got = got.withColumn("below", 1 / F.col("types"))
