@@ -107,3 +107,19 @@ def test_an_invalid_row_raises(spark, tmp_path):
     bad = [("A", 0, 0, "book", 101.0, 1.0, 100.0, 1.0, None, None, None), ("A", 5000, 1, "book", 99.0, 1.0, 100.0, 1.0, None, None, None)]
     with pytest.raises(Exception, match="invalid book row: "):
         step(spark.createDataFrame(bad, live.SCHEMA), 0)
+
+
+def test_rows_of_a_symbol_are_not_sent_to_one_task(spark, tmp_path, monkeypatch):
+    """Clocks and marks, a row a symbol, are broadcast, whatever size Spark takes them for."""
+    plans, route, kept = {}, late.route, live.kept
+    told = lambda name, df: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and df
+    monkeypatch.setattr(late, "route", lambda *x: told("routed", route(*x)))
+    monkeypatch.setattr(live, "kept", lambda df, name: kept(told(name, df), name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        live.episode_stream(str(tmp_path / "out"), LATENESS, CONFIG)(spark.createDataFrame(_feed(7, "A", 40), live.SCHEMA), 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for name in ("routed", "books", "trades"):
+        assert "BroadcastHashJoin" in plans[name] and "SortMergeJoin" not in plans[name]

@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 ON_TIME, LATE, CLOCKS = "on_time", "late", "clocks"
 
 
+#: Largest table of one row a symbol that is broadcast.
+MOST = 1 << 14
+
+
+def beside(small: DataFrame) -> DataFrame:
+    """small, a row a symbol, to be joined with rows: broadcast up to MOST symbols, as a join that deals out by symbol would send a
+    symbol's rows to one task. Spark can't tell by itself: it takes a table that is joined, or empty yet, for larger than it is."""
+    return F.broadcast(small) if small.count() <= MOST else small
+
+
 def route(rows: DataFrame, clocks: DataFrame, lateness_ms: int) -> DataFrame:
     """rows with `late` and `behind_ms`, the time by which a row lies behind its symbol's clock (clocks: symbol, clock_ms; null if it
     has none). A row without a time is late; a null symbol is a symbol like any other."""
@@ -34,7 +44,7 @@ def router(folder: str, lateness_ms: int) -> Callable[[DataFrame, int], None]:
         spark = batch.sparkSession
         at = lambda table, n: f"{folder}/{table}/batch={n}"
         before = spark.read.parquet(at(CLOCKS, number - 1)) if number else spark.createDataFrame([], "symbol string, clock_ms long")
-        routed = route(batch, before, lateness_ms)
+        routed = route(batch, beside(before), lateness_ms)
         routed.where("not late").drop("late", "behind_ms").write.mode("overwrite").parquet(at(ON_TIME, number))
         routed.where("late").drop("late").write.mode("overwrite").parquet(at(LATE, number))
         seen = batch.groupBy("symbol").agg(F.max("ts_ms").alias("clock_ms"))

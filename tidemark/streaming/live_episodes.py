@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.bookstate import end_of_ms, ewma_state
 from tidemark.operators.episodes import EpisodeConfig, activations, bins, checked_rows, level_volume, orders, terminals
 from tidemark.sources.folders import kept
-from tidemark.streaming.late import CLOCKS, ON_TIME, router
+from tidemark.streaming.late import CLOCKS, ON_TIME, beside, router
 
 #: Tables of the folder beside the router's: what is given out; rows past the watermark; books with their state; trades; first books.
 INTERVALS, OPEN, STATE, TRADES, STARTS = "intervals", "open", "state", "trades", "starts"
@@ -47,6 +47,7 @@ def due(starts: DataFrame, marks: DataFrame, config: EpisodeConfig) -> DataFrame
 
 def _advance(spark: SparkSession, folder: str, before: int | None, name: str, fresh: DataFrame, marks: DataFrame, config: EpisodeConfig) -> None:
     """marks: a row a symbol. Rows below closed_ms are complete; decisions from from_ms to to_ms are due; later ones stay open."""
+    marks = beside(kept(marks, "marks"))
     at = lambda table, n: f"{folder}/{table}/batch={n}"
     state_schema = "symbol string, ts_ms long, sequence long, bid_price double, bid_qty double, ask_price double, ask_qty double, ofi double, volatility double"
     trade_schema = "symbol string, ts_ms long, sequence long, price double, quantity double, buyer_is_maker boolean"
@@ -54,7 +55,7 @@ def _advance(spark: SparkSession, folder: str, before: int | None, name: str, fr
     def prior(table: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema) if before is None else spark.read.schema(schema).parquet(at(table, before))
 
-    rows = prior(OPEN, SCHEMA).unionByName(fresh).join(marks, "symbol")
+    rows = prior(OPEN, SCHEMA).unionByName(fresh).join(marks, "symbol")  # marks are broadcast: a symbol's rows stay where they are
     rows.where("ts_ms >= closed_ms").select(*fresh.columns).write.mode("overwrite").parquet(at(OPEN, name))
     closed = rows.where("ts_ms < closed_ms")
     books, trades = checked_rows(closed.where("kind = 'book'").select(*BOOK), closed.where("kind = 'trade'").select(*TRADE), config)
@@ -64,7 +65,7 @@ def _advance(spark: SparkSession, folder: str, before: int | None, name: str, fr
     last = held.groupBy("symbol").agg(F.max_by(F.struct(*names), "ts_ms").alias("s")).select("symbol", "s.*")
     none = F.lit(None).cast("double")
     known = last.withColumnsRenamed({"ofi": "__ofi", "volatility": "__volatility"}).unionByName(books.withColumns({"__ofi": none, "__volatility": none}))
-    told = ewma_state(known, config.state_ewma_alpha, known=("__ofi", "__volatility")).where("__ofi is null").drop("__ofi", "__volatility")
+    told = ewma_state(kept(known, "books"), config.state_ewma_alpha, known=("__ofi", "__volatility")).where("__ofi is null").drop("__ofi", "__volatility")
     state = kept(held.unionByName(end_of_ms(told).select(*held.columns)), "state")
     traded = kept(prior(TRADES, trade_schema).unionByName(trades), "trades")
     starts = prior(STARTS, "symbol string, t0 long").unionByName(state.select("symbol", F.col("ts_ms").alias("t0"))).groupBy("symbol").agg(F.min("t0").alias("t0"))
@@ -75,10 +76,11 @@ def _advance(spark: SparkSession, folder: str, before: int | None, name: str, fr
     bins(kept(terminals(active, traded, volume, state, config), "ended"), volume, state, config).write.mode("overwrite").parquet(at(INTERVALS, name))
 
     # an open decision is above to_ms; it needs the last book up to it, and all later rows
-    marked = state.join(marks.select("symbol", "to_ms"), "symbol")
+    ends = marks.select("symbol", "to_ms")
+    marked = state.join(ends, "symbol")
     latest = marked.where("ts_ms <= to_ms").groupBy("symbol").agg(F.max_by(F.struct(*names), "ts_ms").alias("s")).select("symbol", "s.*")
     marked.where("ts_ms > to_ms").select(*held.columns).unionByName(latest.select(*held.columns)).write.mode("overwrite").parquet(at(STATE, name))
-    traded.join(marks.select("symbol", "to_ms"), "symbol").where("ts_ms > to_ms").select(*TRADE).write.mode("overwrite").parquet(at(TRADES, name))
+    traded.join(ends, "symbol").where("ts_ms > to_ms").select(*TRADE).write.mode("overwrite").parquet(at(TRADES, name))
 
 
 def episode_stream(folder: str, lateness_ms: int, config: EpisodeConfig) -> Callable[[DataFrame, int], None]:
