@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidemark.llm import common
 from tidemark.llm.common import Scratch, components, read_table, without
 from tests.conftest import DATA
 
@@ -122,3 +123,14 @@ def test_steps_spare_the_driver_what_meets_nothing(spark):
         written = []
         assert {tuple(r) for r in components(edges(*e), Counted(spark, "test-stars")).collect()} == want
         assert tables is None or len(written) == tables
+
+
+def test_the_driver_lets_go_between_tables(spark, monkeypatch):
+    """Beyond a share of its heap the driver collects its garbage with each table, below it does not."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    whole = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+    scratch, before = Scratch(spark, "test-garbage"), whole()
+    for share, more in ((1.0, 0), (0.0, 1), (0.0, 2)):
+        monkeypatch.setattr(common, "HEAP_SHARE", share, raising=False)
+        assert scratch.table(spark.range(3), "few").count() == 3
+        assert whole() == before + more

@@ -61,6 +61,19 @@ def lets_go(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return whole
 
 
+#: Share of the driver's largest heap from which its garbage is collected between tables.
+HEAP_SHARE = 0.5
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the driver collect its garbage if its heap has grown beyond HEAP_SHARE. Spark drops the broadcasts and shuffle files of
+    earlier steps only once the driver has collected what refers to them; a heap with room to grow puts that off."""
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
+        jvm.java.lang.System.gc()
+
+
 class Scratch:
     """Intermediate Parquet tables in the shared folder; they cut lineage and survive lost executors. batch_bytes: see arrow_batches."""
 
@@ -72,6 +85,7 @@ class Scratch:
         path = f"{self.root}/{name}"
         with arrow_batches(self.spark, self.batch_bytes):
             df.write.mode("overwrite").parquet(path)
+        collect_garbage(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
