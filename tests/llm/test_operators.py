@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,11 +21,12 @@ from tidemark.llm.common import Scratch, components, id_filter, read_table, with
 from tidemark.llm.embedding_dedup import near_vectors, routes, unit
 from tidemark.llm.language_id import identify_languages
 from tidemark.llm.ngram_join import _differ, jaccard_components, parity_sketch
-from tidemark.llm.packing import best_fit, pack, piece_bounds
+from tidemark.llm.packing import batch_pieces, best_fit, pack, piece_bounds
 from tidemark.llm.quality_model import fit_additive, quality_scores
 from tidemark.llm.quality_rules import Lookup, count_grams, fit_model, quality_rules, shard_model
 from tidemark.llm.sharding import byte_shards
 from tidemark.llm.suffix_dedup import equal_windows, remove_repeats, repeat_digest
+from tidemark.llm.tokens import ByteBpe
 from tidemark.llm.word_bpe import ForcedBpe, encode_decode
 from tests.conftest import DATA
 
@@ -611,6 +614,22 @@ def test_packing(spark):
     assert pack(table(spark, ["a"]).limit(0), P.path("byte_bpe_50k.json"), scratch(spark)).count() == 0
 
 
+def test_tokenising_a_batch_takes_little_memory():
+    """5 MB of text in one batch: its pieces are whole, and the kernels see a small part of it at a time."""
+    texts = [f"{i} " + " ".join(f"word{k * 7919 % 20011} and{k % 97}" for k in range(160)) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    enc, tok = ByteBpe(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tracemalloc.start()
+    out = batch_pieces(batch, enc, 2048, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 4 << 20 and peak < 8 * batch.nbytes
+    assert out.column("k").to_pylist() == list(range(len(texts))) and set(out.column("piece").to_pylist()) == {0}
+    for i in range(0, len(texts), 97):
+        ids = [*tok.encode(texts[i], add_special_tokens=False).ids, 0]
+        assert out.column("length")[i].as_py() == len(ids) and out.column("ids_crc32")[i].as_py() == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_packing_of_repeated_rows_and_null_keys(spark):
     rows = [(7, "the same words " * 20)] * 400 + [(None, "a b c")] * 30 + [(8, None)] * 3
     out = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), P.path("byte_bpe_50k.json"), scratch(spark), capacity=256, per_task=16).collect()

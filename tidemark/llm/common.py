@@ -44,6 +44,14 @@ def arrow_batches(spark: SparkSession, most: int | None) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
+def give_back() -> None:
+    """Free memory that this process's allocators keep goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def lets_go(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which its worker gives free memory back: workers outlive their tasks, and what their allocators keep would
     add to the needs of every later stage."""
@@ -53,10 +61,7 @@ def lets_go(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return whole
 
